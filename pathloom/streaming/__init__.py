@@ -1,0 +1,5 @@
+"""There is no streaming operator to rebuild: the source system is batch only.
+
+The Column functions in ``pathloom.functions`` hold no state, so they also apply to a
+streaming DataFrame (see ``tests/test_streaming_columns.py``).
+"""
