@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.catalog.registry import query
 from pathloom.catalog.tables import (
-    LOG_A, LOG_B, MARKET, ORDER_A, PLACED_A, log_a, log_b, market, placed_a, table,
+    LOG_A, LOG_B, MARKET, ORDER_A, PLACED_A, hot, hot_b, log_a, log_b, market, placed_a, table,
 )
 from pathloom.functions.arrays import real_item_mask
 from pathloom.functions.text import usable_text
@@ -52,14 +52,14 @@ def _(spark, sf):
 WITH {LOG_B}, c AS (SELECT user_id, count(*) AS n FROM log_b GROUP BY user_id)
 SELECT log_b.* FROM log_b JOIN c USING (user_id) WHERE n >= 40""")
 def _(spark, sf):
-    return clean.filter_min_events(log_b(spark, sf), 40)
+    return clean.filter_min_events(log_b(spark, sf), 40, frequent=hot(spark, sf, "b", "user_id"))
 
 
 @query("filter_min_history", "user_id:i object_id:a", f"""
 WITH {PLACED_A} SELECT user_id, list(item_id ORDER BY pos) AS object_id FROM placed GROUP BY user_id HAVING count(*) >= 70""")
 def _(spark, sf):
     events = log_a(spark, sf).withColumnRenamed("item_id", "object_id")
-    return clean.filter_min_history(build_history_arrays(events, ["object_id"], ORDER_A), "object_id", 70)
+    return clean.filter_min_history(build_history_arrays(events, ["object_id"], ORDER_A, frequent=hot(spark, sf, "a", "user_id")), "object_id", 70)
 
 
 RATED_SQL = f"""{LOG_B}, rated AS (
@@ -69,7 +69,7 @@ RATED_SQL = f"""{LOG_B}, rated AS (
 
 def rated(spark, sf):
     events = log_b(spark, sf).select("user_id", "item_id", F.col("event_time").alias("timestamp"))
-    return clean.attach_counts(events, {"item_id": "item_count", "user_id": "user_count"})
+    return clean.attach_counts(events, {"item_id": "item_count", "user_id": "user_count"}, hot_b(spark, sf))
 
 
 @query("filter_rating_counts", "user_id:i item_id:i item_count:i user_count:i",

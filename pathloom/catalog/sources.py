@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.catalog.registry import query
-from pathloom.catalog.tables import LOG_A, LOG_B, ORDER_A, PLACED_A, log_a, log_b, table
+from pathloom.catalog.tables import LOG_A, LOG_B, ORDER_A, PLACED_A, hot, log_a, log_b, table
 from pathloom.operators.clean import news_events, rename_columns
 from pathloom.operators.history import build_history_arrays, build_item_table
 from pathloom.operators.splits import split_rows
@@ -17,7 +17,8 @@ def _histories(spark, sf):
     events = log_a(spark, sf).select(
         "user_id", F.col("item_id").alias("object_id"), "event_time", F.col("event_type").alias("event_id"), "event_no"
     )
-    return build_history_arrays(events, ["object_id", "event_time", "event_id"], ORDER_A)
+    return build_history_arrays(events, ["object_id", "event_time", "event_id"], ORDER_A,
+                                frequent=hot(spark, sf, "a", "user_id"))
 
 
 def _saved(spark, df, ext="parquet", write=None):
@@ -172,7 +173,8 @@ def _(spark, sf):
     names = {"item_id": "article_id_fixed", "ts": "impression_time_fixed", "value": "scroll_percentage_fixed",
              "event_no": "read_time_fixed"}
     nested = build_history_arrays(rename_columns(log_a(spark, sf).drop("event_time", "event_type"), names),
-                                  list(names.values()), ["impression_time_fixed", "read_time_fixed"])
+                                  list(names.values()), ["impression_time_fixed", "read_time_fixed"], frequent=hot(spark, sf, "a", "user_id"))
     events = news_events(readers.read_table(spark, _saved(spark, nested)))
-    histories = build_history_arrays(events, ["object_id", "event_time"], ["event_time", "_place"])
+    histories = build_history_arrays(events, ["object_id", "event_time"], ["event_time", "_place"],
+                                     frequent=hot(spark, sf, "a", "user_id"))
     return readers.read_table(spark, _saved(spark, histories))

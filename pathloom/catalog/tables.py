@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from pathloom.operators.ranking import mark_positives, top_k_items
 from pathloom.operators.sequences import (
     chunk_sequences, eval_history, eval_split, leave_last_k_train, place_events,
 )
-from pathloom.operators.skew import lookup
+from pathloom.operators.skew import frequent_keys, lookup
 from pathloom.operators.vectors import mean_user_vectors
 
 WIDTH = 64  # dimensions of the embeddings table
@@ -20,6 +22,32 @@ ORDER_A = ["event_time", "event_no"]
 ORDER_B = ["event_time", "o", "l", "p", "s"]
 
 
+@cache
+def _frequent(spark: SparkSession, sf: str, name: str, column: str) -> tuple:
+    return tuple(frequent_keys(table(spark, sf, name), column))
+
+
+def hot(spark: SparkSession, sf: str, log: str, column: str) -> list:
+    """Frequent users or items of a log, looked for once per data folder in the base table.
+
+    Ids are the base keys plus one; customers of log B are counted by
+    order, sessions are orders.
+    """
+    name, key = {
+        ("a", "user_id"): ("events", "user_id"),
+        ("b", "user_id"): ("orders", "o_custkey"),
+        ("b", "item_id"): ("lineitem", "l_partkey"),
+        ("b", "sequence_id"): ("lineitem", "l_orderkey"),
+    }[log, column]
+    if column == "sequence_id":
+        return list(_frequent(spark, sf, name, key))
+    return [None if v is None else v + 1 for v in _frequent(spark, sf, name, key)]
+
+
+def hot_b(spark: SparkSession, sf: str) -> dict[str, list]:
+    return {c: hot(spark, sf, "b", c) for c in ("user_id", "item_id")}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -39,8 +67,9 @@ def log_a(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_b(spark: SparkSession, sf: str) -> DataFrame:
     """Event log B: order lines; user is the customer, item the part, session the order."""
+    lines = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return lookup(table(spark, sf, "lineitem"), orders, "l_orderkey", "inner").select(
+    return lookup(lines, orders, "l_orderkey", "inner", frequent=_frequent(spark, sf, "lineitem", "l_orderkey")).select(
         (F.col("o_custkey") + 1).cast("int").alias("user_id"),
         (F.col("l_partkey") + 1).cast("int").alias("item_id"),
         epoch_seconds_rounded(F.col("l_shipdate")).alias("event_time"),
@@ -61,7 +90,7 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(
         (F.col("p_partkey") + 1).cast("int").alias("item_id"), "p_name", "p_brand", "p_type", "p_size"
     )
-    return lookup(log_b(spark, sf), part, "item_id").select(
+    return lookup(log_b(spark, sf), part, "item_id", frequent=hot(spark, sf, "b", "item_id")).select(
         "user_id",
         "sequence_id",
         F.timestamp_seconds("event_time").alias("stime"),
@@ -87,11 +116,11 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def placed_a(spark: SparkSession, sf: str) -> DataFrame:
-    return place_events(log_a(spark, sf), ORDER_A)
+    return place_events(log_a(spark, sf), ORDER_A, frequent=hot(spark, sf, "a", "user_id"))
 
 
 def placed_b(spark: SparkSession, sf: str) -> DataFrame:
-    return place_events(log_b(spark, sf), ORDER_B)
+    return place_events(log_b(spark, sf), ORDER_B, frequent=hot(spark, sf, "b", "user_id"))
 
 
 def windows_a(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.times import epoch_seconds_rounded, epoch_seconds_truncated
-from pathloom.operators.skew import lookup, positions
+from pathloom.operators.skew import frequent_keys, lookup, positions
 from pathloom.sources.schemas import EVENT_FIELDS
 
 
@@ -61,36 +61,47 @@ def count_by_key(df: DataFrame, key: str, count: str = "n") -> DataFrame:
 
 def join_user_counts(df: DataFrame, user: str = "user_id", count: str = "user_count", **skew) -> DataFrame:
     """Events with the number of events of their user; events without a user are dropped."""
-    counts = count_by_key(df.filter(F.col(user).isNotNull()), user)
-    return lookup(df, counts.withColumnRenamed("n", count), user, "inner", counted=counts, **skew)
+    known = df.filter(F.col(user).isNotNull())
+    return lookup(known, count_by_key(known, user, count), user, "inner", **skew)
 
 
 def filter_min_events(df: DataFrame, least: int, user: str = "user_id", **skew) -> DataFrame:
     """Events of the users that have at least ``least`` of them."""
-    return join_user_counts(df, user, "_count", **skew).filter(F.col("_count") >= least).drop("_count")
+    known = df.filter(F.col(user).isNotNull())
+    active = count_by_key(known, user, "_n").filter(F.col("_n") >= least).select(user)
+    return lookup(known, active, user, "inner", **skew)
 
 
 def filter_min_history(df: DataFrame, column: str, least: int = 10) -> DataFrame:
     return df.filter(F.size(column) >= least)
 
 
-def attach_counts(df: DataFrame, keys: Mapping[str, str], **skew) -> DataFrame:
-    """Left lookup of a row count per key column: ``{key column: count column}``."""
+def attach_counts(df: DataFrame, keys: Mapping[str, str], frequent: Mapping[str, list] | None = None) -> DataFrame:
+    """Left lookup of a row count per key column: ``{key column: count column}``.
+
+    Counts and frequent keys come from the input itself, not from the joined rows.
+    """
+    out = df
     for key, name in keys.items():
-        counts = count_by_key(df, key)
-        df = lookup(df, counts.withColumnRenamed("n", name), key, counted=counts, **skew)
-    return df
+        hot = (frequent or {}).get(key)
+        out = lookup(out, count_by_key(df, key, name), key, frequent=frequent_keys(df, key) if hot is None else hot)
+    return out
 
 
 def filter_rating_counts(df: DataFrame, least: int = 5) -> DataFrame:
     return df.filter((F.col("item_count") >= least) & (F.col("user_count") >= least))
 
 
-def filter_core_once(df: DataFrame, least: int = 5, **skew) -> DataFrame:
-    """One pass of count filters on items and users, then users re-checked on what is left."""
-    counted = attach_counts(df, {"item_id": "item_count", "user_id": "user_count"}, **skew)
-    left = filter_rating_counts(counted, least).drop("item_count", "user_count")
-    return filter_min_events(left, least, **skew)
+def filter_core_once(df: DataFrame, least: int = 5, frequent: Mapping[str, list] | None = None) -> DataFrame:
+    """One pass of count filters on items and users, then users re-checked on what is left.
+
+    A user's events on frequent items are at most all their events, so the re-check implies
+    the first user filter: two semi joins do.
+    """
+    hot = {k: (frequent or {}).get(k) for k in ("item_id", "user_id")}
+    hot = {k: frequent_keys(df, k) if v is None else v for k, v in hot.items()}
+    left = filter_min_events(df, least, "item_id", frequent=hot["item_id"])
+    return filter_min_events(left, least, "user_id", frequent=hot["user_id"])
 
 
 def select_interaction_columns(df: DataFrame) -> DataFrame:

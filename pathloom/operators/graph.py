@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import lookup
+from pathloom.operators.skew import frequent_keys, lookup
 
 
 def interaction_edges(events: DataFrame, user_num: int) -> DataFrame:
@@ -24,19 +24,20 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def attach_degrees(edges: DataFrame, degrees: DataFrame, **skew) -> DataFrame:
+def attach_degrees(edges: DataFrame, degrees: DataFrame, frequent: list | None = None) -> DataFrame:
     """The degree of both ends; a node without edges counts as degree 1."""
     out = edges
+    if frequent is None:  # both directions are in the table, so both ends have the same frequent nodes
+        frequent = frequent_keys(edges, "src")
     for end in ("src", "dst"):
         table = degrees.select(F.col("node").alias(end), F.col("n").alias(f"{end}_degree"))
-        counted = degrees.select(F.col("node").alias(end), "n")
-        out = lookup(out, table, end, counted=counted, **skew)
+        out = lookup(out, table, end, frequent=frequent)
     return out.withColumns({f"{e}_degree": F.greatest(F.coalesce(f"{e}_degree", F.lit(1)), F.lit(1)) for e in ("src", "dst")})
 
 
-def normalized_adjacency(events: DataFrame, user_num: int, **skew) -> DataFrame:
+def normalized_adjacency(events: DataFrame, user_num: int, frequent: list | None = None) -> DataFrame:
     """``src, dst, weight`` with weight ``1 / sqrt(degree(src)) / sqrt(degree(dst))``."""
     edges = bidirectional_edges(interaction_edges(events, user_num))
-    with_degrees = attach_degrees(edges, degree(edges), **skew)
+    with_degrees = attach_degrees(edges, degree(edges), frequent)
     weight = (1 / F.sqrt("src_degree")) * (1 / F.sqrt("dst_degree"))
     return with_degrees.select("src", "dst", weight.alias("weight"))

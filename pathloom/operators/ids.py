@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import global_index, lookup
+from pathloom.operators.skew import FREQUENT_ROWS, global_index, lookup
+from pathloom.session import slots
 
 
 def dense_vocabulary(df: DataFrame, key: str) -> DataFrame:
@@ -25,20 +26,32 @@ def first_seen_vocabulary(df: DataFrame, key: str, order: list[Column]) -> DataF
     return numbered.select("token", F.col("id").cast("int").alias("id"), "n")
 
 
-def encode_ids(df: DataFrame, column: str, vocabulary: DataFrame, missing: int | None = None, **skew) -> DataFrame:
+def frequent_ids(vocabulary: DataFrame, column: str = "token", min_rows: int = FREQUENT_ROWS) -> list | None:
+    """Frequent tokens (or ids) by the row counts the vocabulary carries."""
+    if "n" not in vocabulary.columns:
+        return None
+    top = vocabulary.filter(F.col("n") > min_rows).orderBy(F.desc("n"), column).limit(4 * slots(vocabulary.sparkSession))
+    return [r[0] for r in top.select(column).collect()]
+
+
+def encode_ids(
+    df: DataFrame, column: str, vocabulary: DataFrame, missing: int | None = None, frequent: list | None = None
+) -> DataFrame:
     """Replace tokens by ids.  Unknown and null tokens become ``missing`` (null unless given)."""
     table = vocabulary.select(F.col("token").alias(column), F.col("id").alias("_new"))
-    counted = vocabulary.select(F.col("token").alias(column), "n") if "n" in vocabulary.columns else None
-    joined = lookup(df, table, column, counted=counted, **skew)
+    if frequent is None:
+        frequent = frequent_ids(vocabulary)
+    joined = lookup(df, table, column, frequent=frequent)
     new = F.col("_new") if missing is None else F.coalesce("_new", F.lit(missing))
     return joined.select(*[new.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def decode_ids(df: DataFrame, column: str, vocabulary: DataFrame, **skew) -> DataFrame:
+def decode_ids(df: DataFrame, column: str, vocabulary: DataFrame, frequent: list | None = None) -> DataFrame:
     """Replace ids by their tokens."""
     table = vocabulary.select(F.col("id").alias(column), F.col("token").alias("_old"))
-    counted = vocabulary.select(F.col("id").alias(column), "n") if "n" in vocabulary.columns else None
-    joined = lookup(df, table, column, counted=counted, **skew)
+    if frequent is None:
+        frequent = frequent_ids(vocabulary, "id")
+    joined = lookup(df, table, column, frequent=frequent)
     return joined.select(*[F.col("_old").alias(c) if c == column else F.col(c) for c in df.columns])
 
 

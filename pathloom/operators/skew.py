@@ -1,10 +1,14 @@
 """Building blocks that stay balanced when one key holds a large share of all rows.
 
-* ``lookup``       equi-join with a table that is unique by key; frequent keys are salted
-* ``positions``    row number inside a group; frequent groups are numbered from a
-                   range-sorted table instead of in one window task
-* ``global_index`` row number over the whole table without a one-partition window
-* ``running_sums`` running totals over the whole table, same technique
+* ``frequent_keys`` the few keys worth special treatment, as short driver-side values
+* ``lookup``        equi-join with a table that is unique by key; frequent keys are salted
+* ``positions``     row number inside a group; frequent groups are numbered from a
+                    range-sorted table instead of in one window task
+* ``global_index``  row number over the whole table without a one-partition window
+* ``running_sums``  running totals over the whole table, same technique
+
+``frequent`` may be passed to every function that takes it, so a pipeline finds its hot
+users and items once; left out, it is found with one scan of the key column.
 """
 
 from __future__ import annotations
@@ -19,71 +23,69 @@ from pathloom.session import save_shared, slots
 # A key is worth special treatment only above this many rows: below it one task
 # sorts or joins the key without trouble whatever its share of the table is.
 FREQUENT_ROWS = 1_000_000
+# Sampled rows a key of that size is expected to show when looking for frequent keys.
+_SAMPLE_ROWS = 10_000
 
 
-def frequent_keys(df: DataFrame, keys: Sequence[str], min_rows: int = FREQUENT_ROWS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows, at most four per task slot, with their count ``_n``.
+def frequent_keys(df: DataFrame, keys: str | Sequence[str], min_rows: int = FREQUENT_ROWS) -> list:
+    """Keys with more than about ``min_rows`` rows: values of one column (None for null),
+    or hashes of several columns.  At most four per task slot, the most frequent first, so a
+    key left out holds under ``1 / (4 * slots)`` of the rows.
 
-    The size is bounded whatever the data: of all keys only the ``4 * slots`` most
-    frequent are kept, and any key left out holds under ``1 / (4 * slots)`` of the rows.
+    Key counts come from a sample.  They only decide how rows are spread over tasks; every
+    row still takes part in the result, and a key missed here costs time, not rows.
     """
-    return (
-        df.groupBy(*keys)
+    names = [keys] if isinstance(keys, str) else list(keys)
+    share = min(1.0, _SAMPLE_ROWS / max(min_rows, 1))
+    rows = df if share == 1.0 else df.sample(share, seed=7)
+    key = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+    found = (
+        rows.select(key.alias("_k"))
+        .groupBy("_k")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > min_rows)
-        .orderBy(F.desc("_n"), *keys)
+        .filter(F.col("_n") > min_rows * share)
+        .orderBy(F.desc("_n"), "_k")
         .limit(4 * slots(df.sparkSession))
     )
+    return [r["_k"] for r in found.collect()]
+
+
+def is_frequent(keys: Sequence[str], frequent: Sequence) -> Column:
+    key = F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
+    values = [v for v in frequent if v is not None]
+    listed = F.coalesce(key.isin(values), F.lit(False)) if values else F.lit(False)
+    return listed | key.isNull() if len(values) < len(frequent) else listed
 
 
 def lookup(
     left: DataFrame,
     right: DataFrame,
-    on: str | Sequence[str],
+    on: str,
     how: str = "left",
+    frequent: Sequence | None = None,
     min_rows: int = FREQUENT_ROWS,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right`` (unique by ``on``), spreading frequent keys over many tasks.
 
-    Rows of a frequent key get a salt from a hash of the row, and the single matching
-    row of ``right`` is copied once per salt.  Rare keys have salt 0 and are not copied.
-    Null keys find no match; they are spread as well so they cannot pile up in one task.
-    ``counted`` may pass per-key counts (columns ``on`` + ``n``) that are already known.
+    Rows of a frequent key get a salt from a hash of the row, and the single matching row of
+    ``right`` is copied once per salt.  Rows with a frequent null key find no match but are
+    spread as well.  Without frequent keys this is the plain join.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup supports left and inner, got {how!r}")
-    keys = [on] if isinstance(on, str) else list(on)
-    spark = left.sparkSession
-    width = slots(spark)
-    any_null = F.lit(False)
-    for key in keys:
-        any_null = any_null | F.col(key).isNull()
-
-    if counted is None:
-        frequent = frequent_keys(left.filter(~any_null), keys, min_rows)
-    else:
-        frequent = (
-            counted.filter(F.col("n") > min_rows)
-            .orderBy(F.desc("n"), *keys)
-            .limit(4 * width)
-            .select(*keys, F.col("n").alias("_n"))
-        )
-    frequent = F.broadcast(frequent.withColumn("_many", F.lit(True)).drop("_n"))
-
-    plain = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    salt = F.pmod(F.xxhash64(*plain), F.lit(width)).cast("int")
-    salted_left = left.join(frequent, keys, "left").withColumn(
-        "_salt", F.when(F.col("_many") | any_null, salt).otherwise(F.lit(0))
-    )
-    salted_right = (
-        right.join(frequent, keys, "left")
-        .withColumn("_last", F.when(F.col("_many"), F.lit(width - 1)).otherwise(F.lit(0)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .drop("_many", "_last")
-    )
-    joined = salted_left.drop("_many").join(salted_right, [*keys, "_salt"], how)
-    return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
+    if frequent is None:
+        frequent = frequent_keys(left, on, min_rows)
+    if not frequent:
+        return left.join(right, on, how).select(*left.columns, *[c for c in right.columns if c != on])
+
+    width = slots(left.sparkSession)
+    hot = is_frequent([on], frequent)
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(width)).cast("int")
+    salted = left.withColumn("_salt", F.when(hot, salt).otherwise(F.lit(0)))
+    last = F.when(hot, F.lit(width - 1)).otherwise(F.lit(0))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    joined = salted.join(copied, [on, "_salt"], how)
+    return joined.select(*left.columns, *[c for c in right.columns if c != on])
 
 
 def _numbered(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
@@ -146,27 +148,24 @@ def positions(
     order: Sequence[Column],
     pos: str = "pos",
     total: str | None = None,
+    frequent: Sequence | None = None,
     min_rows: int = FREQUENT_ROWS,
 ) -> DataFrame:
     """1-based position of each row inside its group, and the group size if ``total`` is named.
 
     Ordinary groups use one window (a single shuffle by key that later steps reuse).
-    Groups above ``min_rows`` are range-sorted together over all tasks; their position
-    is the row number in the partition plus the rows of the group in earlier partitions,
-    taken from a table of at most one row per group and partition touched.
+    Frequent groups are range-sorted together over all tasks; their position is the row
+    number in the partition plus the rows of the group in earlier partitions, taken from a
+    table of at most one row per group and partition touched.
     """
     keys = list(keys)
-    frequent = frequent_keys(df, keys, min_rows).collect()  # at most 4 * slots short rows
+    if frequent is None:
+        frequent = frequent_keys(df, keys, min_rows)
     if not frequent:
         return _window_positions(df, keys, order, pos, total)
 
-    spark = df.sparkSession
-    heavy = F.broadcast(spark.createDataFrame(frequent, frequent_keys(df, keys, min_rows).schema))
-    on = [df[k].eqNullSafe(heavy[k]) for k in keys]
-    cold = df.join(heavy, on, "left_anti")
-    hot = df.join(heavy, on, "left_semi")
-
-    numbered = _numbered(hot, [*[F.col(k) for k in keys], *order], "positions")
+    hot = is_frequent(keys, frequent)
+    numbered = _numbered(df.filter(hot), [*[F.col(k) for k in keys], *order], "positions")
     pieces = numbered.groupBy("_part", *keys).agg(F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(
@@ -180,12 +179,13 @@ def positions(
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     placed = numbered.join(F.broadcast(pieces), match).withColumn(
-        pos, (F.col("_row") - F.col("_start") + F.col("_before") + 1)
+        pos, F.col("_row") - F.col("_start") + F.col("_before") + 1
     )
     if total:
         placed = placed.withColumn(total, F.col("_total"))
     columns = [*df.columns, pos, *([total] if total else [])]
-    return _window_positions(cold, keys, order, pos, total).select(*columns).unionByName(placed.select(*columns))
+    cold = _window_positions(df.filter(~hot), keys, order, pos, total)
+    return cold.select(*columns).unionByName(placed.select(*columns))
 
 
 def _window_positions(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.times import epoch_seconds_rounded
 from pathloom.operators.clean import backfill_category, count_by_key, map_event_code
 from pathloom.operators.history import build_history_arrays, build_item_table
-from pathloom.operators.ids import dense_vocabulary, encode_ids
+from pathloom.operators.ids import dense_vocabulary, encode_ids, frequent_ids
 from pathloom.operators.skew import global_index, lookup
 
 
@@ -45,10 +45,12 @@ def build_dataset(
     counts = count_by_key(flat, "user_id").filter(F.col("n") >= min_events)
     users = global_index(counts, [F.col("user_id")], "_uid")
     kept = lookup(flat, users.select("user_id", F.col("_uid").cast("int").alias("_uid")), "user_id", "inner",
-                  counted=users.select("user_id", "n"))
+                  frequent=frequent_ids(users, "user_id"))
     kept = kept.withColumn("user_id", F.col("_uid")).drop("_uid")
     coded = encode_ids(kept, "object_id", dense_vocabulary(kept, "object_id"))
     ties = [f"_tie{i}" for i in range(len(tie))]
-    histories = build_history_arrays(coded, ["object_id", "event_time", "event_id"], ["event_time", *ties])
+    histories = build_history_arrays(
+        coded, ["object_id", "event_time", "event_id"], ["event_time", *ties], frequent=frequent_ids(users, "_uid")
+    )
     items = build_item_table(coded, list(text_columns), ["event_time", "user_id", *ties])
     return histories, items
