@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.history import ordered_arrays
@@ -26,7 +26,7 @@ def pack_batches(
 
 
 def pack_eval_batches(
-    indexed: DataFrame, size: int, stacked: Sequence[str], history: DataFrame, index: str = "idx"
+    indexed: DataFrame, size: int, stacked: Sequence[str], history: DataFrame, index: str = "idx", **skew
 ) -> tuple[DataFrame, DataFrame]:
     """(batch records, (batch_id, row, item_id) pairs of the histories to suppress).
 
@@ -38,9 +38,19 @@ def pack_eval_batches(
         F.floor((F.col(index) - 1) / size).alias("batch_id"),
         F.pmod(F.col(index) - 1, F.lit(size)).cast("int").alias("row"),
     )
-    return batches, history_pairs(history, places)
+    return batches, history_pairs(history, places, **skew)
 
 
 def history_pairs(history: DataFrame, places: DataFrame, **skew) -> DataFrame:
     """(batch_id, row, item_id): every history item with the place of its user in the batches."""
     return lookup(history, places, "user_id", "inner", **skew).select("batch_id", "row", "item_id")
+
+
+def token_lengths(indexed: DataFrame, size: int, length: str, index: str = "idx") -> DataFrame:
+    """``last_token``: place of each row's last token when the batch is packed end to end.
+
+    The window runs inside one batch of ``size`` rows.
+    """
+    batch = F.floor((F.col(index) - 1) / size)
+    inside = Window.partitionBy("batch_id").orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return indexed.withColumn("batch_id", batch).withColumn("last_token", F.sum(length).over(inside) - 1)

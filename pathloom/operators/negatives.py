@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.arrays import left_pad, left_pad_with
+from pathloom.functions.arrays import drop_out, left_pad, left_pad_with
 from pathloom.functions.draws import DRAWS, any_item
 
 
@@ -89,3 +89,15 @@ def left_pad_negatives(
     )
     return rows.withColumn("item_seq", padded).drop("_seen", "_free")
 
+
+
+def item_dropout(
+    windows: DataFrame, mask: Column, first: int, rate: float, seed: int = 42, draw: str = "hash"
+) -> DataFrame:
+    """``mask`` with places from ``first`` (0-based) on zeroed at random with probability ``rate``."""
+    modulus = 1_000_003
+    rows = windows.withColumn("mask", mask)
+    draws = F.transform(
+        "mask", lambda m, i: DRAWS[draw](modulus, seed, F.col("user_id"), F.col("seq_no"), i) / F.lit(float(modulus))
+    )
+    return rows.withColumn("_draws", draws).withColumn("mask", drop_out(F.col("mask"), F.col("_draws"), first, rate)).drop("_draws")
