@@ -174,7 +174,7 @@ x AS (SELECT user_id, seq_no, unnest(embedding)::DOUBLE AS v, generate_subscript
 SELECT user_id, seq_no, dim, avg(v) AS value FROM x GROUP BY user_id, seq_no, dim""")
 def _(spark, sf):
     spots = windows_a(spark, sf).select("user_id", "seq_no", F.explode("item_seq").alias("item_id"))
-    found = lookup(spots, item_vectors(spark, sf), "item_id", "inner")
+    found = lookup(spots, item_vectors(spark, sf), "item_id", "inner", frequent=hot(spark, sf, "a", "item_id"))
     pooled = vectors.mean_pool(found, ["user_id", "seq_no"], WIDTH)
     return pooled.select("user_id", "seq_no", F.posexplode("vector").alias("dim", "value"))
 

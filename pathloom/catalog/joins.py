@@ -61,7 +61,7 @@ SELECT user_id, seq_no, place, coalesce('{PROMPT}p_name: ' || p_name || 'p_brand
 FROM spots LEFT JOIN part ON p_partkey + 1 = item_id""")
 def _(spark, sf):
     places = items.window_items(windows_a(spark, sf))
-    return items.attach_item_text(places, part_items(spark, sf), ["p_name", "p_brand"], PROMPT)
+    return items.attach_item_text(places, part_items(spark, sf), ["p_name", "p_brand"], PROMPT, frequent=hot(spark, sf, "a", "item_id"))
 
 
 @query("lookup_vectors", "user_id:i seq_no:i item_id:a total:d", f"""
@@ -72,7 +72,7 @@ SELECT user_id, seq_no, list(item_id ORDER BY place) AS item_id,
 FROM spots JOIN embeddings ON vec_id + 1 = item_id GROUP BY user_id, seq_no""")
 def _(spark, sf):
     """The checksum weighs each vector by its place, so a wrong order shows."""
-    found = vectors.lookup_vectors(windows_a(spark, sf), item_vectors(spark, sf))
+    found = vectors.lookup_vectors(windows_a(spark, sf), item_vectors(spark, sf), frequent=hot(spark, sf, "a", "item_id"))
     sums = F.transform("vector", lambda v, i: (i + 1) * F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")))
     return found.withColumn("total", F.aggregate(sums, F.lit(0.0), lambda a, x: a + x))
 
@@ -131,6 +131,12 @@ def user_count(spark, sf):
     return log_a(spark, sf).agg(F.max("user_id")).first()[0]
 
 
+def hot_nodes(spark, sf):
+    """Frequent users and items as graph nodes."""
+    shift = user_count(spark, sf)
+    return hot(spark, sf, "a", "user_id") + [i + shift for i in hot(spark, sf, "a", "item_id") if i is not None]
+
+
 def both_edges(spark, sf):
     return graph.bidirectional_edges(graph.interaction_edges(log_a(spark, sf), user_count(spark, sf)))
 
@@ -140,7 +146,7 @@ WITH {EDGES_SQL} SELECT src, dst, a.n AS src_degree, b.n AS dst_degree FROM edge
 JOIN deg a ON a.node = src JOIN deg b ON b.node = dst""")
 def _(spark, sf):
     edges = both_edges(spark, sf)
-    return graph.attach_degrees(edges, graph.degree(edges))
+    return graph.attach_degrees(edges, graph.degree(edges), hot_nodes(spark, sf))
 
 
 @query("restrict_users", "user_id:i item_id:i event_time:i", f"""

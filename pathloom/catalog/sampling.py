@@ -1,0 +1,205 @@
+"""Negatives, splits, shards, batches and the normalised graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pathloom.catalog.joins import EDGES_SQL, hot_nodes, user_count
+from pathloom.catalog.registry import query
+from pathloom.catalog.sequences import FREE_SQL, ITEMS, item_top, walk_sql
+from pathloom.catalog.sources import SPLIT_SQL
+from pathloom.catalog.tables import (
+    ORDER_A, PLACED_A, WINDOW, WINDOWS_A, hot, item_vectors, log_a, placed_a, table, windows_a,
+)
+from pathloom.functions.draws import any_item
+from pathloom.operators import batches, contrastive, graph, negatives, sequences, splits
+from pathloom.operators.skew import global_index, lookup
+from pathloom.plans.training import training_examples
+
+
+@query("sample_negatives", "user_id:i seq_no:i item_seq:a neg_item:a", f"""
+WITH {FREE_SQL} SELECT user_id, seq_no, item_seq, list_transform(range(1, len), lambda p: {walk_sql(42, 'p')}) AS neg_item
+FROM free WHERE len >= 2 AND free > 0""")
+def _(spark, sf):
+    return negatives.sample_negatives(windows_a(spark, sf), item_top(spark, sf), draw="arithmetic")
+
+
+@query("sample_negatives_hashed", "windows:i drawn:i inside:i out_of_range:i", f"""
+WITH {FREE_SQL} SELECT count(*) AS windows, sum(len - 1) AS drawn, 0 AS inside, 0 AS out_of_range FROM free WHERE len >= 2 AND free > 0""")
+def _(spark, sf):
+    """The hash draw, checked by its properties: none inside the window, all in range."""
+    top = item_top(spark, sf)
+    drawn = negatives.sample_negatives(windows_a(spark, sf), top)
+    neg = F.col("neg_item")
+    return drawn.agg(
+        F.count(F.lit(1)).alias("windows"), F.sum(F.size(neg)).alias("drawn"),
+        F.sum(F.size(F.array_intersect(neg, "item_seq"))).alias("inside"),
+        F.sum(F.size(F.filter(neg, lambda x: (x < 1) | (x > top)))).alias("out_of_range"),
+    )
+
+
+@query("sample_shared_negatives", "user_id:i seq_no:i unseen:a any_item:a", f"""
+WITH {FREE_SQL} SELECT user_id, seq_no, list_transform(range(1, 5), lambda p: {walk_sql(42, 'p')}) AS unseen,
+  list_transform(range(1, 5), lambda p: 1 + (42 + user_id * 7919 + seq_no * 104729 + p * 1299709) % m) AS any_item
+FROM free WHERE free > 0""")
+def _(spark, sf):
+    """ceil(100 / 2 workers / 16 rows) = 4 items per window, with and without the window excluded."""
+    top = item_top(spark, sf)
+    args = {"item_count": top, "num_negatives": 100, "workers": 2, "batch": 16, "draw": "arithmetic"}
+    both = negatives.sample_shared_negatives(windows_a(spark, sf), **args).withColumnRenamed("neg_item", "unseen")
+    both = negatives.sample_shared_negatives(both, exclude_history=False, **args)
+    return both.withColumnRenamed("neg_item", "any_item")
+
+
+@query("sample_per_position", "user_id:i seq_no:i pos:i neg_item:a", f"""
+WITH {WINDOWS_A} SELECT user_id, seq_no, p AS pos, list_transform(range(1, 4), lambda j:
+  1 + (42 + user_id * 7919 + (seq_no * 100000 + p) * 104729 + j * 1299709) % m) AS neg_item
+FROM windows CROSS JOIN {ITEMS} CROSS JOIN range(1, 20) AS r(p) WHERE p < len""")
+def _(spark, sf):
+    return negatives.sample_per_position(windows_a(spark, sf), item_top(spark, sf), 3, draw="arithmetic")
+
+
+BATCH = 64
+EXAMPLES = f"""{PLACED_A}, steps AS (
+  SELECT event_no, user_id, pos, item_id, lead(item_id) OVER (PARTITION BY user_id ORDER BY pos) AS next_item FROM placed),
+drawn AS (
+  SELECT user_id, pos, item_id AS o, next_item AS t, 1 + (7 + user_id * 7919 + pos * 104729) % m AS g,
+         row_number() OVER (ORDER BY user_id, pos) AS idx FROM steps CROSS JOIN {ITEMS} WHERE next_item IS NOT NULL),
+unit AS (
+  SELECT item_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM (
+    SELECT vec_id + 1 AS item_id, embedding::DOUBLE[] AS v FROM embeddings)),
+sims AS (SELECT a.item_id AS a, b.item_id AS b, list_inner_product(a.v, b.v) AS s FROM unit a CROSS JOIN unit b
+  WHERE a.item_id <= (SELECT m FROM {ITEMS}) AND b.item_id <= (SELECT m FROM {ITEMS})),
+crossed AS (
+  SELECT p.idx AS example_id, (p.idx - 1) // {BATCH} AS batch_id, po.s AS pos_sim, og.s AS neg_sim, tg.s <= 0.99 AS keep
+  FROM drawn p JOIN drawn q ON (q.idx - 1) // {BATCH} = (p.idx - 1) // {BATCH}
+  JOIN sims po ON po.a = p.o AND po.b = p.t JOIN sims og ON og.a = p.o AND og.b = q.g JOIN sims tg ON tg.a = p.t AND tg.b = q.g),
+summary AS (
+  SELECT example_id, batch_id, count(*) AS negatives, count(CASE WHEN keep THEN 1 END) AS kept,
+         max(CASE WHEN keep THEN neg_sim END) AS best_negative, 20 * max(pos_sim) AS pos_logit,
+         ln(exp(20 * max(pos_sim)) + coalesce(sum(CASE WHEN keep THEN exp(20 * neg_sim) END), 0)) - 20 * max(pos_sim) AS loss,
+         1 + count(CASE WHEN keep AND neg_sim > pos_sim + 1e-12 THEN 1 END) AS pos_rank
+  FROM crossed GROUP BY example_id, batch_id)"""
+
+
+def contrastive_examples(spark, sf):
+    """Each event's item predicts the next one; the negative is drawn by (user, position)."""
+    placed = placed_a(spark, sf)
+    top = item_top(spark, sf)
+    # The next event is found by shifting the position, not by a window over the history.
+    following = placed.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("item_id").alias("t"))
+    steps = placed.select("user_id", "pos", F.col("item_id").alias("o")).join(following, ["user_id", "pos"])
+    drawn = steps.withColumn("g", any_item(top, 7, F.col("user_id"), F.col("pos"), draw="arithmetic").cast("int"))
+    indexed = global_index(drawn, [F.col("user_id"), F.col("pos")], "example_id")
+    items = item_vectors(spark, sf)
+    for key, name in (("o", "output"), ("t", "positive"), ("g", "negative")):
+        vectors = items.select(F.col("item_id").alias(key), F.col("vector").alias(name))
+        # Negatives are drawn evenly; inputs and targets are as frequent as the log's items.
+        indexed = lookup(indexed, vectors, key, "inner", frequent=[] if key == "g" else hot(spark, sf, "a", "item_id"))
+    return indexed.select(
+        F.floor((F.col("example_id") - 1) / BATCH).alias("batch_id"), "example_id", "output", "positive", "negative"
+    )
+
+
+@query("batch_negatives", "example_id:i batch_id:i negatives:i pos_logit:d",
+       f"WITH {EXAMPLES} SELECT * FROM summary")
+def _(spark, sf):
+    return contrastive.batch_negatives(contrastive_examples(spark, sf))
+
+
+@query("drop_false_negatives", "example_id:i kept:i best_negative:d", f"WITH {EXAMPLES} SELECT * FROM summary")
+def _(spark, sf):
+    return contrastive.batch_negatives(contrastive_examples(spark, sf))
+
+
+@query("contrastive_eval", "metric:s value:d", f"""
+WITH {EXAMPLES}, a AS (SELECT avg(loss) AS loss, avg(kept + 1) AS nce_samples,
+  avg(CASE WHEN negatives + 1 >= 1 THEN CASE WHEN pos_rank <= 1 THEN 1 ELSE 0 END END) AS t1,
+  avg(CASE WHEN negatives + 1 >= 5 THEN CASE WHEN pos_rank <= 5 THEN 1 ELSE 0 END END) AS t5,
+  avg(CASE WHEN negatives + 1 >= 10 THEN CASE WHEN pos_rank <= 10 THEN 1 ELSE 0 END END) AS t10,
+  avg(CASE WHEN negatives + 1 >= 50 THEN CASE WHEN pos_rank <= 50 THEN 1 ELSE 0 END END) AS t50 FROM summary)
+SELECT 'loss' AS metric, loss AS value FROM a UNION ALL SELECT 'nce_samples', nce_samples FROM a
+UNION ALL SELECT 'nce_top1_acc', t1 FROM a UNION ALL SELECT 'nce_top5_acc', t5 FROM a
+UNION ALL SELECT 'nce_top10_acc', t10 FROM a UNION ALL SELECT 'nce_top50_acc', t50 FROM a""")
+def _(spark, sf):
+    """Batches of 64: top-100 accuracy is not defined and left out."""
+    return contrastive.contrastive_eval(contrastive_examples(spark, sf))
+
+
+@query("split_rows", "o_orderkey:i split:s", SPLIT_SQL)
+def _(spark, sf):
+    return splits.split_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", draw="arithmetic")
+
+
+@query("split_users", "user_id:i half:i n:i", f"""
+WITH {PLACED_A}, u AS (SELECT user_id, max(n) AS n FROM placed GROUP BY user_id),
+r AS (SELECT user_id, n, row_number() OVER (ORDER BY (42 + user_id * 7919) % 1000003, user_id) AS r, count(*) OVER () AS m FROM u)
+SELECT user_id, CASE WHEN r <= floor(m * 0.8) THEN 1 ELSE 2 END AS half, n FROM r""")
+def _(spark, sf):
+    halves = splits.split_users(log_a(spark, sf).select("user_id"), draw="arithmetic")
+    return halves.groupBy("user_id", "half").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("shuffle_rows", "o_orderkey:i first_epoch:i second_epoch:i", """
+SELECT o_orderkey, row_number() OVER (ORDER BY (42 + o_orderkey * 7919) % 1000003, o_orderkey) AS first_epoch,
+  row_number() OVER (ORDER BY (43 + o_orderkey * 7919) % 1000003, o_orderkey) AS second_epoch FROM orders""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey")
+    first = splits.shuffle_rows(rows, "o_orderkey", epoch=0, draw="arithmetic").withColumnRenamed("idx", "first_epoch")
+    return splits.shuffle_rows(first, "o_orderkey", epoch=1, draw="arithmetic").withColumnRenamed("idx", "second_epoch")
+
+
+@query("shard_strided", "o_orderkey:i shard:i",
+       "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS shard FROM orders")
+def _(spark, sf):
+    return splits.shard_strided(global_index(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")]), 7)
+
+
+@query("shard_contiguous", "o_orderkey:i idx:i shard:i filler:i", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS idx, count(*) OVER () AS n FROM orders),
+p AS (SELECT *, CAST(ceil(n / 64.0 / 7) AS BIGINT) * 64 AS per FROM o),
+f AS (SELECT o_orderkey, unnest(range(n + 1, per * 7 + 1)) AS idx, per FROM p WHERE idx = n)
+SELECT o_orderkey, idx, (idx - 1) // per AS shard, 0 AS filler FROM p
+UNION ALL SELECT o_orderkey, idx, (idx - 1) // per, 1 FROM f""")
+def _(spark, sf):
+    """Seven shards of whole batches of 64, the last row repeated as filler."""
+    indexed = global_index(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    return splits.shard_contiguous(indexed, 7, 64).withColumn("filler", F.col("filler").cast("int"))
+
+
+@query("pack_batches", "batch_id:i user_id:a item_seq:a item_seq_lens:a", f"""
+WITH {WINDOWS_A}, w AS (SELECT *, row_number() OVER (ORDER BY user_id, seq_no) AS idx FROM windows)
+SELECT (idx - 1) // 16 AS batch_id, list(user_id ORDER BY idx) AS user_id, flatten(list(item_seq ORDER BY idx)) AS item_seq,
+  list(len ORDER BY idx) AS item_seq_lens FROM w GROUP BY (idx - 1) // 16""")
+def _(spark, sf):
+    indexed = global_index(windows_a(spark, sf), [F.col("user_id"), F.col("seq_no")])
+    return batches.pack_batches(indexed, 16, ["user_id"], ["item_seq"])
+
+
+@query("pack_eval_batches", "batch_id:i user_id:a target:a", f"""
+WITH {PLACED_A}, u AS (SELECT user_id, item_id AS target, row_number() OVER (ORDER BY user_id) - 1 AS i FROM placed WHERE pos = n - 1)
+SELECT i // 32 AS batch_id, list(user_id ORDER BY i) AS user_id, list(target ORDER BY i) AS target FROM u GROUP BY i // 32""")
+def _(spark, sf):
+    placed = placed_a(spark, sf)
+    indexed = global_index(sequences.eval_split(placed, 10), [F.col("user_id")])
+    return batches.pack_eval_batches(indexed, 32, ["user_id", "target"], sequences.eval_history(placed), frequent=[])[0]
+
+
+@query("normalized_adjacency", "src:i dst:i weight:d", f"""
+WITH {EDGES_SQL} SELECT src, dst, 1 / sqrt(a.n) * (1 / sqrt(b.n)) AS weight FROM edges
+JOIN deg a ON a.node = src JOIN deg b ON b.node = dst""")
+def _(spark, sf):
+    return graph.normalized_adjacency(log_a(spark, sf), user_count(spark, sf), hot_nodes(spark, sf))
+
+
+@query("training_examples", "user_id:i seq_no:i item_seq:a neg_item:a masked_index:a", f"""
+WITH {FREE_SQL} SELECT user_id, seq_no, list_concat(list_resize([]::INTEGER[], 20 - len, 0), item_seq) AS item_seq,
+  list_concat(list_resize([]::BIGINT[], 21 - len, 0), list_transform(range(1, len), lambda p: {walk_sql(42, 'p')})) AS neg_item,
+  list_concat(list_resize([]::INTEGER[], 20 - len, 0), list_resize([]::INTEGER[], len - 1, 1)) AS masked_index
+FROM free WHERE len >= 2 AND free > 0""")
+def _(spark, sf):
+    """The whole path from events to padded training examples."""
+    return training_examples(
+        log_a(spark, sf), ORDER_A, WINDOW - 1, item_top(spark, sf), draw="arithmetic",
+        frequent=hot(spark, sf, "a", "user_id"),
+    )

@@ -288,7 +288,7 @@ SELECT user_id, seq_no, place, list_inner_product(x.v, y.v) / sqrt(list_inner_pr
 FROM p JOIN e x ON x.item_id = a JOIN e y ON y.item_id = b""")
 def _(spark, sf):
     """Similarity of each item to the next one in its window."""
-    found = lookup_vectors(windows_a(spark, sf), item_vectors(spark, sf))
+    found = lookup_vectors(windows_a(spark, sf), item_vectors(spark, sf), frequent=hot(spark, sf, "a", "item_id"))
     v = F.col("vector")
     n = F.size("vector") - 1
     zipped = F.arrays_zip(F.slice(v, F.lit(1), n).alias("a"), F.slice(v, F.lit(2), n).alias("b"))

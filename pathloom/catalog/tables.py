@@ -15,6 +15,7 @@ from pathloom.operators.sequences import (
 )
 from pathloom.operators.skew import frequent_keys, lookup
 from pathloom.operators.vectors import mean_user_vectors
+from pathloom.session import save_shared
 
 WIDTH = 64  # dimensions of the embeddings table
 WINDOW = 20  # window length used by the sequence queries
@@ -24,22 +25,24 @@ ORDER_B = ["event_time", "o", "l", "p", "s"]
 
 @cache
 def _frequent(spark: SparkSession, sf: str, name: str, column: str) -> tuple:
-    return tuple(frequent_keys(table(spark, sf, name), column))
+    source = log_a(spark, sf) if name == "log_a" else table(spark, sf, name)
+    return tuple(frequent_keys(source, column))
 
 
 def hot(spark: SparkSession, sf: str, log: str, column: str) -> list:
     """Frequent users or items of a log, looked for once per data folder in the base table.
 
-    Ids are the base keys plus one; customers of log B are counted by
+    Ids of log B are the base keys plus one; customers of log B are counted by
     order, sessions are orders.
     """
     name, key = {
-        ("a", "user_id"): ("events", "user_id"),
+        ("a", "user_id"): ("log_a", "user_id"),
+        ("a", "item_id"): ("log_a", "item_id"),
         ("b", "user_id"): ("orders", "o_custkey"),
         ("b", "item_id"): ("lineitem", "l_partkey"),
         ("b", "sequence_id"): ("lineitem", "l_orderkey"),
     }[log, column]
-    if column == "sequence_id":
+    if column == key or column == "sequence_id":
         return list(_frequent(spark, sf, name, key))
     return [None if v is None else v + 1 for v in _frequent(spark, sf, name, key)]
 
@@ -139,7 +142,8 @@ def unit_item_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def user_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised mean vector of the ten events before the validation target."""
     windows = eval_split(placed_a(spark, sf), 10)
-    return mean_user_vectors(windows, item_vectors(spark, sf), WIDTH)
+    pooled = mean_user_vectors(windows, item_vectors(spark, sf), WIDTH, frequent=hot(spark, sf, "a", "item_id"))
+    return save_shared(pooled, "user-vectors")  # read several times by every evaluation
 
 
 def seen_a(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import item_prompt_text
-from pathloom.operators.skew import lookup
+from pathloom.operators.history import SEGMENT_LENGTH
+from pathloom.operators.skew import lookup, positions
 
 
 def attach_item_text(rows: DataFrame, items: DataFrame, keys: Sequence[str], prompt: str = "", **skew) -> DataFrame:
@@ -60,6 +61,24 @@ def encode_users_with(
     return encode_items_with(windows, factory, schema)
 
 
-def group_apply(df: DataFrame, keys: Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user-supplied function per group.  The caller keeps groups small enough for one task."""
-    return df.groupBy(*keys).applyInPandas(function, schema)
+def group_apply(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    segment_rows: int = SEGMENT_LENGTH,
+    **skew,
+) -> DataFrame:
+    """A user-supplied pandas function per group, rows in ``order``.
+
+    A group of more than ``segment_rows`` rows is handed over in consecutive segments
+    (column ``segment``), so no task ever holds an unbounded group.
+    """
+    placed = positions(df, keys, [F.col(c) for c in order], "_pos", **skew)
+    cut = placed.withColumn("segment", F.floor((F.col("_pos") - 1) / segment_rows).cast("int"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return function(rows.sort_values("_pos").drop(columns="_pos"))
+
+    return cut.groupBy(*keys, "segment").applyInPandas(run, schema)

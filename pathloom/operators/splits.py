@@ -68,9 +68,8 @@ def shard_contiguous(indexed: DataFrame, shards: int, batch: int, index: str = "
     missing = per_shard * shards - n
     real = indexed.withColumn("filler", F.lit(False))
     if missing:
-        copies = indexed.filter(F.col(index) == n).withColumn(
-            index, F.explode(F.sequence(F.lit(n + 1), F.lit(n + missing))).cast(indexed.schema[index].dataType)
-        )
+        places = F.sequence(F.lit(n + 1).cast("long"), F.lit(n + missing).cast("long"))
+        copies = indexed.filter(F.col(index) == n).withColumn(index, F.explode(places))
         real = real.unionByName(copies.withColumn("filler", F.lit(True)))
     return real.withColumn("shard", F.floor((F.col(index) - 1) / max(per_shard, 1)).cast("int"))
 

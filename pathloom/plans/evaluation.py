@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.metrics import METRICS, check_request, evaluate
 from pathloom.operators.ranking import mark_positives, top_k_items
 from pathloom.operators.scoring import ITEM_BLOCK, full_sort_scores, mean_rank, target_rank
+from pathloom.session import save_shared
 
 
 def recommend(
@@ -19,21 +20,16 @@ def recommend(
     return top_k_items(full_sort_scores(users, items, k, seen, block), k)
 
 
-def recommend_for_targets(
-    users: DataFrame, items: DataFrame, targets: DataFrame, k: int, seen: DataFrame | None = None, block: int = ITEM_BLOCK
-) -> DataFrame:
-    """Only the hits of the top-k lists, found by counting instead of ranking all candidates.
+def hits_of_targets(ranked: DataFrame, k: int) -> DataFrame:
+    """The hits of the top-k lists from ``target_rank``, without ranking all candidates.
 
-    ``user_id, rank, item_id, hit, pos_len``; users without a hit keep one row without a rank.
-    Enough for hit, mrr, map, recall, ndcg and precision.
+    ``user_id, rank, item_id, hit, pos_len``; a target outside the list (or suppressed, which
+    ranks it behind all candidates) keeps a row without a rank.  Enough for hit, mrr, map,
+    recall, ndcg and precision.
     """
-    ranked = target_rank(users, items, targets, seen, block)
-    known = seen.select("user_id", "item_id").distinct().withColumn("_seen", F.lit(True)) if seen is not None else None
-    rows = ranked if known is None else ranked.join(known, ["user_id", "item_id"], "left")
-    suppressed = F.lit(False) if known is None else F.coalesce("_seen", F.lit(False))
-    hit = (F.col("rank") <= k) & ~suppressed
-    positives = targets.select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("pos_len"))
-    flagged = rows.select(
+    hit = (F.col("rank") <= k) & (F.col("rank") <= F.col("candidates"))
+    positives = ranked.groupBy("user_id").agg(F.count(F.lit(1)).alias("pos_len"))
+    flagged = ranked.select(
         "user_id", F.when(hit, F.col("rank")).alias("rank"), "item_id", F.when(hit, 1).otherwise(0).alias("hit")
     )
     return flagged.join(positives, "user_id")
@@ -53,11 +49,16 @@ def evaluate_vectors(
     """``metric, value`` for ranking metrics, computing only what the chosen metrics need."""
     names, ks = check_request(metrics, topk)
     tables = {METRICS[n].table for n in names}
+    # Each is read by several steps below: compute once, share as tables.
+    users, items = save_shared(users, "users"), save_shared(items, "items")
+    if seen is not None:
+        seen = save_shared(seen.select("user_id", "item_id").distinct(), "seen")
     given: dict = {"popularity": popularity, "item_count": item_count}
     if tables & {"exposure", "histogram", "slots"}:
-        given["recs"] = mark_positives(recommend(users, items, max(ks), seen, block), targets)
-    elif "hits" in tables:
-        given["recs"] = recommend_for_targets(users, items, targets, max(ks), seen, block)
-    if "mean_rank" in tables:
-        given["mean_rank"] = mean_rank(target_rank(users, items, targets, seen, block))
+        recs = mark_positives(recommend(users, items, max(ks), seen, block), targets)
+        given["recs"] = save_shared(recs, "recs")
+    if "mean_rank" in tables or ("hits" in tables and "recs" not in given):
+        ranked = save_shared(target_rank(users, items, targets, seen, block), "target-ranks")
+        given["mean_rank"] = mean_rank(ranked)
+        given.setdefault("recs", hits_of_targets(ranked, max(ks)))
     return evaluate(names, ks, **given)

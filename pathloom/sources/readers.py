@@ -60,9 +60,8 @@ def _parse_records(spark: SparkSession, path: str) -> DataFrame:
     line = F.col("value")
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
         line = _bare_word(line, word, json_word)
-    schema = schemas.ITEM_RECORD.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ")
     options = {"columnNameOfCorruptRecord": "_broken", "allowBackslashEscapingAnyCharacter": "true"}
-    parsed = F.from_json(line, f"{schema}, _broken STRING", options)
+    parsed = F.from_json(line, f"{schemas.ITEM_RECORD}, _broken STRING", options)
     return spark.read.text(path).select("value", parsed.alias("r"))
 
 

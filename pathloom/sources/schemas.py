@@ -1,11 +1,9 @@
-"""Explicit schemas of the input files."""
+"""Explicit schemas of the input files, as DDL text."""
 
-from pyspark.sql import types as T
-
-RATINGS = T.StructType.fromDDL("user_id STRING, item_id STRING, rating DOUBLE, timestamp BIGINT")
-INTERACTIONS = T.StructType.fromDDL("item_id STRING, user_id STRING, timestamp BIGINT")
-ITEM_RECORD = T.StructType.fromDDL("asin STRING, title STRING, description STRING")
-SESSIONS = T.StructType.fromDDL("prev_items STRING")
+RATINGS = "user_id STRING, item_id STRING, rating DOUBLE, timestamp BIGINT"
+INTERACTIONS = "item_id STRING, user_id STRING, timestamp BIGINT"
+ITEM_RECORD = "asin STRING, title STRING, description STRING"
+SESSIONS = "prev_items STRING"
 
 # The fields of one event inside a user history, in order, with their types.
 EVENT_FIELDS = {
