@@ -12,7 +12,7 @@ from pathloom.session import slots
 def dense_vocabulary(df: DataFrame, key: str) -> DataFrame:
     """``token, id, n``: distinct non-null keys numbered from 1 in key order, with row counts."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return global_index(counts, [F.col("token")], "id").withColumn("id", F.col("id").cast("int"))
+    return global_index(counts, [F.col("token")], "id").select("token", F.col("id").cast("int").alias("id"), "n")
 
 
 def first_seen_vocabulary(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
