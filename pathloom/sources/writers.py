@@ -59,10 +59,6 @@ def write_splits(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("split") == split).drop("split")
-
-
 def write_shards(df: DataFrame, path: str) -> str:
     """Rows with a ``shard`` column -> one folder per shard."""
     df.write.partitionBy("shard").parquet(path)
