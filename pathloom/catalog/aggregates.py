@@ -8,10 +8,11 @@ from pathloom.catalog.clean import RATED_SQL
 from pathloom.catalog.joins import EDGES_SQL, both_edges
 from pathloom.catalog.registry import query
 from pathloom.catalog.tables import (
-    LOG_A, LOG_B, MARKET, ORDER_A, ORDER_B, PLACED_A, WIDTH, WINDOWS_A, hot, hot_b, item_vectors, log_a, log_b, market, windows_a,
+    LOG_A, LOG_B, MARKET, ORDER_A, ORDER_B, WINDOW, WINDOWS_A, hot, hot_b, item_vectors, log_a, log_b, market, windows_a,
 )
 from pathloom.operators import clean, graph, history, profile, vectors
 from pathloom.operators.skew import lookup
+from pathloom.functions.arrays import left_pad, real_item_mask
 from pathloom.functions.text import composite_key
 from pathloom.plans.dataset import build_dataset
 
@@ -175,15 +176,17 @@ SELECT user_id, seq_no, dim, avg(v) AS value FROM x GROUP BY user_id, seq_no, di
 def _(spark, sf):
     spots = windows_a(spark, sf).select("user_id", "seq_no", F.explode("item_seq").alias("item_id"))
     found = lookup(spots, item_vectors(spark, sf), "item_id", "inner", frequent=hot(spark, sf, "a", "item_id"))
-    pooled = vectors.mean_pool(found, ["user_id", "seq_no"], WIDTH)
+    pooled = vectors.mean_pool(found, ["user_id", "seq_no"])
     return pooled.select("user_id", "seq_no", F.posexplode("vector").alias("dim", "value"))
 
 
-@query("masked_mean", "user_id:i value:d", f"""
-WITH {PLACED_A} SELECT user_id, avg(CASE WHEN pos < n THEN value END) AS value FROM placed GROUP BY user_id""")
+@query("masked_mean", "user_id:i seq_no:i value:d", f"""
+WITH {WINDOWS_A} SELECT user_id, seq_no, list_avg(time_seq) AS value FROM windows""")
 def _(spark, sf):
-    """Mean over the positions that a mask of each user's history selects (all but the last)."""
-    histories = history.build_history_arrays(log_a(spark, sf), ["value"], ORDER_A, frequent=hot(spark, sf, "a", "user_id"))
-    masked = histories.withColumn("mask", F.reverse(F.transform("value", lambda _, i: (i > 0).cast("int"))))
-    flat = masked.select("user_id", F.inline(F.arrays_zip("value", "mask")))
-    return flat.groupBy("user_id").agg(F.avg(F.when(F.col("mask") == 1, F.col("value"))).alias("value"))
+    """Mean event time over the real places of padded windows."""
+    padded = windows_a(spark, sf).select(
+        "user_id", "seq_no", left_pad(F.col("time_seq"), WINDOW + 4).alias("t"),
+        real_item_mask(left_pad(F.col("item_seq"), WINDOW + 4)).alias("m"),
+    )
+    flat = padded.select("user_id", "seq_no", F.inline(F.arrays_zip("t", "m")))
+    return flat.groupBy("user_id", "seq_no").agg(vectors.masked_mean(F.col("t"), F.col("m")).alias("value"))

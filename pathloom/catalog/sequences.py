@@ -127,12 +127,13 @@ def _(spark, sf):
 
 
 @query("split_long_recent", "user_id:i early:a recent:a", f"""
-WITH {PLACED_A}, h AS (SELECT user_id, list(item_id ORDER BY pos) AS s, count(*) AS m FROM placed GROUP BY user_id)
-SELECT user_id, list_slice(s, 1, 30) AS early, list_slice(s, m - 9, m) AS recent FROM h WHERE m >= 40""")
+WITH {PLACED_A}, h AS (SELECT user_id, n, list(item_id ORDER BY pos) AS s FROM placed WHERE pos <= n - 2 AND pos > n - 42 GROUP BY user_id, n),
+p AS (SELECT user_id, list_concat(list_resize([]::INTEGER[], greatest(40 - (n - 2), 0), 0), s) AS s FROM h)
+SELECT user_id, list_slice(s, 1, 30) AS early, list_slice(s, 31, 40) AS recent FROM p""")
 def _(spark, sf):
-    h = history.build_history_arrays(log_a(spark, sf), ["item_id"], ORDER_A, frequent=hot(spark, sf, "a", "user_id"))
-    early, recent = arrays.split_long_recent(F.col("item_id"), 30, 10)
-    return h.filter(F.size("item_id") >= 40).select("user_id", early.alias("early"), recent.alias("recent"))
+    """Evaluation windows of 40: the first 30 and the last 10 items."""
+    early, recent = arrays.split_long_recent(F.col("item_seq"), 30, 10)
+    return sequences.eval_split(placed_a(spark, sf), 40).select("user_id", early.alias("early"), recent.alias("recent"))
 
 
 PLAN, MARKERS = [(5, 2), (12, 1)], 3

@@ -175,6 +175,6 @@ def _(spark, sf):
     nested = build_history_arrays(rename_columns(log_a(spark, sf).drop("event_time", "event_type"), names),
                                   list(names.values()), ["impression_time_fixed", "read_time_fixed"], frequent=hot(spark, sf, "a", "user_id"))
     events = news_events(readers.read_table(spark, _saved(spark, nested)))
-    histories = build_history_arrays(events, ["object_id", "event_time"], ["event_time", "_place"],
+    histories = build_history_arrays(events, ["object_id", "event_time"], ["event_time", "pos"],
                                      frequent=hot(spark, sf, "a", "user_id"))
     return readers.read_table(spark, _saved(spark, histories))

@@ -17,7 +17,6 @@ from pathloom.operators.skew import frequent_keys, lookup
 from pathloom.operators.vectors import mean_user_vectors
 from pathloom.session import save_shared
 
-WIDTH = 64  # dimensions of the embeddings table
 WINDOW = 20  # window length used by the sequence queries
 ORDER_A = ["event_time", "event_no"]
 ORDER_B = ["event_time", "o", "l", "p", "s"]
@@ -142,7 +141,7 @@ def unit_item_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def user_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised mean vector of the ten events before the validation target."""
     windows = eval_split(placed_a(spark, sf), 10)
-    pooled = mean_user_vectors(windows, item_vectors(spark, sf), WIDTH, frequent=hot(spark, sf, "a", "item_id"))
+    pooled = mean_user_vectors(windows, item_vectors(spark, sf), frequent=hot(spark, sf, "a", "item_id"))
     return save_shared(pooled, "user-vectors")  # read several times by every evaluation
 
 

@@ -8,8 +8,8 @@ from pathloom.catalog.joins import EDGES_SQL, both_edges
 from pathloom.catalog.registry import query
 from pathloom.catalog.sources import SPLIT_SQL
 from pathloom.catalog.tables import (
-    HABIT, LOG_A, LOG_B, MARKET, ORDER_A, ORDER_B, PLACED_B, SCORED, VECTORS, habit_recs, hot, log_a, log_b, market,
-    placed_b, scored_documents, seen_a, table, targets_a, unit_item_vectors, user_vectors,
+    HABIT, LOG_A, LOG_B, MARKET, ORDER_A, ORDER_B, PLACED_B, SCORED, VECTORS, WINDOWS_A, habit_recs, hot, log_a, log_b, market,
+    placed_b, scored_documents, seen_a, table, targets_a, unit_item_vectors, user_vectors, windows_a,
 )
 from pathloom.functions.arrays import position_slice
 from pathloom.functions.text import composite_key
@@ -144,17 +144,15 @@ def _(spark, sf):
     return history.keep_last_n(log_b(spark, sf), 5, ORDER_B)
 
 
-@query("position_slice", "user_id:i near_end:a whole:a far_left:a", f"""
-WITH {PLACED_B}, h AS (SELECT user_id, list(item_id ORDER BY pos) AS s, count(*) AS m FROM placed GROUP BY user_id)
-SELECT user_id, list_slice(s, greatest(m - 7, 0) + 1, m - 2) AS near_end, s AS whole,
-       list_slice(s, greatest(m - 20, 0) + 1, m - 3) AS far_left FROM h""")
+@query("position_slice", "user_id:i seq_no:i near_end:a whole:a far_left:a", f"""
+WITH {WINDOWS_A} SELECT user_id, seq_no, list_slice(item_seq, greatest(len - 7, 0) + 1, len - 2) AS near_end,
+  item_seq AS whole, list_slice(item_seq, greatest(len - 30, 0) + 1, len - 3) AS far_left FROM windows""")
 def _(spark, sf):
-    """[-7:-2], [0:None] and [-20:-3]."""
-    h = history.build_history_arrays(log_b(spark, sf), ["item_id"], ORDER_B, frequent=hot(spark, sf, "b", "user_id"))
-    items = F.col("item_id")
-    return h.select(
-        "user_id", position_slice(items, -7, -2).alias("near_end"), position_slice(items).alias("whole"),
-        position_slice(items, -20, -3).alias("far_left"),
+    """[-7:-2], [0:None] and [-30:-3] of each window."""
+    items = F.col("item_seq")
+    return windows_a(spark, sf).select(
+        "user_id", "seq_no", position_slice(items, -7, -2).alias("near_end"), position_slice(items).alias("whole"),
+        position_slice(items, -30, -3).alias("far_left"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.times import epoch_seconds_rounded, epoch_seconds_truncated
+from pathloom.operators.history import explode_history
 from pathloom.operators.skew import frequent_keys, lookup, positions
 from pathloom.sources.schemas import EVENT_FIELDS
 
@@ -72,8 +73,12 @@ def filter_min_events(df: DataFrame, least: int, user: str = "user_id", **skew)
     return lookup(known, active, user, "inner", **skew)
 
 
-def filter_min_history(df: DataFrame, column: str, least: int = 10) -> DataFrame:
-    return df.filter(F.size(column) >= least)
+def filter_min_history(df: DataFrame, column: str, least: int = 10, user: str = "user_id") -> DataFrame:
+    """Histories of at least ``least`` events; the segments of one user count together."""
+    if "segment" not in df.columns:
+        return df.filter(F.size(column) >= least)
+    lengths = df.groupBy(user).agg(F.sum(F.size(column)).alias("_n")).filter(F.col("_n") >= least)
+    return df.join(lengths.select(user), user, "left_semi")
 
 
 def attach_counts(df: DataFrame, keys: Mapping[str, str], frequent: Mapping[str, list] | None = None) -> DataFrame:
@@ -125,17 +130,17 @@ def explode_parallel(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     return df.select(*others, F.inline(F.arrays_zip(*arrays)))
 
 
-def news_events(history: DataFrame, order_column: str = "_place") -> DataFrame:
-    """Nested news histories -> canonical events (time truncated to seconds)."""
+def news_events(history: DataFrame) -> DataFrame:
+    """Nested news histories -> canonical events (time truncated to seconds); ``pos`` keeps their order."""
     arrays = ["article_id_fixed", "impression_time_fixed", "scroll_percentage_fixed", "read_time_fixed"]
-    flat = history.select("user_id", F.posexplode(F.arrays_zip(*arrays)).alias(order_column, "_e"))
+    flat = explode_history(history, arrays)
     return flat.select(
         "user_id",
-        F.col("_e.article_id_fixed").alias("object_id"),
-        epoch_seconds_truncated(F.col("_e.impression_time_fixed")).alias("event_time"),
-        F.col("_e.scroll_percentage_fixed").alias("event_id"),
-        F.col("_e.read_time_fixed"),
-        order_column,
+        F.col("article_id_fixed").alias("object_id"),
+        epoch_seconds_truncated(F.col("impression_time_fixed")).alias("event_time"),
+        F.col("scroll_percentage_fixed").alias("event_id"),
+        "read_time_fixed",
+        "pos",
     )
 
 

@@ -104,10 +104,17 @@ def build_item_table(
     return events.groupBy(item).agg(first).select(item, *[F.col("_f")[c].alias(c) for c in columns])
 
 
-def explode_history(histories: DataFrame, columns: Sequence[str], user: str = "user_id") -> DataFrame:
-    """Arrays -> one row per event with its 1-based place; empty histories give no row."""
-    return histories.select(user, F.posexplode(F.arrays_zip(*columns)).alias("_place", "_e")).select(
-        user, (F.col("_place") + 1).alias("pos"), *[F.col("_e")[c].alias(c) for c in columns]
+def explode_history(
+    histories: DataFrame, columns: Sequence[str], user: str = "user_id", segment_length: int = SEGMENT_LENGTH
+) -> DataFrame:
+    """Arrays -> one row per event with its 1-based place; empty histories give no row.
+
+    All segments before the last one are full, so places continue across segments.
+    """
+    first = F.col("segment").cast("long") * segment_length if "segment" in histories.columns else F.lit(0)
+    flat = histories.select(user, first.alias("_first"), F.posexplode(F.arrays_zip(*columns)).alias("_place", "_e"))
+    return flat.select(
+        user, (F.col("_first") + F.col("_place") + 1).alias("pos"), *[F.col("_e")[c].alias(c) for c in columns]
     )
 
 

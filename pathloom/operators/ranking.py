@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import positions
+from pathloom.operators.skew import FREQUENT_ROWS, frequent_keys, lookup, positions
 
 
 def top_k_items(scored: DataFrame, k: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -24,12 +24,24 @@ def full_ranking(scored: DataFrame, user: str = "user_id", item: str = "item_id"
     return positions(scored, [user], [F.col("score").desc(), F.col(item).asc()], "rank", **skew)
 
 
-def average_rank(scored: DataFrame, user: str = "user_id", descending: bool = True, **skew) -> DataFrame:
+def average_rank(
+    scored: DataFrame,
+    user: str = "user_id",
+    descending: bool = True,
+    frequent: list | None = None,
+    min_rows: int = FREQUENT_ROWS,
+) -> DataFrame:
     """``avg_rank``: rank within the user with ties averaged (the middle of the tied places)."""
     score = F.col("score")
-    placed = positions(scored, [user], [score.desc() if descending else score.asc()], "_place", **skew)
+    if frequent is None:
+        frequent = frequent_keys(scored, user, min_rows)
+    placed = positions(scored, [user], [score.desc() if descending else score.asc()], "_place", frequent=frequent)
+    if not frequent:
+        tied = Window.partitionBy(user, "score")  # within the shuffle by user
+        middle = (F.min("_place").over(tied) + F.max("_place").over(tied)) / 2
+        return placed.withColumn("avg_rank", middle).drop("_place")
     ties = placed.groupBy(user, "score").agg(((F.min("_place") + F.max("_place")) / 2).alias("avg_rank"))
-    return scored.join(ties, [user, "score"])
+    return lookup(scored, ties, [user, "score"], "inner", min_rows=min_rows)
 
 
 def mark_positives(recs: DataFrame, targets: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:

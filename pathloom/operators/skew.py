@@ -60,7 +60,7 @@ def is_frequent(keys: Sequence[str], frequent: Sequence) -> Column:
 def lookup(
     left: DataFrame,
     right: DataFrame,
-    on: str,
+    on: str | Sequence[str],
     how: str = "left",
     frequent: Sequence | None = None,
     min_rows: int = FREQUENT_ROWS,
@@ -69,23 +69,25 @@ def lookup(
 
     Rows of a frequent key get a salt from a hash of the row, and the single matching row of
     ``right`` is copied once per salt.  Rows with a frequent null key find no match but are
-    spread as well.  Without frequent keys this is the plain join.
+    spread as well.  Without frequent keys this is the plain join.  Several key columns must
+    have the same types on both sides.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner"):
         raise ValueError(f"lookup supports left and inner, got {how!r}")
     if frequent is None:
-        frequent = frequent_keys(left, on, min_rows)
+        frequent = frequent_keys(left, keys, min_rows)
     if not frequent:
-        return left.join(right, on, how).select(*left.columns, *[c for c in right.columns if c != on])
+        return left.join(right, keys, how).select(*left.columns, *[c for c in right.columns if c not in keys])
 
     width = slots(left.sparkSession)
-    hot = is_frequent([on], frequent)
+    hot = is_frequent(keys, frequent)
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(width)).cast("int")
     salted = left.withColumn("_salt", F.when(hot, salt).otherwise(F.lit(0)))
     last = F.when(hot, F.lit(width - 1)).otherwise(F.lit(0))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    joined = salted.join(copied, [on, "_salt"], how)
-    return joined.select(*left.columns, *[c for c in right.columns if c != on])
+    joined = salted.join(copied, [*keys, "_salt"], how)
+    return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
 
 
 def _numbered(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vectors import l2_normalize
@@ -18,16 +20,20 @@ def lookup_vectors(windows: DataFrame, items: DataFrame, keys=("user_id", "seq_n
     return ordered_arrays(filled.groupBy(*keys), ["item_id", "vector"], ["_place"])
 
 
-def mean_pool(vectors: DataFrame, keys: list[str], width: int, column: str = "vector") -> DataFrame:
-    """Element-wise mean of the vectors of each group: one partial sum per dimension and map task."""
-    means = [F.avg(F.get(F.col(column), F.lit(i)).cast("double")).alias(f"_{i}") for i in range(width)]
-    pooled = vectors.groupBy(*keys).agg(*means)
-    return pooled.select(*keys, F.array(*[F.col(f"_{i}") for i in range(width)]).alias(column))
+def mean_pool(vectors: DataFrame, keys: list[str], column: str = "vector") -> DataFrame:
+    """Element-wise mean of the vectors of each group: one partial sum vector per group and map task."""
+    dense = array_to_vector(F.col(column).cast("array<double>"))
+    return vectors.groupBy(*keys).agg(vector_to_array(Summarizer.mean(dense)).alias(column))
 
 
-def mean_user_vectors(windows: DataFrame, items: DataFrame, width: int, **skew) -> DataFrame:
+def masked_mean(value: Column, mask: Column) -> Column:
+    """Aggregate: mean of the values whose mask is 1."""
+    return F.avg(F.when(mask == 1, value))
+
+
+def mean_user_vectors(windows: DataFrame, items: DataFrame, **skew) -> DataFrame:
     """Built-in user encoder: normalised mean of the item vectors of each user's window."""
     flat = windows.select("user_id", F.explode("item_seq").alias("item_id")).filter(F.col("item_id") != 0)
     found = lookup(flat, items.select("item_id", "vector"), "item_id", "inner", **skew)
-    pooled = mean_pool(found, ["user_id"], width)
+    pooled = mean_pool(found, ["user_id"])
     return pooled.select("user_id", l2_normalize(F.col("vector")).alias("vector"))

@@ -12,6 +12,7 @@ from pathloom.operators.clean import backfill_category, count_by_key, map_event_
 from pathloom.operators.history import build_history_arrays, build_item_table
 from pathloom.operators.ids import dense_vocabulary, encode_ids, frequent_ids
 from pathloom.operators.skew import global_index, lookup
+from pathloom.session import save_shared
 
 
 def build_dataset(
@@ -25,11 +26,14 @@ def build_dataset(
     event_codes: Mapping[str, int] | None = None,
     min_events: int = 1024,
     tie: Sequence[str] = (),
+    share_events: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(histories ``user_id, segment, object_id[], event_time[], event_id[]``, items ``object_id, text``).
 
     Users with at least ``min_events`` events are kept and numbered in key order, and so are
     the items they touch.  ``tie`` names columns that order events of the same second.
+    With ``share_events`` the coded events are written once to the shared folder and both
+    results read them there; worth it when both are written.
     """
     text = [
         backfill_category(categories).alias(c) if c == "category_name" and categories else F.col(c) for c in text_columns
@@ -48,6 +52,8 @@ def build_dataset(
                   frequent=frequent_ids(users, "user_id"))
     kept = kept.withColumn("user_id", F.col("_uid")).drop("_uid")
     coded = encode_ids(kept, "object_id", dense_vocabulary(kept, "object_id"))
+    if share_events:
+        coded = save_shared(coded, "coded-events")
     ties = [f"_tie{i}" for i in range(len(tie))]
     histories = build_history_arrays(
         coded, ["object_id", "event_time", "event_id"], ["event_time", *ties], frequent=frequent_ids(users, "_uid")

@@ -21,9 +21,11 @@ def read_event_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_histories(spark: SparkSession, path: str) -> DataFrame:
-    """Nested histories: ``user_id, item_id[], timestamp[]``."""
-    return spark.read.parquet(path).select(
-        "user_id", F.col("object_id").alias("item_id"), F.col("event_time").alias("timestamp")
+    """Nested histories: ``user_id, item_id[], timestamp[]`` and ``segment``, if the file has one."""
+    df = spark.read.parquet(path)
+    segment = [c for c in df.columns if c == "segment"]
+    return df.select(
+        "user_id", *segment, F.col("object_id").alias("item_id"), F.col("event_time").alias("timestamp")
     )
 
 

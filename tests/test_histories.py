@@ -20,6 +20,9 @@ def test_history_segments_keep_all_events_in_order(spark, events, rows):
     assert rows(whole) == [("a", 0, ["x", "z"], [1, 1]), ("b", 0, ["y", "x", "x"], [3, 5, 9]), ("c", 0, ["y"], [2])]
     cut = history.build_history_arrays(events.dropna(), ["object_id"], ["event_time", "object_id"], segment_length=2)
     assert rows(cut) == [("a", 0, ["x", "z"]), ("b", 0, ["y", "x"]), ("b", 1, ["x"]), ("c", 0, ["y"])]
+    assert rows(history.explode_history(cut, ["object_id"], segment_length=2).filter("user_id = 'b'")) == [
+        ("b", 1, "y"), ("b", 2, "x"), ("b", 3, "x")]
+    assert rows(clean.filter_min_history(cut, "object_id", 3), "user_id", "segment") == [("b", 0), ("b", 1)]
 
 
 def test_null_elements_stay_in_place(spark, rows):
@@ -74,7 +77,7 @@ def test_build_dataset(spark, events, rows):
         {"stime": F.timestamp_millis(F.col("event_time") * 1000 + 500), "brand_name": F.lit("q"), "product_id": F.col("object_id"),
          "c0_name": F.lit("top"), "c1_name": F.when(F.col("object_id") == "x", "mid"), "c2_name": F.lit(None).cast("string")}
     ).drop("object_id", "event_time")
-    histories, items = build_dataset(raw, event_codes=MARKET_EVENT_CODES, min_events=2, tie=["product_id"])
+    histories, items = build_dataset(raw, event_codes=MARKET_EVENT_CODES, min_events=2, tie=["product_id"], share_events=True)
     # x.5 seconds round to the even second; ids are dense over the kept users and their items.
     assert rows(histories) == [(1, 0, [1, 3], [2, 2], [1, 0]), (2, 0, [2, 1, 1], [4, 6, 10], [5, 0, 0])]
     assert rows(items) == [(1, "q", "mid"), (2, "q", "top"), (3, "q", "top")]
