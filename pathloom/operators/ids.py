@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import FREQUENT_ROWS, global_index, lookup
+from pathloom.operators.skew import frequent_rows, global_index, lookup
 from pathloom.session import slots
 
 
@@ -26,11 +26,12 @@ def first_seen_vocabulary(df: DataFrame, key: str, order: list[Column]) -> DataF
     return numbered.select("token", F.col("id").cast("int").alias("id"), "n")
 
 
-def frequent_ids(vocabulary: DataFrame, column: str = "token", min_rows: int = FREQUENT_ROWS) -> list | None:
+def frequent_ids(vocabulary: DataFrame, column: str = "token") -> list | None:
     """Frequent tokens (or ids) by the row counts the vocabulary carries."""
     if "n" not in vocabulary.columns:
         return None
-    top = vocabulary.filter(F.col("n") > min_rows).orderBy(F.desc("n"), column).limit(4 * slots(vocabulary.sparkSession))
+    spark = vocabulary.sparkSession
+    top = vocabulary.filter(F.col("n") > frequent_rows(spark)).orderBy(F.desc("n"), column).limit(4 * slots(spark))
     return [r[0] for r in top.select(column).collect()]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import FREQUENT_ROWS, frequent_keys, lookup, positions
+from pathloom.operators.skew import frequent_keys, lookup, positions
 
 
 def top_k_items(scored: DataFrame, k: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -29,7 +29,7 @@ def average_rank(
     user: str = "user_id",
     descending: bool = True,
     frequent: list | None = None,
-    min_rows: int = FREQUENT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """``avg_rank``: rank within the user with ties averaged (the middle of the tied places)."""
     score = F.col("score")

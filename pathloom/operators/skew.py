@@ -15,19 +15,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.session import save_shared, slots
 
-# A key is worth special treatment only above this many rows: below it one task
-# sorts or joins the key without trouble whatever its share of the table is.
+# A key is worth special treatment only above this many rows: below it one task sorts or
+# joins the key without trouble whatever its share of the table is.  The session setting
+# ``spark.pathloom.frequentRows`` overrides it.
 FREQUENT_ROWS = 1_000_000
 # Sampled rows a key of that size is expected to show when looking for frequent keys.
 _SAMPLE_ROWS = 10_000
 
 
-def frequent_keys(df: DataFrame, keys: str | Sequence[str], min_rows: int = FREQUENT_ROWS) -> list:
+def frequent_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.pathloom.frequentRows", str(FREQUENT_ROWS)))
+
+
+def frequent_keys(df: DataFrame, keys: str | Sequence[str], min_rows: int | None = None) -> list:
     """Keys with more than about ``min_rows`` rows: values of one column (None for null),
     or hashes of several columns.  At most four per task slot, the most frequent first, so a
     key left out holds under ``1 / (4 * slots)`` of the rows.
@@ -36,6 +41,8 @@ def frequent_keys(df: DataFrame, keys: str | Sequence[str], min_rows: int = FREQ
     row still takes part in the result, and a key missed here costs time, not rows.
     """
     names = [keys] if isinstance(keys, str) else list(keys)
+    if min_rows is None:
+        min_rows = frequent_rows(df.sparkSession)
     share = min(1.0, _SAMPLE_ROWS / max(min_rows, 1))
     rows = df if share == 1.0 else df.sample(share, seed=7)
     key = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
@@ -63,7 +70,7 @@ def lookup(
     on: str | Sequence[str],
     how: str = "left",
     frequent: Sequence | None = None,
-    min_rows: int = FREQUENT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right`` (unique by ``on``), spreading frequent keys over many tasks.
 
@@ -151,7 +158,7 @@ def positions(
     pos: str = "pos",
     total: str | None = None,
     frequent: Sequence | None = None,
-    min_rows: int = FREQUENT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its group, and the group size if ``total`` is named.
 

@@ -41,6 +41,34 @@ def test_query(spark, con, name):
     assert got == table([d[0] for d in result.description], result.fetchall())
 
 
+@pytest.fixture
+def everything_is_frequent(spark):
+    """Any key with more than 20 rows takes the balanced path."""
+    from pathloom.catalog import tables
+
+    tables._frequent.cache_clear()
+    spark.conf.set("spark.pathloom.frequentRows", "20")
+    yield
+    spark.conf.unset("spark.pathloom.frequentRows")
+    tables._frequent.cache_clear()
+
+
+SKEW_SENSITIVE = [
+    "build_history_arrays", "build_history_structs", "concat_sessions", "build_item_table", "attach_counts",
+    "filter_core_once", "dense_ids", "encode_ids", "decode_ids", "first_seen_ids", "attach_item_text", "lookup_vectors",
+    "attach_degrees", "event_positions", "average_rank", "full_ranking", "time_gap_bucket", "order_events", "eval_split",
+    "chunk_sequences", "history_pairs", "training_examples", "contrastive_eval", "normalized_adjacency", "split_users",
+    "top_k_items", "target_rank", "tailpercentage_at_k", "averagepopularity_at_k", "group_apply", "news_tables",
+]
+
+
+@pytest.mark.parametrize("name", SKEW_SENSITIVE)
+def test_query_with_frequent_keys(spark, con, name, everything_is_frequent):
+    df = QUERIES[name](spark, SF)
+    result = con.execute(SQL[name])
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in result.description], result.fetchall())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
