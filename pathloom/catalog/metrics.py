@@ -24,8 +24,8 @@ per_user AS (SELECT user_id, k, {value} AS v FROM ranked CROSS JOIN {KS} GROUP B
 SELECT '{name}@' || k AS metric, round(avg(coalesce(v, 0)), 5) AS value FROM per_user GROUP BY k"""
 
 
-def _register(name: str, sql: str, **tables):
-    @query(f"{name}_at_k", "metric:s value:d", sql)
+def _register(name: str, sql: str, key: str | None = None, **tables):
+    @query(f"{key or name}_at_k", "metric:s value:d", sql)
     def _(spark, sf):
         given = {key: make(spark, sf) for key, make in tables.items()}
         return metrics.evaluate([name], TOPK, recs=habit_recs(spark, sf), **given)
@@ -54,25 +54,25 @@ size AS (SELECT count(*) AS n FROM popularity)"""
 
 _register("itemcoverage", f"""
 WITH {EXPOSED} SELECT 'itemcoverage@' || k AS metric, round(count(*) / max(n), 5) AS value FROM shown CROSS JOIN size GROUP BY k""",
-          item_count=_item_count)
+          "item_coverage", item_count=_item_count)
 _register("shannonentropy", f"""
 WITH {EXPOSED}, p AS (SELECT k, c / sum(c) OVER (PARTITION BY k) AS p FROM shown)
-SELECT 'shannonentropy@' || k AS metric, round(sum(-p * ln(p)) / count(*), 5) AS value FROM p GROUP BY k""")
+SELECT 'shannonentropy@' || k AS metric, round(sum(-p * ln(p)) / count(*), 5) AS value FROM p GROUP BY k""", "shannon_entropy")
 _register("giniindex", f"""
 WITH {EXPOSED}, i AS (SELECT k, c, n, n - count(*) OVER (PARTITION BY k) + row_number() OVER (PARTITION BY k ORDER BY c, item_id) AS i
   FROM shown CROSS JOIN size)
 SELECT 'giniindex@' || k AS metric, round(sum((2 * i - n - 1) * c) / sum(c) / max(n), 5) AS value FROM i GROUP BY k""",
-          item_count=_item_count)
+          "gini", item_count=_item_count)
 _register("averagepopularity", f"""
 WITH {HABIT}, u AS (SELECT count(DISTINCT user_id) AS users FROM recs)
 SELECT 'averagepopularity@' || k AS metric, round(sum(CASE WHEN rank <= k THEN coalesce(n, 0) ELSE 0 END) / (max(users) * k), 5) AS value
-FROM recs LEFT JOIN popularity USING (item_id) CROSS JOIN u CROSS JOIN {KS} GROUP BY k""", popularity=train_popularity)
+FROM recs LEFT JOIN popularity USING (item_id) CROSS JOIN u CROSS JOIN {KS} GROUP BY k""", "average_popularity", popularity=train_popularity)
 _register("tailpercentage", f"""
 WITH {HABIT}, u AS (SELECT count(DISTINCT user_id) AS users FROM recs),
 tail AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY n, item_id) AS r, count(*) OVER () AS m FROM popularity)
   WHERE r <= greatest(floor(m * 0.1), 1))
 SELECT 'tailpercentage@' || k AS metric, round(sum(CASE WHEN rank <= k AND t.item_id IS NOT NULL THEN 1 ELSE 0 END) / (max(users) * k), 5) AS value
-FROM recs r LEFT JOIN tail t ON t.item_id = r.item_id CROSS JOIN u CROSS JOIN {KS} GROUP BY k""", popularity=train_popularity)
+FROM recs r LEFT JOIN tail t ON t.item_id = r.item_id CROSS JOIN u CROSS JOIN {KS} GROUP BY k""", "tail_percentage", popularity=train_popularity)
 
 RANKED_TARGETS = f"""{VECTORS}, free AS (SELECT user_id, count(*) AS candidates FROM candidates GROUP BY user_id),
 target_ranks AS (

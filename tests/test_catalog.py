@@ -58,7 +58,7 @@ SKEW_SENSITIVE = [
     "filter_core_once", "dense_ids", "encode_ids", "decode_ids", "first_seen_ids", "attach_item_text", "lookup_vectors",
     "attach_degrees", "event_positions", "average_rank", "full_ranking", "time_gap_bucket", "order_events", "eval_split",
     "chunk_sequences", "history_pairs", "training_examples", "contrastive_eval", "normalized_adjacency", "split_users",
-    "top_k_items", "target_rank", "tailpercentage_at_k", "averagepopularity_at_k", "group_apply", "news_tables",
+    "top_k_items", "target_rank", "tail_percentage_at_k", "average_popularity_at_k", "group_apply", "news_tables",
 ]
 
 
