@@ -155,4 +155,4 @@ half AS (SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY (42 +
          count(*) OVER () AS m FROM u) WHERE r <= floor(m * 0.8))
 SELECT log_b.* FROM log_b SEMI JOIN half USING (user_id)""")
 def _(spark, sf):
-    return splits.restrict_users(splits.split_users(log_b(spark, sf), draw="arithmetic"), 1)
+    return splits.restrict_users(splits.split_users(log_b(spark, sf), draw="arithmetic", frequent=hot(spark, sf, "b", "user_id")), 1)

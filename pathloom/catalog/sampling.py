@@ -136,7 +136,9 @@ WITH {PLACED_A}, u AS (SELECT user_id, max(n) AS n FROM placed GROUP BY user_id)
 r AS (SELECT user_id, n, row_number() OVER (ORDER BY (42 + user_id * 7919) % 1000003, user_id) AS r, count(*) OVER () AS m FROM u)
 SELECT user_id, CASE WHEN r <= floor(m * 0.8) THEN 1 ELSE 2 END AS half, n FROM r""")
 def _(spark, sf):
-    halves = splits.split_users(log_a(spark, sf).select("user_id"), draw="arithmetic")
+    halves = splits.split_users(
+        log_a(spark, sf).select("user_id"), draw="arithmetic", frequent=hot(spark, sf, "a", "user_id")
+    )
     return halves.groupBy("user_id", "half").agg(F.count(F.lit(1)).alias("n"))
 
 

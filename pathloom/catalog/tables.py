@@ -50,10 +50,18 @@ def hot_b(spark: SparkSession, sf: str) -> dict[str, list]:
     return {c: hot(spark, sf, "b", c) for c in ("user_id", "item_id")}
 
 
+def forget() -> None:
+    """Drop remembered plans and frequent keys (not data; nothing is cached on executors)."""
+    for function in (_frequent, table, log_a, log_b, market, placed_a, placed_b):
+        function.cache_clear()
+
+
+@cache
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@cache
 def log_a(spark: SparkSession, sf: str) -> DataFrame:
     """Event log A: the events table."""
     return table(spark, sf, "events").select(
@@ -67,6 +75,7 @@ def log_a(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def log_b(spark: SparkSession, sf: str) -> DataFrame:
     """Event log B: order lines; user is the customer, item the part, session the order."""
     lines = table(spark, sf, "lineitem")
@@ -87,6 +96,7 @@ def log_b(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def market(spark: SparkSession, sf: str) -> DataFrame:
     """Log B with the attributes of a marketplace event."""
     part = table(spark, sf, "part").select(
@@ -117,10 +127,12 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def placed_a(spark: SparkSession, sf: str) -> DataFrame:
     return place_events(log_a(spark, sf), ORDER_A, frequent=hot(spark, sf, "a", "user_id"))
 
 
+@cache
 def placed_b(spark: SparkSession, sf: str) -> DataFrame:
     return place_events(log_b(spark, sf), ORDER_B, frequent=hot(spark, sf, "b", "user_id"))
 

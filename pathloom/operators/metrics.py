@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.scores import METRIC_PLACES, round_metric
-from pathloom.operators.skew import global_index, lookup, running_sums
+from pathloom.operators.skew import frequent_keys, global_index, lookup, running_sums
 
 # Fixed value: probabilities are kept this far from 0 and 1 in the log loss.
 LOGLOSS_EPS = 1e-15
@@ -253,7 +253,10 @@ def flag_tail_items(recs: DataFrame, tail: DataFrame, **skew) -> DataFrame:
 
 
 def slot_table(i: Inputs) -> DataFrame:
-    return flag_tail_items(attach_popularity(i.recs, i.popularity), tail_items(i.popularity, i.tail))
+    # A popular item may be recommended to a large share of all users.
+    hot = frequent_keys(i.recs, "item_id")
+    with_counts = attach_popularity(i.recs, i.popularity, frequent=hot)
+    return flag_tail_items(with_counts, tail_items(i.popularity, i.tail), frequent=hot)
 
 
 def roc_points(scored: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _cells(
     top = items.agg(F.max("item_id")).first()[0] or 0
     blocks = int(top) // block + 1
     parts = slots(spark)
-    shards = max(1, -(-2 * parts // blocks))
+    shards = max(1, -(-4 * parts // blocks))
 
     item_block = F.floor(F.col("item_id") / block).cast("int")
     shard = F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int")
@@ -76,7 +76,7 @@ def _cells(
                 _TARGET, F.col("_b"), shard, F.col("user_id"), F.array("item_id"), none, F.col("target_score"),
             )
         )
-    return rows.repartition(max(parts, min(blocks * shards, 4 * parts)), "block", "shard").sortWithinPartitions(
+    return rows.repartition(min(blocks * shards, 4 * parts), "block", "shard").sortWithinPartitions(
         "block", "shard", F.col("user_id").asc_nulls_first(), "kind"
     )
 

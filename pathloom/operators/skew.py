@@ -115,40 +115,38 @@ def _numbered(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
     return save_shared(placed, label)
 
 
+def _before(numbered: DataFrame, amount: Column) -> list:
+    """What all earlier partitions add up to, by partition number: ``slots`` values at most."""
+    totals = {r["_part"]: r["_t"] for r in numbered.groupBy("_part").agg(amount.alias("_t")).collect()}
+    before, total = [], 0
+    for part in range(max(totals, default=0) + 1):
+        before.append(total)
+        total += totals.get(part) or 0
+    return before
+
+
 def global_index(df: DataFrame, order: Sequence[Column], index: str = "idx") -> DataFrame:
     """1-based position of every row in ``order`` over the whole table.
 
-    Range partitions are numbered independently; only one count per partition is
-    summed up in a single task and broadcast (``slots`` rows).
+    Range partitions are numbered independently; only one row count per partition is summed
+    up by the driver and travels with the plan as a constant.
     """
     numbered = _numbered(df, order, "index")
-    offsets = (
-        numbered.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c"))
-        .select("_part", "_before")
-    )
-    return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn(index, F.col("_before") + F.col("_row") + 1)
-        .drop("_part", "_row", "_before")
-    )
+    before = F.lit(_before(numbered, F.count(F.lit(1)))).cast("array<bigint>")
+    place = F.get(before, F.col("_part")) + F.col("_row") + 1
+    return numbered.withColumn(index, place).drop("_part", "_row")
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """Inclusive running totals ``{source column: output column}`` over the whole table in ``order``."""
     numbered = _numbered(df, order, "running")
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = numbered.groupBy("_part").agg(*[F.sum(src).alias(f"_t_{out}") for src, out in sums.items()])
-    offsets = totals.select(
-        "_part", *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums.values()]
-    )
-    local = numbered.select("*", *[F.sum(src).over(inside).alias(out) for src, out in sums.items()])
-    joined = local.join(F.broadcast(offsets), "_part")
-    for out in sums.values():
-        joined = joined.withColumn(out, F.col(out) + F.col(f"_b_{out}"))
-    return joined.drop("_part", "_row", *[f"_b_{out}" for out in sums.values()])
+    out = numbered.select("*", *[F.sum(src).over(inside).alias(dst) for src, dst in sums.items()])
+    for src, dst in sums.items():
+        before = F.lit(_before(numbered, F.sum(src)))
+        kind = f"array<{out.schema[dst].dataType.simpleString()}>"
+        out = out.withColumn(dst, F.col(dst) + F.get(before.cast(kind), F.col("_part")))
+    return out.drop("_part", "_row")
 
 
 def positions(

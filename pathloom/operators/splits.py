@@ -40,13 +40,13 @@ def split_rows_approximately(df: DataFrame, identity: str, train: float = 0.8, v
 
 
 def split_users(
-    df: DataFrame, ratio: float = 0.8, user: str = "user_id", seed: int = 42, draw: str = "hash"
+    df: DataFrame, ratio: float = 0.8, user: str = "user_id", seed: int = 42, draw: str = "hash", **skew
 ) -> DataFrame:
     """``half``: 1 for exactly ``int(users * ratio)`` users' rows, else 2."""
     users = shuffle_rows(df.select(user).filter(F.col(user).isNotNull()).distinct(), user, seed, draw=draw)
     cut = int(_size(users) * ratio)
     halves = users.select(user, F.when(F.col("idx") <= cut, 1).otherwise(2).alias("half"))
-    return lookup(df, halves, user, "inner")
+    return lookup(df, halves, user, "inner", **skew)
 
 
 def restrict_users(df: DataFrame, half: int) -> DataFrame:

@@ -46,11 +46,11 @@ def everything_is_frequent(spark):
     """Any key with more than 20 rows takes the balanced path."""
     from pathloom.catalog import tables
 
-    tables._frequent.cache_clear()
+    tables.forget()
     spark.conf.set("spark.pathloom.frequentRows", "20")
     yield
     spark.conf.unset("spark.pathloom.frequentRows")
-    tables._frequent.cache_clear()
+    tables.forget()
 
 
 SKEW_SENSITIVE = [
