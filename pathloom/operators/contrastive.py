@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.session import slots
+
 # Logit scale, similarity above which a negative is dropped, reported ranks.
 LOGIT_SCALE = 20.0
 SAME_ITEM_COSINE = 0.99
@@ -55,7 +57,9 @@ def batch_negatives(examples: DataFrame, scale: float = LOGIT_SCALE, threshold:
             }
         )
 
-    return examples.groupBy("batch_id").applyInPandas(run, _SUMMARY)
+    # The number is set so that Spark does not merge small but compute-heavy partitions.
+    spread = examples.repartition(slots(examples.sparkSession), "batch_id")
+    return spread.groupBy("batch_id").applyInPandas(run, _SUMMARY)
 
 
 def contrastive_eval(examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE) -> DataFrame:

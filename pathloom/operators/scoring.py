@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ def _cells(
     top = items.agg(F.max("item_id")).first()[0] or 0
     blocks = int(top) // block + 1
     parts = slots(spark)
-    shards = max(1, -(-4 * parts // blocks))
+    shards = max(1, -(-2 * parts // blocks))
 
     item_block = F.floor(F.col("item_id") / block).cast("int")
     shard = F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int")
@@ -81,88 +81,115 @@ def _cells(
     )
 
 
+def _lists(column: pa.ListArray, rows: np.ndarray) -> list[np.ndarray]:
+    """The lists at ``rows`` as numpy arrays, cut from one flat buffer."""
+    picked = column.take(pa.array(rows))
+    ends = np.cumsum(picked.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+    return np.split(picked.flatten().to_numpy(), ends)
+
+
+def _matrix(column: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    """The vectors at ``rows`` as one matrix."""
+    return column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+
+
 class _Cell:
     """The state of one (block, shard) cell while its rows stream by."""
 
     def __init__(self) -> None:
-        self.ids: list[np.ndarray] = []
-        self.vectors: list[np.ndarray] = []
-        self.matrix: np.ndarray | None = None
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ids = self.matrix = None
         self.seen: dict[int, np.ndarray] = {}
         self.targets: dict[int, list[tuple[int, float]]] = {}
 
-    def add(self, rows: pd.DataFrame) -> None:
-        kinds = rows["kind"].to_numpy()
-        fresh = rows[kinds == _ITEM]
+    def add(self, rows: pa.RecordBatch) -> np.ndarray:
+        """Take in items, seen lists and targets; return the places of the user rows."""
+        kinds = rows.column("kind").to_numpy()
+        fresh, known, wanted, ready = (np.flatnonzero(kinds == k) for k in (_ITEM, _SEEN, _TARGET, _USER))
+        ids, users = rows.column("ids"), rows.column("user_id")
         if len(fresh):
-            self.ids.append(np.concatenate(fresh["ids"].to_numpy()))
-            self.vectors.append(np.stack(fresh["vector"].to_numpy()))
-        for user, ids in rows.loc[kinds == _SEEN, ["user_id", "ids"]].itertuples(index=False):
-            self.seen[int(user)] = np.asarray(ids)
-        for user, ids, score in rows.loc[kinds == _TARGET, ["user_id", "ids", "score"]].itertuples(index=False):
-            self.targets.setdefault(int(user), []).append((int(ids[0]), float(score)))
-
-    def scored(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            item_ids = ids.take(pa.array(fresh)).flatten().to_numpy()
+            self.parts.append((item_ids, _matrix(rows.column("vector"), fresh)))
+        if len(known):
+            for user, seen in zip(users.take(pa.array(known)).to_pylist(), _lists(ids, known)):
+                self.seen[user] = seen
+        if len(wanted):
+            items = ids.take(pa.array(wanted)).flatten().to_pylist()
+            scores = rows.column("score").take(pa.array(wanted)).to_pylist()
+            for user, item, score in zip(users.take(pa.array(wanted)).to_pylist(), items, scores):
+                self.targets.setdefault(user, []).append((item, score))
+        return ready
+
+    def scored(self, rows: pa.RecordBatch, ready: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(user, candidate ids, their scores) for each user row."""
-        ready = rows[rows["kind"].to_numpy() == _USER]
-        if not len(ready) or not self.ids:
+        if not len(ready) or not self.parts:
             return
-        if self.matrix is None:
-            ids = np.concatenate(self.ids)
+        if self.matrix is None:  # all items of a cell come before its first user
+            ids = np.concatenate([i for i, _ in self.parts])
             order = np.argsort(ids)
-            self.sorted_ids = ids[order]
-            self.matrix = np.concatenate(self.vectors)[order].T
+            self.ids = ids[order]
+            self.matrix = np.concatenate([m for _, m in self.parts])[order].T
         for start in range(0, len(ready), USER_CHUNK):
-            chunk = ready.iloc[start:start + USER_CHUNK]
-            scores = np.round(np.stack(chunk["vector"].to_numpy()) @ self.matrix, SCORE_PLACES)
-            for user, line in zip(chunk["user_id"].astype("int64"), scores):
+            chunk = ready[start:start + USER_CHUNK]
+            scores = np.round(_matrix(rows.column("vector"), chunk) @ self.matrix, SCORE_PLACES)
+            for user, line in zip(rows.column("user_id").take(pa.array(chunk)).to_pylist(), scores):
                 known = self.seen.pop(user, None)
                 if known is None:
-                    yield user, self.sorted_ids, line
+                    yield user, self.ids, line
                 else:
-                    free = ~np.isin(self.sorted_ids, known)
-                    yield user, self.sorted_ids[free], line[free]
+                    free = ~np.isin(self.ids, known)
+                    yield user, self.ids[free], line[free]
 
 
-Emit = Callable[[_Cell, int, np.ndarray, np.ndarray], list[tuple]]
+# One user's result in one cell: a list of equally long columns.
+Emit = Callable[[_Cell, int, np.ndarray, np.ndarray], list]
 
 
 def _sweep(emit: Emit, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, at = _Cell(), None
         for batch in batches:
-            out: list[tuple] = []
-            for place, rows in batch.groupby(["block", "shard"], sort=False):
-                if place != at:
-                    cell, at = _Cell(), place
-                cell.add(rows)
-                for user, ids, scores in cell.scored(rows):
-                    out.extend(emit(cell, user, ids, scores))
+            if not batch.num_rows:
+                continue
+            places = np.stack([batch.column(c).to_numpy() for c in ("block", "shard")], axis=1)
+            starts = np.flatnonzero(np.any(places[1:] != places[:-1], axis=1)) + 1
+            out: list[list] = []
+            for first, end in zip([0, *starts], [*starts, batch.num_rows]):
+                if tuple(places[first]) != at:
+                    cell, at = _Cell(), tuple(places[first])
+                rows = batch.slice(first, end - first)
+                ready = cell.add(rows)
+                out.extend(emit(cell, *found) for found in cell.scored(rows, ready))
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=columns
+                )
 
     return run
 
 
 def _best(k: int) -> Emit:
-    def emit(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list[tuple]:
+    def emit(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list:
         if len(scores) > k:
             limit = np.partition(scores, len(scores) - k)[len(scores) - k]
             near = scores >= limit  # keeps ties at the limit, so the id order can decide
             ids, scores = ids[near], scores[near]
         order = np.lexsort((ids, -scores))[:k]
-        return [(user, int(ids[i]), float(scores[i])) for i in order]
+        return [np.full(len(order), user, "int64"), ids[order], scores[order]]
 
     return emit
 
 
-def _beaten(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list[tuple]:
-    out = []
-    for item, score in cell.targets.pop(user, ()):
-        same = (scores == score) & (ids != item)
-        better = int((scores > score).sum() - ((ids == item) & (scores > score)).sum())
-        out.append((user, item, better, int((same & (ids < item)).sum()), int(same.sum()), len(scores)))
-    return out
+def _beaten(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list:
+    targets = cell.targets.pop(user, [])
+    counts = np.zeros((6, len(targets)), "int64")
+    for n, (item, score) in enumerate(targets):
+        other = ids != item
+        same = (scores == score) & other
+        counts[:, n] = (
+            user, item, ((scores > score) & other).sum(), (same & (ids < item)).sum(), same.sum(), len(scores)
+        )
+    return list(counts)
 
 
 def full_sort_scores(
@@ -176,7 +203,7 @@ def full_sort_scores(
     """
     cells = _cells(users, items, seen, None, block)
     columns = ["user_id", "item_id", "score"]
-    return cells.mapInPandas(_sweep(_best(k), columns), "user_id long, item_id long, score double")
+    return cells.mapInArrow(_sweep(_best(k), columns), "user_id long, item_id long, score double")
 
 
 def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -203,7 +230,7 @@ def target_rank(
     """
     scored = target_scores(users, items, targets, seen)
     cells = _cells(users, items, seen, scored, block)
-    counts = cells.mapInPandas(
+    counts = cells.mapInArrow(
         _sweep(_beaten, ["user_id", "item_id", "better", "before", "equal", "candidates"]),
         "user_id long, item_id long, better long, before long, equal long, candidates long",
     )
