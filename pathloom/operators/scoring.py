@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vectors import dot
+from pathloom.operators.skew import frequent_keys, lookup
 from pathloom.session import slots
 
 ITEM_BLOCK = 4096
@@ -209,9 +210,10 @@ def full_sort_scores(
 def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """``target_score`` of each distinct (user, target); minus infinity if the target is suppressed."""
     pairs = targets.select("user_id", "item_id").distinct()
-    scored = pairs.join(users.withColumnRenamed("vector", "_u"), "user_id").join(
-        items.withColumnRenamed("vector", "_i"), "item_id"
-    )
+    # A popular item may be the target of a large share of all users, so both joins are skew-aware.
+    hot_users, hot_items = frequent_keys(pairs, "user_id"), frequent_keys(pairs, "item_id")
+    scored = lookup(pairs, items.withColumnRenamed("vector", "_i"), "item_id", "inner", frequent=hot_items)
+    scored = lookup(scored, users.withColumnRenamed("vector", "_u"), "user_id", "inner", frequent=hot_users)
     score = F.round(dot(F.col("_u"), F.col("_i")), SCORE_PLACES)
     if seen is None:
         return scored.select("user_id", "item_id", score.alias("target_score"))

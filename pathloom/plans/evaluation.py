@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.metrics import METRICS, check_request, evaluate
 from pathloom.operators.ranking import mark_positives, top_k_items
 from pathloom.operators.scoring import ITEM_BLOCK, full_sort_scores, mean_rank, target_rank
+from pathloom.operators.skew import lookup
 from pathloom.session import save_shared
 
 
@@ -32,7 +33,7 @@ def hits_of_targets(ranked: DataFrame, k: int) -> DataFrame:
     flagged = ranked.select(
         "user_id", F.when(hit, F.col("rank")).alias("rank"), "item_id", F.when(hit, 1).otherwise(0).alias("hit")
     )
-    return flagged.join(positives, "user_id")
+    return lookup(flagged, positives, "user_id", "inner")
 
 
 def evaluate_vectors(
@@ -51,6 +52,7 @@ def evaluate_vectors(
     tables = {METRICS[n].table for n in names}
     # Each is read by several steps below: compute once, share as tables.
     users, items = save_shared(users, "users"), save_shared(items, "items")
+    targets = save_shared(targets.select("user_id", "item_id").distinct(), "targets")
     if seen is not None:
         seen = save_shared(seen.select("user_id", "item_id").distinct(), "seen")
     given: dict = {"popularity": popularity, "item_count": item_count}
