@@ -19,7 +19,14 @@ def texts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return text_size(docs, text)[0]
+
+
+def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Text bytes of a table and the number of partitions that hold them."""
+    size = F.sum(F.octet_length(F.col(text).cast("string")))
+    row = docs.groupBy(F.spark_partition_id().alias("part")).agg(size.alias("size")).agg(F.sum("size"), F.count("*")).first()
+    return row[0] or 0, row[1]
 
 
 def blocks(size: int, block: int = BLOCK_BYTES) -> int:

@@ -70,10 +70,8 @@ LOWER[0x41:0x5B] += 32
 class Slice:
     """Some documents: row columns, one byte buffer, and where each document starts in it."""
 
-    def __init__(self, rows: pa.RecordBatch | pa.Table, text: str):
-        column = rows.column(text)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        column = column.fill_null("").cast(pa.large_string())
+    def __init__(self, rows: pa.RecordBatch, text: str):
+        column = rows.column(text).fill_null("").cast(pa.large_string())
         _, offsets, data = column.buffers()
         at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -83,9 +81,7 @@ class Slice:
 
     def ids(self, name: str = "doc_id", null: int = np.iinfo(np.int64).max) -> np.ndarray:
         """An integer column; a null id ranks after all others."""
-        column = self.rows.column(name)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
+        return self.rows.column(name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
     def words(self, keep: np.ndarray = WORD_BYTES, lower: bool = False) -> Words:
         return Words(self, keep, lower)
@@ -149,7 +145,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
     size = 0
 
     def drain():
-        rows = pa.Table.from_batches(waiting).combine_chunks() if len(waiting) > 1 else waiting[0]
+        rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0] if len(waiting) > 1 else waiting[0]
         whole = Slice(rows, text)
         at, start = whole.offsets, 0
         while start < whole.n:
