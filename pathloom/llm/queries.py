@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, ngram_join, quality_rules, substring_dedup
+from pathloom.llm import decontaminate, ngram_join, quality_rules, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_array.repeated_bytes_removed(_documents(spark, sf_dir))
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return kept.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -38,6 +44,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op7_decontamination)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op6_suffix_array_dedup, op7_decontamination)
 }
 ORACLES: dict[str, str] = {}
