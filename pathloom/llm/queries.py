@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, ngram_join, quality_rules, substring_dedup, suffix_array
+from pathloom.llm import decontaminate, mixing, ngram_join, quality_rules, sanitise, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Texts differ in length by orders of magnitude: short Arrow batches keep a worker's memory bounded.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return _table(spark, sf_dir, "documents")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    keep = docs.select("doc_id", "source", F.col("text"))
+    mixed = mixing.mix(keep)
+    return mixed.select(
+        "doc_id", F.col("_words").alias("size"), F.col("_source_words").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_words") * F.col("_copies")).alias("taken"),
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -43,7 +55,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
 
 
+def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find_private(_documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(sanitise.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(sanitise.shown(F.col("base")), 256).alias("base_sha256"), sanitise.shown(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op6_suffix_array_dedup, op7_decontamination)
+    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op6_suffix_array_dedup, op7_decontamination, op10_pii_sanitisation)
 }
 ORACLES: dict[str, str] = {}
