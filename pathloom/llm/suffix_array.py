@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.substring_dedup import NULL_ID, SPANS, spans_of
-from pathloom.llm.tables import blocks, text_bytes, texts
+from pathloom.llm.tables import BLOCK_BYTES, blocks, text_bytes, texts
 from pathloom.llm.text import BASE_INVERSE, BYTE_CODES, PACKED, Slice, batch, covered, groups_of, mix, pack, powers, prefix_sums, range_hash, slices, unpack
 
 LENGTH = 200
@@ -304,7 +304,7 @@ def _cut(rows: pa.Table, found: pa.Table, length: int, k: int) -> pa.Table:
 def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per document: bytes, removed bytes, the bytes kept, and the removed spans (byte places)."""
     source = texts(docs)
-    n = blocks(text_bytes(docs))
+    n = blocks(text_bytes(docs), BLOCK_BYTES // 2)
     names = source.mapInArrow(partial(_scatter_names, length=length, k=k, buckets=n), PACKED)
     repeated = names.groupBy("bucket").applyInArrow(lambda key, rows: _repeated_names(key, rows, n), PACKED)
     placed = source.withColumn("block", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(n)).cast("int"))

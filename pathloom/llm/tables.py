@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.session import save_shared
 
 # Text bytes that one bucket of keys or one block of documents is planned for.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def texts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C17
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
