@@ -124,7 +124,7 @@ def mix(docs: DataFrame) -> DataFrame:
     # Words still owed, passed on in order of size: a part gets what is owed up to it, in whole copies.
     parts = parts.withColumn("upto", F.sum(F.col("n") * F.col("rest")).over(order))
     quota = F.floor(F.round(F.col("upto"), 6) + 0.5) - F.floor(F.round(F.col("upto") - F.col("n") * F.col("rest"), 6) + 0.5)
-    parts = parts.drop("rest", "upto").withColumn("quota", F.least("n", F.greatest(F.lit(0), quota)))
+    parts = parts.withColumn("quota", F.least("n", F.greatest(F.lit(0), quota))).drop("rest", "upto")
     parts = _settled(save_shared(parts, "mix-parts")).select("key", "size", "_salt", "quota")
     place = F.row_number().over(Window.partitionBy("key", "size", "_salt").orderBy("_u", "_row"))
     ranked = dealt.withColumn("_place", place).join(parts, ["key", "size", "_salt"])
