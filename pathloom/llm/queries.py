@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, mixing, ngram_join, quality_rules, sanitise, substring_dedup, suffix_array
+from pathloom.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_array.repeated_bytes_removed(_documents(spark, sf_dir))
     spans = F.size("spans").cast("long").alias("n_spans")
@@ -63,6 +68,6 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op6_suffix_array_dedup, op7_decontamination, op10_pii_sanitisation)
+    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier, op6_suffix_array_dedup, op7_decontamination, op10_pii_sanitisation)
 }
 ORACLES: dict[str, str] = {}
