@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array
+from pathloom.llm import decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_documents(spark, sf_dir))
+
+
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.find_private(_documents(spark, sf_dir))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -68,6 +72,6 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier, op6_suffix_array_dedup, op7_decontamination, op10_pii_sanitisation)
+    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier, op6_suffix_array_dedup, op7_decontamination, op9_language_model, op10_pii_sanitisation)
 }
 ORACLES: dict[str, str] = {}
