@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.tables import texts
+from pathloom.llm.tables import text_part, texts
 from pathloom.llm.text import ALNUM_BYTES, Words, batch, mix, slices
 from pathloom.session import save_shared
 
@@ -167,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     contexts = contexts.withColumn("whole", (F.octet_length("before") == 0) & (F.octet_length("after") == 0))
     contexts = save_shared(contexts.withColumnRenamed("before", "i_before").withColumnRenamed("after", "i_after"), "benchmark-contexts")
 
-    source = texts(docs).withColumn("part", F.xxhash64("text"))
+    source = texts(docs).withColumn("part", text_part())
     marked = source.mapInArrow(partial(_doc_grams, window=window, k=k, bits=bits, short=short), f"doc_id long, part long, n_words long, grams {GRAM}")
     marked = save_shared(marked, "marked-docs")
     found = marked.select("doc_id", "part", F.explode("grams").alias("g")).select("doc_id", "part", "g.*")
@@ -196,3 +196,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
         "part",
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated documents."""
+    bad = find_contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).distinct()
+    keyed = docs.withColumn("_p", text_part())
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_part")), "left_anti").drop("_p")

@@ -24,10 +24,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.tables import blocks, components, text_bytes, texts
+from pathloom.llm.tables import blocks, components, text_bytes, text_part, texts
 from pathloom.llm.text import PACKED, Slice, batch, groups_of, mix, pack, slices, unpack
 from pathloom.session import save_shared
 
@@ -61,7 +61,7 @@ def _sets(docs: Slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for docs in slices(batches):
         _, _, size, digest = _sets(docs, k)
-        yield batch(doc_id=docs.rows.column("doc_id"), n_shingles=size.astype(np.int64), node=digest.view(np.int64))
+        yield batch(doc_id=docs.rows.column("doc_id"), part=docs.rows.column("part"), n_shingles=size.astype(np.int64), node=digest.view(np.int64))
 
 
 def _scatter(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -200,10 +200,10 @@ class _Join:
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document: set size, class of equal sets (``node``), component and number of similar classes found."""
-    source = texts(docs)
+    """Per document: set size, smallest id of its component, and a key of the component (none for empty sets)."""
+    source = texts(docs).withColumn("part", text_part())
     buckets = blocks(text_bytes(docs))
-    described = save_shared(source.mapInArrow(partial(_describe, k=words), "doc_id long, n_shingles long, node long"), "ngram-docs")
+    described = save_shared(source.mapInArrow(partial(_describe, k=words), "doc_id long, part long, n_shingles long, node long"), "ngram-docs")
     dealt = source.mapInArrow(partial(_scatter, k=words, buckets=buckets), PACKED)
     shared = dealt.groupBy("bucket").applyInArrow(lambda rows: _frequencies(rows, buckets), PACKED)
     sets = shared.groupBy("bucket").applyInArrow(lambda rows: _gather(rows), "node long, grams array<bigint>, sizes array<int>")
@@ -211,9 +211,23 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     join = _Join(sets.join(classes, "node"), threshold)
     _, parts = join.links()
 
-    placed = described.filter("n_shingles > 0").join(parts.toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = described.filter("n_shingles > 0").join(parts.toDF("node", "part_"), "node", "left").withColumn("part_", F.coalesce("part_", "node"))
     placed = save_shared(placed, "ngram-placed")
-    named = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(named, "part", "left").select("doc_id", "n_shingles", "component_id", "node")
-    alone = described.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node")
+    named = placed.groupBy("part_").agg(F.min("doc_id").alias("component_id"))
+    linked = placed.join(named, "part_", "left").select("doc_id", "part", "n_shingles", "component_id", F.col("part_").alias("component"))
+    alone = described.filter("n_shingles = 0").select("doc_id", "part", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return linked.unionByName(alone)
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id.  Documents without words all stay."""
+    groups = jaccard_groups(docs)
+    named = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part")).alias("s"))
+    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    stay = named.select(id_key("s.doc_id").alias("_id"), F.col("s.part").alias("_part"), F.lit(True).alias("_one"))
+    empty = groups.filter("component IS NULL").select(id_key("doc_id").alias("_id"), F.col("part").alias("_part"), F.lit(False).alias("_one")).distinct()
+    keyed = docs.withColumn("_id", id_key("doc_id")).withColumn("_part", text_part())
+    kept = keyed.join(stay.unionByName(empty), ["_id", "_part"])
+    # Rows with equal id and text are one group as well; the window reuses the join's partitions.
+    place = F.row_number().over(Window.partitionBy("_id", "_part").orderBy("_one"))
+    return kept.withColumn("_place", place).filter("_place = 1 OR NOT _one").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -94,3 +94,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition_rules(docs: DataFrame) -> DataFrame:
     """One row per document: repetition measures and the verdict ``kept``."""
     return texts(docs).mapInArrow(_measure, SCHEMA)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rejected documents; no row moves between tasks."""
+
+    def keep(batches):
+        for rows in batches:
+            if rows.num_rows:
+                pair = rows.select(["doc_id", "text"])
+                kept = [part.column(part.schema.get_field_index("kept")) for part in _measure(iter([pair]))]
+                yield rows.filter(pa.concat_arrays(kept))
+
+    return docs.mapInArrow(keep, docs.schema)

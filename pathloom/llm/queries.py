@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array
+from pathloom.llm import decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array, tool_calls
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts differ in length by orders of magnitude: short Arrow batches keep a worker's memory bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Texts differ in length by orders of magnitude: short Arrow batches keep a worker's memory bounded.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bounded_batches(spark)
     return _table(spark, sf_dir, "documents")
 
 
@@ -60,6 +64,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(_table(spark, sf_dir, "conversations"))
+    return tool_calls.format_calls(calls, results, tool_calls.REPLY)
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_documents(spark, sf_dir))
 
@@ -72,6 +81,10 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier, op6_suffix_array_dedup, op7_decontamination, op9_language_model, op10_pii_sanitisation)
-}
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier,
+        op6_suffix_array_dedup, op7_decontamination, op8_chat_formatting, op9_language_model, op10_pii_sanitisation,
+    )
+}
 ORACLES: dict[str, str] = {}

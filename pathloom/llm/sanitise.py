@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.tables import text_part
 from pathloom.session import save_shared
 
 # The patterns of the base kinds, in the order in which kinds are listed.  (?<!) anchors a
@@ -134,7 +135,7 @@ def disclosing_terms(documents: DataFrame, contexts: DataFrame, protected: DataF
 def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with their base spans, documents with their disclosing spans), told apart by id and text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("part", F.xxhash64("text"))
+    source = source.withColumn("part", text_part())
     base = source.withColumn("base", base_spans(F.col("text")))
     near = save_shared(_contexts(base.filter(F.size("base") > 0)).distinct(), "private-contexts")
     spans = save_shared(base.select("doc_id", "part", "base"), "private-spans")
@@ -163,7 +164,6 @@ def shown(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets (terms: removed)."""
     found = find_private(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_part"])
-    part = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     names = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", "")])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -174,5 +174,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     rest = lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, rest))
-    joined = docs.withColumn("_p", part).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_part")), "left")
+    joined = docs.withColumn("_p", text_part()).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_part")), "left")
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.session import save_shared
@@ -18,6 +18,11 @@ def texts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def text_part(text: str = "text") -> Column:
+    """Tells rows with one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return text_size(docs, text)[0]
 
