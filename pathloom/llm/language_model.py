@@ -245,17 +245,26 @@ def _scatter_rare(batches: Iterator[pa.RecordBatch], buckets: int, known: np.nda
         yield pack(key % np.uint64(buckets), row[doc], key, (n << 1 | train[doc]).astype(np.uint32))
 
 
-def _price(rows: pa.Table) -> pa.Table:
-    """Per document: sums of log10 of smoothed counts over its words of this bucket, and known tokens."""
+def _price(rows: pa.Table, n_blocks: int) -> pa.Table:
+    """Per document: sums of log10 of smoothed counts over its words of this bucket, and known tokens; dealt by document."""
     owner, key, more = unpack(rows, np.int64, np.uint32)
     n, train = (more >> 1).astype(np.int64), (more & 1).astype(bool)
     order = np.argsort(key, kind="stable")
     owner, key, n, train = owner[order], key[order], n[order], train[order]
     at, size = groups_of(key)
     count = np.repeat(np.add.reduceat(n * train, at), size) if len(at) else n
+    owners, logs, known = _summed(owner, n * np.log10(count + ALPHA), n * (count > 0))
+    return pa.Table.from_batches([pack(owners % n_blocks, owners, logs.view(np.uint64), known)])
+
+
+def _summed(owner: np.ndarray, logs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners, index = np.unique(owner, return_inverse=True)
-    logs = np.bincount(index, weights=n * np.log10(count + ALPHA), minlength=len(owners))
-    known = np.bincount(index, weights=n * (count > 0), minlength=len(owners))
+    return owners, np.bincount(index, weights=logs, minlength=len(owners)), np.bincount(index, weights=known, minlength=len(owners)).astype(np.uint32)
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    owner, logs, known = unpack(rows, np.int64, np.uint32)
+    owners, logs, known = _summed(owner, logs.view(np.float64), known)
     return pa.table({"row": owners, "rare_log": logs, "rare_known": known.astype(np.int64)})
 
 
@@ -299,8 +308,8 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     weights = _trained(source, network, tokens, known, symbol, end, other)
 
     rare = source.mapInArrow(partial(_scatter_rare, buckets=buckets, known=known), PACKED)
-    priced = rare.groupBy("bucket").applyInArrow(lambda rows: _price(rows), "row long, rare_log double, rare_known long")
-    priced = priced.groupBy("row").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
+    priced = rare.groupBy("bucket").applyInArrow(lambda rows: _price(rows, buckets), PACKED)
+    priced = priced.groupBy("bucket").applyInArrow(lambda rows: _total(rows), "row long, rare_log double, rare_known long")
 
     def score(batches):
         net = Network(classes)
