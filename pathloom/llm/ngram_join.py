@@ -34,6 +34,7 @@ from pathloom.session import save_shared
 WORDS = 5
 THRESHOLD = 80  # percent
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # hash seeds of the further orders
+STAR_ROUNDS = 2
 _BITS = 256  # width of a prefix bitmap
 
 
@@ -109,44 +110,39 @@ def _gather(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(node=node[at].view(np.int64), grams=lists, sizes=sizes)])
 
 
-def _bitmap(grams: np.ndarray) -> bytes:
+def _bitmap(grams: np.ndarray) -> np.ndarray:
     bits = np.zeros(_BITS, bool)
     bits[grams % np.uint64(_BITS)] = True
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits).view(np.int64)
+
+
+_MAPS = [f"map_{i}" for i in range(len(ORDERS) * _BITS // 64)]
+INDEX = "gram long, node long, n long, m long, k long, central double, " + ", ".join(f"{c} long" for c in _MAPS)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], seeds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Index rows of the first order, with the bitmaps of the prefixes under the others."""
+    """Index rows of the first order: n-gram, class, set size n, shared n-grams m, place k among these,
+    how widely the class is shared, and bitmaps of its prefixes under the other orders."""
     for rows in batches:
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for node, n, room, grams, sizes in zip(
             rows.column("node").to_pylist(), rows.column("n").to_pylist(), rows.column("room").to_pylist(),
             rows.column("grams"), rows.column("sizes"), strict=True,
         ):
             gram = grams.values.to_numpy(zero_copy_only=False).view(np.uint64)
             size = sizes.values.to_numpy(zero_copy_only=False)
-            band = np.log2(size).astype(np.int8)
-            first = gram[np.lexsort((gram, size))[:room]]
-            maps = [_bitmap(gram[np.lexsort((mix(gram ^ np.uint64(s)), band))[:room]]) for s in seeds]
-            out += [(g, node, n, *maps) for g in first.view(np.int64).tolist()]
+            rarity = np.log2(size)
+            first = gram[np.lexsort((gram, size))[:room]].view(np.int64)
+            band = rarity.astype(np.int8)
+            maps = np.concatenate([_bitmap(gram[np.lexsort((mix(gram ^ np.uint64(s)), band))[:room]]) for s in seeds])
+            same = np.array([[node, n, len(gram)]], np.int64)
+            whole = np.concatenate((first[:, None], np.repeat(same, len(first), 0), np.arange(len(first))[:, None], np.repeat(maps[None], len(first), 0)), axis=1)
+            out.append((whole, np.full(len(first), rarity.sum() / n)))
         if out:
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.int64()] * 3 + [pa.binary()] * len(seeds)
-            names = ["gram", "node", "n", *[f"map_{i}" for i in range(len(seeds))]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-
-def _meet(batches: Iterator[pa.RecordBatch], orders: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose prefixes may share an n-gram under every further order."""
-    for rows in batches:
-        keep = np.ones(rows.num_rows, bool)
-        for i in range(orders):
-            a, b = (
-                np.frombuffer(b"".join(rows.column(f"{side}_{i}").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-                for side in "ab"
-            )
-            keep &= (a & b).any(axis=1)
-        yield pa.RecordBatch.from_arrays([rows.column("a").filter(pa.array(keep)), rows.column("b").filter(pa.array(keep))], names=["a", "b"])
+            table, central = (np.concatenate(x) for x in zip(*out, strict=True))
+            names = ["gram", "node", "n", "m", "k", *_MAPS]
+            columns = {c: table[:, i] for i, c in enumerate(names)} | {"central": central}
+            yield batch(**{c: columns[c] for c in ("gram", "node", "n", "m", "k", "central", *_MAPS)})
 
 
 class _Join:
@@ -157,22 +153,23 @@ class _Join:
         need = F.expr(f"(n * {threshold} + 99) div 100")
         sets = sets.withColumn("room", (F.col("n") - need + 1 - (F.col("n") - F.size("grams"))).cast("int"))
         self.sets = save_shared(sets.filter("room > 0"), "ngram-sets")
-        maps = ", ".join(f"map_{i} binary" for i in range(len(ORDERS)))
-        index = self.sets.mapInArrow(partial(_prefixes, seeds=ORDERS), f"gram long, node long, n long, {maps}")
-        self.index = save_shared(index, "ngram-index")
+        self.index = save_shared(self.sets.mapInArrow(partial(_prefixes, seeds=ORDERS), INDEX), "ngram-index")
 
     def _candidates(self, left: DataFrame, right: DataFrame, where: str = "true") -> DataFrame:
-        """Distinct pairs a < b that share a prefix n-gram and pass size filter and further orders."""
-        bits = range(len(ORDERS))
+        """Distinct pairs a < b that share a prefix n-gram and pass the bounds of size and place and the
+        prefixes of the further orders."""
+        t = self.threshold
         x = left.select("gram", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "gram"])
         y = right.select("gram", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "gram"])
-        t = self.threshold
-        pairs = x.join(y, "gram").filter(f"x_node <> y_node AND 100 * x_n >= {t} * y_n AND 100 * y_n >= {t} * x_n AND ({where})")
-        sides = [F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")]
-        swap = F.col("x_node") < F.col("y_node")
-        maps = [F.when(swap, F.col(f"x_map_{i}")).otherwise(F.col(f"y_map_{i}")).alias(f"a_{i}") for i in bits]
-        maps += [F.when(swap, F.col(f"y_map_{i}")).otherwise(F.col(f"x_map_{i}")).alias(f"b_{i}") for i in bits]
-        return pairs.select(*sides, *maps).dropDuplicates(["a", "b"]).mapInArrow(partial(_meet, orders=len(ORDERS)), "a long, b long")
+        # At most this many n-grams in common: those before the shared one, itself, and those after it.
+        bound = "least(x_k, y_k) + least(x_m - x_k, y_m - y_k)"
+        each = [_MAPS[i : i + _BITS // 64] for i in range(0, len(_MAPS), _BITS // 64)]
+        meet = " AND ".join("(" + " | ".join(f"(x_{c} & y_{c})" for c in cs) + ") <> 0" for cs in each)
+        pairs = x.join(y, "gram").filter(
+            f"x_node <> y_node AND 100 * x_n >= {t} * y_n AND 100 * y_n >= {t} * x_n "
+            f"AND {100 + t} * ({bound}) >= {t} * (x_n + y_n) AND {meet} AND ({where})"
+        )
+        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         side = self.sets.select("node", "n", "grams")
@@ -181,22 +178,34 @@ class _Join:
         both = pairs.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("a_grams", "b_grams")))
         return both.filter(f"100 * same >= {self.threshold} * (a_n + b_n - same)").select("a", "b")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(verified links, components): the links join every two similar classes, directly or over others."""
-        hub = self.index.groupBy("gram").agg(F.min_by(F.struct("node", "n", *[f"map_{i}" for i in range(len(ORDERS))]), "node").alias("h"), F.count("*").alias("c"))
-        hub = hub.filter("c > 1").select("gram", "h.*")
-        star = save_shared(self._verified(self._candidates(self.index, hub)), "ngram-links")
-        found = components(star)
-        part = self.index.join(found, self.index.node == found.node, "left").select(self.index["*"], F.coalesce("component", self.index.node).alias("part"))
-        part = save_shared(part, "ngram-parts")
-        # Under an n-gram whose classes are not yet all connected: the others against the largest part.
-        per_part = part.groupBy("gram", "part").agg(F.count("*").alias("c"))
-        largest = per_part.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-        open_rows = part.join(largest.select("gram", "largest"), "gram")
-        rest = open_rows.filter("part <> largest").drop("largest")
-        more = self._verified(self._candidates(rest, open_rows.drop("largest"), "x_part <> y_part"))
-        links = save_shared(star.unionByName(more), "ngram-links")
-        return links, components(links)
+    def links(self) -> DataFrame:
+        """Components of the classes that have a similar one.
+
+        Each star round links the classes under an n-gram to its most widely shared class outside the
+        largest part (an original is shared by all its copies); what is still apart is then paired.
+        """
+        links, found = None, None
+        open_rows = self.index.withColumn("part", F.col("node"))
+        for _ in range(STAR_ROUNDS):
+            hub = open_rows.groupBy("gram").agg(F.max_by(F.struct(*open_rows.columns[1:]), F.struct("central", "node")).alias("h"), F.count("*").alias("c"))
+            hub = hub.filter("c > 1").select("gram", "h.*")
+            more = self._verified(self._candidates(open_rows, hub, "x_part <> y_part"))
+            links = save_shared(links.unionByName(more) if links is not None else more, "ngram-links")
+            found = components(links)
+            parts, largest = self._parts(found)
+            # Under an n-gram whose classes are not all connected: the others against the largest part.
+            open_rows = save_shared(parts.join(largest, "gram").filter("part <> largest").drop("largest"), "ngram-open")
+        every = parts.join(open_rows.select("gram").distinct(), "gram", "left_semi")
+        more = self._verified(self._candidates(open_rows, every, "x_part <> y_part"))
+        return components(links.unionByName(more))
+
+    def _parts(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index rows with their component, and the largest component of n-grams that hold several."""
+        named = self.index.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+        parts = save_shared(named.withColumn("part", F.coalesce("component", "node")).drop("at", "component"), "ngram-parts")
+        per_part = parts.groupBy("gram", "part").agg(F.count("*").alias("c"))
+        largest = per_part.groupBy("gram").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count("*").alias("parts"))
+        return parts, largest.filter("parts > 1").select("gram", "largest")
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -209,7 +218,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     sets = shared.groupBy("bucket").applyInArrow(lambda rows: _gather(rows), "node long, grams array<bigint>, sizes array<int>")
     classes = described.filter("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
     join = _Join(sets.join(classes, "node"), threshold)
-    _, parts = join.links()
+    parts = join.links()
 
     placed = described.filter("n_shingles > 0").join(parts.toDF("node", "part_"), "node", "left").withColumn("part_", F.coalesce("part_", "node"))
     placed = save_shared(placed, "ngram-placed")
