@@ -104,9 +104,11 @@ def _settled(parts: DataFrame, rounds: int = 5) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` columns plus size, source_size, target, rate and copies of every document."""
-    named = docs.withColumn("_key", source_key()).withColumn("_size", word_count())
+    plain = [f"_c{i}" for i in range(len(docs.columns))]  # the documents' own names may clash with these here
+    at = dict(zip(docs.columns, plain, strict=True))
+    named = docs.toDF(*plain).withColumn("_key", source_key(at["source"])).withColumn("_size", word_count(at["text"]))
     # The whole row takes part, so rows that only share the id are still ordered alike in every run.
-    named = named.withColumn("_u", F.xxhash64(F.col("doc_id"), F.lit(1))).withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    named = named.withColumn("_u", F.xxhash64(F.col(at["doc_id"]), F.lit(1))).withColumn("_row", F.xxhash64(*plain))
     cells = save_shared(named.groupBy(F.col("_key").alias("key"), F.col("_size").alias("size")).agg(F.count("*").alias("n")), "mix-cells")
     goals = targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total")))
     x = balance(cells, goals)
@@ -130,7 +132,7 @@ def mix(docs: DataFrame) -> DataFrame:
     ranked = dealt.withColumn("_place", place).join(parts, ["key", "size", "_salt"])
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("_place") <= F.col("quota")).cast("long")).otherwise(F.lit(0)).cast("long")
     return ranked.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("size").alias("_words"), F.col("total").cast("long").alias("_source_words"),
+        *[F.col(c).alias(name) for name, c in at.items()], F.col("size").alias("_words"), F.col("total").cast("long").alias("_source_words"),
         F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.least(F.lit(MOST).cast("long"), copies).alias("_copies"),
     )
 

@@ -65,7 +65,7 @@ def split_prefixes(docs: DataFrame, window: int, size: int, parts: int) -> np.nd
 
     A prefix above the limit must reach the limit's share in some slice, so slices report only those.
     """
-    n_slices = size // SLICE_BYTES + parts
+    n_slices = max(1, size // SLICE_BYTES + parts)
     limit = max(SUBTREE, size // 6 // 10_000)
     counted = docs.mapInArrow(partial(_count_prefixes, window=window, least=max(2, limit // n_slices)), "prefix long, n long")
     rows = counted.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > limit // 2).select("prefix").collect()
