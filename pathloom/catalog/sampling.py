@@ -19,13 +19,13 @@ from pathloom.plans.training import training_examples
 
 @query("sample_negatives", "user_id:i seq_no:i item_seq:a neg_item:a", f"""
 WITH {FREE_SQL} SELECT user_id, seq_no, item_seq, list_transform(range(1, len), lambda p: {walk_sql(42, 'p')}) AS neg_item
-FROM free WHERE len >= 2 AND free > 0""")
+FROM free""")
 def _(spark, sf):
     return negatives.sample_negatives(windows_a(spark, sf), item_top(spark, sf), draw="arithmetic")
 
 
 @query("sample_negatives_hashed", "windows:i drawn:i inside:i out_of_range:i", f"""
-WITH {FREE_SQL} SELECT count(*) AS windows, sum(len - 1) AS drawn, 0 AS inside, 0 AS out_of_range FROM free WHERE len >= 2 AND free > 0""")
+WITH {FREE_SQL} SELECT count(*) AS windows, sum(len - 1) AS drawn, 0 AS inside, 0 AS out_of_range FROM free""")
 def _(spark, sf):
     """The hash draw, checked by its properties: none inside the window, all in range."""
     top = item_top(spark, sf)
@@ -198,7 +198,7 @@ def _(spark, sf):
 WITH {FREE_SQL} SELECT user_id, seq_no, list_concat(list_resize([]::INTEGER[], 20 - len, 0), item_seq) AS item_seq,
   list_concat(list_resize([]::BIGINT[], 21 - len, 0), list_transform(range(1, len), lambda p: {walk_sql(42, 'p')})) AS neg_item,
   list_concat(list_resize([]::INTEGER[], 20 - len, 0), list_resize([]::INTEGER[], len - 1, 1)) AS masked_index
-FROM free WHERE len >= 2 AND free > 0""")
+FROM free""")
 def _(spark, sf):
     """The whole path from events to padded training examples."""
     return training_examples(

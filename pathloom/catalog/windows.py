@@ -111,7 +111,7 @@ def _(spark, sf):
 @query("sort_multi", "c_custkey:i c_mktsegment:s c_acctbal:d",
        "SELECT * FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
 def _(spark, sf):
-    return ranking.sort_multi(table(spark, sf, "customer"), ["c_mktsegment", "c_acctbal"], [True, False], ["c_custkey"])
+    return ranking.sort_multi(table(spark, sf, "customer"), ("c_mktsegment", "asc"), ("c_acctbal", "desc"), tie=["c_custkey"])
 
 
 @query("top_k_items", "user_id:i item_id:i score:d rank:i",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,33 +72,32 @@ def split_long_recent(column: Column, long_count: int, recent_count: int) -> tup
     return checked(F.slice(column, 1, long_count)), checked(F.slice(column, -recent_count, recent_count))
 
 
-def check_insert_plan(plan: Sequence[tuple[int, int]], marker_count: int) -> None:
-    if sum(k for _, k in plan) != marker_count:
+def _cuts(plan: Sequence[tuple[int, int]], marker_count: int) -> tuple[list[int], list[int]]:
+    """Places where a window is cut, and how many markers stand before each of the pieces."""
+    before = [0, *accumulate(k for _, k in plan)]
+    if before[-1] != marker_count:
         raise ValueError(f"insert plan {list(plan)} does not add up to {marker_count} markers")
+    return [0, *(at for at, _ in plan)], before
 
 
 def insert_placeholders(
     column: Column, plan: Sequence[tuple[int, int]], marker_count: int, marker: int = -1
 ) -> Column:
-    """Put ``k`` markers in front of the element at each 0-based offset of ``plan``."""
-    check_insert_plan(plan, marker_count)
-    pieces, done = [], 0
-    for offset, k in plan:
-        pieces += [F.slice(column, done + 1, offset - done), F.array_repeat(F.lit(marker), k)]
-        done = offset
-    pieces.append(F.slice(column, done + 1, F.greatest(F.size(column) - done, F.lit(0))))
-    return F.concat(*pieces)
+    """Put ``k`` markers in front of the element at each 0-based offset of ``plan``; an offset beyond the window is an error."""
+    cuts, _ = _cuts(plan, marker_count)
+    size = F.size(column)
+    pieces = [F.slice(column, a + 1, b - a) for a, b in pairwise(cuts)] + [F.slice(column, cuts[-1] + 1, F.greatest(size - cuts[-1], F.lit(0)))]
+    markers = [F.array_repeat(F.lit(marker), k) for _, k in plan]
+    whole = F.concat(pieces[0], *[c for pair in zip(markers, pieces[1:], strict=True) for c in pair])
+    beyond = F.raise_error(F.concat(F.lit(f"insert plan reaches {max(cuts)}, window holds "), size.cast("string")))
+    return F.when(size < max(cuts), beyond.cast("array<int>")).otherwise(whole)
 
 
 def segment_bounds(length: Column, plan: Sequence[tuple[int, int]], marker_count: int) -> Column:
     """Inclusive 0-based (first, last) of every stretch of items between the markers."""
-    check_insert_plan(plan, marker_count)
-    bounds, start, shift = [], 0, 0
-    for offset, k in plan:
-        bounds.append((F.lit(start), F.lit(shift + offset - 1)))
-        shift += k
-        start = offset + shift
-    bounds.append((F.lit(start), length + (marker_count - 1)))
+    cuts, before = _cuts(plan, marker_count)
+    ends = [*(F.lit(c) for c in cuts[1:]), length]
+    bounds = [(F.lit(c + m), end + (m - 1)) for c, end, m in zip(cuts, ends, before, strict=True)]
     return F.array(*[F.struct(a.cast("int").alias("first"), b.cast("int").alias("last")) for a, b in bounds])
 
 

@@ -78,7 +78,7 @@ def filter_min_history(df: DataFrame, column: str, least: int = 10, user: str =
     if "segment" not in df.columns:
         return df.filter(F.size(column) >= least)
     lengths = df.groupBy(user).agg(F.sum(F.size(column)).alias("_n")).filter(F.col("_n") >= least)
-    return df.join(lengths.select(user), user, "left_semi")
+    return df.join(lengths.select(F.col(user).alias("_u")), F.col(user).eqNullSafe(F.col("_u")), "left_semi")
 
 
 def attach_counts(df: DataFrame, keys: Mapping[str, str], frequent: Mapping[str, list] | None = None) -> DataFrame:

@@ -282,24 +282,22 @@ TABLES: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 def check_request(metrics: Sequence[str], topk: int | Sequence[int] | None) -> tuple[list[str], list[int]]:
-    names = [m.lower() for m in ([metrics] if isinstance(metrics, str) else metrics)]
-    for name in names:
-        if name not in METRICS:
-            raise NotImplementedError(f"there is no metric named {name!r}")
-    if len({METRICS[n].kind for n in names}) > 1:
-        raise RuntimeError("ranking metrics and value metrics cannot be used at the same time")
-    if topk is None:
-        ks = []
-    elif isinstance(topk, int):
-        ks = [topk]
-    elif isinstance(topk, (list, tuple)):
-        ks = list(topk)
-    else:
-        raise TypeError(f"topk must be an integer or a list, got {topk!r}")
-    for k in ks:
-        if k <= 0:
-            raise ValueError(f"topk must hold positive integers, got {k}")
-    return names, ks
+    """Metric names in lower case and the list of cutoffs, if the ``Metric`` records can serve them together."""
+    cutoffs = list(topk) if isinstance(topk, (list, tuple)) else [] if topk is None else [topk]
+    odd = [k for k in cutoffs if not isinstance(k, int) or isinstance(k, bool)]
+    if odd:
+        raise TypeError(f"cutoffs are whole numbers, not {odd}")
+    if min(cutoffs, default=1) < 1:
+        raise ValueError(f"cutoffs start at 1: {cutoffs}")
+    wanted = [metrics] if isinstance(metrics, str) else list(metrics)
+    records = {name.lower(): METRICS.get(name.lower()) for name in wanted}
+    unknown = sorted(name for name, record in records.items() if record is None)
+    if unknown:
+        raise NotImplementedError(f"not among the metrics: {unknown}")
+    kinds = {record.kind for record in records.values()}
+    if len(kinds) > 1:
+        raise RuntimeError(f"one evaluation serves one kind of metric, not {sorted(kinds)}")
+    return list(records), cutoffs
 
 
 def evaluate(

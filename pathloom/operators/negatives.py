@@ -29,11 +29,14 @@ def sample_negatives(windows: DataFrame, item_count: int, seed: int = 42, draw:
     """``neg_item``: one item outside the window for each of its ``size - 1`` targets.
 
     One draw among the unseen items, then a walk over the sorted window: no rejection loop.
-    Windows that hold every item have nothing to draw from and are left out.
+    A window of one item has no targets and no negatives; one that holds every item gets padding (0).
     """
-    rows = _seen(windows.filter(F.size("item_seq") >= 2), item_count).filter(F.col("_free") > 0)
-    places = F.sequence(F.lit(1), F.size("item_seq") - 1)
-    return rows.withColumn("neg_item", F.transform(places, lambda p: _draw(seed, draw, p))).drop("_seen", "_free")
+    rows = _seen(windows, item_count)
+    drawn = F.transform(F.sequence(F.lit(1), F.size("item_seq") - 1), lambda p: _draw(seed, draw, p))
+    targets = F.greatest(F.size("item_seq") - 1, F.lit(0))
+    padding = F.array_repeat(F.lit(0), targets)
+    negatives = F.when((targets > 0) & (F.col("_free") > 0), drawn).otherwise(padding)
+    return rows.withColumn("neg_item", negatives).drop("_seen", "_free")
 
 
 def shared_count(num_negatives: int, workers: int, batch: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.skew import frequent_keys, lookup, positions
@@ -40,8 +40,10 @@ def average_rank(
         tied = Window.partitionBy(user, "score")  # within the shuffle by user
         middle = (F.min("_place").over(tied) + F.max("_place").over(tied)) / 2
         return placed.withColumn("avg_rank", middle).drop("_place")
-    ties = placed.groupBy(user, "score").agg(((F.min("_place") + F.max("_place")) / 2).alias("avg_rank"))
-    return lookup(scored, ties, [user, "score"], "inner", min_rows=min_rows)
+    # A text key, which a null user or score has too; adding zero makes both zeros one.
+    tie = F.to_json(F.struct(F.col(user), (score + F.lit(0.0)).alias("score")))
+    ties = placed.groupBy(tie.alias("_tie")).agg(((F.min("_place") + F.max("_place")) / 2).alias("avg_rank"))
+    return lookup(scored.withColumn("_tie", tie), ties, "_tie", "inner", min_rows=min_rows).drop("_tie")
 
 
 def mark_positives(recs: DataFrame, targets: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -68,14 +70,10 @@ def running_hits(recs: DataFrame, user: str = "user_id") -> DataFrame:
     return recs.withColumn("hits_so_far", F.sum("hit").over(down))
 
 
-def sort_multi(
-    df: DataFrame, by: Sequence[str], ascending: Sequence[bool] | bool = True, tie: Sequence[str] = ()
-) -> DataFrame:
-    """A stable sort on several keys with a direction per key."""
-    directions = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
-    if len(directions) == 1:
-        directions = directions * len(by)
-    if len(directions) != len(by):
-        raise ValueError(f"by {list(by)} and ascending {directions} must have the same length")
-    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(by, directions)]
-    return df.orderBy(*order, *[F.col(c).asc() for c in tie])
+def sort_multi(df: DataFrame, *keys: tuple[str, str], tie: Sequence[str] = ()) -> DataFrame:
+    """Rows ordered by ``(column, "asc" | "desc")`` pairs, then by the ``tie`` columns ascending."""
+    way = {"asc": Column.asc, "desc": Column.desc}
+    odd = [direction for _, direction in keys if direction not in way]
+    if odd:
+        raise ValueError(f"a direction is 'asc' or 'desc', not {odd}")
+    return df.orderBy(*[way[direction](F.col(name)) for name, direction in [*keys, *((name, "asc") for name in tie)]])

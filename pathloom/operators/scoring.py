@@ -208,13 +208,14 @@ def full_sort_scores(
 
 
 def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """``target_score`` of each distinct (user, target); minus infinity if the target is suppressed."""
+    """``target_score`` of each distinct (user, target); minus infinity if it is suppressed or has no vector."""
     pairs = targets.select("user_id", "item_id").distinct()
     # A popular item may be the target of a large share of all users, so both joins are skew-aware.
     hot_users, hot_items = frequent_keys(pairs, "user_id"), frequent_keys(pairs, "item_id")
-    scored = lookup(pairs, items.withColumnRenamed("vector", "_i"), "item_id", "inner", frequent=hot_items)
+    scored = lookup(pairs, items.withColumnRenamed("vector", "_i"), "item_id", "left", frequent=hot_items)
     scored = lookup(scored, users.withColumnRenamed("vector", "_u"), "user_id", "inner", frequent=hot_users)
-    score = F.round(dot(F.col("_u"), F.col("_i")), SCORE_PLACES)
+    # A target without a vector ranks behind all candidates, as a suppressed one does.
+    score = F.when(F.col("_i").isNull(), F.lit(float("-inf"))).otherwise(F.round(dot(F.col("_u"), F.col("_i")), SCORE_PLACES))
     if seen is None:
         return scored.select("user_id", "item_id", score.alias("target_score"))
     known = seen.select("user_id", "item_id").distinct().withColumn("_seen", F.lit(True))

@@ -74,7 +74,7 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` with ``right`` (unique by ``on``), spreading frequent keys over many tasks.
 
-    Rows of a frequent key get a salt from a hash of the row, and the single matching row of
+    Rows of a frequent key get a salt from their place, and the single matching row of
     ``right`` is copied once per salt.  Rows with a frequent null key find no match but are
     spread as well.  Without frequent keys this is the plain join.  Several key columns must
     have the same types on both sides.
@@ -89,7 +89,8 @@ def lookup(
 
     width = slots(left.sparkSession)
     hot = is_frequent(keys, frequent)
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(width)).cast("int")
+    # A row number in its partition: reads no column, and spreads equal rows as well.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(width)).cast("int")
     salted = left.withColumn("_salt", F.when(hot, salt).otherwise(F.lit(0)))
     last = F.when(hot, F.lit(width - 1)).otherwise(F.lit(0))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))

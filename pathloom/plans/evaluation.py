@@ -50,9 +50,14 @@ def evaluate_vectors(
     """``metric, value`` for ranking metrics, computing only what the chosen metrics need."""
     names, ks = check_request(metrics, topk)
     tables = {METRICS[n].table for n in names}
-    # Each is read by several steps below: compute once, share as tables.
-    users, items = save_shared(users, "users"), save_shared(items, "items")
-    targets = save_shared(targets.select("user_id", "item_id").distinct(), "targets")
+    if not ks:
+        raise ValueError("evaluate_vectors needs at least one cutoff in topk")
+    # Each is read by several steps below: compute once, share as tables.  Whatever is asked, the users
+    # evaluated are those with a vector and a target, with all their targets.
+    targets = targets.select("user_id", "item_id").distinct()
+    users = save_shared(users.join(targets.select("user_id").distinct(), "user_id", "left_semi"), "users")
+    targets = save_shared(targets.join(users.select("user_id"), "user_id", "left_semi"), "targets")
+    items = save_shared(items, "items")
     if seen is not None:
         seen = save_shared(seen.select("user_id", "item_id").distinct(), "seen")
     given: dict = {"popularity": popularity, "item_count": item_count}

@@ -17,6 +17,8 @@ def build_session(app: str = "pathloom", cores: str = "*", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # One machine: a local folder is shared.  A folder named by spark.checkpoint.dir comes first.
+        .config("spark.pathloom.folder", os.path.join(tempfile.gettempdir(), "pathloom-shared"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -36,16 +38,10 @@ def slots(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (a bare local session) a local folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir`` (or ``spark.pathloom.folder``)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pathloom.folder", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "pathloom-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir (or spark.pathloom.folder) to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

@@ -186,6 +186,6 @@ def test_suppression_and_tail_of_pipeline(world):
 
 def test_sort_multi_checks_lengths(world):
     with pytest.raises(ValueError):
-        ranking.sort_multi(world["seen"], ["user_id", "item_id"], [True, False, True])
-    first = ranking.sort_multi(world["seen"], ["user_id", "item_id"], [False, True]).first()
+        ranking.sort_multi(world["seen"], ("user_id", "up"))
+    first = ranking.sort_multi(world["seen"], ("user_id", "desc"), ("item_id", "asc")).first()
     assert first["user_id"] == USERS

@@ -39,9 +39,11 @@ def test_draws_repeat_for_a_seed_and_reach_every_item(windows):
     assert {x for r in one for x in r["neg_item"]} == set(range(1, 13))
 
 
-def test_window_with_every_item_gives_no_row(spark):
+def test_window_with_every_item_gets_padding(spark):
     full = spark.createDataFrame([(1, 0, [1, 2, 3, 3])], "user_id int, seq_no int, item_seq array<int>")
-    assert negatives.sample_negatives(full, 3).count() == 0
+    assert negatives.sample_negatives(full, 3).first()["neg_item"] == [0, 0, 0]
+    single = spark.createDataFrame([(1, 0, [2])], "user_id int, seq_no int, item_seq array<int>")
+    assert negatives.sample_negatives(single, 3).first()["neg_item"] == []
     assert negatives.left_pad_negatives(full, 6, 3).first()["item_seq"] == [0, 0, 1, 2, 3, 3]
 
 
