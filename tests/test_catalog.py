@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from pathloom.catalog import load_catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = load_catalog()  # the text queries have tests of their own
 
 
 @pytest.fixture(scope="module")
