@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array, tool_calls
+from pathloom.llm.oracles import ORACLES  # noqa: F401  read by the driver contract
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -87,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_suffix_array_dedup, op7_decontamination, op8_chat_formatting, op9_language_model, op10_pii_sanitisation,
     )
 }
-ORACLES: dict[str, str] = {}
