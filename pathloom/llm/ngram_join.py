@@ -10,7 +10,9 @@ prefix of one order and pass the bitmaps of the prefixes of the others before th
 2. Each n-gram of a prefix links its classes to its smallest class: a number of pairs linear in the
    index.  Links are verified on the whole sets and closed to components.
 3. Only classes under one n-gram that are still in different components are paired and verified, so
-   no link between components is lost and a large family of copies is not paired out.
+   no link between components is lost and a large family of copies is not paired out.  A pair counts
+   under its first common n-gram: all it has in common stands there or later in both.  The parity of
+   the sets bounds the n-grams that only one of them has.
 
 Cases: null or empty text has an empty set and links with nothing; a text with fewer than n words is
 one n-gram; rows with the same id and different text are documents of their own; a null id never names
@@ -35,7 +37,8 @@ WORDS = 5
 THRESHOLD = 80  # percent
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # hash seeds of the further orders
 STAR_ROUNDS = 2
-_BITS = 256  # width of a prefix bitmap
+_BITS = 128  # width of a prefix bitmap
+_PARITY_BITS = 256  # width of the parity of all shared n-grams
 
 
 def _sets(docs: Slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,13 +119,21 @@ def _bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """Bits that differ between two sets are at most as many as the n-grams that only one of them has."""
+    counts = np.bincount(((grams >> np.uint64(32)) % np.uint64(_PARITY_BITS)).astype(np.int64), minlength=_PARITY_BITS)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 _MAPS = [f"map_{i}" for i in range(len(ORDERS) * _BITS // 64)]
-INDEX = "gram long, node long, n long, m long, k long, central double, " + ", ".join(f"{c} long" for c in _MAPS)
+_PARITY = [f"parity_{i}" for i in range(_PARITY_BITS // 64)]
+_INDEX = ["gram", "node", "n", "m", "k", *_MAPS, *_PARITY]
+INDEX = ", ".join(f"{c} long" for c in _INDEX) + ", central double"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], seeds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Index rows of the first order: n-gram, class, set size n, shared n-grams m, place k among these,
-    how widely the class is shared, and bitmaps of its prefixes under the other orders."""
+    bitmaps of its prefixes under the other orders, the parity of its shared n-grams, and how widely it is shared."""
     for rows in batches:
         out: list[tuple[np.ndarray, ...]] = []
         for node, n, room, grams, sizes in zip(
@@ -135,14 +146,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], seeds: tuple[int, ...]) -> Iter
             first = gram[np.lexsort((gram, size))[:room]].view(np.int64)
             band = rarity.astype(np.int8)
             maps = np.concatenate([_bitmap(gram[np.lexsort((mix(gram ^ np.uint64(s)), band))[:room]]) for s in seeds])
-            same = np.array([[node, n, len(gram)]], np.int64)
-            whole = np.concatenate((first[:, None], np.repeat(same, len(first), 0), np.arange(len(first))[:, None], np.repeat(maps[None], len(first), 0)), axis=1)
-            out.append((whole, np.full(len(first), rarity.sum() / n)))
+            same = np.concatenate(([node, n, len(gram)], maps, _parity(gram)))
+            whole = np.repeat(np.insert(same, 3, 0)[None], len(first), 0)
+            whole[:, 3] = np.arange(len(first))
+            out.append((np.concatenate((first[:, None], whole), axis=1), np.full(len(first), rarity.sum() / n)))
         if out:
             table, central = (np.concatenate(x) for x in zip(*out, strict=True))
-            names = ["gram", "node", "n", "m", "k", *_MAPS]
-            columns = {c: table[:, i] for i, c in enumerate(names)} | {"central": central}
-            yield batch(**{c: columns[c] for c in ("gram", "node", "n", "m", "k", "central", *_MAPS)})
+            yield batch(**{c: table[:, i] for i, c in enumerate(_INDEX)}, central=central)
 
 
 class _Join:
@@ -155,19 +165,22 @@ class _Join:
         self.sets = save_shared(sets.filter("room > 0"), "ngram-sets")
         self.index = save_shared(self.sets.mapInArrow(partial(_prefixes, seeds=ORDERS), INDEX), "ngram-index")
 
-    def _candidates(self, left: DataFrame, right: DataFrame, where: str = "true") -> DataFrame:
-        """Distinct pairs a < b that share a prefix n-gram and pass the bounds of size and place and the
-        prefixes of the further orders."""
+    def _candidates(self, left: DataFrame, right: DataFrame, where: str, first: bool = False) -> DataFrame:
+        """Distinct pairs a < b that share a prefix n-gram and pass the bounds of size, place and parity and
+        the prefixes of the further orders; with ``first`` only under an n-gram that can be their first in common."""
         t = self.threshold
         x = left.select("gram", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "gram"])
         y = right.select("gram", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "gram"])
-        # At most this many n-grams in common: those before the shared one, itself, and those after it.
-        bound = "least(x_k, y_k) + least(x_m - x_k, y_m - y_k)"
+        # At most this many n-grams in common: the shared one and those after it; those before it unless it is the first.
+        after = "least(x_m - x_k, y_m - y_k)"
+        bound = after if first else f"least(x_k, y_k) + {after}"
+        differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in _PARITY)
         each = [_MAPS[i : i + _BITS // 64] for i in range(0, len(_MAPS), _BITS // 64)]
         meet = " AND ".join("(" + " | ".join(f"(x_{c} & y_{c})" for c in cs) + ") <> 0" for cs in each)
         pairs = x.join(y, "gram").filter(
             f"x_node <> y_node AND 100 * x_n >= {t} * y_n AND 100 * y_n >= {t} * x_n "
-            f"AND {100 + t} * ({bound}) >= {t} * (x_n + y_n) AND {meet} AND ({where})"
+            f"AND {100 + t} * ({bound}) >= {t} * (x_n + y_n) AND {100 + t} * (x_m + y_m - ({differ})) >= {2 * t} * (x_n + y_n) "
+            f"AND {meet} AND ({where})"
         )
         return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
@@ -195,8 +208,10 @@ class _Join:
             parts, largest = self._parts(found)
             # Under an n-gram whose classes are not all connected: the others against the largest part.
             open_rows = save_shared(parts.join(largest, "gram").filter("part <> largest").drop("largest"), "ngram-open")
-        every = parts.join(open_rows.select("gram").distinct(), "gram", "left_semi")
-        more = self._verified(self._candidates(open_rows, every, "x_part <> y_part"))
+        # Two classes outside the largest part meet twice here; the smaller one brings the pair.
+        every = parts.join(largest, "gram")
+        where = "x_part <> y_part AND (y_part = y_largest OR x_node < y_node)"
+        more = self._verified(self._candidates(open_rows, every, where, first=True))
         return components(links.unionByName(more))
 
     def _parts(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
