@@ -104,10 +104,11 @@ def _(spark, sf):
 
 @query("attach_popularity", "user_id:i item_id:i rank:i popularity:i", f"""
 WITH {HABIT} SELECT r.user_id, r.item_id, r.rank, coalesce(p.n, 0) AS popularity FROM recs r
-LEFT JOIN (SELECT * FROM popularity WHERE n >= 90) p USING (item_id)""")
+LEFT JOIN (SELECT item_id, count(*) AS n FROM placed WHERE pos > placed.n - 5 GROUP BY item_id) p USING (item_id)""")
 def _(spark, sf):
-    """Items with under 90 interactions are left out of the table, so the default shows."""
-    return metrics.attach_popularity(habit_recs(spark, sf), train_popularity(spark, sf).filter(F.col("n") >= 90))
+    """Popularity among the users' last five events: items that none of these holds get the default."""
+    late = placed_a(spark, sf).filter(F.col("pos") > F.col("n") - 5)
+    return metrics.attach_popularity(habit_recs(spark, sf), late.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("semi_tail_items", "user_id:i item_id:i rank:i is_tail:i", f"""

@@ -137,34 +137,37 @@ def _(spark, sf):
 
 
 PLAN, MARKERS = [(5, 2), (12, 1)], 3
-FULL = f"SELECT user_id, seq_no, item_seq FROM windows WHERE len = {WINDOW}"
+PADDED = f"SELECT user_id, seq_no, len, list_concat(list_resize([]::INTEGER[], {WINDOW} - len, 0), item_seq) AS item_seq FROM windows"
+
+
+def padded_a(spark, sf):
+    """All training windows of log A, filled on the left."""
+    return windows_a(spark, sf).withColumn("item_seq", arrays.left_pad(F.col("item_seq"), WINDOW))
 
 
 @query("insert_placeholders", "user_id:i seq_no:i item_seq:a", f"""
 WITH {WINDOWS_A} SELECT user_id, seq_no, list_concat(list_concat(list_concat(list_slice(item_seq, 1, 5), [-1, -1]),
-  list_concat(list_slice(item_seq, 6, 12), [-1])), list_slice(item_seq, 13, {WINDOW})) AS item_seq FROM ({FULL})""")
+  list_concat(list_slice(item_seq, 6, 12), [-1])), list_slice(item_seq, 13, {WINDOW})) AS item_seq FROM ({PADDED})""")
 def _(spark, sf):
-    """Two markers before place 5, one before place 12 of full windows."""
-    full = windows_a(spark, sf).filter(F.size("item_seq") == WINDOW)
-    return full.withColumn("item_seq", arrays.insert_placeholders(F.col("item_seq"), PLAN, MARKERS))
+    """Two markers before place 5, one before place 12 of padded windows."""
+    return padded_a(spark, sf).withColumn("item_seq", arrays.insert_placeholders(F.col("item_seq"), PLAN, MARKERS))
 
 
 @query("segment_bounds", "user_id:i seq_no:i first:i last:i", f"""
 WITH {WINDOWS_A} SELECT user_id, seq_no, b[1] AS first, b[2] AS last FROM (
-  SELECT user_id, seq_no, unnest([[0, 4], [7, 13], [15, {WINDOW + 2}]]) AS b FROM ({FULL}))""")
+  SELECT user_id, seq_no, unnest([[0, 4], [7, 13], [15, {WINDOW + 2}]]) AS b FROM ({PADDED}))""")
 def _(spark, sf):
-    full = windows_a(spark, sf).filter(F.size("item_seq") == WINDOW)
     bounds = arrays.segment_bounds(F.size("item_seq"), PLAN, MARKERS)
-    return full.select("user_id", "seq_no", F.inline(bounds))
+    return padded_a(spark, sf).select("user_id", "seq_no", F.inline(bounds))
 
 
 @query("loss_mask", "user_id:i seq_no:i all_items:a recent_items:a", f"""
-WITH {WINDOWS_A} SELECT user_id, seq_no, list_transform(range(0, {WINDOW + 3}), lambda i:
-    CASE WHEN i BETWEEN 0 AND 4 OR i BETWEEN 7 AND 13 OR i >= 15 THEN 1 ELSE 0 END) AS all_items,
-  list_transform(range(0, {WINDOW + 3}), lambda i: CASE WHEN i >= 15 THEN 1 ELSE 0 END) AS recent_items FROM ({FULL})""")
+WITH {WINDOWS_A} SELECT user_id, seq_no, list_transform(range(0, {WINDOW + 3}), lambda i: CASE WHEN
+    i <= 4 AND i >= {WINDOW} - len OR i BETWEEN 7 AND 13 AND i - 2 >= {WINDOW} - len OR i >= 15 AND i - 3 >= {WINDOW} - len
+    THEN 1 ELSE 0 END) AS all_items,
+  list_transform(range(0, {WINDOW + 3}), lambda i: CASE WHEN i >= 15 AND i - 3 >= {WINDOW} - len THEN 1 ELSE 0 END) AS recent_items FROM ({PADDED})""")
 def _(spark, sf):
-    full = windows_a(spark, sf).filter(F.size("item_seq") == WINDOW)
-    rows = full.select(
+    rows = padded_a(spark, sf).select(
         "user_id", "seq_no",
         arrays.insert_placeholders(arrays.real_item_mask(F.col("item_seq")), PLAN, MARKERS, marker=1).alias("mask"),
         arrays.segment_bounds(F.size("item_seq"), PLAN, MARKERS).alias("bounds"),
@@ -186,12 +189,11 @@ def _(spark, sf):
 
 
 @query("item_dropout", "user_id:i seq_no:i mask:a", f"""
-WITH {WINDOWS_A} SELECT user_id, seq_no, list_transform(range(0, {WINDOW}), lambda i: CASE WHEN i >= 8 AND
-  ((42 + user_id * 7919 + seq_no * 104729 + i * 1299709) % 1000003) / 1000003.0 < 0.3 THEN 0 ELSE 1 END) AS mask FROM ({FULL})""")
+WITH {WINDOWS_A} SELECT user_id, seq_no, list_transform(range(0, {WINDOW}), lambda i: CASE WHEN i < {WINDOW} - len OR i >= 8 AND
+  ((42 + user_id * 7919 + seq_no * 104729 + i * 1299709) % 1000003) / 1000003.0 < 0.3 THEN 0 ELSE 1 END) AS mask FROM ({PADDED})""")
 def _(spark, sf):
-    """Three in ten of the recent items of full windows are masked out."""
-    full = windows_a(spark, sf).filter(F.size("item_seq") == WINDOW)
-    return negatives.item_dropout(full, arrays.real_item_mask(F.col("item_seq")), 8, 0.3, draw="arithmetic")
+    """Three in ten of the recent items are masked out; padding stays masked."""
+    return negatives.item_dropout(padded_a(spark, sf), arrays.real_item_mask(F.col("item_seq")), 8, 0.3, draw="arithmetic")
 
 
 @query("explode_parallel", "user_id:i item_id:i event_time:i value:d",
@@ -220,15 +222,19 @@ def _(spark, sf):
     return pairs
 
 
-@query("pad_ragged_scores", "user_id:i filled:i missing:i total:d", f"""
-WITH {HABIT} SELECT user_id, count(*) AS filled, 24 - count(*) AS missing, sum(score) AS total FROM recs GROUP BY user_id""")
+@query("pad_ragged_scores", "user_id:i filled:i missing:i total:d shown:a", f"""
+WITH {HABIT} SELECT user_id, count(*) AS filled, 24 - count(*) AS missing, sum(score) AS total,
+  list_concat(list(CAST(score AS VARCHAR) ORDER BY rank), list_resize([]::VARCHAR[], 24 - count(*), '-inf')) AS shown
+FROM recs GROUP BY user_id""")
 def _(spark, sf):
-    lists = habit_recs(spark, sf).groupBy("user_id").agg(F.collect_list(F.col("score").cast("double")).alias("scores"))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", F.col("score").cast("double").alias("score"))))
+    lists = habit_recs(spark, sf).groupBy("user_id").agg(ranked["score"].alias("scores"))
     padded = lists.withColumn("scores", arrays.pad_scores(F.col("scores"), 24))
+    shown = F.transform("scores", lambda x: F.when(x == float("-inf"), "-inf").otherwise(x.cast("long").cast("string")))
     real = F.filter("scores", lambda x: x > float("-inf"))
     return padded.select(
         "user_id", F.size(real).alias("filled"), (F.size("scores") - F.size(real)).alias("missing"),
-        F.aggregate(real, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.aggregate(real, F.lit(0.0), lambda a, x: a + x).alias("total"), shown.alias("shown"),
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.catalog.registry import query
-from pathloom.catalog.tables import LOG_A, LOG_B, ORDER_A, PLACED_A, hot, log_a, log_b, table
-from pathloom.operators.clean import news_events, rename_columns
+from pathloom.catalog.tables import LOG_A, LOG_B, ORDER_A, PLACED_A, WINDOWS_A, hot, log_a, log_b, table, windows_a
+from pathloom.operators.clean import news_articles, news_events, rename_columns
 from pathloom.operators.history import build_history_arrays, build_item_table
 from pathloom.operators.splits import split_rows
 from pathloom.session import scratch_path
@@ -178,3 +178,21 @@ def _(spark, sf):
     histories = build_history_arrays(events, ["object_id", "event_time"], ["event_time", "pos"],
                                      frequent=hot(spark, sf, "a", "user_id"))
     return readers.read_table(spark, _saved(spark, histories))
+
+
+@query("news_articles", "article_id:i published_time:i last_modified_time:i", f"""
+WITH {LOG_A} SELECT item_id AS article_id, CAST(trunc(epoch(min(ts))) AS BIGINT) AS published_time,
+  CAST(trunc(epoch(max(ts))) AS BIGINT) AS last_modified_time FROM log_a GROUP BY item_id""")
+def _(spark, sf):
+    """Articles first and last seen in log A, their times in epoch seconds."""
+    times = [F.min("ts").alias("published_time"), F.max("ts").alias("last_modified_time")]
+    articles = log_a(spark, sf).groupBy(F.col("item_id").alias("article_id")).agg(*times)
+    return news_articles(readers.read_table(spark, _saved(spark, articles)))
+
+
+@query("read_sessions_csv", "items:a", f"WITH {WINDOWS_A} SELECT item_seq AS items FROM windows")
+def _(spark, sf):
+    """Windows of log A written as session lists in text, and read again."""
+    listed = F.concat(F.lit("['"), F.array_join(F.col("item_seq").cast("array<string>"), "' '"), F.lit("']"))
+    path = _saved(spark, windows_a(spark, sf).select(listed.alias("prev_items")), "csv")
+    return readers.read_sessions_csv(spark, path).select(readers.session_items(F.col("prev_items")).alias("items"))
