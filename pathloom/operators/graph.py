@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import frequent_keys, lookup
+from pathloom.operators.skew import lookup
 
 
 def interaction_edges(events: DataFrame, user_num: int) -> DataFrame:
@@ -27,8 +27,6 @@ def degree(edges: DataFrame) -> DataFrame:
 def attach_degrees(edges: DataFrame, degrees: DataFrame, frequent: list | None = None) -> DataFrame:
     """The degree of both ends; a node without edges counts as degree 1."""
     out = edges
-    if frequent is None:  # both directions are in the table, so both ends have the same frequent nodes
-        frequent = frequent_keys(edges, "src")
     for end in ("src", "dst"):
         table = degrees.select(F.col("node").alias(end), F.col("n").alias(f"{end}_degree"))
         out = lookup(out, table, end, frequent=frequent)
@@ -37,7 +35,9 @@ def attach_degrees(edges: DataFrame, degrees: DataFrame, frequent: list | None =
 
 def normalized_adjacency(events: DataFrame, user_num: int, frequent: list | None = None) -> DataFrame:
     """``src, dst, weight`` with weight ``1 / sqrt(degree(src)) / sqrt(degree(dst))``."""
-    edges = bidirectional_edges(interaction_edges(events, user_num))
-    with_degrees = attach_degrees(edges, degree(edges), frequent)
-    weight = (1 / F.sqrt("src_degree")) * (1 / F.sqrt("dst_degree"))
-    return with_degrees.select("src", "dst", weight.alias("weight"))
+    edges = interaction_edges(events, user_num)
+    with_degrees = attach_degrees(edges, degree(bidirectional_edges(edges)), frequent)
+    weight = ((1 / F.sqrt("src_degree")) * (1 / F.sqrt("dst_degree"))).alias("weight")
+    # The weight is the same both ways: only single edges are joined, the reverse is added last.
+    turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return with_degrees.select("src", "dst", weight).select(F.inline(F.array(F.struct("src", "dst", "weight"), turned)))

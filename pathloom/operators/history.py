@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import positions
+from pathloom.operators.skew import frequent_keys, positions
 
 SEGMENT_LENGTH = 65_536
 
@@ -132,7 +132,12 @@ def gap_to_next(events: DataFrame, time: str, order: Sequence[str], user: str =
 
     The next event is found by position, so a user with very many events is not read by one task.
     """
+    if skew.get("frequent") is None:
+        skew["frequent"] = frequent_keys(events, [user], skew.pop("min_rows", None))
     placed = positions(events, [user], [F.col(c) for c in order], **skew)
+    if not skew["frequent"]:  # the window that numbers the events has them together already
+        following = F.lead(time).over(Window.partitionBy(user).orderBy("pos"))
+        return placed.withColumn("gap", F.coalesce(following - F.col(time), F.lit(0)))
     block = 4096  # rows per window group; the first row of a block is copied into the one before
     home = F.floor((F.col("pos") - 1) / block)
     copies = F.when((F.col("pos") % block == 1) & (F.col("pos") > 1), F.array(home, home - 1)).otherwise(F.array(home))
