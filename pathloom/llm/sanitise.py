@@ -1,10 +1,11 @@
 """Personal data: pattern spans, and terms whose company gives a protected value away.
 
-Pattern matches (email, ip, card, phone) are the protected entities, by normalised value.  The words
-around a match are its context.  Over the whole corpus the number of documents of a term, of an entity
-and of both together give the share of a term's documents that name the entity and the normalised
-pointwise mutual information of the two.  A term seen with an entity in two documents or more whose share
-reaches a threshold discloses it: it is removed, or generalised where the disclosure is weaker.
+Pattern matches (email, ip, card, phone) are the protected entities, by normalised value.  The terms of a
+document are the words of its whole text outside the matches.  Over the whole corpus the number of
+documents of a term, of an entity and of both together give the share of a term's documents that name the
+entity and the normalised pointwise mutual information of the two.  A term seen with an entity in two
+documents or more whose share reaches a threshold discloses it: every occurrence of it, in every document,
+is removed, or generalised where the disclosure is weaker.
 
 All of it is built-in column functions: matches come from regexp_extract_all, their places from the
 lengths of the gaps that split leaves.  The patterns are written without backtracking (possessive), which
@@ -31,8 +32,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "general", "term")
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
-CONTEXT_WORDS = 6  # words on each side of a match
-_REACH = 160  # characters read for them
+SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
+FILTER_BITS = 1 << 23  # of the filters that keep other rows out of a shuffle
 MIN_DOCUMENTS = 2
 REMOVE_SHARE, GENERALISE_SHARE = 0.6, 0.3  # documents with the entity, of the term's documents
 MIN_NPMI = 0.6
@@ -93,66 +95,109 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans(kind, *rule) for kind, rule in enumerate(rules)]))
 
 
-def _terms(piece: Column, offset: Column, last: bool) -> Column:
-    """Whole words of a context piece with their places: the last or first CONTEXT_WORDS of them."""
-    words = _placed(*_found(piece, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++(?=[\x20\x09-\x0D])", F.lit(True)))
-    near = F.slice(words, -CONTEXT_WORDS, CONTEXT_WORDS) if last else F.slice(words, 1, CONTEXT_WORDS)
-    near = F.when(F.size(words) > CONTEXT_WORDS, near).otherwise(words)
-    near = F.filter(near, lambda w: w["value"].rlike(TERM))
-    return F.transform(near, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(F.regexp_replace(w["value"], "[.,;:!?]+$", "")).alias("term")))
-
-
-def _contexts(spans: DataFrame) -> DataFrame:
-    """(doc_id, part, entity, start, end, term) of the words around each base span."""
-    s = spans.select("doc_id", "part", "text", F.explode("base").alias("s")).select("doc_id", "part", "text", "s.*")
-    low = F.greatest(F.lit(0), F.col("start") - _REACH)
-    # A blank in front and behind stands for the ends of the text; a cut-off word has none and is left out.
-    left = F.concat(F.when(low == 0, " ").otherwise("x"), F.substring(F.col("text"), low + 1, F.col("start") - low))
-    right = F.substring(F.col("text"), F.col("end") + 1, F.lit(_REACH))
-    ends = F.length(right) < _REACH
-    right = F.concat(F.lit("x"), right, F.when(ends, " ").otherwise(""))
-    words = F.concat(_terms(left, low - 1, True), _terms(right, F.col("end") - 1, False))
-    return s.select("doc_id", "part", "entity", F.explode(words).alias("w")).select("doc_id", "part", "entity", "w.*")
-
-
-def disclosing_terms(documents: DataFrame, contexts: DataFrame, protected: DataFrame) -> DataFrame:
-    """(entity, term, kind): terms that reveal an entity, from document counts over the whole corpus."""
-    n_docs = documents.count()
-    words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    words = F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, "[.,;:!?]+$", "")))
-    per_term = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    per_entity = protected.select("doc_id", "part", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = contexts.select("doc_id", "part", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = both.filter(F.col("n_both") >= MIN_DOCUMENTS)
-    scored = both.join(per_entity, "entity").join(per_term, "term").withColumn("share", F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks in the places of its base spans; all other places stay as they are."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state, s):
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(state["at"], s["start"]))
+        end = F.greatest(state["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.when(s["start"] > state["at"], gap).otherwise(""), blank).alias("out"))
+
+    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, zero, step, rest))
+
+
+def _term(word: Column) -> Column:
+    """The term that a word counts as; null for one that is none."""
+    return F.when(word.rlike(TERM), F.lower(F.regexp_replace(word, "[.,;:!?]+$", "")))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_compact(F.array_distinct(F.transform(F.array_distinct(F.split(text, SPACE)), _term)))
+
+
+def _places(text: Column, known: Column) -> Column:
+    """(start, kind, end, entity) of every word whose term is a key of the map ``known``."""
+    found, gaps = _found(text, WORD, F.lit(True))
+    words = F.zip_with(
+        found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))),
+        lambda w, g: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), F.try_element_at(known, F.coalesce(_term(w), F.lit(""))).alias("kind")),
+    )
+    words = F.filter(words, lambda w: w["size"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+    def step(state, w):
+        start = state["at"] + w["gap"]
+        span = F.struct(start.alias("start"), w["kind"].alias("kind"), (start + w["size"]).alias("end"), F.lit("").alias("entity"))
+        spans = F.when(w["kind"].isNotNull(), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct((start + w["size"]).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(words, zero, step, lambda state: state["spans"])
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    """(word, bit in it) of a key in a filter of FILTER_BITS bits."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return F.floor(at / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
+def _only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``keys``; a filter of fixed size, which costs rows, not results."""
+    word, bit = _bit(F.col(column))
+    words = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    every = every.join(words, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    every = every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("_bits"))
+    every = save_shared(every, "private-filter")
+    return rows.join(F.broadcast(every), F.get("_bits", word).bitwiseAND(bit) != 0).drop("_bits")
+
+
+def disclosing_terms(texts: DataFrame) -> DataFrame:
+    """(entity, term, kind): terms that reveal an entity, from document counts over the whole corpus.
+
+    ``texts`` has a row per document: row (its key), base and the masked text.
+    """
+    n_docs = texts.count()
+    protected = texts.filter(F.size("base") > 0).select("row", F.explode(F.array_distinct("base.entity")).alias("entity"))
+    per_entity = protected.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= MIN_DOCUMENTS)
+    shared = protected.join(per_entity, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    # Pairs are counted inside each task before they are dealt by (entity, term).
+    both = texts.filter(F.size("base") > 0).join(shared, "row").select("entities", F.explode(_terms(F.col("text"))).alias("term"))
+    both = both.select(F.explode("entities").alias("e"), "term").groupBy("e.entity", "e.n_entity", "term").agg(F.count("*").alias("n_both"))
+    both = save_shared(both.filter(F.col("n_both") >= MIN_DOCUMENTS), "private-pairs")
+    per_term = _only(texts.select(F.explode(_terms(F.col("text"))).alias("term")), both.select("term"), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    scored = both.join(per_term, "term").withColumn("share", F.col("n_both") / F.col("n_term")).filter(F.col("share") >= GENERALISE_SHARE)
     bits = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_term") * F.col("n_entity")))
     most = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_both"))
-    scored = scored.withColumn("npmi", F.when(most > 0, bits / most).otherwise(0.0)).filter((F.col("npmi") >= MIN_NPMI) & (F.col("share") >= GENERALISE_SHARE))
+    scored = scored.withColumn("npmi", F.when(most > 0, bits / most).otherwise(0.0)).filter(F.col("npmi") >= MIN_NPMI)
     kind = F.when(F.col("share") >= REMOVE_SHARE, KINDS.index("term")).otherwise(KINDS.index("general"))
     return scored.select("entity", "term", kind.alias("kind"), "share", "npmi")
 
 
 def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their base spans, documents with their disclosing spans), told apart by id and text."""
+    """(documents with their base spans, rows with their disclosing spans); a row is told by id and text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("part", text_part())
-    base = source.withColumn("base", base_spans(F.col("text")))
-    near = save_shared(_contexts(base.filter(F.size("base") > 0)).distinct(), "private-contexts")
-    spans = save_shared(base.select("doc_id", "part", "base"), "private-spans")
-    protected = spans.select("doc_id", "part", F.explode("base.entity").alias("entity"))
-    known = disclosing_terms(source, near, protected)
-    extra = near.join(known, ["entity", "term"]).select("doc_id", "part", F.struct("start", "kind", "end", F.lit("").alias("entity")).alias("s"))
-    extra = extra.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set("s")).alias("extra"))
-    return spans, extra
+    source = source.withColumn("part", text_part()).withColumn("row", F.xxhash64("doc_id", "text")).withColumn("base", base_spans(F.col("text")))
+    spans = save_shared(source.withColumn("text", _masked(F.col("text"), F.col("base"))), "private-texts")
+    texts = spans.select("row", "base", "text")
+    if not spans.groupBy("row").count().filter("count > 1").isEmpty():  # a repeated row is one document
+        texts = save_shared(texts.dropDuplicates(["row"]), "private-documents")
+    known = disclosing_terms(texts).groupBy("term").agg(F.max("kind").alias("kind"))  # removed if one entity asks for it
+    known = save_shared(known, "private-terms")
+    hits = _only(texts.select("row", F.explode(_terms(F.col("text"))).alias("term")), known, "term").join(known, "term")
+    hits = save_shared(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("known")), "private-hits")
+    extra = _only(texts.select("row", "text"), hits, "row").join(hits, "row").select("row", _places(F.col("text"), F.col("known")).alias("extra"))
+    return spans.drop("text"), extra
 
 
 def find_private(docs: DataFrame) -> DataFrame:
     """Per document: base spans and all spans, as arrays of (start, kind, end, entity)."""
     spans, extra = _described(docs)
-    same = F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.part") == F.col("e.part"))
-    both = spans.alias("b").join(extra.alias("e"), same, "left")
-    extra_spans = F.coalesce("e.extra", F.array().cast(_SPAN))
-    return both.select("b.doc_id", "b.part", "b.base", F.array_sort(F.concat("b.base", extra_spans)).alias("spans"))
+    extra_spans = F.coalesce("extra", F.array().cast(_SPAN))
+    return spans.join(extra, "row", "left").select("doc_id", "part", "base", F.array_sort(F.concat("base", extra_spans)).alias("spans"))
 
 
 def shown(spans: Column) -> Column:

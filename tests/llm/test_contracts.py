@@ -110,6 +110,29 @@ def test_disclosing_terms(spark):
     assert shown[0].startswith("term:0:7") and "email:20:" in shown[0] and "the" not in shown[0] and shown[100] == ""
 
 
+def private_spans(spark, rows):
+    spans = sanitise.find_private(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r[0]: r[1] for r in spans.select("doc_id", sanitise.shown(F.col("spans"))).collect()}
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    filler = "the day every from writes and then goes on as all of them do here " * 20
+    rows = [(i, f"Zorblax, {filler}mail bob@x.example.com now zorblax") for i in range(3)]
+    rows += [(9, "a letter of Zorblax without any address")] + [(100 + i, filler + "mail now") for i in range(40)]
+    rows += [(5, rows[0][1]), (5, rows[0][1])]  # an equal row is no further document
+    shown = private_spans(spark, rows)
+    for i in (0, 1, 2, 5):
+        text = rows[0][1]
+        at, last = text.index("bob@"), text.rindex("zorblax")
+        assert shown[i] == f"term:0:8,email:{at}:{at + 17},term:{last}:{last + 7}"
+    assert shown[9] == "term:12:19" and shown[100] == ""
+
+
+def test_repeated_row_is_one_document(spark):
+    rows = [(1, "zorblax at bob@x.example.com")] * 2 + [(100 + i, "at") for i in range(20)]
+    assert private_spans(spark, rows)[1] == "email:11:28"
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)
