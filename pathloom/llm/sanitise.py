@@ -1,7 +1,8 @@
 """Personal data: pattern spans, and terms whose company gives a protected value away.
 
 Pattern matches (email, ip, card, phone) are the protected entities, by normalised value.  The terms of a
-document are the words of its whole text outside the matches.  Over the whole corpus the number of
+document are all words of its whole text outside the matches, in lower case and without punctuation at
+their ends.  Over the whole corpus the number of
 documents of a term, of an entity and of both together give the share of a term's documents that name the
 entity and the normalised pointwise mutual information of the two.  A term seen with an entity in two
 documents or more whose share reaches a threshold discloses it: every occurrence of it, in every document,
@@ -38,7 +39,8 @@ FILTER_BITS = 1 << 23  # of the filters that keep other rows out of a shuffle
 MIN_DOCUMENTS = 2
 REMOVE_SHARE, GENERALISE_SHARE = 0.6, 0.3  # documents with the entity, of the term's documents
 MIN_NPMI = 0.6
-TERM = r"^\p{L}[\p{L}\p{M}'’-]*[.,;:!?]*$"
+# Punctuation at both ends of a word; (?<!) anchors the last run, so that long runs stay linear.
+ENDS = r"^[\p{P}\p{Punct}]++|(?<![\p{P}\p{Punct}])[\p{P}\p{Punct}]++$"
 _SPAN = "array<struct<start:int,kind:int,end:int,entity:string>>"
 
 
@@ -110,13 +112,13 @@ def _masked(text: Column, base: Column) -> Column:
 
 
 def _term(word: Column) -> Column:
-    """The term that a word counts as; null for one that is none."""
-    return F.when(word.rlike(TERM), F.lower(F.regexp_replace(word, "[.,;:!?]+$", "")))
+    """The term that a word counts as: in lower case, without punctuation at its ends; empty if nothing is left."""
+    return F.lower(F.regexp_replace(word, ENDS, ""))
 
 
 def _terms(text: Column) -> Column:
     """The distinct terms of a whole text."""
-    return F.array_compact(F.array_distinct(F.transform(F.array_distinct(F.split(text, SPACE)), _term)))
+    return F.array_remove(F.array_distinct(F.transform(F.array_distinct(F.split(text, SPACE)), _term)), "")
 
 
 def _places(text: Column, known: Column) -> Column:
@@ -124,7 +126,7 @@ def _places(text: Column, known: Column) -> Column:
     found, gaps = _found(text, WORD, F.lit(True))
     words = F.zip_with(
         found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))),
-        lambda w, g: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), F.try_element_at(known, F.coalesce(_term(w), F.lit(""))).alias("kind")),
+        lambda w, g: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), F.try_element_at(known, _term(w)).alias("kind")),
     )
     words = F.filter(words, lambda w: w["size"].isNotNull())
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))

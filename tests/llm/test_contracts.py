@@ -133,6 +133,15 @@ def test_repeated_row_is_one_document(spark):
     assert private_spans(spark, rows)[1] == "email:11:28"
 
 
+def test_terms_of_any_characters(spark):
+    words = ["user_4711", "A-1027", "(Smith)", '"Miller"', "smith/jones", "1234", "«Ørsted»,", "中文", "(...)"]
+    rows = [(i, " ".join(words) + " at bob@x.example.com") for i in range(2)] + [(8, "Smith, miller! a-1027: ... (1234)")] + [(100 + i, "at") for i in range(20)]
+    shown = private_spans(spark, rows)
+    text = rows[0][1]
+    assert shown[0].split(",")[:-1] == [f"term:{text.index(w)}:{text.index(w) + len(w)}" for w in words[:8]]
+    assert shown[0].split(",")[-1].startswith("email:") and shown[8] == "term:0:6,term:7:14,term:15:22,term:27:33" and shown[100] == ""
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)
