@@ -6,9 +6,9 @@ word's share, by smoothed corpus counts, of what lies outside the vocabulary, so
 words sum to one.  Words outside the vocabulary are counted and priced in hash buckets, which send back
 one partial sum per document; no table of words is broadcast or collected.
 
-The network is trained on at most ``TRAIN_TOKENS`` tokens of training documents (a documented bound; ids
-decide which) by truncated backpropagation on ``REPLICAS`` shards whose weights are averaged after each of
-``ROUNDS`` rounds.  Scoring runs all documents of a task in step, a window at a time, and carries the state
+The network is trained on all training documents by truncated backpropagation on shards of about
+``SHARD_TOKENS`` tokens (row keys decide which), so their number follows the tokens.  Their weights are
+averaged over a tree after each of ``ROUNDS`` rounds; a shard sends one set of fixed size.  Scoring runs all documents of a task in step, a window at a time, and carries the state
 from window to window, so a score is the log-likelihood of the complete document.
 
 Cases: null or empty text is one end token; rows with equal id and text score alike; a null id is never
@@ -17,6 +17,7 @@ held out; without training text the network keeps its initial weights; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,8 +35,9 @@ VOCABULARY = 1022
 CLASSES = 32
 HIDDEN = 24
 WINDOW = 24  # steps of one truncated backpropagation, and of one scoring window
-TRAIN_TOKENS = 1_200_000
-REPLICAS = 6
+SHARD_TOKENS = 1_000_000  # tokens that one task trains on
+REPLICAS = 6  # shards at least
+FAN_IN = 16  # sets of weights that one task, or the driver, averages
 ROUNDS = 2
 TASK_TOKENS = 4_000_000  # tokens scored in step
 ALPHA = 0.1
@@ -351,34 +353,47 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     )
 
 
+def _mean(rows: pa.Table) -> pa.Table:
+    """One set of weights for several, weighted by their tokens; shards are taken in order."""
+    rows = rows.sort_by("shard")
+    n = rows.column("n").to_numpy()
+    total = np.zeros(len(rows.column("weights")[0].as_py()) // 4)
+    for share, weights in zip(n / n.sum(), rows.column("weights"), strict=True):
+        total += share * np.frombuffer(weights.as_py(), np.float32)
+    of = rows.column("shard")[0].as_py() // FAN_IN
+    return pa.table({"shard": pa.array([of], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
 def _trained(source: DataFrame, network: Network, tokens: int, known: np.ndarray, symbol: np.ndarray, end: int, other: int) -> dict:
-    """Weights averaged over replicas; REPLICAS sets of fixed size reach the driver in each round."""
-    share = min(1.0, TRAIN_TOKENS / max(tokens, 1))
-    chosen = source.filter("train").filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(share * 1_000_000))
-    shard = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(REPLICAS)).cast("int")
-    chosen = save_shared(chosen.select("text", shard.alias("shard")).filter("octet_length(text) > 0"), "lm-sample")
+    """Weights averaged over shards of all training text; FAN_IN sets at most reach the driver in each round."""
+    shards = max(REPLICAS, math.ceil(tokens / SHARD_TOKENS))
+    shard = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("long")
+    chosen = source.filter("train").filter("octet_length(text) > 0").select("row", "text", shard.alias("shard"))
     names = list(network.weights)
+    schema = "shard long, n long, weights binary"
     for _ in range(ROUNDS):
         weights = network.weights
 
         def train(rows):
             net = Network(network.classes)
             net.weights = {k: v.copy() for k, v in weights.items()}  # noqa: B023  used before the next round
+            rows = rows.sort_by("row")
             stream = [_tokens(part.words(lower=True), known, symbol, end, other)[0] for part in slices(rows.to_batches())]
             stream = np.concatenate(stream).astype(np.int64)
             net.train(stream, end)
-            return pa.table({"n": pa.array([len(stream)], pa.int64()), "weights": pa.array([b"".join(net.weights[k].tobytes() for k in names)], pa.binary())})
+            return pa.table({"shard": rows.column("shard").slice(0, 1), "n": pa.array([len(stream)], pa.int64()), "weights": pa.array([b"".join(net.weights[k].tobytes() for k in names)], pa.binary())})
 
-        found = chosen.groupBy("shard").applyInArrow(train, "n long, weights binary")
-        replicas = sorted((r["n"], bytes(r["weights"])) for r in found.collect())
+        found, left = chosen.groupBy("shard").applyInArrow(train, schema), shards
+        while left > FAN_IN:
+            found, left = found.groupBy(F.expr(f"shard div {FAN_IN}")).applyInArrow(lambda rows: _mean(rows), schema), math.ceil(left / FAN_IN)
+        replicas = sorted((r["shard"], r["n"], bytes(r["weights"])) for r in found.collect())
         if not replicas:
             break
-        total = sum(n for n, _ in replicas)
-        flat = sum(np.frombuffer(w, np.float32) * (n / total) for n, w in replicas).astype(np.float32)
+        total = sum(n for _, n, _ in replicas)
+        flat = sum(np.frombuffer(w, np.float32) * (n / total) for _, n, w in replicas).astype(np.float32)
         at = 0
         for k in names:
             shape = network.weights[k].shape
             network.weights = {**network.weights, k: flat[at : at + int(np.prod(shape))].reshape(shape).copy()}
             at += int(np.prod(shape))
     return network.weights
-

@@ -6,13 +6,14 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ITEMS, ROWS
 
 from pathloom.llm import (
     decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array, tool_calls,
 )
-from pathloom.llm.text import covered
+from pathloom.llm.text import covered, slices
 from pyspark.sql import functions as F
 
 PAIRS = [(r[0], r[1]) for r in ROWS]
@@ -219,6 +220,22 @@ def test_network_gradient():
         assert gradients[name][spot] == pytest.approx((up - down) / 2e-5, rel=1e-3)
 
 
+def test_training_covers_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "TRAIN_TOKENS", 200, raising=False)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 200, raising=False)
+    texts = [" ".join(f"own{i}x{j}" for j in range(4)) + " " for i in range(150)]
+    rows = [(i, text * 6) for i, text in enumerate(texts)]
+    held = next(slices(iter(pa.table({"text": [t for _, t in rows]}).to_batches()))).words(lower=True)
+    known = np.unique(held.hash)
+    n = len(known) + 2
+    network = language_model.Network(np.arange(n) * 8 // n)
+    before = network.weights["x"].copy()
+    source = spark.createDataFrame(rows, "row long, text string").withColumn("train", F.lit(True))
+    after = language_model._trained(source, network, len(held) + len(rows), known, np.arange(n - 2), n - 1, n - 2)
+    learnt = (after["x"][: n - 2] != before[: n - 2]).any(axis=1)
+    assert len(known) == 600 and learnt.mean() > 0.99 and np.isfinite(after["x"]).all()
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, "a", "f", '{"y": 1, "x": "t"}', None), (1, "b", "f", '{"x": 2}', ["a", "a"]), (1, "c", "f", "{oops", ["b"]),
