@@ -67,7 +67,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.turns_as_calls(_table(spark, sf_dir, "conversations"))
-    return tool_calls.format_calls(calls, results, tool_calls.REPLY)
+    return tool_calls.format_calls(calls, results, tool_calls.REPLY).unionByName(tool_calls.unlinked_results(calls, results))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

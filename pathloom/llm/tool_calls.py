@@ -7,17 +7,20 @@ per level of the longest chain; a call on a cycle, or after a missing call, neve
 checked against the schema of the tool, and every message is one line of JSON with sorted keys.
 
 Cases: null or unreadable arguments are reported, not dropped; of several calls or results with one
-identifier the smallest by content is used and their number reported; a null identifier links nothing;
-extra columns are ignored; an empty table gives an empty table.
+identifier the first (results: by ``at`` if there is such a column; then by content) is used, their number
+reported and the other distinct ones written in order beside it; a null identifier links nothing, and each
+such call is a row of its own; ``unlinked_results`` reports the results without a call; extra columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.text import batch
@@ -58,34 +61,60 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+KEY = ["conv_id", "call_id"]
+HAS_KEY = "conv_id IS NOT NULL AND call_id IS NOT NULL"
+OUT = (
+    "conv_id long, call_id string, level int, n_calls long, n_results long, valid boolean, problems string, messages string, "
+    "other_calls string, other_results string"
+)
+
+
+def _ordered(results: DataFrame) -> DataFrame:
+    at = F.col("at").cast("long") if "at" in results.columns else F.lit(0).cast("long")
+    order = F.struct(at.alias("at"), F.col("content").isNull().alias("none"), F.col("content").cast("string").alias("content"))
+    return results.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), order.alias("r"))
+
+
 def _linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    key = ["conv_id", "call_id"]
-    calls = calls.groupBy(*key).agg(F.min(F.struct("name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
-    results = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.min("content").alias("result"), F.count("*").alias("n_results"))
-    linked = calls.join(results, key, "left").select(*key, "c.*", "n_calls", "result", F.coalesce("n_results", F.lit(0)).alias("n_results"))
+    """A row for each call identifier, and one for each call without; ``uid`` tells rows apart once written."""
+    call = F.struct("name", "arguments", "after")
+    known = calls.filter(HAS_KEY).groupBy(*KEY).agg(F.array_sort(F.collect_set(call)).alias("c"), F.count("*").alias("n_calls"))
+    alone = calls.filter(f"NOT ({HAS_KEY})").select(*KEY, F.array(call).alias("c"), F.lit(1).cast("long").alias("n_calls"))
+    results = _ordered(results).filter(HAS_KEY).groupBy(*KEY).agg(F.array_sort(F.collect_set("r")).alias("r"), F.count("*").alias("n_results"))
+    linked = known.join(results, KEY, "left").unionByName(alone, allowMissingColumns=True)
+    others = F.array_distinct(F.col("r.content"))
+    linked = linked.select(
+        F.monotonically_increasing_id().alias("uid"), *KEY, F.col("c")[0]["name"].alias("name"), F.col("c")[0]["arguments"].alias("arguments"),
+        F.col("c")[0]["after"].alias("after"), "n_calls", F.get("r", F.lit(0))["content"].alias("result"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
+        F.slice("c", 2, F.size("c")).alias("other_calls"), F.slice(others, 2, F.size(others)).alias("other_results"),
+    )
     return linked.withColumn("after", F.array_distinct(F.coalesce("after", F.array().cast("array<string>"))))
 
 
 def _levels(linked: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that can be ordered."""
-    key = ["conv_id", "call_id"]
-    needs = save_shared(linked.filter(F.size("after") > 0).select(*key, F.size("after").alias("n"), F.explode("after").alias("need")), "call-needs")
-    known = save_shared(linked.filter(F.size("after") == 0).select(*key, F.lit(0).alias("level")), "call-levels")
+    """(uid, level) of the calls that can be ordered."""
+    needs = save_shared(linked.filter(F.size("after") > 0).select("uid", *KEY, F.size("after").alias("n"), F.explode("after").alias("need")), "call-needs")
+    known = save_shared(linked.filter(F.size("after") == 0).select("uid", *KEY, F.lit(0).alias("level")), "call-levels")
     front = known
-    while True:
+    named = lambda rows, *more: rows.select("conv_id", F.col("call_id").alias("need"), *more)
+    for turn in count(1):
         # Only calls after one of the last round can become ready.
-        touched = needs.join(front.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi").select(*key).distinct()
-        ready = needs.join(touched, key).join(known.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"])
-        ready = ready.groupBy(*key).agg(F.count("*").alias("met"), F.max("n").alias("n"), (F.max("level") + 1).alias("level")).filter("met = n")
-        front = save_shared(ready.select(*key, "level"), "call-levels")
+        touched = needs.join(named(front), ["conv_id", "need"], "left_semi").select("uid").distinct()
+        ready = needs.join(touched, "uid").join(named(known, "level"), ["conv_id", "need"])
+        ready = ready.groupBy("uid").agg(
+            F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id"), F.count("*").alias("met"), F.max("n").alias("n"), (F.max("level") + 1).alias("level")
+        ).filter("met = n")
+        front = save_shared(ready.select("uid", *KEY, "level"), "call-levels")
         if front.isEmpty():
-            return known
+            return known.select("uid", "level")
         known = known.unionByName(front)
+        if turn % 8 == 0:  # long chains: the plan stays short
+            known = save_shared(known, "call-levels")
 
 
 def _written(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        lines, problems = [], []
+        lines, problems, calls, results = [], [], [], []
         for row in rows.to_pylist():
             try:
                 arguments = json.loads(row["arguments"]) if row["arguments"] is not None else None
@@ -97,20 +126,38 @@ def _written(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Ite
             answer = {"role": "tool", "tool_call_id": row["call_id"], "content": row["result"]} if row["n_results"] else None
             messages = [{"role": "assistant", "tool_calls": [call]}, *([answer] if answer else [])]
             lines.append(canonical(messages))
+            calls.append(canonical(row["other_calls"] or []))
+            results.append(canonical(row["other_results"] or []))
         yield batch(
             **{c: rows.column(c) for c in ("conv_id", "call_id", "level", "n_calls", "n_results")},
             valid=pa.array([not p for p in problems], pa.bool_()), problems=pa.array(problems, pa.string()), messages=pa.array(lines, pa.string()),
+            other_calls=pa.array(calls, pa.string()), other_results=pa.array(results, pa.string()),
         )
 
 
 def format_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call: its level, link counts, validity of its arguments, and call and result as JSON."""
     linked = save_shared(_linked(calls, results), "linked-calls")
-    levels = _levels(linked)
-    same = linked["conv_id"].eqNullSafe(levels["conv_id"]) & linked["call_id"].eqNullSafe(levels["call_id"])
-    placed = linked.join(levels.dropDuplicates(["conv_id", "call_id"]), same, "left").select(linked["*"], "level")
-    out = "conv_id long, call_id string, level int, n_calls long, n_results long, valid boolean, problems string, messages string"
-    return placed.mapInArrow(lambda rows: _written(rows, schemas), out)
+    placed = linked.join(_levels(linked), "uid", "left").select(linked["*"], "level")
+    return placed.mapInArrow(lambda rows: _written(rows, schemas), OUT)
+
+
+def _unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        lines = [canonical([{"role": "tool", "tool_call_id": r["call_id"], "content": r["content"]}]) for r in rows.to_pylist()]
+        n = len(lines)
+        empty = pa.array(["[]"] * n, pa.string())
+        yield batch(
+            conv_id=rows.column("conv_id"), call_id=rows.column("call_id"), level=pa.nulls(n, pa.int32()), n_calls=pa.array([0] * n, pa.int64()), n_results=pa.array([1] * n, pa.int64()),
+            valid=pa.array([False] * n, pa.bool_()), problems=pa.array(["no call"] * n, pa.string()), messages=pa.array(lines, pa.string()), other_calls=empty, other_results=empty,
+        )
+
+
+def unlinked_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per result that has no call, or a null identifier, in the columns of ``format_calls``."""
+    named = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id")).filter(HAS_KEY).distinct()
+    left = _ordered(results).join(named, KEY, "left_anti")  # a null equals nothing
+    return left.select(*KEY, "r.content").mapInArrow(_unlinked, OUT)
 
 
 # Schema of the call that a conversation's turns stand for.
@@ -123,7 +170,7 @@ REPLY = {
 
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns of the model are results; every other turn is a call that asks for the turn after it.
+    """Turns of the model are results of the latest earlier call; every other turn is a call.
 
     A call needs the call two turns earlier (the question before the last answer) where there is one.
     """
@@ -137,5 +184,10 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = asked.join(before, ["conv_id", "turn"], "left")
     after = F.when(F.col("earlier"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
     calls = asked.select("conv_id", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))
-    answers = turns.filter(F.col("role") == "assistant").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    # Without a null key: a null conversation or turn links nothing.
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    latest = F.max(F.when(~F.col("role").eqNullSafe("assistant"), F.col("turn"))).over(earlier)
+    placed = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("asked", latest)
+    placed = placed.unionByName(turns.filter("conv_id IS NULL OR turn IS NULL"), allowMissingColumns=True)
+    answers = placed.filter(F.col("role") == "assistant").select("conv_id", name(F.col("asked")).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("at"))
     return calls, answers

@@ -252,6 +252,30 @@ def test_tool_calls(spark):
     assert tool_calls.format_calls(calls.limit(0), results, schemas).count() == 0
 
 
+def test_tool_calls_lose_no_row(spark):
+    calls = spark.createDataFrame(
+        [(None, "a", "f", "1", None), (None, "a", "f", "2", None), (1, None, "f", "3", ["b"]), (1, None, "f", "4", ["zz"]), (1, "b", "f", "5", None), (1, "b", "f", "6", None)],
+        tool_calls.CALLS,
+    )
+    results = spark.createDataFrame([(1, "b", "y"), (1, "b", "x"), (1, "b", "x"), (1, "zz", "orphan"), (None, "a", "n"), (1, None, None)], "conv_id long, call_id string, content string")
+    got = [r.asDict() for r in tool_calls.format_calls(calls, results, {}).collect()]
+    assert sorted((r["conv_id"] or 0, r["call_id"] or "", r["level"] if r["level"] is not None else -1, r["n_calls"], r["n_results"]) for r in got) == [
+        (0, "a", 0, 1, 0), (0, "a", 0, 1, 0), (1, "", -1, 1, 0), (1, "", 1, 1, 0), (1, "b", 0, 2, 3),
+    ]
+    both = next(r for r in got if r["call_id"] == "b")
+    assert '"x"' in both["messages"] and both["other_results"] == '["y"]' and both["other_calls"] == '[{"after":null,"arguments":"6","name":"f"}]'
+    left = sorted((r["call_id"] or "", r["messages"], r["problems"]) for r in tool_calls.unlinked_results(calls, results).collect())
+    assert [x[0] for x in left] == ["", "a", "zz"] and "orphan" in left[2][1] and all(x[2] == "no call" for x in left)
+
+
+def test_turns_keep_all_answers(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "z"), (1, 2, "assistant", "b"), (1, 5, "user", "r"), (1, 9, "assistant", "c"), (2, 0, "assistant", "d"), (None, 1, "assistant", "e")]
+    calls, results = tool_calls.turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["call_id"]: r for r in tool_calls.format_calls(calls, results, tool_calls.REPLY).collect()}
+    assert '"z"' in got["call_0"]["messages"] and got["call_0"]["other_results"] == '["b"]' and '"c"' in got["call_5"]["messages"]
+    assert tool_calls.unlinked_results(calls, results).count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
