@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup, suffix_array, tool_calls
+from pathloom.llm import (
+    decontaminate, fill_in_middle, language_model, mixing, ngram_join, quality_classifier, quality_rules, sanitise, substring_dedup,
+    suffix_array, tool_calls, toxicity, whitening,
+)
 from pathloom.llm.oracles import ORACLES  # noqa: F401  read by the driver contract
 
 
@@ -81,10 +84,27 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sanitise.shown(F.col("base")), 256).alias("base_sha256"), sanitise.shown(F.col("spans")).alias("spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_documents(spark, sf_dir))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_ngram_jaccard_join, op3_substring_dedup, op4_quality_rules, op5_quality_classifier,
-        op6_suffix_array_dedup, op7_decontamination, op8_chat_formatting, op9_language_model, op10_pii_sanitisation,
+        op6_suffix_array_dedup, op7_decontamination, op8_chat_formatting, op9_language_model, op10_pii_sanitisation, op11_fill_in_middle,
+        op12_embedding_whitening, op13_toxicity,
     )
 }
