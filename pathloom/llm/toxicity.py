@@ -36,8 +36,9 @@ from pathloom.llm.tables import texts
 from pathloom.llm.text import ALNUM_BYTES, BYTE_CODES, LOWER, Slice, Words, batch, groups_of, mix, prefix_sums, range_hash, slices
 from pathloom.session import save_shared
 
-SAMPLE = 12_000  # labelled documents the field is trained on
+SAMPLE = 6_000  # labelled documents the field is trained on
 TASKS = 8  # that share them; each returns one gradient a round
+SLICE_BYTES = 1 << 20
 BUCKETS = 1 << 18  # weights of token features
 LEAST, LIFT = 3, 20.0
 SHARES = (0.2, 0.1, 0.05, 0.02, 0.005, 0.0)  # of the toxic documents that hold a mark, one round of counts each
@@ -163,28 +164,44 @@ def _marks(sample: DataFrame, toxic: int, other: int) -> np.ndarray:
     Those of a large share of the toxic documents come first; documents that they explain no longer count
     when rarer ones are looked for.  Else the copies of a toxic text would make all its words stand out.
     """
-    columns, marks = 1 + len(PREFIXES), np.zeros(0, np.uint64)
+    marks = np.zeros(0, np.uint64)
+    if not toxic:
+        return marks
+    columns = 1 + len(PREFIXES)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per slice the keys, in order, and the document of each; one entry per key and document."""
+        for docs in slices(batches, limit=SLICE_BYTES):
+            words, keys = token_keys(docs)
+            keys, owner = keys[:, :columns].ravel(), np.repeat(words.doc, columns)
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            label = docs.rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            parts = keys[new], owner[new].astype(np.int32), label
+            yield batch(**{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("keys", "owners", "labels"), parts, strict=True)})
+
+    held = save_shared(sample.select("text", "toxic").mapInArrow(distinct, "keys binary, owners binary, labels binary"), "toxicity-words")
 
     def count(known: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for docs in slices(batches):
-                words, keys = token_keys(docs)
-                label = docs.rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-                explained = np.zeros(docs.n, bool)
-                explained[words.doc[np.isin(keys[:, :columns], known).any(axis=1)]] = True
-                found, owner = keys[:, :columns].ravel(), np.repeat(words.doc, columns)
-                pairs = np.unique(np.stack((found, owner.astype(np.uint64)), axis=1), axis=0)
-                at, size = groups_of(pairs[:, 0])
-                if len(at):
-                    of = pairs[:, 1].astype(np.int64)
-                    with_toxic = np.add.reduceat((label & ~explained)[of].astype(np.int64), at)
-                    yield batch(key=pairs[at, 0].view(np.int64), toxic=with_toxic, other=np.add.reduceat((~label)[of].astype(np.int64), at))
+            for rows in batches:
+                for row in zip(*(rows.column(c) for c in ("keys", "owners", "labels")), strict=True):
+                    keys, owner, label = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int32, bool), strict=True))
+                    explained = np.zeros(len(label), bool)
+                    if len(known):
+                        explained[owner[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]] = True
+                    at, _ = groups_of(keys)
+                    if len(at):
+                        with_toxic = np.add.reduceat((label & ~explained)[owner].astype(np.int64), at)
+                        yield batch(key=keys[at].view(np.int64), toxic=with_toxic, other=np.add.reduceat((~label)[owner].astype(np.int64), at))
 
         return run
 
-    lift = (F.col("t") / max(toxic, 1)) / ((F.col("o") + 0.5) / (other + 1))
-    for share in SHARES if toxic else ():
-        counts = sample.select("text", "toxic").mapInArrow(count(marks), "key long, toxic long, other long")
+    lift = (F.col("t") / toxic) / ((F.col("o") + 0.5) / (other + 1))
+    for share in SHARES:
+        counts = held.mapInArrow(count(marks), "key long, toxic long, other long")
         counts = counts.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
         strong = (F.col("t") >= max(LEAST, share * toxic)) & (lift >= LIFT)
         best = counts.filter(strong).orderBy(F.desc("t"), "key").limit(MARKS).select("key").collect()
@@ -197,7 +214,7 @@ def _trained(sample: DataFrame, marks: np.ndarray) -> Field:
     columns = 1 + len(PREFIXES)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in slices(batches):
+        for docs in slices(batches, limit=SLICE_BYTES):
             words, keys = token_keys(docs)
             toxic = docs.rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             marked = np.isin(keys[:, :columns], marks).any(axis=1) & toxic[words.doc]
@@ -282,7 +299,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     field = _trained(sample, _marks(sample, sizes.get(1, 0), sizes.get(0, 0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             words, keys = token_keys(part)
             first = np.zeros(len(words), bool)
             first[words.first[:-1][words.per_doc > 0]] = True
