@@ -12,6 +12,7 @@ from pathloom.catalog.tables import (
     ORDER_A, PLACED_A, WINDOW, WINDOWS_A, hot, item_vectors, log_a, placed_a, table, windows_a,
 )
 from pathloom.functions.draws import any_item
+from pathloom.functions.permutation import FACTOR, PRIME, round_keys
 from pathloom.operators import batches, contrastive, graph, negatives, sequences, splits
 from pathloom.operators.skew import global_index, lookup
 from pathloom.plans.training import training_examples
@@ -136,9 +137,7 @@ WITH {PLACED_A}, u AS (SELECT user_id, max(n) AS n FROM placed GROUP BY user_id)
 r AS (SELECT user_id, n, row_number() OVER (ORDER BY (42 + user_id * 7919) % 1000003, user_id) AS r, count(*) OVER () AS m FROM u)
 SELECT user_id, CASE WHEN r <= floor(m * 0.8) THEN 1 ELSE 2 END AS half, n FROM r""")
 def _(spark, sf):
-    halves = splits.split_users(
-        log_a(spark, sf).select("user_id"), draw="arithmetic", frequent=hot(spark, sf, "a", "user_id")
-    )
+    halves = splits.split_users(log_a(spark, sf).select("user_id"), draw="arithmetic")
     return halves.groupBy("user_id", "half").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -151,6 +150,38 @@ def _(spark, sf):
     return splits.shuffle_rows(first, "o_orderkey", epoch=1, draw="arithmetic").withColumnRenamed("idx", "second_epoch")
 
 
+def epoch_sql(seed: int, epoch: int) -> str:
+    """Places of a dense index by four Feistel rounds on two digits, walked until below n."""
+    k = round_keys(seed, epoch)
+
+    def mixed(digit: str, key: int) -> str:
+        x = f"(({digit} + {key}) % {PRIME})"
+        return f"((({x} * {x} + {key}) % {PRIME} * {FACTOR} + {digit}) % {PRIME})"
+
+    def one(source: str, x: str) -> str:
+        l1 = f"SELECT *, ({x} // b + {mixed(f'({x} % b)', k[0])}) % a AS l1, {x} % b AS r0 FROM {source}"
+        r1 = f"SELECT *, (r0 + {mixed('l1', k[1])}) % b AS r1 FROM ({l1})"
+        l2 = f"SELECT *, (l1 + {mixed('r1', k[2])}) % a AS l2 FROM ({r1})"
+        return f"SELECT id, n, a, b, l2 * b + (r1 + {mixed('l2', k[3])}) % b AS x FROM ({l2})"
+
+    return f"""SELECT id, x + 1 AS place FROM (
+      WITH RECURSIVE walk AS ({one('dense', 'i')} UNION ALL {one('(SELECT * FROM walk WHERE x >= n)', 'x')})
+      SELECT id, n, x FROM walk) WHERE x < n"""
+
+
+@query("shuffle_epochs", "o_orderkey:i first_epoch:i second_epoch:i", f"""
+WITH counted AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM orders),
+dense AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, n, a, (n + a - 1) // a AS b FROM orders CROSS JOIN counted)
+SELECT f.id AS o_orderkey, f.place AS first_epoch, s.place AS second_epoch
+FROM ({epoch_sql(42, 0)}) f JOIN ({epoch_sql(42, 1)}) s ON f.id = s.id""")
+def _(spark, sf):
+    """One index, two epochs."""
+    indexed = global_index(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    n = indexed.count()
+    first = splits.shuffle_epoch(indexed, n, epoch=0, place="first_epoch")
+    return splits.shuffle_epoch(first, n, epoch=1, place="second_epoch")
+
+
 @query("shard_strided", "o_orderkey:i shard:i",
        "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS shard FROM orders")
 def _(spark, sf):

@@ -186,4 +186,4 @@ def _(spark, sf):
 @query("complement_split", "o_orderkey:i", f"SELECT o_orderkey FROM ({SPLIT_SQL}) WHERE split = 'test'")
 def _(spark, sf):
     rows = splits.split_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", draw="arithmetic")
-    return rows.filter(F.col("split") == "test")
+    return splits.complement_split(rows)

@@ -5,6 +5,7 @@
 * ``positions``     row number inside a group; frequent groups are numbered from a
                     range-sorted table instead of in one window task
 * ``global_index``  row number over the whole table without a one-partition window
+* ``row_index``     the same in any order, without an exchange
 * ``running_sums``  running totals over the whole table, same technique
 
 ``frequent`` may be passed to every function that takes it, so a pipeline finds its hot
@@ -138,6 +139,16 @@ def global_index(df: DataFrame, order: Sequence[Column], index: str = "idx") ->
     return numbered.withColumn(index, place).drop("_part", "_row")
 
 
+def row_index(df: DataFrame, index: str = "idx") -> DataFrame:
+    """A dense 1-based number of every row, in no particular order: the table is written once where it
+    stands, and one row count per partition is added up.  No row is exchanged or sorted."""
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    numbered = save_shared(placed.withColumn("_part", F.shiftright("_id", 33).cast("int")), "rows")
+    before = F.lit(_before(numbered, F.count(F.lit(1)))).cast("array<bigint>")
+    place = F.get(before, F.col("_part")) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.withColumn(index, place).drop("_part", "_id")
+
+
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """Inclusive running totals ``{source column: output column}`` over the whole table in ``order``."""
     numbered = _numbered(df, order, "running")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.draws import shuffle_key
-from pathloom.operators.skew import global_index, lookup
+from pathloom.functions.permutation import permute
+from pathloom.operators.selection import parts_at, selected
+from pathloom.operators.skew import global_index
 
 
 def _size(indexed: DataFrame, index: str = "idx") -> int:
@@ -21,16 +23,32 @@ def shuffle_rows(df: DataFrame, identity: str, seed: int = 42, epoch: int = 0, d
     return global_index(keyed, [F.col("_key"), F.col(identity)], "idx").drop("_key")
 
 
+def shuffle_epoch(indexed: DataFrame, rows: int, seed: int = 42, epoch: int = 0, index: str = "idx", place: str = "place") -> DataFrame:
+    """``place``: the rows of one dense index (``row_index``, ``global_index``) in a new order for each epoch.
+
+    A keyed bijection of the index, so an epoch costs one map step; nothing is sorted or exchanged.
+    """
+    return permute(indexed, rows, seed, epoch, index, place)
+
+
 def split_rows(
     df: DataFrame, identity: str, train: float = 0.8, valid: float = 0.1, seed: int = 42, draw: str = "hash"
 ) -> DataFrame:
-    """``split``: exactly ``int(n * train)`` train rows, ``int(n * valid)`` valid rows, the rest test."""
-    shuffled = shuffle_rows(df, identity, seed, draw=draw)
-    n = _size(shuffled)
-    train_end = int(n * train)
-    valid_end = train_end + int(n * valid)
-    label = F.when(F.col("idx") <= train_end, "train").when(F.col("idx") <= valid_end, "valid").otherwise("test")
-    return shuffled.withColumn("split", label).drop("idx")
+    """``split``: exactly ``int(n * train)`` train rows, ``int(n * valid)`` valid rows, the rest test.
+
+    The two cuts of the seeded order are selected by counting; rows are labelled where they stand.
+    """
+    def ends(n: int) -> list[int]:
+        return [int(n * train), int(n * train) + int(n * valid)]
+
+    cut = parts_at(df, shuffle_key(F.col(identity), seed, 0, draw), F.col(identity), ends, "_part")
+    label = F.when(F.col("_part") == 0, "train").when(F.col("_part") == 1, "valid").otherwise("test")
+    return cut.withColumn("split", label).drop("_part")
+
+
+def complement_split(rows: DataFrame, split: str = "test") -> DataFrame:
+    """The rows of ``split_rows`` that no other split took."""
+    return rows.filter(F.col("split") == split)
 
 
 def split_rows_approximately(df: DataFrame, identity: str, train: float = 0.8, valid: float = 0.1, seed: int = 42) -> DataFrame:
@@ -40,13 +58,20 @@ def split_rows_approximately(df: DataFrame, identity: str, train: float = 0.8, v
 
 
 def split_users(
-    df: DataFrame, ratio: float = 0.8, user: str = "user_id", seed: int = 42, draw: str = "hash", **skew
+    df: DataFrame, ratio: float = 0.8, user: str = "user_id", seed: int = 42, draw: str = "hash"
 ) -> DataFrame:
-    """``half``: 1 for exactly ``int(users * ratio)`` users' rows, else 2."""
-    users = shuffle_rows(df.select(user).filter(F.col(user).isNotNull()).distinct(), user, seed, draw=draw)
-    cut = int(_size(users) * ratio)
-    halves = users.select(user, F.when(F.col("idx") <= cut, 1).otherwise(2).alias("half"))
-    return lookup(df, halves, user, "inner", **skew)
+    """``half``: 1 for exactly ``int(users * ratio)`` users' rows, else 2; rows without a user are left out."""
+    known = df.filter(F.col(user).isNotNull())
+    key = shuffle_key(F.col(user), seed, 0, draw)
+    users = known.select(user).distinct()
+    kind = df.schema[user].dataType
+    # The user at the cut is selected among distinct users; rows are then compared with it, not joined.
+    cut = selected(users, key, F.col(user), lambda n: int(n * ratio))
+    if cut is None:  # a ratio too small for one user
+        return known.withColumn("half", F.lit(2))
+    here = F.struct(key.alias("_key"), F.col(user).alias("_tie"))
+    there = F.struct(F.lit(cut[0]).cast("long").alias("_key"), F.lit(cut[1]).cast(kind).alias("_tie"))
+    return known.withColumn("half", F.when(here <= there, 1).otherwise(2))
 
 
 def restrict_users(df: DataFrame, half: int) -> DataFrame:
