@@ -22,12 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.scores import METRIC_PLACES, round_metric
-from pathloom.operators.skew import frequent_keys, global_index, lookup, running_sums
+from pathloom.operators.selection import parts_at
+from pathloom.operators.skew import frequent_keys, lookup, running_sums
 
 # Fixed value: probabilities are kept this far from 0 and 1 in the log loss.
 LOGLOSS_EPS = 1e-15
 
 
+# Fixed value: the share of items that are the long tail where none is asked for.
+TAIL = 0.1
+
+
 @dataclass(frozen=True)
 class Inputs:
     """What an evaluation may read; only the tables the chosen metrics need must be given.
@@ -41,7 +46,7 @@ class Inputs:
     scored: DataFrame | None = None
     item_count: int | None = None
     popularity: DataFrame | None = None
-    tail: float = 0.1
+    tail: float | None = TAIL
 
 
 @dataclass(frozen=True)
@@ -235,15 +240,14 @@ def attach_popularity(recs: DataFrame, popularity: DataFrame, **skew) -> DataFra
     return lookup(recs, table, "item_id", **skew).withColumn("popularity", F.coalesce("popularity", F.lit(0)))
 
 
-def tail_items(popularity: DataFrame, tail: float = 0.1) -> DataFrame:
-    """Long-tail items: count at most ``tail`` if that is above 1, else the rarest share, at least one item."""
-    if tail is None or tail <= 0:
-        tail = 0.1
-    if tail > 1:
-        return popularity.filter(F.col("n") <= tail).select("item_id")
-    indexed = global_index(popularity.select("item_id", "n"), [F.col("n"), F.col("item_id")], "_place")
-    cut = max(int((indexed.agg(F.max("_place")).first()[0] or 0) * tail), 1)
-    return indexed.filter(F.col("_place") <= cut).select("item_id")
+def tail_items(popularity: DataFrame, tail: float | None = TAIL) -> DataFrame:
+    """Long-tail items.  A ``tail`` above 1 is the largest interaction count of one, else the share of the items
+    that count as the rarest (whole items, at least one; of equally rare ones the smaller ids)."""
+    asked = tail if tail and tail > 0 else TAIL
+    if asked > 1:
+        return popularity.filter(F.col("n") <= asked).select("item_id")
+    rarest = parts_at(popularity, F.col("n").cast("long"), F.col("item_id"), lambda items: [max(1, int(items * asked))], "_rarer")
+    return rarest.filter(F.col("_rarer") == 0).select("item_id")
 
 
 def flag_tail_items(recs: DataFrame, tail: DataFrame, **skew) -> DataFrame:

@@ -1,10 +1,13 @@
 """Scoring every user against every item without a user x item table.
 
-Items are cut into blocks of consecutive ids and users into shards.  Each (block, shard)
-cell receives its item vectors, then user by user the seen items, targets and the vector;
-one pass over the sorted cell multiplies small matrices and emits either the best ``k``
-items or, for given targets, how many items beat them.  Shuffled rows are
-``users * blocks + items * shards``; a task holds one item block and a few hundred users.
+Items are numbered by falling length of their vectors and cut into blocks of consecutive numbers, sized by
+bytes; users fall into shards.  By Cauchy-Schwarz no item of a block scores more than the user's length times
+the block's largest, and blocks come in falling order of it: a user visits only the first blocks, up to the
+last one that can still reach the score in question (the k-th best of the first block, or the user's lowest
+target).  Each (block, shard) cell receives its item vectors, then user by user the seen items (as bitmaps),
+targets and the vector; one pass over the sorted cell multiplies small matrices and emits either the best
+``k`` items or, for given targets, how many items beat them.  Shuffled rows are the blocks that users visit
+and ``items * shards``; a task holds one item block, a few hundred users and the bits of one user.
 """
 
 from __future__ import annotations
@@ -13,82 +16,110 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vectors import dot
-from pathloom.operators.skew import frequent_keys, lookup
-from pathloom.session import slots
+from pathloom.operators.skew import frequent_keys, global_index, lookup
+from pathloom.session import save_shared, slots
 
-ITEM_BLOCK = 4096
+BLOCK_BYTES = 32 << 20  # of item vectors in one block
 USER_CHUNK = 256
 # Scores are compared after rounding to this many places, so copies of a vector tie.
 SCORE_PLACES = 9
+_BITS = 32_768  # of one of Spark's bitmaps
 
 _ITEM, _SEEN, _TARGET, _USER = 0, 1, 2, 3
 
 
-def _cells(
-    users: DataFrame, items: DataFrame, seen: DataFrame | None, targets: DataFrame | None, block: int
-) -> DataFrame:
-    """Rows of all cells, sorted so that a cell reads: items, then per user seen, targets, vector."""
+def _length(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+class ItemBlocks:
+    """The item table numbered by falling vector length, its blocks and their bounds.
+
+    ``items(item_id, vector)``; ids are positive, however far apart.  ``block`` is the number of items in a
+    block, else as many as BLOCK_BYTES hold.
+    """
+
+    def __init__(self, items: DataFrame, block: int | None):
+        known = items.filter((F.col("item_id") > 0) & F.col("vector").isNotNull()).withColumn("_length", _length("vector"))
+        self.table = global_index(known, [F.col("_length").desc(), F.col("item_id")], "_number")
+        self.count, width = self.table.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        self.block = block or max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+        home = self.home(F.col("_number"))
+        bounds = self.table.groupBy(home.alias("b")).agg(F.max("_length").alias("m")).collect()  # one row a block
+        self.bounds = [r["m"] for r in sorted(bounds)]
+
+    @property
+    def even(self) -> bool:
+        """Whether all vectors are about equally long, so that bounds cannot skip a block."""
+        return len(self.bounds) <= 1 or self.bounds[-1] >= 0.9 * self.bounds[0]
+
+    def home(self, number: Column) -> Column:
+        return F.floor((number - 1) / self.block).cast("int")
+
+    def reached(self, length: Column, score: Column) -> Column:
+        """How many blocks hold items that may score ``score`` or more for a user vector of this length."""
+        slack = 2 * 10.0**-SCORE_PLACES
+        bounds = F.lit(self.bounds).cast("array<double>")
+        return F.size(F.filter(bounds, lambda m: m * length * (1 + 1e-12) + slack >= score))
+
+
+def seen_bits(seen: DataFrame, users: DataFrame, items: ItemBlocks) -> DataFrame:
+    """``user_id, block, first, bits``: the seen items of the given users as bitmaps over item numbers.
+
+    A bitmap has a fixed size, however many items a user has seen; ``first`` is the place in the block of its
+    first bit.
+    """
+    pairs = seen.select("user_id", "item_id").join(users.select("user_id").distinct(), "user_id", "left_semi")
+    numbers = items.table.select("item_id", "_number")
+    placed = lookup(pairs, numbers, "item_id", "inner")
+    place = F.pmod(F.col("_number") - 1, F.lit(items.block))
+    first = (F.floor(place / _BITS) * _BITS).cast("int")
+    cut = placed.select("user_id", items.home(F.col("_number")).alias("block"), first.alias("first"), (place - first + 1).cast("long").alias("bit"))
+    return cut.groupBy("user_id", "block", "first").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+
+
+def _cells(items: ItemBlocks, users: DataFrame, bits: DataFrame | None, targets: DataFrame | None, first: int = 0, blocks: int | None = None) -> DataFrame:
+    """Rows of the cells of ``blocks`` blocks from ``first`` on, sorted so that a cell reads: items, then per user
+    seen, targets, vector.  ``users(user_id, vector, _last)`` and ``targets`` visit the blocks before ``_last``.
+    """
     spark = users.sparkSession
-    items = items.filter(F.col("item_id") > 0)
-    top = items.agg(F.max("item_id")).first()[0] or 0
-    blocks = int(top) // block + 1
+    blocks = len(items.bounds) - first if blocks is None else blocks
     parts = slots(spark)
-    shards = max(1, -(-2 * parts // blocks))
-
-    item_block = F.floor(F.col("item_id") / block).cast("int")
+    shards = max(1, -(-2 * parts // max(blocks, 1)))
+    kind = users.schema["user_id"].dataType
     shard = F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    end = F.least(F.col("_last"), F.lit(first + blocks))
+    visited = F.explode(F.when(end > first, F.sequence(F.lit(first), end - 1)))
     none = F.lit(None)
 
-    def row(df: DataFrame, kind: int, block_col, shard_col, user, ids, vector, score) -> DataFrame:
+    def row(df: DataFrame, what: int, block, at, user, number, item, vector, score, mask) -> DataFrame:
         return df.select(
-            block_col.alias("block"),
-            shard_col.alias("shard"),
-            user.cast("long").alias("user_id"),
-            F.lit(kind).alias("kind"),
-            ids.cast("array<long>").alias("ids"),
-            vector.cast("array<double>").alias("vector"),
-            score.cast("double").alias("score"),
-        )
-
-    rows = row(
-        items.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))),
-        _ITEM, item_block, F.col("_s"), none, F.array("item_id"), F.col("vector"), none,
-    )
-    rows = rows.unionByName(
-        row(users.withColumn("_b", every_block), _USER, F.col("_b"), shard, F.col("user_id"), none, F.col("vector"), none)
-    )
-    if seen is not None:
-        # At most ``block`` distinct ids per (user, block): the set is bounded.
-        packed = (
-            seen.filter(F.col("item_id").between(1, top))
-            .groupBy("user_id", item_block.alias("_b"))
-            .agg(F.collect_set("item_id").alias("_ids"))
-        )
-        rows = rows.unionByName(row(packed, _SEEN, F.col("_b"), shard, F.col("user_id"), F.col("_ids"), none, none))
+            block.cast("int").alias("block"), at.cast("int").alias("shard"), user.cast(kind).alias("user_id"), F.lit(what).alias("kind"),
+            number.cast("int").alias("place"), item.cast("long").alias("item"), vector.cast("array<double>").alias("vector"),
+            score.cast("double").alias("score"), mask.cast("binary").alias("bits"),
+        )
+
+    home = items.home(F.col("_number"))
+    own = items.table.filter((home >= first) & (home < first + blocks)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    place = F.pmod(F.col("_number") - 1, F.lit(items.block))
+    rows = row(own, _ITEM, home, F.col("_s"), none, place, F.col("item_id"), F.col("vector"), none, none)
+    rows = rows.unionByName(row(users.withColumn("_b", visited), _USER, F.col("_b"), shard, F.col("user_id"), none, none, F.col("vector"), none, none))
+    if bits is not None:
+        near = bits.filter((F.col("block") >= first) & (F.col("block") < first + blocks))
+        rows = rows.unionByName(row(near, _SEEN, F.col("block"), shard, F.col("user_id"), F.col("first"), none, none, none, F.col("bits")))
     if targets is not None:
         rows = rows.unionByName(
-            row(
-                targets.withColumn("_b", every_block),
-                _TARGET, F.col("_b"), shard, F.col("user_id"), F.array("item_id"), none, F.col("target_score"),
-            )
+            row(targets.withColumn("_b", visited), _TARGET, F.col("_b"), shard, F.col("user_id"), none, F.col("item_id"), none, F.col("target_score"), none)
         )
-    return rows.repartition(min(blocks * shards, 4 * parts), "block", "shard").sortWithinPartitions(
+    return rows.repartition(max(1, min(blocks * shards, 4 * parts)), "block", "shard").sortWithinPartitions(
         "block", "shard", F.col("user_id").asc_nulls_first(), "kind"
     )
 
 
-def _lists(column: pa.ListArray, rows: np.ndarray) -> list[np.ndarray]:
-    """The lists at ``rows`` as numpy arrays, cut from one flat buffer."""
-    picked = column.take(pa.array(rows))
-    ends = np.cumsum(picked.value_lengths().to_numpy(zero_copy_only=False))[:-1]
-    return np.split(picked.flatten().to_numpy(), ends)
-
-
 def _matrix(column: pa.ListArray, rows: np.ndarray) -> np.ndarray:
     """The vectors at ``rows`` as one matrix."""
     return column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
@@ -98,52 +129,62 @@ class _Cell:
     """The state of one (block, shard) cell while its rows stream by."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ids = self.matrix = None
-        self.seen: dict[int, np.ndarray] = {}
-        self.targets: dict[int, list[tuple[int, float]]] = {}
+        self.seen: dict = {}
+        self.targets: dict = {}
 
     def add(self, rows: pa.RecordBatch) -> np.ndarray:
-        """Take in items, seen lists and targets; return the places of the user rows."""
+        """Take in items, seen bits and targets; return the places of the user rows."""
         kinds = rows.column("kind").to_numpy()
         fresh, known, wanted, ready = (np.flatnonzero(kinds == k) for k in (_ITEM, _SEEN, _TARGET, _USER))
-        ids, users = rows.column("ids"), rows.column("user_id")
+
+        def at(name: str, which: np.ndarray) -> pa.Array:
+            return rows.column(name).take(pa.array(which))
+
         if len(fresh):
-            item_ids = ids.take(pa.array(fresh)).flatten().to_numpy()
-            self.parts.append((item_ids, _matrix(rows.column("vector"), fresh)))
-        if len(known):
-            for user, seen in zip(users.take(pa.array(known)).to_pylist(), _lists(ids, known)):
-                self.seen[user] = seen
-        if len(wanted):
-            items = ids.take(pa.array(wanted)).flatten().to_pylist()
-            scores = rows.column("score").take(pa.array(wanted)).to_pylist()
-            for user, item, score in zip(users.take(pa.array(wanted)).to_pylist(), items, scores):
-                self.targets.setdefault(user, []).append((item, score))
+            self.parts.append((at("place", fresh).to_numpy(), at("item", fresh).to_numpy(), _matrix(rows.column("vector"), fresh)))
+        for user, place, bits in zip(at("user_id", known).to_pylist(), at("place", known).to_pylist(), at("bits", known).to_pylist(), strict=True):
+            self.seen.setdefault(user, []).append((place, bits))
+        for user, item, score in zip(at("user_id", wanted).to_pylist(), at("item", wanted).to_pylist(), at("score", wanted).to_pylist(), strict=True):
+            self.targets.setdefault(user, []).append((item, score))
         return ready
 
-    def scored(self, rows: pa.RecordBatch, ready: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def forget(self, rows: pa.RecordBatch) -> None:
+        """Users come in order: what is kept of those before the last one is not needed again."""
+        last = rows.column("user_id")[rows.num_rows - 1].as_py()
+        self.seen = {u: v for u, v in self.seen.items() if u == last}
+        self.targets = {u: v for u, v in self.targets.items() if u == last}
+
+    def _free(self, user) -> np.ndarray | None:
+        known = self.seen.pop(user, None)
+        if known is None:
+            return None
+        free = np.ones(len(self.ids), bool)
+        for place, bits in known:
+            mask = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)[: len(free) - place]
+            free[place : place + len(mask)] = ~mask
+        return free
+
+    def scored(self, rows: pa.RecordBatch, ready: np.ndarray) -> Iterator[tuple]:
         """(user, candidate ids, their scores) for each user row."""
         if not len(ready) or not self.parts:
             return
         if self.matrix is None:  # all items of a cell come before its first user
-            ids = np.concatenate([i for i, _ in self.parts])
-            order = np.argsort(ids)
-            self.ids = ids[order]
-            self.matrix = np.concatenate([m for _, m in self.parts])[order].T
+            order = np.argsort(np.concatenate([p for p, _, _ in self.parts]))
+            self.ids = np.concatenate([i for _, i, _ in self.parts])[order]
+            self.matrix = np.concatenate([m for _, _, m in self.parts])[order].T
+            self.parts = self.parts[:1]
         for start in range(0, len(ready), USER_CHUNK):
-            chunk = ready[start:start + USER_CHUNK]
+            chunk = ready[start : start + USER_CHUNK]
             scores = np.round(_matrix(rows.column("vector"), chunk) @ self.matrix, SCORE_PLACES)
-            for user, line in zip(rows.column("user_id").take(pa.array(chunk)).to_pylist(), scores):
-                known = self.seen.pop(user, None)
-                if known is None:
-                    yield user, self.ids, line
-                else:
-                    free = ~np.isin(self.ids, known)
-                    yield user, self.ids[free], line[free]
+            for user, line in zip(rows.column("user_id").take(pa.array(chunk)).to_pylist(), scores, strict=True):
+                free = self._free(user)
+                yield (user, self.ids, line) if free is None else (user, self.ids[free], line[free])
 
 
-# One user's result in one cell: a list of equally long columns.
-Emit = Callable[[_Cell, int, np.ndarray, np.ndarray], list]
+# One user's result in one cell: equally long columns.
+Emit = Callable[[_Cell, object, np.ndarray, np.ndarray], list]
 
 
 def _sweep(emit: Emit, columns: list[str]):
@@ -154,57 +195,70 @@ def _sweep(emit: Emit, columns: list[str]):
                 continue
             places = np.stack([batch.column(c).to_numpy() for c in ("block", "shard")], axis=1)
             starts = np.flatnonzero(np.any(places[1:] != places[:-1], axis=1)) + 1
-            out: list[list] = []
-            for first, end in zip([0, *starts], [*starts, batch.num_rows]):
+            users, out = [], []
+            for first, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
                 if tuple(places[first]) != at:
                     cell, at = _Cell(), tuple(places[first])
                 rows = batch.slice(first, end - first)
-                ready = cell.add(rows)
-                out.extend(emit(cell, *found) for found in cell.scored(rows, ready))
+                for found in cell.scored(rows, cell.add(rows)):
+                    out.append(emit(cell, *found))
+                    users.append(found[0])
+                cell.forget(rows)
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=columns
-                )
+                owner = pa.array(users, batch.schema.field("user_id").type).take(pa.array(np.repeat(np.arange(len(users)), [len(o[0]) for o in out])))
+                yield pa.RecordBatch.from_arrays([owner, *[pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]], names=columns)
 
     return run
 
 
 def _best(k: int) -> Emit:
-    def emit(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list:
+    def emit(cell: _Cell, user, ids: np.ndarray, scores: np.ndarray) -> list:
         if len(scores) > k:
             limit = np.partition(scores, len(scores) - k)[len(scores) - k]
             near = scores >= limit  # keeps ties at the limit, so the id order can decide
             ids, scores = ids[near], scores[near]
         order = np.lexsort((ids, -scores))[:k]
-        return [np.full(len(order), user, "int64"), ids[order], scores[order]]
+        return [ids[order], scores[order]]
 
     return emit
 
 
-def _beaten(cell: _Cell, user: int, ids: np.ndarray, scores: np.ndarray) -> list:
+def _beaten(cell: _Cell, user, ids: np.ndarray, scores: np.ndarray) -> list:
     targets = cell.targets.pop(user, [])
-    counts = np.zeros((6, len(targets)), "int64")
+    counts = np.zeros((4, len(targets)), "int64")
     for n, (item, score) in enumerate(targets):
         other = ids != item
         same = (scores == score) & other
-        counts[:, n] = (
-            user, item, ((scores > score) & other).sum(), (same & (ids < item)).sum(), same.sum(), len(scores)
-        )
+        counts[:, n] = (item, ((scores > score) & other).sum(), (same & (ids < item)).sum(), same.sum())
     return list(counts)
 
 
 def full_sort_scores(
-    users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, block: int = ITEM_BLOCK
-) -> DataFrame:
-    """``user_id, item_id, score``: the ``k`` best items of each item block for every user.
+    users: DataFrame, items: DataFrame | ItemBlocks, k: int, seen: DataFrame | None = None, block: int | None = None,
+    bits: DataFrame | None = None,
+) -> DataFrame:
+    """``user_id, item_id, score``: at most ``k`` items of each item block for every user, the overall ``k``
+    best among them (see ``top_k_items``).
 
-    ``users(user_id, vector)``, ``items(item_id, vector)`` with ids that grow without large
-    gaps (see ``pathloom.operators.ids``), ``seen(user_id, item_id)`` to leave out.
-    The overall best ``k`` follow with ``top_k_items``.
+    ``users(user_id, vector)``, ``seen(user_id, item_id)`` to leave out, or its ``seen_bits``.
     """
-    cells = _cells(users, items, seen, None, block)
-    columns = ["user_id", "item_id", "score"]
-    return cells.mapInArrow(_sweep(_best(k), columns), "user_id long, item_id long, score double")
+    known = items if isinstance(items, ItemBlocks) else ItemBlocks(items, block)
+    kind = users.schema["user_id"].dataType.simpleString()
+    sweep = _sweep(_best(k), ["user_id", "item_id", "score"])
+    schema = f"user_id {kind}, item_id long, score double"
+    everyone = users.select("user_id", "vector").withColumn("_last", F.lit(len(known.bounds)))
+    if bits is None and seen is not None:
+        bits = seen_bits(seen, users, known)
+        bits = bits if known.even else save_shared(bits, "seen-bits")
+    if known.even:
+        return _cells(known, everyone, bits, None).mapInArrow(sweep, schema)
+    # The block of the longest vectors comes first; its k-th best score bounds what other blocks may add.
+    first = save_shared(_cells(known, everyone, bits, None, blocks=1).mapInArrow(sweep, schema), "first-block")
+    worst = first.groupBy("user_id").agg(F.min("score").alias("_worst"), F.count(F.lit(1)).alias("_n"))
+    score = F.when(F.col("_n") >= k, F.col("_worst")).otherwise(F.lit(float("-inf")))
+    wanting = users.select("user_id", "vector").join(worst, "user_id", "left").withColumn("_last", known.reached(_length("vector"), score))
+    rest = _cells(known, wanting.select("user_id", "vector", "_last"), bits, None, first=1)
+    return first.unionByName(rest.mapInArrow(sweep, schema))
 
 
 def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -212,8 +266,8 @@ def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen:
     pairs = targets.select("user_id", "item_id").distinct()
     # A popular item may be the target of a large share of all users, so both joins are skew-aware.
     hot_users, hot_items = frequent_keys(pairs, "user_id"), frequent_keys(pairs, "item_id")
-    scored = lookup(pairs, items.withColumnRenamed("vector", "_i"), "item_id", "left", frequent=hot_items)
-    scored = lookup(scored, users.withColumnRenamed("vector", "_u"), "user_id", "inner", frequent=hot_users)
+    scored = lookup(pairs, items.select("item_id", F.col("vector").alias("_i")), "item_id", "left", frequent=hot_items)
+    scored = lookup(scored, users.select("user_id", F.col("vector").alias("_u")), "user_id", "inner", frequent=hot_users)
     # A target without a vector ranks behind all candidates, as a suppressed one does.
     score = F.when(F.col("_i").isNull(), F.lit(float("-inf"))).otherwise(F.round(dot(F.col("_u"), F.col("_i")), SCORE_PLACES))
     if seen is None:
@@ -224,29 +278,42 @@ def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen:
 
 
 def target_rank(
-    users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None, block: int = ITEM_BLOCK
-) -> DataFrame:
+    users: DataFrame, items: DataFrame | ItemBlocks, targets: DataFrame, seen: DataFrame | None = None, block: int | None = None,
+    bits: DataFrame | None = None,
+) -> DataFrame:
     """Rank of each target among the user's candidates, by counting the items that beat it.
 
     ``rank`` breaks ties by item id, ``avg_rank`` averages them, ``candidates`` is the number
-    of items not suppressed.  Nothing is sorted and no candidate is shuffled.
+    of items not suppressed.  Nothing is sorted and no candidate is shuffled; a user and a target visit only
+    blocks that hold items long enough to reach the target's score.
     """
-    scored = target_scores(users, items, targets, seen)
-    cells = _cells(users, items, seen, scored, block)
+    known = items if isinstance(items, ItemBlocks) else ItemBlocks(items, block)
+    kind = users.schema["user_id"].dataType.simpleString()
+    lengths = users.select("user_id", _length("vector").alias("_length"))
+    scored = lookup(target_scores(users, known.table, targets, seen), lengths, "user_id", "inner")
+    behind = F.col("target_score") == float("-inf")  # behind every candidate, without a look at them
+    last = F.when(behind, 0).otherwise(known.reached(F.col("_length"), F.col("target_score"))).cast("int")
+    scored = save_shared(scored.withColumn("_last", last).drop("_length"), "target-scores")
+    visiting = users.select("user_id", "vector").join(scored.groupBy("user_id").agg(F.max("_last").alias("_last")), "user_id")
+    if bits is None and seen is not None:
+        bits = save_shared(seen_bits(seen, visiting, known), "seen-bits")
+    cells = _cells(known, visiting, bits, scored)
+    names = ["better", "before", "equal"]
     counts = cells.mapInArrow(
-        _sweep(_beaten, ["user_id", "item_id", "better", "before", "equal", "candidates"]),
-        "user_id long, item_id long, better long, before long, equal long, candidates long",
+        _sweep(_beaten, ["user_id", "item_id", *names]), f"user_id {kind}, item_id long, " + ", ".join(f"{n} long" for n in names)
     )
-    return (
-        counts.groupBy("user_id", "item_id")
-        .agg(*[F.sum(c).alias(c) for c in ("better", "before", "equal", "candidates")])
-        .select(
-            "user_id",
-            "item_id",
-            (F.col("better") + F.col("before") + 1).alias("rank"),
-            (F.col("better") + 1 + F.col("equal") / 2).alias("avg_rank"),
-            "candidates",
-        )
+    zeros = [F.lit(0).cast("long").alias(n) for n in names]
+    asked = scored.select("user_id", F.col("item_id").cast("long").alias("item_id"), *zeros, behind.alias("behind"))
+    totals = counts.withColumn("behind", F.lit(False)).unionByName(asked).groupBy("user_id", "item_id")
+    totals = totals.agg(*[F.sum(n).alias(n) for n in names], F.max("behind").alias("behind"))
+    if bits is None:
+        free = totals.withColumn("candidates", F.lit(known.count).cast("long"))
+    else:
+        met = bits.groupBy("user_id").agg(F.sum(F.bitmap_count("bits")).alias("_met"))
+        free = lookup(totals, met, "user_id", "left").withColumn("candidates", F.lit(known.count) - F.coalesce("_met", F.lit(0)))
+    better = F.when(F.col("behind"), F.col("candidates")).otherwise(F.col("better"))
+    return free.select(
+        "user_id", "item_id", (better + F.col("before") + 1).alias("rank"), (better + 1 + F.col("equal") / 2).alias("avg_rank"), "candidates"
     )
 
 

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.metrics import METRICS, check_request, evaluate
 from pathloom.operators.ranking import mark_positives, top_k_items
-from pathloom.operators.scoring import ITEM_BLOCK, full_sort_scores, mean_rank, target_rank
+from pathloom.operators.scoring import ItemBlocks, full_sort_scores, mean_rank, seen_bits, target_rank
 from pathloom.operators.skew import lookup
 from pathloom.session import save_shared
 
 
 def recommend(
-    users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, block: int = ITEM_BLOCK
-) -> DataFrame:
+    users: DataFrame, items: DataFrame | ItemBlocks, k: int, seen: DataFrame | None = None, block: int | None = None,
+    bits: DataFrame | None = None,
+) -> DataFrame:
     """``user_id, item_id, score, rank``: the best ``k`` unseen items per user."""
-    return top_k_items(full_sort_scores(users, items, k, seen, block), k)
+    return top_k_items(full_sort_scores(users, items, k, seen, block, bits), k)
 
 
 def hits_of_targets(ranked: DataFrame, k: int) -> DataFrame:
@@ -44,10 +45,14 @@ def evaluate_vectors(
     topk: Sequence[int],
     seen: DataFrame | None = None,
     popularity: DataFrame | None = None,
+    tail: float | None = None,
     item_count: int | None = None,
-    block: int = ITEM_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
-    """``metric, value`` for ranking metrics, computing only what the chosen metrics need."""
+    """``metric, value`` for ranking metrics, computing only what the chosen metrics need.
+
+    ``tail`` is that of ``tail_items``: a share of the items or a largest count.
+    """
     names, ks = check_request(metrics, topk)
     tables = {METRICS[n].table for n in names}
     if not ks:
@@ -57,15 +62,17 @@ def evaluate_vectors(
     targets = targets.select("user_id", "item_id").distinct()
     users = save_shared(users.join(targets.select("user_id").distinct(), "user_id", "left_semi"), "users")
     targets = save_shared(targets.join(users.select("user_id"), "user_id", "left_semi"), "targets")
-    items = save_shared(items, "items")
+    items, bits = ItemBlocks(items, block), None
     if seen is not None:
+        seen = seen.join(users.select("user_id"), "user_id", "left_semi")
         seen = save_shared(seen.select("user_id", "item_id").distinct(), "seen")
-    given: dict = {"popularity": popularity, "item_count": item_count}
+        bits = save_shared(seen_bits(seen, users, items), "seen-bits")
+    given: dict = {"popularity": popularity, "item_count": item_count, "tail": tail}
     if tables & {"exposure", "histogram", "slots"}:
-        recs = mark_positives(recommend(users, items, max(ks), seen, block), targets)
+        recs = mark_positives(recommend(users, items, max(ks), seen, bits=bits), targets)
         given["recs"] = save_shared(recs, "recs")
     if "mean_rank" in tables or ("hits" in tables and "recs" not in given):
-        ranked = save_shared(target_rank(users, items, targets, seen, block), "target-ranks")
+        ranked = save_shared(target_rank(users, items, targets, seen, bits=bits), "target-ranks")
         given["mean_rank"] = mean_rank(ranked)
         given.setdefault("recs", hits_of_targets(ranked, max(ks)))
     return evaluate(names, ks, **given)
