@@ -127,6 +127,14 @@ def _(spark, sf):
     return contrastive.contrastive_eval(contrastive_examples(spark, sf))
 
 
+@query("contrastive_masked", "example_id:i negatives:i kept:i loss:d pos_rank:i",
+       f"WITH {EXAMPLES} SELECT * FROM summary WHERE example_id % 3 <> 0")
+def _(spark, sf):
+    """A third of the examples is masked: without a loss, their negatives stay in the pool.  Tiles of 20."""
+    masked = contrastive_examples(spark, sf).withColumn("used", F.col("example_id") % 3 != 0)
+    return contrastive.batch_negatives(masked, mask="used", tile=20)
+
+
 @query("split_rows", "o_orderkey:i split:s", SPLIT_SQL)
 def _(spark, sf):
     return splits.split_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", draw="arithmetic")

@@ -1,14 +1,18 @@
-"""Contrastive evaluation inside batches of bounded size.
+"""Contrastive evaluation against the pool of negatives of each batch, however large the batch.
 
-Input: one row per example, ``batch_id, example_id, output, positive, negative`` (vectors).
-Every positive meets all negatives of its batch as one small matrix product; per example
-only the summary leaves the task, never the pairs.
+Input: one row per example, ``batch_id, example_id, output, positive`` (vectors) and ``negative`` (one vector) or
+``negatives`` (any number of them).  Every example meets all negatives of its batch; examples and negatives of a
+batch fall into tiles, a task multiplies one tile of each as a small matrix product, and per example and tile
+only mergeable sums leave it: kept and better negatives, the best similarity, the sum of exponentials.  Rows
+that a mask takes out of the loss keep their negatives in the pool.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,52 +23,118 @@ LOGIT_SCALE = 20.0
 SAME_ITEM_COSINE = 0.99
 ACCURACY_RANKS = (1, 5, 10, 50, 100)
 
-_SUMMARY = (
-    "batch_id long, example_id long, negatives long, kept long, best_negative double, "
-    "pos_logit double, loss double, pos_rank long"
-)
+TILE = 2048  # examples or negatives of one batch in one task
+_NEGATIVE, _EXAMPLE = 0, 1
+_PARTIAL = "batch_id long, example_id long, negatives long, kept long, best double, mass double, pos double, better long"
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    matrix = np.stack(column.to_numpy()).astype("float64")
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+def _unit(column: pa.Array) -> np.ndarray:
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def batch_negatives(examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE) -> DataFrame:
-    """Per example: negatives in the batch, negatives kept after dropping those too similar to the
-    positive, best kept similarity, scaled positive logit, cross-entropy, rank of the positive.
+def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
+    """Rows of all (batch, example tile, negative tile) cells, negatives before examples.
+
+    A batch of up to ``tile`` rows is one cell; the others are cut by a hash, each example copied once for
+    each tile of negatives and the other way round.
     """
+    sizes = examples.groupBy("batch_id").count().withColumn("_kind", F.lit(_EXAMPLE))
+    sizes = sizes.unionByName(pool.groupBy("batch_id").count().withColumn("_kind", F.lit(_NEGATIVE)))
+    large = sizes.filter(F.col("count") > tile)
+    cut = [F.ceil(F.max(F.when(F.col("_kind") == k, F.col("count"))) / tile).cast("int").alias(c) for k, c in ((_EXAMPLE, "_et"), (_NEGATIVE, "_nt"))]
+    some = large.limit(1).count() > 0
+    counts = large.groupBy("batch_id").agg(*cut) if some else None
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        output, positive, negative = _unit(rows["output"]), _unit(rows["positive"]), _unit(rows["negative"])
-        pos = (output * positive).sum(axis=1)
-        kept = ~(positive @ negative.T > threshold)
-        neg = np.where(kept, output @ negative.T, -np.inf)
-        logits = scale * np.concatenate([pos[:, None], neg], axis=1)
-        top = logits.max(axis=1, keepdims=True)
-        loss = np.log(np.exp(logits - top).sum(axis=1)) + top[:, 0] - logits[:, 0]
-        best = neg.max(axis=1)
-        return pd.DataFrame(
-            {
-                "batch_id": rows["batch_id"].to_numpy(),
-                "example_id": rows["example_id"].to_numpy(),
-                "negatives": len(rows),
-                "kept": kept.sum(axis=1),
-                "best_negative": np.where(np.isinf(best), np.nan, best),
-                "pos_logit": logits[:, 0],
-                "loss": loss,
-                "pos_rank": 1 + (neg > pos[:, None]).sum(axis=1),
-            }
-        )
+    def placed(rows: DataFrame, kind: int, key) -> DataFrame:
+        zero = F.lit(0)
+        if counts is None:
+            return rows.select("batch_id", zero.alias("et"), zero.alias("nt"), F.lit(kind).alias("kind"), "example_id", "a", "b")
+        own, other = ("_et", "_nt") if kind == _EXAMPLE else ("_nt", "_et")
+        spread = rows.join(counts, "batch_id", "left")
+        mine = F.pmod(key, F.coalesce(F.col(own), F.lit(1)))
+        copies = F.explode(F.sequence(zero, F.coalesce(F.col(other), F.lit(1)) - 1))
+        spread = spread.withColumn("_mine", mine.cast("int")).withColumn("_copy", copies)
+        et, nt = ("_mine", "_copy") if kind == _EXAMPLE else ("_copy", "_mine")
+        return spread.select("batch_id", F.col(et).alias("et"), F.col(nt).alias("nt"), F.lit(kind).alias("kind"), "example_id", "a", "b")
 
+    none = F.lit(None).cast("array<double>")
+    left = placed(examples.select("batch_id", "example_id", F.col("output").alias("a"), F.col("positive").alias("b")), _EXAMPLE, F.xxhash64("example_id"))
+    right = pool.select("batch_id", "example_id", F.col("negative").alias("a"), none.alias("b"), "_no")
+    right = placed(right, _NEGATIVE, F.xxhash64("example_id", "_no"))
     # The number is set so that Spark does not merge small but compute-heavy partitions.
-    spread = examples.repartition(slots(examples.sparkSession), "batch_id")
-    return spread.groupBy("batch_id").applyInPandas(run, _SUMMARY)
+    cells = left.unionByName(right).repartition(2 * slots(examples.sparkSession), "batch_id", "et", "nt")
+    return cells.sortWithinPartitions("batch_id", "et", "nt", "kind")
+
+
+def _products(scale: float, threshold: float):
+    def summed(rows: pa.RecordBatch, pool: np.ndarray | None) -> pa.RecordBatch:
+        output, positive = _unit(rows.column("a")), _unit(rows.column("b"))
+        pos = (output * positive).sum(axis=1)
+        pool = np.zeros((0, output.shape[1])) if pool is None else pool
+        kept = ~(positive @ pool.T > threshold)
+        sims = np.where(kept, output @ pool.T, -np.inf)
+        best = sims.max(axis=1, initial=-np.inf)
+        return pa.RecordBatch.from_arrays(
+            [rows.column("batch_id"), rows.column("example_id"), pa.array(np.full(len(pos), len(pool))), pa.array(kept.sum(axis=1)),
+             pa.array(best, mask=np.isinf(best)), pa.array(np.exp(scale * (sims - 1)).sum(axis=1)), pa.array(pos), pa.array((sims > pos[:, None]).sum(axis=1))],
+            names=["batch_id", "example_id", "negatives", "kept", "best", "mass", "pos", "better"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, pool = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("batch_id", "et", "nt", "kind")], axis=1)
+            starts = np.flatnonzero(np.any(places[1:] != places[:-1], axis=1)) + 1
+            for first, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                cell, kind = tuple(places[first, :3]), places[first, 3]
+                if cell != at:
+                    at, parts, pool = cell, [], None
+                rows = batch.slice(first, end - first)
+                if kind == _NEGATIVE:
+                    parts.append(_unit(rows.column("a")))
+                    continue
+                if parts:  # all negatives of a cell come before its first example
+                    pool, parts = np.concatenate(parts), []
+                yield summed(rows, pool)
+
+    return run
+
+
+def batch_negatives(
+    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None, tile: int = TILE
+) -> DataFrame:
+    """Per example: negatives in the batch, negatives kept after dropping those too similar to the
+    positive, best kept similarity, scaled positive logit, cross-entropy, rank of the positive.
+
+    ``mask`` names a column that is true (or 1) for examples with a loss; the others only give negatives.
+    """
+    if not 0 < scale <= 300:
+        raise ValueError(f"scale must be in (0, 300], got {scale}")  # beyond, exponentials of whole similarities vanish
+    ids = [F.col(c).cast("long").alias(c) for c in ("batch_id", "example_id")]
+    given = F.col("negatives") if "negatives" in examples.columns else F.array("negative")
+    pool = examples.select(*ids, F.posexplode(given.cast("array<array<double>>")).alias("_no", "negative"))
+    scored = examples.filter(F.col(mask).cast("boolean")) if mask else examples
+    scored = scored.select(*ids, *[F.col(c).cast("array<double>").alias(c) for c in ("output", "positive")])
+    parts = _tiles(scored, pool, tile).mapInArrow(_products(scale, threshold), _PARTIAL)
+    total = parts.groupBy("batch_id", "example_id").agg(
+        *[F.sum(c).alias(c) for c in ("negatives", "kept", "mass", "better")], F.max("best").alias("best_negative"), F.max("pos").alias("pos")
+    )
+    loss = F.log(F.exp(scale * (F.col("pos") - 1)) + F.col("mass")) + scale - scale * F.col("pos")
+    return total.select(
+        "batch_id", "example_id", "negatives", "kept", "best_negative", (scale * F.col("pos")).alias("pos_logit"), loss.alias("loss"),
+        (F.col("better") + 1).alias("pos_rank"),
+    )
 
 
-def contrastive_eval(examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE) -> DataFrame:
+def contrastive_eval(
+    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None
+) -> DataFrame:
     """``metric, value``: loss, mean candidate count, and top-k accuracy over batches wide enough for k."""
-    summary = batch_negatives(examples, scale, threshold)
+    summary = batch_negatives(examples, scale, threshold, mask)
     wide = {k: F.col("negatives") + 1 >= k for k in ACCURACY_RANKS}
     totals = summary.agg(
         F.avg("loss").alias("loss"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vectors import dot
-from pathloom.operators.skew import frequent_keys, global_index, lookup
+from pathloom.operators.skew import frequent_keys, global_index, lookup, row_index
 from pathloom.session import save_shared, slots
 
 BLOCK_BYTES = 32 << 20  # of item vectors in one block
@@ -43,19 +43,20 @@ class ItemBlocks:
     block, else as many as BLOCK_BYTES hold.
     """
 
-    def __init__(self, items: DataFrame, block: int | None):
-        known = items.filter((F.col("item_id") > 0) & F.col("vector").isNotNull()).withColumn("_length", _length("vector"))
-        self.table = global_index(known, [F.col("_length").desc(), F.col("item_id")], "_number")
-        self.count, width = self.table.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-        self.block = block or max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
-        home = self.home(F.col("_number"))
-        bounds = self.table.groupBy(home.alias("b")).agg(F.max("_length").alias("m")).collect()  # one row a block
-        self.bounds = [r["m"] for r in sorted(bounds)]
-
-    @property
-    def even(self) -> bool:
-        """Whether all vectors are about equally long, so that bounds cannot skip a block."""
-        return len(self.bounds) <= 1 or self.bounds[-1] >= 0.9 * self.bounds[0]
+    def __init__(self, items: DataFrame, block: int | None = None):
+        known = row_index(items.filter((F.col("item_id") > 0) & F.col("vector").isNotNull()).select("item_id", "vector"), "_number")
+        length = _length("vector")
+        count, width, least, most = known.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.min(length), F.max(length)).first()
+        self.count, self.block = count, block or max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+        #: All vectors are about equally long: no bound can skip a block, and any order does.
+        self.even = not count or count <= self.block or least >= 0.9 * most
+        if self.even:
+            self.table, self.bounds = known, [most] * -(-count // self.block)
+        else:
+            measured = known.select("item_id", "vector", length.alias("_length"))
+            self.table = global_index(measured, [F.col("_length").desc(), F.col("item_id")], "_number")
+            bounds = self.table.groupBy(self.home(F.col("_number")).alias("b")).agg(F.max("_length").alias("m")).collect()  # one row a block
+            self.bounds = [r["m"] for r in sorted(bounds)]
 
     def home(self, number: Column) -> Column:
         return F.floor((number - 1) / self.block).cast("int")
@@ -73,9 +74,9 @@ def seen_bits(seen: DataFrame, users: DataFrame, items: ItemBlocks) -> DataFrame
     A bitmap has a fixed size, however many items a user has seen; ``first`` is the place in the block of its
     first bit.
     """
-    pairs = seen.select("user_id", "item_id").join(users.select("user_id").distinct(), "user_id", "left_semi")
-    numbers = items.table.select("item_id", "_number")
-    placed = lookup(pairs, numbers, "item_id", "inner")
+    pairs = seen.select("user_id", "item_id").join(users.select("user_id"), "user_id", "left_semi")
+    # Spark splits the partition of an item that very many users have seen (its skew join).
+    placed = pairs.join(items.table.select("item_id", "_number"), "item_id")
     place = F.pmod(F.col("_number") - 1, F.lit(items.block))
     first = (F.floor(place / _BITS) * _BITS).cast("int")
     cut = placed.select("user_id", items.home(F.col("_number")).alias("block"), first.alias("first"), (place - first + 1).cast("long").alias("bit"))
@@ -262,7 +263,7 @@ def full_sort_scores(
 
 
 def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """``target_score`` of each distinct (user, target); minus infinity if it is suppressed or has no vector."""
+    """``target_score`` of each distinct (user, target), minus infinity if it is suppressed or has no vector, and ``user_length``."""
     pairs = targets.select("user_id", "item_id").distinct()
     # A popular item may be the target of a large share of all users, so both joins are skew-aware.
     hot_users, hot_items = frequent_keys(pairs, "user_id"), frequent_keys(pairs, "item_id")
@@ -270,11 +271,12 @@ def target_scores(users: DataFrame, items: DataFrame, targets: DataFrame, seen:
     scored = lookup(scored, users.select("user_id", F.col("vector").alias("_u")), "user_id", "inner", frequent=hot_users)
     # A target without a vector ranks behind all candidates, as a suppressed one does.
     score = F.when(F.col("_i").isNull(), F.lit(float("-inf"))).otherwise(F.round(dot(F.col("_u"), F.col("_i")), SCORE_PLACES))
+    length = _length("_u").alias("user_length")
     if seen is None:
-        return scored.select("user_id", "item_id", score.alias("target_score"))
+        return scored.select("user_id", "item_id", score.alias("target_score"), length)
     known = seen.select("user_id", "item_id").distinct().withColumn("_seen", F.lit(True))
     score = F.when(F.col("_seen"), F.lit(float("-inf"))).otherwise(score)
-    return scored.join(known, ["user_id", "item_id"], "left").select("user_id", "item_id", score.alias("target_score"))
+    return scored.join(known, ["user_id", "item_id"], "left").select("user_id", "item_id", score.alias("target_score"), length)
 
 
 def target_rank(
@@ -289,11 +291,13 @@ def target_rank(
     """
     known = items if isinstance(items, ItemBlocks) else ItemBlocks(items, block)
     kind = users.schema["user_id"].dataType.simpleString()
-    lengths = users.select("user_id", _length("vector").alias("_length"))
-    scored = lookup(target_scores(users, known.table, targets, seen), lengths, "user_id", "inner")
+    if seen is not None and bits is None:  # read twice below
+        seen = seen.select("user_id", "item_id").join(users.select("user_id"), "user_id", "left_semi")
+        seen = save_shared(seen.distinct(), "seen")
+    scored = target_scores(users, known.table, targets, seen)
     behind = F.col("target_score") == float("-inf")  # behind every candidate, without a look at them
-    last = F.when(behind, 0).otherwise(known.reached(F.col("_length"), F.col("target_score"))).cast("int")
-    scored = save_shared(scored.withColumn("_last", last).drop("_length"), "target-scores")
+    last = F.when(behind, 0).otherwise(known.reached(F.col("user_length"), F.col("target_score"))).cast("int")
+    scored = save_shared(scored.withColumn("_last", last).drop("user_length"), "target-scores")
     visiting = users.select("user_id", "vector").join(scored.groupBy("user_id").agg(F.max("_last").alias("_last")), "user_id")
     if bits is None and seen is not None:
         bits = save_shared(seen_bits(seen, visiting, known), "seen-bits")
@@ -310,7 +314,7 @@ def target_rank(
         free = totals.withColumn("candidates", F.lit(known.count).cast("long"))
     else:
         met = bits.groupBy("user_id").agg(F.sum(F.bitmap_count("bits")).alias("_met"))
-        free = lookup(totals, met, "user_id", "left").withColumn("candidates", F.lit(known.count) - F.coalesce("_met", F.lit(0)))
+        free = totals.join(met, "user_id", "left").withColumn("candidates", F.lit(known.count) - F.coalesce("_met", F.lit(0)))
     better = F.when(F.col("behind"), F.col("candidates")).otherwise(F.col("better"))
     return free.select(
         "user_id", "item_id", (better + F.col("before") + 1).alias("rank"), (better + 1 + F.col("equal") / 2).alias("avg_rank"), "candidates"

@@ -140,6 +140,30 @@ def test_contrastive_equals_numpy(spark):
     assert "nce_top10_acc" not in metrics and "nce_top5_acc" in metrics
 
 
+@pytest.mark.parametrize("tile", [3, 8, 2048])
+def test_pool_of_a_masked_batch(spark, tile):
+    """Any number of negatives an example, masked examples without a row, cells of any size."""
+    rng = np.random.default_rng(8)
+    o, p = rng.normal(size=(2, 40, 4))
+    g = [rng.normal(size=(int(rng.integers(0, 4)), 4)) for _ in range(40)]
+    g[7] = np.stack([p[9] * 3, p[1]])
+    batch = [0 if i < 30 else 1 + i % 2 for i in range(40)]
+    data = [(batch[i], i, o[i].tolist(), p[i].tolist(), g[i].tolist(), i % 4 != 1) for i in range(40)] + [(9, 100, [1.0, 0.0, 0.0, 0.0], [1.0, 1.0, 0.0, 0.0], [], True)]
+    schema = "batch_id long, example_id long, output array<double>, positive array<double>, negatives array<array<double>>, used boolean"
+    df = spark.createDataFrame(data, schema).repartition(3)
+    got = {r["example_id"]: r for r in contrastive.batch_negatives(df, mask="used", tile=tile).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    o, p = unit(o), unit(p)
+    assert set(got) == {i for i in range(40) if i % 4 != 1} | {100}
+    for i in set(got) - {100}:
+        pool = unit(np.concatenate([g[j] for j in range(40) if batch[j] == batch[i]]))
+        keep = pool[p[i] @ pool.T <= 0.99]
+        logits = 20 * np.array([o[i] @ p[i], *(keep @ o[i])])
+        assert (got[i]["negatives"], got[i]["kept"], got[i]["pos_rank"]) == (len(pool), len(keep), 1 + (logits[1:] > logits[0]).sum())
+        assert got[i]["loss"] == pytest.approx(np.log(np.exp(logits).sum()) - logits[0]) and got[i]["best_negative"] == pytest.approx(logits[1:].max() / 20)
+    assert (got[100]["negatives"], got[100]["pos_rank"], got[100]["best_negative"]) == (0, 1, None) and got[100]["loss"] == pytest.approx(0)
+
+
 @pytest.mark.parametrize("frequent", [None, [], [1, 4]])
 def test_adjacency(spark, rows, frequent):
     events = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (1, 1)], "user_id int, item_id int")
