@@ -103,6 +103,17 @@ def first_and_last(rows):
     )
 
 
+def joined_segments(parts):
+    """The same from the results of a history's segments."""
+    import pandas as pd
+
+    first, last = parts.iloc[0], parts.iloc[-1]
+    return pd.DataFrame(
+        {"user_id": [first["user_id"]], "segment": [first["segment"]], "events": [int(parts["events"].sum())],
+         "first_item": [first["first_item"]], "last_item": [last["last_item"]], "total": [float(parts["total"].sum())]}
+    )
+
+
 @query("group_apply", "user_id:i segment:i events:i first_item:i last_item:i total:d", f"""
 WITH {PLACED_A} SELECT user_id, 0 AS segment, count(*) AS events, arg_min(item_id, pos) AS first_item,
   arg_max(item_id, pos) AS last_item, sum(value) AS total FROM placed GROUP BY user_id""")
@@ -110,6 +121,6 @@ def _(spark, sf):
     rows = log_a(spark, sf).select("user_id", "item_id", "event_time", "event_no", "value")
     return items.group_apply(
         rows, ["user_id"], ORDER_A, first_and_last,
-        "user_id int, segment int, events long, first_item int, last_item int, total double",
+        "user_id int, segment int, events long, first_item int, last_item int, total double", joined_segments,
         frequent=hot(spark, sf, "a", "user_id"),
     )

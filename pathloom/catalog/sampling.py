@@ -226,6 +226,16 @@ def _(spark, sf):
     return batches.pack_eval_batches(indexed, 32, ["user_id", "target"], sequences.eval_history(placed), frequent=[])[0]
 
 
+@query("pack_eval_histories", "batch_id:i row:i item_id:i", f"""
+WITH {PLACED_A}, u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i FROM placed WHERE pos = n - 1)
+SELECT i // 32 AS batch_id, i % 32 AS row, item_id FROM placed JOIN u USING (user_id) WHERE pos <= n - 2""")
+def _(spark, sf):
+    """The other result of ``pack_eval_batches``: what each row of a batch has to suppress."""
+    placed = placed_a(spark, sf)
+    indexed = global_index(sequences.eval_split(placed, 10), [F.col("user_id")])
+    return batches.pack_eval_batches(indexed, 32, ["user_id", "target"], sequences.eval_history(placed), frequent=[])[1]
+
+
 @query("normalized_adjacency", "src:i dst:i weight:d", f"""
 WITH {EDGES_SQL} SELECT src, dst, 1 / sqrt(a.n) * (1 / sqrt(b.n)) AS weight FROM edges
 JOIN deg a ON a.node = src JOIN deg b ON b.node = dst""")

@@ -14,7 +14,7 @@ from pathloom.catalog.tables import (
 from pathloom.functions.arrays import position_slice
 from pathloom.functions.text import composite_key
 from pathloom.functions.times import time_gap_bucket
-from pathloom.operators import clean, history, ids, metrics, ranking, scoring, splits
+from pathloom.operators import clean, history, ids, metrics, profile, ranking, scoring, splits
 from pathloom.operators.skew import positions
 from pathloom.plans.evaluation import recommend
 
@@ -180,7 +180,7 @@ def _(spark, sf):
 
 @query("distinct_users", "user_id:i", f"WITH {LOG_B} SELECT DISTINCT user_id FROM log_b")
 def _(spark, sf):
-    return log_b(spark, sf).select("user_id").distinct()
+    return profile.distinct_users(log_b(spark, sf))
 
 
 @query("complement_split", "o_orderkey:i", f"SELECT o_orderkey FROM ({SPLIT_SQL}) WHERE split = 'test'")

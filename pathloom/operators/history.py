@@ -105,17 +105,28 @@ def build_item_table(
 
 
 def explode_history(
-    histories: DataFrame, columns: Sequence[str], user: str = "user_id", segment_length: int = SEGMENT_LENGTH
+    histories: DataFrame, columns: Sequence[str], user: str = "user_id", segment_length: int | None = None
 ) -> DataFrame:
     """Arrays -> one row per event with its 1-based place; empty histories give no row.
 
-    All segments before the last one are full, so places continue across segments.
+    Places continue across segments.  How long the earlier segments of a history are is read from the table,
+    for the histories that have several; a ``segment_length`` says that all but the last are that long.
     """
-    first = F.col("segment").cast("long") * segment_length if "segment" in histories.columns else F.lit(0)
-    flat = histories.select(user, first.alias("_first"), F.posexplode(F.arrays_zip(*columns)).alias("_place", "_e"))
-    return flat.select(
-        user, (F.col("_first") + F.col("_place") + 1).alias("pos"), *[F.col("_e")[c].alias(c) for c in columns]
-    )
+
+    def flat(rows: DataFrame, first: Column) -> DataFrame:
+        out = rows.select(user, first.alias("_first"), F.posexplode(F.arrays_zip(*columns)).alias("_place", "_e"))
+        return out.select(user, (F.col("_first") + F.col("_place") + 1).alias("pos"), *[F.col("_e")[c].alias(c) for c in columns])
+
+    if "segment" not in histories.columns:
+        return flat(histories, F.lit(0).cast("long"))
+    if segment_length is not None:
+        return flat(histories, F.col("segment").cast("long") * segment_length)
+    sizes = histories.select(F.col(user).alias("_user"), F.col("segment").alias("_segment"), F.size(columns[0]).cast("long").alias("_size"))
+    earlier = Window.partitionBy("_user").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_first", F.sum("_size").over(earlier)).filter(F.col("_segment") > 0).drop("_size")
+    same = F.col(user).eqNullSafe(F.col("_user")) & (F.col("segment") == F.col("_segment"))
+    later = histories.filter(F.col("segment") > 0).join(starts, same)
+    return flat(histories.filter(F.col("segment") == 0), F.lit(0).cast("long")).unionByName(flat(later, F.col("_first")))
 
 
 def keep_last_n(events: DataFrame, n: int, order: Sequence[str], user: str = "user_id") -> DataFrame:

@@ -67,18 +67,33 @@ def group_apply(
     order: Sequence[str],
     function: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
+    merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     segment_rows: int = SEGMENT_LENGTH,
     **skew,
 ) -> DataFrame:
     """A user-supplied pandas function per group, rows in ``order``.
 
-    A group of more than ``segment_rows`` rows is handed over in consecutive segments
-    (column ``segment``), so no task ever holds an unbounded group.
+    A group of more than ``segment_rows`` rows is handed over in consecutive segments (column ``segment``), so
+    no task ever holds an unbounded group, and ``merge`` turns the results of a group's segments (in their
+    order) into the result of the group.  Without ``merge`` such a group is an error: its answer would depend
+    on where it is cut.
     """
     placed = positions(df, keys, [F.col(c) for c in order], "_pos", **skew)
     cut = placed.withColumn("segment", F.floor((F.col("_pos") - 1) / segment_rows).cast("int"))
+    names = [f"_key{i}" for i in range(len(keys))]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return function(rows.sort_values("_pos").drop(columns="_pos"))
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if merge is None and key[-1] > 0:
+            raise ValueError(f"group {key[:-1]} has more than {segment_rows} rows: group_apply needs a merge function")
+        out = function(rows.sort_values("_pos").drop(columns="_pos"))
+        return out if merge is None else out.assign(**dict(zip([*names, "_segment"], key, strict=True)))
 
-    return cut.groupBy(*keys, "segment").applyInPandas(run, schema)
+    if merge is None:
+        return cut.groupBy(*keys, "segment").applyInPandas(run, schema)
+    hidden = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True))
+    parts = cut.groupBy(*keys, "segment").applyInPandas(run, f"{schema}, {hidden}, _segment int")
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        return merge(rows.sort_values("_segment", kind="stable").drop(columns=[*names, "_segment"]).reset_index(drop=True))
+
+    return parts.groupBy(*names).applyInPandas(joined, schema)

@@ -11,9 +11,9 @@ from pathloom.functions.arrays import drop_out, left_pad, left_pad_with
 from pathloom.functions.draws import DRAWS, any_item
 
 
-def _seen(windows: DataFrame, item_count: int) -> DataFrame:
+def _seen(windows: DataFrame, item_count: int, column: str = "item_seq") -> DataFrame:
     """``_seen``: sorted distinct real items of the window; ``_free``: how many items remain."""
-    seen = F.array_sort(F.array_distinct(F.filter("item_seq", lambda x: x > 0)))
+    seen = F.array_sort(F.array_distinct(F.filter(column, lambda x: x > 0)))
     return windows.withColumn("_seen", seen).withColumn("_free", F.lit(item_count) - F.size("_seen"))
 
 
@@ -54,12 +54,14 @@ def sample_shared_negatives(
     seed: int = 42,
     draw: str = "hash",
 ) -> DataFrame:
-    """``neg_item``: a fixed number of items per window."""
+    """``neg_item``: a fixed number of items per window; padding (0) where a window holds every item."""
     count = shared_count(num_negatives, workers, batch)
     places = F.sequence(F.lit(1), F.lit(count))
     if exclude_history:
-        rows = _seen(windows, item_count).filter(F.col("_free") > 0)
-        return rows.withColumn("neg_item", F.transform(places, lambda p: _draw(seed, draw, p))).drop("_seen", "_free")
+        rows = _seen(windows, item_count)
+        drawn = F.transform(places, lambda p: _draw(seed, draw, p))
+        padding = F.array_repeat(F.lit(0), count)
+        return rows.withColumn("neg_item", F.when(F.col("_free") > 0, drawn).otherwise(padding)).drop("_seen", "_free")
     items = F.transform(
         places, lambda p: any_item(item_count, seed, F.col("user_id"), F.col("seq_no"), p, draw=draw).cast("int")
     )
@@ -82,16 +84,13 @@ def sample_per_position(
 
 
 def left_pad_negatives(
-    windows: DataFrame, length: int, item_count: int, seed: int = 42, draw: str = "hash"
+    windows: DataFrame, length: int, item_count: int, seed: int = 42, draw: str = "hash", column: str = "item_seq"
 ) -> DataFrame:
-    """``item_seq`` padded on the left with items outside the window instead of 0."""
-    rows = _seen(windows, item_count)
+    """``column`` padded on the left with items it does not hold instead of 0."""
+    rows = _seen(windows, item_count, column)
     filler = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda p: _draw(seed, draw, p))
-    padded = F.when(F.col("_free") > 0, left_pad_with(F.col("item_seq"), filler, length)).otherwise(
-        left_pad(F.col("item_seq"), length)
-    )
-    return rows.withColumn("item_seq", padded).drop("_seen", "_free")
-
+    padded = F.when(F.col("_free") > 0, left_pad_with(F.col(column), filler, length)).otherwise(left_pad(F.col(column), length))
+    return rows.withColumn(column, padded).drop("_seen", "_free")
 
 
 def item_dropout(

@@ -65,3 +65,8 @@ def length_survival_histogram(lengths: DataFrame, column: str = "history_len") -
     )
     pairs = [F.struct(F.lit(e).alias("edge"), F.col(str(e)).alias("users")) for e in LENGTH_EDGES[:-1]]
     return counts.select(F.inline(F.array(*pairs)))
+
+
+def distinct_users(events: DataFrame, user: str = "user_id") -> DataFrame:
+    """Each user once; rows of one user are folded before the shuffle."""
+    return events.select(user).distinct()

@@ -48,3 +48,42 @@ def test_numbers_and_booleans_in_prompts(spark):
 def test_insert_plan_beyond_the_window(spark):
     with pytest.raises(Exception, match="window holds 3"):
         spark.range(1).select(insert_placeholders(F.array(F.lit(1), F.lit(2), F.lit(3)), [(5, 2)], 2)).collect()
+
+
+@pytest.mark.parametrize("segment_rows", [1, 3, 7, 65_536])
+def test_group_function_whatever_the_segments(spark, segment_rows):
+    from pathloom.catalog.hooks import first_and_last, joined_segments
+    from pathloom.operators.items import group_apply
+
+    rows = spark.createDataFrame([(u, 10 * u + i, i, float(i)) for u in (1, 2, 3) for i in range(2 * u + 1)], "user_id int, item_id int, event_time int, value double")
+    schema = "user_id int, segment int, events long, first_item int, last_item int, total double"
+    got = group_apply(rows, ["user_id"], ["event_time"], first_and_last, schema, joined_segments, segment_rows).collect()
+    assert sorted(map(tuple, got)) == [(u, 0, 2 * u + 1, 10 * u, 12 * u, float(sum(range(2 * u + 1)))) for u in (1, 2, 3)]
+    if segment_rows < 7:
+        with pytest.raises(Exception, match="needs a merge function"):
+            group_apply(rows, ["user_id"], ["event_time"], first_and_last, schema, segment_rows=segment_rows).collect()
+
+
+@pytest.mark.parametrize("segment_length", [1, 2, 5, 65_536])
+def test_places_of_any_segments(spark, segment_length):
+    from pathloom.operators.history import build_history_arrays, explode_history
+
+    rows = spark.createDataFrame([(u, i * 2, i) for u in (1, 2, None) for i in range(9 if u == 2 else 4)], "user_id int, item_id int, event_time int")
+    cut = build_history_arrays(rows, ["item_id"], ["event_time"], segment_length=segment_length)
+    got = sorted(tuple(r) for r in explode_history(cut, ["item_id"]).fillna(0, "user_id").collect())
+    assert got == sorted((u or 0, i + 1, i * 2) for u in (1, 2, None) for i in range(9 if u == 2 else 4))
+
+
+def test_negatives_of_whole_windows_and_random_padding(spark):
+    from pathloom.operators.negatives import sample_shared_negatives
+    from pathloom.plans.training import training_examples
+
+    full = spark.createDataFrame([(1, 0, [1, 2, 3]), (2, 0, [1, 2])], "user_id int, seq_no int, item_seq array<int>")
+    assert {r["user_id"]: r["neg_item"] for r in sample_shared_negatives(full, 3, 4, 1, 1).collect()} == {1: [0] * 4, 2: [3] * 4}
+    events = spark.createDataFrame([(f"u{u}", u + j, 60 * j) for u in (1, 2) for j in range(3 + 6 * u)], "user_id string, item_id int, event_time int")
+    for r in training_examples(events, ["event_time"], 9, 40, num_negatives=6).collect():
+        assert len(r["neg_item"]) == 6 and not set(r["neg_item"]) & set(r["item_seq"]) and len(r["item_seq"]) == 10
+    for r in training_examples(events, ["event_time"], 9, 40, random_padding=True).collect():
+        real = sum(r["masked_index"])
+        assert len(r["neg_item"]) == 10 and 0 not in r["neg_item"] and 0 not in r["item_seq"]
+        assert not set(r["neg_item"][: 10 - real]) & set(r["neg_item"][10 - real :])
