@@ -87,3 +87,12 @@ def test_negatives_of_whole_windows_and_random_padding(spark):
         real = sum(r["masked_index"])
         assert len(r["neg_item"]) == 10 and 0 not in r["neg_item"] and 0 not in r["item_seq"]
         assert not set(r["neg_item"][: 10 - real]) & set(r["neg_item"][10 - real :])
+
+
+def test_item_with_two_texts_does_not_double_rows(spark):
+    from pathloom.operators.items import attach_item_text
+
+    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 0)], "user_id int, item_id int")
+    items = spark.createDataFrame([(5, "b"), (5, "a"), (6, None), (7, "c"), (0, "pad")], "item_id int, title string")
+    got = sorted(map(tuple, attach_item_text(rows, items, ["title"]).select("user_id", "text").collect()))
+    assert [u for u, _ in got] == [1, 2, 3, 4] and got[0][1] == got[1][1] != "" and "a" in got[0][1] and got[2][1] == got[3][1] == ""
