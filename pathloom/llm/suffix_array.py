@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.substring_dedup import NULL_ID, SPANS, spans_of
+from pathloom.llm.substring_dedup import SPANS, spans_of
 from pathloom.llm.tables import BLOCK_BYTES, blocks, text_bytes, texts
 from pathloom.llm.text import BASE_INVERSE, BYTE_CODES, PACKED, Slice, batch, covered, groups_of, mix, pack, powers, prefix_sums, range_hash, slices, unpack
 
 LENGTH = 200
 K = 64
-_PLACE = np.uint64((1 << 28) - 1)  # a slice's byte place, below the hash that orders minimizers
+SLICE = 1 << 20
+_PLACE = np.uint64((1 << 28) - 1)  # a place in a stretch, below the hash that orders minimizers
+_STRETCH = 1 << 18  # windows whose minimizers are found at once
+_TIED = 1 << 16  # places that one sort of whole strings takes
 PIECES = "bucket int, owners binary, keys binary, sizes binary, size long, text binary"
 
 
@@ -48,14 +51,12 @@ class Pieces:
             return
         sums = prefix_sums(BYTE_CODES[data])
         grams = mix((sums[k:] - sums[:-k]) * powers(BASE_INVERSE, n - k + 1))
-        places = np.arange(len(grams), dtype=np.uint64)
-        best = _sliding_min((grams & ~_PLACE) | places, width) & _PLACE
         # Windows inside one document.
-        inside = covered(len(best), docs.offsets[:-1][(size := np.diff(docs.offsets)) >= length], (docs.offsets[1:] - length + 1)[size >= length])
+        inside = covered(n - length + 1, docs.offsets[:-1][(size := np.diff(docs.offsets)) >= length], (docs.offsets[1:] - length + 1)[size >= length])
         first = np.flatnonzero(inside)
         if not len(first):
             return
-        at = best[first].astype(np.int64)
+        at = _minimizers(grams, width)[first]
         new = np.ones(len(first), bool)
         new[1:] = (at[1:] != at[:-1]) | (first[1:] != first[:-1] + 1)
         runs = np.flatnonzero(new)
@@ -64,7 +65,18 @@ class Pieces:
         self.name = grams[at[runs]]
         self.key = range_hash(sums, self.start, self.last + length)
         self.doc = np.searchsorted(docs.offsets, self.start, side="right") - 1
-        self.owner = docs.ids()[self.doc]
+        self.owner = docs.ids("owner")[self.doc]
+
+
+def _minimizers(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest hash (the first of equal ones) in every ``width`` hashes, stretch by stretch."""
+    n = len(grams) - width + 1
+    out = np.empty(n, np.int64)
+    for s in range(0, n, _STRETCH):
+        part = grams[s : min(s + _STRETCH, n) + width - 1] & ~_PLACE
+        part |= np.arange(len(part), dtype=np.uint64)
+        out[s : s + _STRETCH] = (_sliding_min(part, width) & _PLACE).astype(np.int64) + s
+    return out
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +105,7 @@ def _send(owner: np.ndarray, key: np.ndarray, buckets: int, n_blocks: int) -> It
 
 
 def _scatter_names(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int):
-    for docs in slices(batches):
+    for docs in slices(batches, limit=SLICE):
         pieces = Pieces(docs, length, k)
         if len(pieces.start):
             yield from _send(pieces.owner, pieces.name, buckets, buckets)
@@ -125,7 +137,7 @@ def _scatter_pieces(rows: pa.Table, hits: pa.Table, length: int, k: int, buckets
     owner, name, _ = unpack(hits)
     known = np.unique(_pair(owner, name))
     out: list[tuple] = []
-    for docs in slices(rows.to_batches()):
+    for docs in slices(rows.to_batches(), limit=SLICE):
         pieces = Pieces(docs, length, k)
         if not len(pieces.start):
             continue
@@ -156,6 +168,47 @@ def _scatter_pieces(rows: pa.Table, hits: pa.Table, length: int, k: int, buckets
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
 
 
+def _marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges, which ascend and do not overlap."""
+    sizes = np.diff(np.concatenate(([0], np.column_stack((start, end)).ravel(), [n])))
+    return np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
+
+
+def _eights(t: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, read as one number (little end first, zeros after the last)."""
+    padded = np.concatenate((t, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(t) + 1,), (1,))
+
+
+def _by_bytes(text: bytes, eight: np.ndarray, places: np.ndarray, limit: np.ndarray, at: int, length: int) -> np.ndarray:
+    """``places`` in the order of text[place:limit], all equal in their first ``at`` bytes.
+
+    Sorted by the next eight bytes; ties by whole strings, a bounded number at a time, large groups of ties by
+    eight more bytes.
+    """
+    if at >= length:  # equal but for zeros at the end: the shorter first
+        return places[np.argsort(limit - places, kind="stable")]
+    left = np.clip(limit - places - at, 0, 8).astype(np.uint64)
+    key = eight[np.minimum(places + at, len(eight) - 1)].byteswap()
+    # Bytes past the limit count as zeros.
+    key = np.where(left > 0, key & ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * np.maximum(left, 1))) - np.uint64(1)), 0)
+    by = np.argsort(key, kind="stable")
+    places, limit, key = places[by], limit[by], key[by]
+    first, size = groups_of(key)
+    del key, by, left
+    for s, n in zip(first[size > _TIED].tolist(), size[size > _TIED].tolist(), strict=True):
+        places[s : s + n] = _by_bytes(text, eight, places[s : s + n], limit[s : s + n], at + 8, length)
+    few = (size > 1) & (size <= _TIED)
+    tied = np.flatnonzero(np.repeat(few, size))
+    part = np.repeat((np.cumsum(size[few]) - size[few]) // _TIED, size[few])
+    for s, n in zip(*groups_of(part), strict=True):
+        spot = tied[s : s + n]
+        own = places[spot]
+        strings = [text[i:e] for i, e in zip(own.tolist(), limit[spot].tolist(), strict=True)]
+        places[spot] = own[sorted(range(n), key=strings.__getitem__)]
+    return places
+
+
 def two_stage_order(text: bytes, start: np.ndarray, last: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
     """Places start[i]..last[i] of the pieces text[start[i]:end[i]], ordered by their next ``length`` bytes.
 
@@ -168,26 +221,26 @@ def two_stage_order(text: bytes, start: np.ndarray, last: np.ndarray, end: np.nd
     # Where a byte differs from its successor (or a piece ends), and whether the suffix is smaller there.
     differs = edge.copy()
     differs[:-1] |= t[:-1] != t[1:]
-    turn = np.where(differs, np.arange(n), n - 1)
-    turn = np.minimum.accumulate(turn[::-1])[::-1]
+    turn = np.flatnonzero(differs)
     following = np.concatenate((t[1:], [0]))
-    small = (t[turn] < following[turn]) & ~edge[turn]  # directly sorted
+    # directly sorted; a place has the kind of the next turn
+    small = np.repeat((t[turn] < following[turn]) & ~edge[turn], np.diff(turn, prepend=-1))
+    del differs, turn, following
     # Each piece is sorted to the first directly sorted place at or after its last window.
     stops = np.flatnonzero(small | edge)
     stop = stops[np.searchsorted(stops, last)]
-    wanted = covered(n, start, stop + 1)
+    wanted = _marked(n, start, stop + 1)
     direct = np.flatnonzero(wanted & small)
-    limit = end[np.searchsorted(end, direct, side="right")]
-    keys = [text[i : min(i + length, e)] for i, e in zip(direct.tolist(), limit.tolist(), strict=True)]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    limit = np.minimum(direct + length, end[np.searchsorted(end, direct, side="right")])
+    direct = _by_bytes(text, _eights(t), direct, limit, 0, length).astype(np.int32)
+    del limit
     by_byte = np.searchsorted(t[direct], np.arange(257))
-    seeds = np.flatnonzero(wanted & edge & ~small)  # a piece's last byte is the smallest suffix of its kind
+    seeds = np.flatnonzero(wanted & edge & ~small).astype(np.int32)  # a piece's last byte is the smallest suffix of its kind
     induced: list[list[np.ndarray]] = [[seeds[t[seeds] == c]] if len(seeds) else [] for c in range(256)]
     follows = wanted & ~small & ~edge  # ordered by their successor
     ordered = []
     for c in range(256):
-        wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
+        wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int32)
         parts = [wave]
         while len(wave):
             before = wave[wave > 0] - 1
@@ -206,13 +259,12 @@ def two_stage_order(text: bytes, start: np.ndarray, last: np.ndarray, end: np.nd
         before, head = before[by], head[by]
         for s, m in zip(*groups_of(head), strict=True):
             induced[int(head[s])].append(before[s : s + m])
-    return np.concatenate(ordered) if ordered else np.zeros(0, np.int64)
+    return np.concatenate(ordered) if ordered else np.zeros(0, np.int32)
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Bytes in common at places a and b, up to ``length``, counted in steps of eight."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(text) + 1,), (1,))
+    eight = _eights(text)
     found = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
     steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
@@ -243,13 +295,13 @@ def _repeats(key: tuple, rows: pa.Table, length: int, buckets: int) -> pa.Table:
     start = end - size[pick]
     last = end - length
     order = two_stage_order(text, start, last, end, length)
-    is_window = covered(len(text), start, last + 1)
+    is_window = _marked(len(text), start, last + 1)
     order = order[is_window[order]]
     same = common_prefix(np.frombuffer(text, np.uint8), order[:-1], order[1:], length) >= length
     hit = np.zeros(len(text) + 1, bool)
     hit[order[:-1][same]] = True
     hit[order[1:][same]] = True
-    hit[:-1] |= covered(len(text), start[count > 1], last[count > 1] + 1)
+    hit[:-1] |= _marked(len(text), start[count > 1], last[count > 1] + 1)
     # Runs of hit windows inside each piece.
     before = np.concatenate(([False], hit[:-1]))
     before[start] = False
@@ -281,7 +333,7 @@ def _cut(rows: pa.Table, found: pa.Table, length: int, k: int) -> pa.Table:
     order = np.argsort(key)
     key, ranges = key[order], ranges[order]
     out = []
-    for docs in slices(rows.to_batches()):
+    for docs in slices(rows.to_batches(), limit=SLICE):
         pieces = Pieces(docs, length, k)
         n = len(docs.bytes)
         removed = np.zeros(n, bool)
@@ -303,11 +355,12 @@ def _cut(rows: pa.Table, found: pa.Table, length: int, k: int) -> pa.Table:
 
 def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per document: bytes, removed bytes, the bytes kept, and the removed spans (byte places)."""
-    source = texts(docs)
-    n = blocks(text_bytes(docs), BLOCK_BYTES // 2)
+    # Rows are dealt by a hash of id and text: null ids, and ids with a common factor, spread as others do.
+    source = texts(docs).withColumn("owner", F.xxhash64("doc_id", "text"))
+    n = blocks(text_bytes(docs), BLOCK_BYTES // 4)
     names = source.mapInArrow(partial(_scatter_names, length=length, k=k, buckets=n), PACKED)
     repeated = names.groupBy("bucket").applyInArrow(lambda key, rows: _repeated_names(key, rows, n), PACKED)
-    placed = source.withColumn("block", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(n)).cast("int"))
+    placed = source.withColumn("block", F.pmod("owner", F.lit(n)).cast("int"))
     pieces = placed.groupBy("block").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda rows, hits: _scatter_pieces(rows, hits, length, k, n), PIECES)
     found = pieces.groupBy("bucket").applyInArrow(lambda key, rows: _repeats(key, rows, length, n), PACKED)
     return (
