@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.skew import frequent_keys, positions
+from pathloom.operators.skew import frequent_keys, is_frequent, positions, running_sums
 
 SEGMENT_LENGTH = 65_536
 
@@ -78,22 +78,46 @@ def concat_sessions(
 ) -> DataFrame:
     """Per user, the session arrays joined end to end in session order.
 
-    Elements are re-numbered and grouped by (user, segment), so no group outgrows
-    ``segment_length`` however many sessions a user has.
+    The lengths of a user's earlier sessions say where a session starts; each session is cut into the slices
+    that fall into one segment, and the slices of a (user, segment) are joined.  No event becomes a row of its
+    own, and no group outgrows ``segment_length`` events however many sessions a user has.  Sessions without
+    events leave no trace; arrays of unequal length are filled up with nulls.
     """
     places = [c for c in ("segment",) if c in sessions.columns]
-    flat = sessions.select(
-        user, sequence, *places, F.posexplode(F.arrays_zip(*columns)).alias("_place", "_e")
-    ).select(user, sequence, *places, "_place", *[F.col("_e")[c].alias(c) for c in columns])
-    order = [sequence, *places, "_place"]
-    return build_history_arrays(
-        flat.withColumnRenamed("segment", "_old_segment") if places else flat,
-        columns,
-        [c if c != "segment" else "_old_segment" for c in order],
-        user,
-        segment_length,
-        **skew,
-    )
+    held = sessions.select(user, sequence, *places, F.arrays_zip(*columns).alias("_zip")).filter(F.size("_zip") > 0)
+    started = _starts(held.withColumn("_size", F.size("_zip").cast("long")), user, [sequence, *places, "_zip"], **skew)
+    first = F.floor(F.col("_start") / segment_length)
+    last = F.floor((F.col("_start") + F.col("_size") - 1) / segment_length)
+    cut = started.select(user, "_start", "_zip", "_size", F.explode(F.sequence(first, last)).alias("_segment"))
+    low = F.greatest(F.col("_segment") * segment_length, F.col("_start"))
+    high = F.least((F.col("_segment") + 1) * segment_length, F.col("_start") + F.col("_size"))
+    piece = F.slice("_zip", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int"))
+    packed = F.array_sort(F.collect_list(F.struct(low.alias("_low"), piece.alias("_piece"))))
+    joined = cut.groupBy(user, F.col("_segment").cast("int").alias("segment")).agg(F.flatten(packed["_piece"]).alias("_all"))
+    return joined.select(user, "segment", *[F.col("_all")[c].alias(c) for c in columns])
+
+
+def _starts(
+    rows: DataFrame, user: str, order: Sequence[str], frequent: Sequence | None = None, min_rows: int | None = None
+) -> DataFrame:
+    """``_start``: what the ``_size`` of the user's earlier rows adds up to.
+
+    Ordinary users have one window; rows of frequent users are range-sorted together and their running total
+    is counted from the user's first row.
+    """
+    if frequent is None:
+        frequent = frequent_keys(rows, [user], min_rows)
+    earlier = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    if not frequent:
+        return rows.withColumn("_start", start)
+    hot = is_frequent([user], frequent)
+    summed = running_sums(rows.filter(hot), [F.col(c) for c in (user, *order)], {"_size": "_end"})
+    before = F.col("_end") - F.col("_size")
+    base = summed.groupBy(F.col(user).alias("_user")).agg(F.min(before).alias("_base"))  # one row per frequent user
+    placed = summed.join(F.broadcast(base), F.col(user).eqNullSafe(F.col("_user"))).withColumn("_start", before - F.col("_base"))
+    columns = [*rows.columns, "_start"]
+    return rows.filter(~hot).withColumn("_start", start).select(*columns).unionByName(placed.select(*columns))
 
 
 def build_item_table(

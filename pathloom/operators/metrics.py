@@ -47,15 +47,21 @@ class Inputs:
     item_count: int | None = None
     popularity: DataFrame | None = None
     tail: float | None = TAIL
+    exposure: DataFrame | None = None
+    score_counts: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Metric:
+    """``weight``: what values of several shards are averaged by (``squared``: as squares); the rows unless given."""
+
     table: str
     build: Callable[[Inputs], dict[str, Column]]
     kind: str = "ranking"
     needs: tuple[str, ...] = ("recs",)
     smaller_is_better: bool = False
+    weight: Callable[[], Column] = lambda: F.count(F.lit(1))
+    squared: bool = False
 
 
 def _at(name: str, make: Callable[[int, int], Column]) -> Callable[[Inputs], dict[str, Column]]:
@@ -105,12 +111,26 @@ def _precision(k: int, top: int) -> Column:
     return _per_user(F.size(_within(k)) / F.lit(k))
 
 
+def _ranked_positives() -> Column:
+    """Positives of the users that have negatives too."""
+    pos = F.col("positives").cast("double")
+    return F.sum(F.when((pos > 0) & (F.col("candidates") - pos > 0), pos))
+
+
+def _predictions() -> Column:
+    return F.count(F.col("pred") + F.col("label"))
+
+
+def _ranked_users() -> Column:
+    return F.count(F.when(F.col("rank") == 1, 1))
+
+
 def _gauc(_: Inputs) -> dict[str, Column]:
     pos, total = F.col("positives").cast("double"), F.col("candidates").cast("double")
     usable = (pos > 0) & (total - pos > 0)
     pairs = (total + 1) * pos - pos * (pos + 1) / 2 - F.col("pos_rank_sum")
     auc = F.try_divide(pairs, (total - pos) * pos)
-    return {"gauc": F.try_divide(F.sum(F.when(usable, auc * pos)), F.sum(F.when(usable, pos)))}
+    return {"gauc": F.try_divide(F.sum(F.when(usable, auc * pos)), _ranked_positives())}
 
 
 def _auc(_: Inputs) -> dict[str, Column]:
@@ -165,9 +185,8 @@ def _gini(i: Inputs) -> dict[str, Column]:
 
 def _slot_mean(name: str, column: str) -> Callable[[Inputs], dict[str, Column]]:
     def build(i: Inputs) -> dict[str, Column]:
-        users = F.count(F.when(F.col("rank") == 1, 1))
         return {
-            f"{name}@{k}": F.sum(F.when(F.col("rank") <= k, F.col(column)).otherwise(0)) / (users * k) for k in i.topk
+            f"{name}@{k}": F.sum(F.when(F.col("rank") <= k, F.col(column)).otherwise(0)) / (_ranked_users() * k) for k in i.topk
         }
 
     return build
@@ -180,18 +199,19 @@ METRICS: dict[str, Metric] = {
     "recall": Metric("hits", _at("recall", _recall)),
     "ndcg": Metric("hits", _at("ndcg", _ndcg)),
     "precision": Metric("hits", _at("precision", _precision)),
-    "gauc": Metric("mean_rank", _gauc, needs=("mean_rank",)),
+    "gauc": Metric("mean_rank", _gauc, needs=("mean_rank",), weight=_ranked_positives),
     "auc": Metric("curve", _auc, kind="value", needs=("scored",)),
-    "mae": Metric("scored", _mae, kind="value", needs=("scored",), smaller_is_better=True),
-    "rmse": Metric("scored", _rmse, kind="value", needs=("scored",), smaller_is_better=True),
-    "logloss": Metric("scored", _logloss, kind="value", needs=("scored",), smaller_is_better=True),
+    "mae": Metric("scored", _mae, kind="value", needs=("scored",), smaller_is_better=True, weight=_predictions),
+    "rmse": Metric("scored", _rmse, kind="value", needs=("scored",), smaller_is_better=True, weight=_predictions, squared=True),
+    "logloss": Metric("scored", _logloss, kind="value", needs=("scored",), smaller_is_better=True, weight=_predictions),
     "itemcoverage": Metric("exposure", _coverage, needs=("recs", "item_count")),
     "averagepopularity": Metric(
-        "slots", _slot_mean("averagepopularity", "popularity"), needs=("recs", "popularity"), smaller_is_better=True
+        "slots", _slot_mean("averagepopularity", "popularity"), needs=("recs", "popularity"), smaller_is_better=True,
+        weight=_ranked_users,
     ),
     "shannonentropy": Metric("exposure", _entropy),
     "giniindex": Metric("histogram", _gini, needs=("recs", "item_count"), smaller_is_better=True),
-    "tailpercentage": Metric("slots", _slot_mean("tailpercentage", "is_tail"), needs=("recs", "popularity")),
+    "tailpercentage": Metric("slots", _slot_mean("tailpercentage", "is_tail"), needs=("recs", "popularity"), weight=_ranked_users),
 }
 
 
@@ -214,6 +234,8 @@ def hit_table(i: Inputs) -> DataFrame:
 
 
 def exposure_table(i: Inputs) -> DataFrame:
+    if i.exposure is not None:
+        return i.exposure
     counts = [F.count(F.when(F.col("rank") <= k, 1)).alias(f"c_{k}") for k in i.topk]
     return i.recs.groupBy("item_id").agg(*counts)
 
@@ -263,11 +285,16 @@ def slot_table(i: Inputs) -> DataFrame:
     return flag_tail_items(with_counts, tail_items(i.popularity, i.tail), frequent=hot)
 
 
-def roc_points(scored: DataFrame) -> DataFrame:
-    """``pred, pos, neg, tps, fps``: positives and negatives at each distinct score and from the top down to it."""
-    counts = scored.groupBy("pred").agg(
+def score_counts(scored: DataFrame) -> DataFrame:
+    """``pred, pos, neg``: positives and negatives at each distinct score."""
+    return scored.groupBy("pred").agg(
         F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") != 1, 1)).alias("neg")
     )
+
+
+def roc_points(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``pred, pos, neg, tps, fps``: positives and negatives at each distinct score and from the top down to it."""
+    counts = score_counts(scored) if counts is None else counts
     return running_sums(counts, [F.col("pred").desc()], {"pos": "tps", "neg": "fps"})
 
 
@@ -278,7 +305,7 @@ TABLES: dict[str, Callable[[Inputs], DataFrame]] = {
     "slots": slot_table,
     "mean_rank": lambda i: i.mean_rank,
     "scored": lambda i: i.scored,
-    "curve": lambda i: roc_points(i.scored),
+    "curve": lambda i: roc_points(i.scored, i.score_counts),
 }
 
 

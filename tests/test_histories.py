@@ -42,6 +42,21 @@ def test_sessions_concatenate_in_session_order(spark, rows):
     assert rows(history.concat_sessions(split, ["item"]), "user_id", "item") == [(1, ["a", "b", "c"]), (2, ["d"])]
 
 
+@pytest.mark.parametrize("min_rows", [2, 10**6])
+def test_sessions_fall_into_segments(spark, rows, min_rows):
+    sizes = {1: [3, 0, 9, 1, 4], 2: [2], None: [5, 6], 3: [0]}
+    data = [(u, q, [f"{u}-{q}-{i}" for i in range(n)], list(range(n))) for u, ns in sizes.items() for q, n in enumerate(ns)]
+    sessions = spark.createDataFrame([*data, (2, 7, None, [1])], "user_id int, sequence_id int, item array<string>, place array<int>")
+    joined = history.concat_sessions(sessions, ["item", "place"], segment_length=4, min_rows=min_rows)
+    whole = {u: [x for d in data if d[0] == u for x in d[2]] for u in sizes}
+    got = {(r["user_id"], r["segment"]): (r["item"], r["place"]) for r in joined.collect()}
+    want = {(u, s // 4): x[s : s + 4] for u, x in whole.items() for s in range(0, len(x), 4)}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all([int(x.split("-")[2]) for x in items] == places for items, places in got.values())
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
 def test_item_table_takes_the_earliest_values(spark, events, rows):
     got = history.build_item_table(events.dropna(), ["event_id"], ["event_time", "user_id"])
     assert rows(got) == [("x", "item_like"), ("y", "item_view"), ("z", "item_view")]
