@@ -9,7 +9,7 @@ from pathloom.catalog.tables import (
     HABIT, SCORED, VECTORS, habit_recs, scored_documents, seen_a, targets_a, train_popularity,
     unit_item_vectors, user_vectors,
 )
-from pathloom.operators import metrics, scoring
+from pathloom.operators import metrics, scoring, states
 from pathloom.plans.evaluation import evaluate_vectors
 
 TOPK = [1, 5, 10, 20]
@@ -135,3 +135,19 @@ WHERE metric = 'recall@10'""")
 def _(spark, sf):
     results = metrics.evaluate(["hit", "recall"], TOPK, recs=habit_recs(spark, sf))
     return metrics.valid_score(results).withColumn("bigger_is_better", F.col("bigger_is_better").cast("int"))
+
+
+@query("merged_evaluation", "metric:s value:d", f"""
+SELECT * FROM ({_per_user("recall", "sum(CASE WHEN rank <= k THEN hit ELSE 0 END) / nullif(max(pos_len), 0)")})
+UNION ALL SELECT * FROM (
+WITH {EXPOSED}, p AS (SELECT k, c / sum(c) OVER (PARTITION BY k) AS p FROM shown)
+SELECT 'shannonentropy@' || k AS metric, round(sum(-p * ln(p)) / count(*), 5) AS value FROM p GROUP BY k)
+UNION ALL SELECT * FROM (
+WITH {EXPOSED} SELECT 'itemcoverage@' || k AS metric, round(count(*) / max(n), 5) AS value FROM shown CROSS JOIN size GROUP BY k)""")
+def _(spark, sf):
+    """States of three shards of users, merged into the values of one run."""
+    names = ["recall", "shannonentropy", "itemcoverage"]
+    recs, count = habit_recs(spark, sf), _item_count(spark, sf)
+    shard = F.pmod("user_id", F.lit(3))
+    parts = [states.evaluation_state(names, TOPK, recs=recs.filter(shard == i), item_count=count) for i in range(3)]
+    return states.state_values(states.merge_states(*parts), names, TOPK, count)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.catalog.joins import EDGES_SQL, hot_nodes, user_count
+from pathloom.catalog.joins import EDGES_SQL, PROMPT, hot_nodes, part_items, user_count
 from pathloom.catalog.registry import query
 from pathloom.catalog.sequences import FREE_SQL, ITEMS, item_top, walk_sql
 from pathloom.catalog.sources import SPLIT_SQL
@@ -15,6 +15,7 @@ from pathloom.functions.draws import any_item
 from pathloom.functions.permutation import FACTOR, PRIME, round_keys
 from pathloom.operators import batches, contrastive, graph, negatives, sequences, splits
 from pathloom.operators.skew import global_index, lookup
+from pathloom.plans.text_training import text_training_examples
 from pathloom.plans.training import training_examples
 
 
@@ -254,3 +255,36 @@ def _(spark, sf):
         log_a(spark, sf), ORDER_A, WINDOW - 1, item_top(spark, sf), draw="arithmetic",
         frequent=hot(spark, sf, "a", "user_id"),
     )
+
+
+def packed_sql(side: str) -> str:
+    """Token columns of one side of an example, four tokens of an item's text and one slot."""
+    return f"""SELECT user_id, seq_no, flatten(list(list_concat(k, [0]) ORDER BY place)) AS {side}_input_ids,
+  list(len(k) + 1 ORDER BY place) AS {side}_input_lens, flatten(list(range(4 - len(k), 5) ORDER BY place)) AS {side}_position_ids
+  FROM (SELECT user_id, seq_no, place, coalesce(k, [0]) AS k FROM (
+    SELECT user_id, seq_no, unnest({side}) AS item_id, generate_subscripts({side}, 1) AS place FROM ex) LEFT JOIN tok USING (item_id))
+  GROUP BY user_id, seq_no"""
+
+
+@query("text_training_examples", "user_id:i seq_no:i item_seq:a neg_item:a pos_input_ids:a pos_input_lens:a pos_position_ids:a "
+       "neg_input_ids:a neg_input_lens:a neg_position_ids:a last_year:i", f"""
+WITH {FREE_SQL}, ex AS (
+  SELECT user_id, seq_no, list_concat(list_resize([]::INTEGER[], 20 - len, 0), item_seq)::BIGINT[] AS pos,
+    list_concat(list_resize([]::BIGINT[], 21 - len, 0), list_transform(range(1, len), lambda p: {walk_sql(42, 'p')})) AS neg,
+    year(to_timestamp(time_seq[len]) AT TIME ZONE 'UTC') AS last_year
+  FROM free),
+tok AS (SELECT p_partkey + 1 AS item_id, list_slice(list_transform(
+  string_split('{PROMPT}p_name: ' || p_name || 'p_brand: ' || p_brand, ' '), lambda w: length(w)), 1, 4) AS k FROM part),
+pos AS ({packed_sql("pos")}), neg AS ({packed_sql("neg")})
+SELECT *, pos AS item_seq, neg AS neg_item FROM ex JOIN pos USING (user_id, seq_no) JOIN neg USING (user_id, seq_no)""")
+def _(spark, sf):
+    """From events and item descriptions to packed tokens; a word's length stands for its token id."""
+    examples = training_examples(
+        log_a(spark, sf), ORDER_A, WINDOW - 1, item_top(spark, sf), draw="arithmetic",
+        frequent=hot(spark, sf, "a", "user_id"),
+    )
+    words = lambda rows: rows.withColumn("tokens", F.transform(F.split("text", " "), F.length))
+    packed = text_training_examples(
+        examples, part_items(spark, sf), ["p_name", "p_brand"], PROMPT, words, 4, frequent=hot(spark, sf, "a", "item_id"),
+    )
+    return packed.withColumn("last_year", F.element_at(F.element_at("time_ids", -1), 1))

@@ -13,14 +13,18 @@ from pathloom.operators.history import SEGMENT_LENGTH
 from pathloom.operators.skew import lookup, positions
 
 
+def item_texts(items: DataFrame, keys: Sequence[str], prompt: str = "") -> DataFrame:
+    """``item_id, text`` once per item with an id above 0; of several rows of an item the smallest text."""
+    texts = items.filter(F.col("item_id") > 0).select("item_id", item_prompt_text(items, keys, prompt).alias("text"))
+    return texts.groupBy("item_id").agg(F.min("text").alias("text"))
+
+
 def attach_item_text(rows: DataFrame, items: DataFrame, keys: Sequence[str], prompt: str = "", **skew) -> DataFrame:
     """``text`` of each row's ``item_id``; unknown ids and id 0 get the empty string.
 
     An item with several rows has one text, the smallest, so no row of ``rows`` is doubled.
     """
-    texts = items.filter(F.col("item_id") > 0).select("item_id", item_prompt_text(items, keys, prompt).alias("text"))
-    texts = texts.groupBy("item_id").agg(F.min("text").alias("text"))
-    return lookup(rows, texts, "item_id", **skew).withColumn("text", F.coalesce("text", F.lit("")))
+    return lookup(rows, item_texts(items, keys, prompt), "item_id", **skew).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def window_items(windows: DataFrame, keys: Sequence[str] = ("user_id", "seq_no"), column: str = "item_seq") -> DataFrame:
