@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.tables import text_part, texts
+from pathloom.llm.tables import own_names, text_part, texts
 from pathloom.llm.text import ALNUM_BYTES, Words, batch, mix, slices
 from pathloom.session import save_shared
 
@@ -201,5 +201,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents."""
     bad = find_contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).distinct()
-    keyed = docs.withColumn("_p", text_part())
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_part")), "left_anti").drop("_p")
+    keyed, at = own_names(docs)
+    on = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_id")) & (text_part(at["text"]) == F.col("_part"))
+    return keyed.join(bad, on, "left_anti").select(*[F.col(c).alias(name) for name, c in at.items()])

@@ -8,7 +8,8 @@ the convex dual.  All multipliers take Newton steps together; one step is one ag
 
 Rates become copies per (source, size) cell.  Every document gets the whole part; the rest is passed
 from cell to cell in order of size, and inside a cell goes to the documents that come first by a hash of
-their id.  Cells of many documents are split by that hash, so no window sorts a source.
+their id.  Cells of many documents are split by that hash, so no window sorts a source's documents.  Then single
+documents are added, dropped or swapped until no such move brings a source nearer to its target.
 
 Cases: null text has size 0 and is never taken; null is a source of its own, last in order; equal rows
 may be taken unequally often (ties end by id, then by row content); an empty table gives an empty table.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.tables import own_names
 from pathloom.operators.skew import global_index
 from pathloom.session import save_shared
 
@@ -26,7 +28,8 @@ MOST = 3  # times a document, or a source, is taken at most
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 CELL = 20_000  # documents a window sorts
 TOLERANCE = 1e-9
-ROUNDS = 60
+ROUNDS = 200
+WIDEST = 1e9  # bounds of a multiplier, far beyond those of any text
 
 
 def source_key(name: str = "source") -> Column:
@@ -67,7 +70,7 @@ def balance(cells: DataFrame, goals: DataFrame) -> DataFrame:
     means = cells.filter("size > 0").groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
     state = goals.join(means, "key").select(
         "key", "target", "words", (F.col("words") / F.col("docs")).alias("mean"), F.lit(0.0).alias("x"),
-        F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(False).alias("done"),
+        F.lit(-WIDEST).alias("low"), F.lit(WIDEST).alias("high"), F.lit(False).alias("done"),
     )
     state = save_shared(state, "mix-state")
     for _ in range(ROUNDS):
@@ -81,34 +84,58 @@ def balance(cells: DataFrame, goals: DataFrame) -> DataFrame:
         newton = F.when(F.col("g") > 0, F.col("x") - gap / F.col("g"))
         inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
         done = F.col("done") | (F.abs(gap) <= TOLERANCE * F.col("words")) | (F.col("target") >= MOST * F.col("words"))
-        moved = F.when(inside, newton).otherwise((F.greatest("low", F.lit(-60.0)) + F.least("high", F.lit(60.0))) / 2)
+        # Outside the bracket: halve it, or double the multiplier while nothing bounds it yet.
+        halved = (F.greatest("low", F.lit(-60.0)) + F.least("high", F.lit(60.0))) / 2
+        halved = F.when(F.col("low") >= 59, F.least((F.col("low") + F.col("high")) / 2, 2 * F.col("low"))).when(F.col("high") <= -59, F.greatest((F.col("low") + F.col("high")) / 2, 2 * F.col("high"))).otherwise(halved)
+        moved = F.when(inside, newton).otherwise(halved)
         x = F.when(F.col("target") >= MOST * F.col("words"), F.lit(700.0)).when(done, F.col("x")).otherwise(moved)
         state = save_shared(step.select("key", "target", "words", "mean", x.alias("x"), "low", "high", done.alias("done")), "mix-state")
         if state.filter("NOT done").isEmpty():
-            break
-    return state.select("key", "x", "mean")
-
-
-def _settled(parts: DataFrame, rounds: int = 5) -> DataFrame:
-    """Quotas moved by single documents towards the target: each round the largest size that still fits."""
-    for _ in range(rounds):
-        left = parts.groupBy("key").agg((F.max("target") - F.sum(F.col("size") * (F.col("whole") * F.col("n") + F.col("quota")))).alias("left"))
-        room = F.when(F.col("left") > 0, F.col("quota") < F.col("n")).otherwise(F.col("quota") > 0)
-        fit = parts.join(left, "key").filter(room & (F.col("size") > 0) & (F.col("size") <= F.abs("left")))
-        fit = fit.groupBy("key").agg(F.max(F.struct("size", "_salt")).alias("one"), F.max(F.signum("left")).alias("sign"))
-        fit = fit.select("key", "one.size", "one._salt", F.col("sign").cast("long").alias("sign"))
-        moved = parts.join(fit, ["key", "size", "_salt"], "left").withColumn("quota", F.col("quota") + F.coalesce("sign", F.lit(0))).drop("sign")
+            return state.select("key", "x", "mean")
+    raise ArithmeticError(f"the multipliers did not converge in {ROUNDS} rounds")
+
+
+def _settled(parts: DataFrame) -> DataFrame:
+    """``parts`` (key, size, _salt, n, target, copies) moved towards the targets by single documents.
+
+    A move adds a copy, drops one, or swaps one for another; the document of size 0 stands for the missing
+    side.  Each round every source makes the move that leaves it nearest to its target, found by sorting
+    its sizes together with the sizes it looks for.  It ends when no move brings any source nearer.
+    """
+    while True:
+        gaps = parts.groupBy("key").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+        gaps = gaps.filter(F.abs("gap") > 0.5)  # sizes are whole numbers
+        salt = lambda may: F.min(F.when(may, F.col("_salt")))
+        sizes = parts.filter("size > 0").join(gaps, "key").groupBy("key", "gap", "size").agg(
+            salt(F.col("copies") < MOST * F.col("n")).alias("more"), salt(F.col("copies") > 0).alias("less")
+        )
+        none = gaps.select("key", "gap", F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("more"), F.lit(-1).cast("long").alias("less"))
+        sizes = sizes.unionByName(none)
+        added = sizes.filter("more IS NOT NULL").select("key", "gap", F.col("size").cast("double").alias("at"), F.struct("size", "more").alias("into"), F.lit(None).cast("struct<size:bigint,less:bigint>").alias("out"))
+        sought = sizes.filter("less IS NOT NULL").select("key", "gap", (F.col("size") + F.col("gap")).alias("at"), F.lit(None).cast("struct<size:bigint,more:bigint>").alias("into"), F.struct("size", "less").alias("out"))
+        upto = [Window.partitionBy("key").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow) for at in (F.col("at"), F.col("at").desc())]
+        below, above = [F.last("into", ignorenulls=True).over(w) for w in upto]
+        tried = added.unionByName(sought).select("key", "gap", "out", below.alias("below"), above.alias("above")).filter("out IS NOT NULL")
+        tried = tried.select("key", "gap", "out", F.explode(F.array("below", "above")).alias("into")).filter("into IS NOT NULL")
+        left = F.abs(F.col("gap") - F.col("into.size") + F.col("out.size"))
+        best = tried.groupBy("key", "gap").agg(F.min(F.struct(left.alias("left"), "out", "into")).alias("best")).filter(F.col("best.left") < F.abs("gap") - 1e-6)
+        moves = best.select("key", F.explode(F.array(
+            F.struct(F.col("best.into.size").alias("size"), F.col("best.into.more").alias("_salt"), F.lit(1).cast("long").alias("step")),
+            F.struct(F.col("best.out.size").alias("size"), F.col("best.out.less").alias("_salt"), F.lit(-1).cast("long").alias("step")),
+        )).alias("m")).select("key", "m.*").filter("_salt >= 0")
+        moves = save_shared(moves, "mix-moves")
+        if moves.isEmpty():
+            return parts
+        moved = parts.join(moves, ["key", "size", "_salt"], "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
         parts = save_shared(moved, "mix-parts")
-    return parts
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` columns plus size, source_size, target, rate and copies of every document."""
-    plain = [f"_c{i}" for i in range(len(docs.columns))]  # the documents' own names may clash with these here
-    at = dict(zip(docs.columns, plain, strict=True))
-    named = docs.toDF(*plain).withColumn("_key", source_key(at["source"])).withColumn("_size", word_count(at["text"]))
+def _mixed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The mix with the documents' columns under names of its own, and these names by the documents'."""
+    named, at = own_names(docs)
+    named = named.withColumn("_key", source_key(at["source"])).withColumn("_size", word_count(at["text"]))
     # The whole row takes part, so rows that only share the id are still ordered alike in every run.
-    named = named.withColumn("_u", F.xxhash64(F.col(at["doc_id"]), F.lit(1))).withColumn("_row", F.xxhash64(*plain))
+    named = named.withColumn("_u", F.xxhash64(F.col(at["doc_id"]), F.lit(1))).withColumn("_row", F.xxhash64(*at.values()))
     cells = save_shared(named.groupBy(F.col("_key").alias("key"), F.col("_size").alias("size")).agg(F.count("*").alias("n")), "mix-cells")
     goals = targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total")))
     x = balance(cells, goals)
@@ -126,18 +153,29 @@ def mix(docs: DataFrame) -> DataFrame:
     # Words still owed, passed on in order of size: a part gets what is owed up to it, in whole copies.
     parts = parts.withColumn("upto", F.sum(F.col("n") * F.col("rest")).over(order))
     quota = F.floor(F.round(F.col("upto"), 6) + 0.5) - F.floor(F.round(F.col("upto") - F.col("n") * F.col("rest"), 6) + 0.5)
-    parts = parts.withColumn("quota", F.least("n", F.greatest(F.lit(0), quota))).drop("rest", "upto")
-    parts = _settled(save_shared(parts, "mix-parts")).select("key", "size", "_salt", "quota")
+    copies = F.col("whole") * F.col("n") + F.least("n", F.greatest(F.lit(0), quota))
+    parts = parts.select("key", "size", "_salt", "target", "n", F.least(MOST * F.col("n"), copies).cast("long").alias("copies"))
+    parts = _settled(save_shared(parts, "mix-parts"))
+    # The copies of a part are dealt evenly, the first documents take what is left over.
+    parts = parts.select("key", "size", "_salt", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("further"))
     place = F.row_number().over(Window.partitionBy("key", "size", "_salt").orderBy("_u", "_row"))
     ranked = dealt.withColumn("_place", place).join(parts, ["key", "size", "_salt"])
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("_place") <= F.col("quota")).cast("long")).otherwise(F.lit(0)).cast("long")
-    return ranked.select(
-        *[F.col(c).alias(name) for name, c in at.items()], F.col("size").alias("_words"), F.col("total").cast("long").alias("_source_words"),
-        F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.least(F.lit(MOST).cast("long"), copies).alias("_copies"),
+    copies = F.when(F.col("size") > 0, F.col("each") + (F.col("_place") <= F.col("further")).cast("long")).otherwise(F.lit(0)).cast("long")
+    made = ranked.select(
+        *at.values(), F.col("size").alias("_words"), F.col("total").cast("long").alias("_source_words"),
+        F.col("target").alias("_target"), F.col("rate").alias("_rate"), copies.alias("_copies"),
     )
+    return made, at
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """``docs`` columns plus _words, _source_words, _target, _rate and _copies of every document."""
+    made, at = _mixed(docs)
+    return made.select(*[F.col(c).alias(name) for name, c in at.items()], "_words", "_source_words", "_target", "_rate", "_copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken."""
-    taken = mix(docs).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    made, at = _mixed(docs)
+    taken = made.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(c).alias(name) for name, c in at.items()])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.tables import blocks, components, text_bytes, text_part, texts
+from pathloom.llm.tables import blocks, components, own_names, text_bytes, text_part, texts
 from pathloom.llm.text import PACKED, Slice, batch, groups_of, mix, pack, slices, unpack
 from pathloom.session import save_shared
 
@@ -250,8 +250,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     stay = named.select(id_key("s.doc_id").alias("_id"), F.col("s.part").alias("_part"), F.lit(True).alias("_one"))
     empty = groups.filter("component IS NULL").select(id_key("doc_id").alias("_id"), F.col("part").alias("_part"), F.lit(False).alias("_one")).distinct()
-    keyed = docs.withColumn("_id", id_key("doc_id")).withColumn("_part", text_part())
+    keyed, at = own_names(docs)
+    keyed = keyed.withColumn("_id", id_key(at["doc_id"])).withColumn("_part", text_part(at["text"]))
     kept = keyed.join(stay.unionByName(empty), ["_id", "_part"])
     # Rows with equal id and text are one group as well; the window reuses the join's partitions.
     place = F.row_number().over(Window.partitionBy("_id", "_part").orderBy("_one"))
-    return kept.withColumn("_place", place).filter("_place = 1 OR NOT _one").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("_place", place).filter("_place = 1 OR NOT _one").select(*[F.col(c).alias(name) for name, c in at.items()])

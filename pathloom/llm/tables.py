@@ -23,6 +23,12 @@ def text_part(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns under names that no operator uses, and these names by the documents'."""
+    plain = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain), dict(zip(docs.columns, plain, strict=True))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return text_size(docs, text)[0]
 

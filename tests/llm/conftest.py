@@ -42,7 +42,9 @@ def docs(spark):
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = spark.createDataFrame(ROWS, SCHEMA)
-    return rows.select("*", F.lit(1).alias("part"), F.lit("x").alias("key"), F.lit(0.5).alias("size"), F.lit(2).alias("bucket")).repartition(3)
+    rows = rows.select("*", F.lit(1).alias("part"), F.lit("x").alias("key"), F.lit(0.5).alias("size"), F.lit(2).alias("bucket"))
+    own = ["_id", "_p", "_part", "_one", "_place", "_spans", "_words", "_copies", "_key", "_size"]
+    return rows.select("*", *[F.lit(f"own{name}").alias(name) for name in own]).repartition(3)
 
 
 @pytest.fixture(scope="session")
