@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.tables import text_part
+from pathloom.llm.tables import own_names, text_part
 from pathloom.session import save_shared
 
 # The patterns of the base kinds, in the order in which kinds are listed.  (?<!) anchors a
@@ -157,24 +157,36 @@ def _only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(every), F.get("_bits", word).bitwiseAND(bit) != 0).drop("_bits")
 
 
+def _npmi(n_docs: int, n_both: Column, n_term: Column, n_entity: Column) -> Column:
+    bits = F.log2(n_both * F.lit(float(n_docs)) / (n_term * n_entity))
+    most = F.log2(F.lit(float(max(n_docs, 1))) / n_both)
+    return F.when(most > 0, bits / most).otherwise(0.0)
+
+
 def disclosing_terms(texts: DataFrame) -> DataFrame:
     """(entity, term, kind): terms that reveal an entity, from document counts over the whole corpus.
 
-    ``texts`` has a row per document: row (its key), base and the masked text.
+    ``texts`` has a row per document: row (its key), base and its distinct terms.  Share and information
+    both grow with the number of common documents, which the rarer of the two bounds: pairs that could not
+    pass even then are never formed, so common words meet only common entities.
     """
     n_docs = texts.count()
     protected = texts.filter(F.size("base") > 0).select("row", F.explode(F.array_distinct("base.entity")).alias("entity"))
     per_entity = protected.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= MIN_DOCUMENTS)
-    shared = protected.join(per_entity, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
-    # Pairs are counted inside each task before they are dealt by (entity, term).
-    both = texts.filter(F.size("base") > 0).join(shared, "row").select("entities", F.explode(_terms(F.col("text"))).alias("term"))
-    both = both.select(F.explode("entities").alias("e"), "term").groupBy("e.entity", "e.n_entity", "term").agg(F.count("*").alias("n_both"))
-    both = save_shared(both.filter(F.col("n_both") >= MIN_DOCUMENTS), "private-pairs")
-    per_term = _only(texts.select(F.explode(_terms(F.col("text"))).alias("term")), both.select("term"), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = both.join(per_term, "term").withColumn("share", F.col("n_both") / F.col("n_term")).filter(F.col("share") >= GENERALISE_SHARE)
-    bits = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_term") * F.col("n_entity")))
-    most = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_both"))
-    scored = scored.withColumn("npmi", F.when(most > 0, bits / most).otherwise(0.0)).filter(F.col("npmi") >= MIN_NPMI)
+    shared = save_shared(protected.join(per_entity, "entity"), "private-entities")
+    most = (shared.agg(F.max("n_entity")).first()[0] or 0) / GENERALISE_SHARE
+    per_term = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    per_term = save_shared(per_term.filter((F.col("n_term") >= MIN_DOCUMENTS) & (F.col("n_term") <= most)), "private-counts")
+    entities = shared.groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    terms = texts.filter(F.size("base") > 0).join(entities.select("row"), "row", "left_semi").select("row", F.explode("terms").alias("term"))
+    terms = _only(terms, per_term, "term").join(per_term, "term")
+
+    pairs = terms.join(entities, "row").select(F.explode("entities").alias("e"), "term", "n_term").select("e.*", "term", "n_term")
+    best = F.least("n_term", "n_entity")
+    may = (best / F.col("n_term") >= GENERALISE_SHARE) & (_npmi(n_docs, best, F.col("n_term"), F.col("n_entity")) >= MIN_NPMI - 1e-9)
+    both = pairs.filter(may).groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both"))
+    scored = both.filter(F.col("n_both") >= MIN_DOCUMENTS).withColumn("share", F.col("n_both") / F.col("n_term")).filter(F.col("share") >= GENERALISE_SHARE)
+    scored = scored.withColumn("npmi", _npmi(n_docs, F.col("n_both"), F.col("n_term"), F.col("n_entity"))).filter(F.col("npmi") >= MIN_NPMI)
     kind = F.when(F.col("share") >= REMOVE_SHARE, KINDS.index("term")).otherwise(KINDS.index("general"))
     return scored.select("entity", "term", kind.alias("kind"), "share", "npmi")
 
@@ -183,16 +195,17 @@ def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with their base spans, rows with their disclosing spans); a row is told by id and text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("part", text_part()).withColumn("row", F.xxhash64("doc_id", "text")).withColumn("base", base_spans(F.col("text")))
-    spans = save_shared(source.withColumn("text", _masked(F.col("text"), F.col("base"))), "private-texts")
-    texts = spans.select("row", "base", "text")
+    source = source.withColumn("text", _masked(F.col("text"), F.col("base"))).withColumn("terms", _terms(F.col("text")))
+    spans = save_shared(source, "private-texts")
+    texts = spans.select("row", "base", "text", "terms")
     if not spans.groupBy("row").count().filter("count > 1").isEmpty():  # a repeated row is one document
         texts = save_shared(texts.dropDuplicates(["row"]), "private-documents")
     known = disclosing_terms(texts).groupBy("term").agg(F.max("kind").alias("kind"))  # removed if one entity asks for it
     known = save_shared(known, "private-terms")
-    hits = _only(texts.select("row", F.explode(_terms(F.col("text"))).alias("term")), known, "term").join(known, "term")
+    hits = _only(texts.select("row", F.explode("terms").alias("term")), known, "term").join(known, "term")
     hits = save_shared(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("known")), "private-hits")
     extra = _only(texts.select("row", "text"), hits, "row").join(hits, "row").select("row", _places(F.col("text"), F.col("known")).alias("extra"))
-    return spans.drop("text"), extra
+    return spans.drop("text", "terms"), extra
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -212,14 +225,17 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets (terms: removed)."""
     found = find_private(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_part"])
     names = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", "")])
+    named, at = own_names(docs)
+    own = F.col(at["text"])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
         new = s["start"] >= state["at"]
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
+        gap = F.substring(own, state["at"] + 1, s["start"] - state["at"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(new, F.concat(gap, F.get(names, s["kind"]))).otherwise("")).alias("out"))
 
-    rest = lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, rest))
-    joined = docs.withColumn("_p", text_part()).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_part")), "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rest = lambda state: F.concat(state["out"], F.substring(own, state["at"] + 1, F.length(own)))
+    text = F.when(F.col("_spans").isNull(), own).otherwise(F.aggregate("_spans", zero, step, rest))
+    on = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_id")) & (text_part(at["text"]) == F.col("_part"))
+    joined = named.join(found, on, "left")
+    return joined.select(*[(text if name == "text" else F.col(c)).alias(name) for name, c in at.items()])

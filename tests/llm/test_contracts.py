@@ -129,6 +129,34 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert shown[9] == "term:12:19" and shown[100] == ""
 
 
+def test_terms_against_brute_force(spark):
+    words = [f"t{i}" for i in range(60)]
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        group = int(rng.integers(0, 8))  # documents of a group share an address and some words
+        own = [words[int(w)] for w in rng.integers(20, 60, int(rng.integers(0, 12)))]
+        own += [words[group * 2 + j] for j in range(2) if rng.random() < 0.8] + [words[18]] * (group == 3)
+        own += [f"box{group}@x.example.com"] * (rng.random() < 0.7) + ["box9@x.example.com"] * (rng.random() < 0.3)
+        rows.append((i, " ".join(own)))
+    found = {}
+    documents = [{w for w in t.split(" ") if w} for _, t in set(rows)]
+    count = Counter(w for d in documents for w in d)
+    pairs = Counter((e, w) for d in documents for e in d if "@" in e for w in d if "@" not in w)
+    for (e, w), both in pairs.items():
+        if both >= 2 and both < len(documents) and both / count[w] >= sanitise.GENERALISE_SHARE:
+            npmi = math.log(both * len(documents) / (count[w] * count[e])) / math.log(len(documents) / both)
+            if npmi >= sanitise.MIN_NPMI:
+                found[w] = max(found.get(w, ""), "term" if both / count[w] >= sanitise.REMOVE_SHARE else "general")
+    shown = private_spans(spark, rows)
+    got = {}
+    for i, text in rows:
+        for kind, start, end in (s.split(":") for s in shown[i].split(",") if s):
+            if kind in ("term", "general"):
+                assert got.setdefault(text[int(start) : int(end)], kind) == kind
+    assert got == found and {"term", "general"} == set(found.values())
+
+
 def test_repeated_row_is_one_document(spark):
     rows = [(1, "zorblax at bob@x.example.com")] * 2 + [(100 + i, "at") for i in range(20)]
     assert private_spans(spark, rows)[1] == "email:11:28"
@@ -143,8 +171,32 @@ def test_terms_of_any_characters(spark):
     assert shown[0].split(",")[-1].startswith("email:") and shown[8] == "term:0:6,term:7:14,term:15:22,term:27:33" and shown[100] == ""
 
 
+def assert_settled(rows):
+    """No document added, dropped or swapped for another brings any source nearer to its target."""
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r["source"]].append(r)
+    for own in sources.values():
+        gap = own[0]["_target"] - sum(r["_words"] * r["_copies"] for r in own)
+        more = {0, *(r["_words"] for r in own if r["_words"] and r["_copies"] < 3)}
+        less = {0, *(r["_words"] for r in own if r["_copies"] > 0)}
+        assert abs(gap) <= min(abs(gap - a + b) for a in more for b in less) + 1e-6
+
+
+def test_mixing_of_small_sources(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    assert_settled(got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["_words"] * r["_copies"]
+    assert all(abs(taken[r["source"]] / r["_target"] - 1) < 0.02 for r in got)
+    six = [(1, "a " * 7, "x"), (2, "a " * 82, "x"), (3, "a " * 115, "x"), (4, "a " * 900, "x"), (5, "a " * 10, "y"), (6, "a " * 500, "z")]
+    assert_settled(mixing.mix(spark.createDataFrame(six, "doc_id long, text string, source string")).collect())
+
+
 def test_mixing(docs, empty):
-    got = mixing.mix(docs).collect()
+    own = docs.drop("_words", "_copies")
+    got = mixing.mix(own).collect()
     assert len(got) == len(ROWS)
     assert all(0 <= r["_copies"] <= 3 and (r["_words"] or not r["_copies"]) for r in got)
     totals, taken, target = Counter(), Counter(), {}
@@ -161,8 +213,14 @@ def test_mixing(docs, empty):
             break
         full |= more
     assert target == pytest.approx({s: 3 * totals[s] if s in full else weights[s] * level for s in weights})
-    again = Counter((r["doc_id"], r["text"], r["_copies"]) for r in mixing.mix(docs).collect())
+    again = Counter((r["doc_id"], r["text"], r["_copies"]) for r in mixing.mix(own).collect())
     assert Counter((r["doc_id"], r["text"], r["_copies"]) for r in got) == again
+    assert_settled(got)
+    copies = mixing.mixed_documents(docs)
+    assert copies.columns == docs.columns
+    rows = copies.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == sum((Counter({(r["doc_id"], r["text"]): r["_copies"]}) for r in got), Counter())
+    assert all(r["_words"] == "own_words" and r["_key"] == "own_key" for r in rows)
     assert mixing.mix(empty).count() == 0
 
 
