@@ -50,7 +50,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def save_shared(df: DataFrame, label: str) -> DataFrame:
+def save_shared(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The table cuts the lineage and fixes values that depend on the physical layout
@@ -58,5 +58,5 @@ def save_shared(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
