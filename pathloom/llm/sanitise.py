@@ -196,7 +196,7 @@ def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("part", text_part()).withColumn("row", F.xxhash64("doc_id", "text")).withColumn("base", base_spans(F.col("text")))
     source = source.withColumn("text", _masked(F.col("text"), F.col("base"))).withColumn("terms", _terms(F.col("text")))
-    spans = save_shared(source, "private-texts")
+    spans = save_shared(source, "private-texts", codec="zstd")  # holds all texts
     texts = spans.select("row", "base", "text", "terms")
     if not spans.groupBy("row").count().filter("count > 1").isEmpty():  # a repeated row is one document
         texts = save_shared(texts.dropDuplicates(["row"]), "private-documents")
@@ -204,7 +204,8 @@ def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = save_shared(known, "private-terms")
     hits = _only(texts.select("row", F.explode("terms").alias("term")), known, "term").join(known, "term")
     hits = save_shared(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("known")), "private-hits")
-    extra = _only(texts.select("row", "text"), hits, "row").join(hits, "row").select("row", _places(F.col("text"), F.col("known")).alias("extra"))
+    # The hits grow with the corpus: the same join at every size.
+    extra = _only(texts.select("row", "text"), hits, "row").join(hits.hint("merge"), "row").select("row", _places(F.col("text"), F.col("known")).alias("extra"))
     return spans.drop("text", "terms"), extra
 
 
