@@ -7,7 +7,9 @@ last one that can still reach the score in question (the k-th best of the first
 target).  Each (block, shard) cell receives its item vectors, then user by user the seen items (as bitmaps),
 targets and the vector; one pass over the sorted cell multiplies small matrices and emits either the best
 ``k`` items or, for given targets, how many items beat them.  Shuffled rows are the blocks that users visit
-and ``items * shards``; a task holds one item block, a few hundred users and the bits of one user.
+and ``items * shards``; both factors are bounded (at most BLOCKS blocks, unless BLOCK_BYTES makes it more), so
+the shuffle grows with the tables and not with their product.  A task holds one item block, scores of a few
+users and the bits of one user.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pathloom.operators.skew import frequent_keys, global_index, lookup, row_ind
 from pathloom.session import save_shared, slots
 
 BLOCK_BYTES = 32 << 20  # of item vectors in one block
+BLOCKS = 24  # that items are cut into, while they hold no more than that
+LEAST_BLOCK = 1024  # items, where the caller names no number
 USER_CHUNK = 256
 # Scores are compared after rounding to this many places, so copies of a vector tie.
 SCORE_PLACES = 9
@@ -39,15 +43,16 @@ def _length(vector: str) -> Column:
 class ItemBlocks:
     """The item table numbered by falling vector length, its blocks and their bounds.
 
-    ``items(item_id, vector)``; ids are positive, however far apart.  ``block`` is the number of items in a
-    block, else as many as BLOCK_BYTES hold.
+    ``items(item_id, vector)``; ids are positive, however far apart.  ``block`` is the least number of items in
+    a block; more of them share one where there would be more than BLOCKS blocks that BLOCK_BYTES can hold.
     """
 
     def __init__(self, items: DataFrame, block: int | None = None):
         known = row_index(items.filter((F.col("item_id") > 0) & F.col("vector").isNotNull()).select("item_id", "vector"), "_number")
         length = _length("vector")
         count, width, least, most = known.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.min(length), F.max(length)).first()
-        self.count, self.block = count, block or max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+        fit = max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+        self.count, self.block = count, max(block or min(LEAST_BLOCK, fit), min(fit, -(-count // BLOCKS)))
         #: All vectors are about equally long: no bound can skip a block, and any order does.
         self.even = not count or count <= self.block or least >= 0.9 * most
         if self.even:
