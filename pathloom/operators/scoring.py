@@ -28,10 +28,11 @@ from pathloom.session import save_shared, slots
 BLOCK_BYTES = 32 << 20  # of item vectors in one block
 BLOCKS = 24  # that items are cut into, while they hold no more than that
 LEAST_BLOCK = 1024  # items, where the caller names no number
-USER_CHUNK = 256
+SCORE_BYTES = 8 << 20  # of the scores of the users taken together
+USER_CHUNK = 256  # of them at most
 # Scores are compared after rounding to this many places, so copies of a vector tie.
 SCORE_PLACES = 9
-_BITS = 32_768  # of one of Spark's bitmaps
+_BITS = 32_768  # of one bitmap
 
 _ITEM, _SEEN, _TARGET, _USER = 0, 1, 2, 3
 
@@ -74,18 +75,37 @@ class ItemBlocks:
 
 
 def seen_bits(seen: DataFrame, users: DataFrame, items: ItemBlocks) -> DataFrame:
-    """``user_id, block, first, bits``: the seen items of the given users as bitmaps over item numbers.
+    """``user_id, block, first, bits, n``: the ``n`` seen items of the given users as bitmaps over item numbers.
 
     A bitmap has a fixed size, however many items a user has seen; ``first`` is the place in the block of its
-    first bit.
+    first bit.  Few items are a list of 16-bit places instead, shorter than a bitmap.
     """
     pairs = seen.select("user_id", "item_id").join(users.select("user_id"), "user_id", "left_semi")
     # Spark splits the partition of an item that very many users have seen (its skew join).
     placed = pairs.join(items.table.select("item_id", "_number"), "item_id")
     place = F.pmod(F.col("_number") - 1, F.lit(items.block))
     first = (F.floor(place / _BITS) * _BITS).cast("int")
-    cut = placed.select("user_id", items.home(F.col("_number")).alias("block"), first.alias("first"), (place - first + 1).cast("long").alias("bit"))
-    return cut.groupBy("user_id", "block", "first").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    cut = placed.select("user_id", items.home(F.col("_number")).alias("block"), first.alias("first"), (place - first).cast("int").alias("bit"))
+    # Places are gathered, not bitmaps: a map task meets a user with few items of each.
+    sets = cut.groupBy("user_id", "block", "first").agg(F.collect_set("bit").alias("places"))
+    kind = sets.schema["user_id"].dataType.simpleString()
+    return sets.mapInArrow(_packed_bits, f"user_id {kind}, block int, first int, bits binary, n long")
+
+
+def _packed_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places 0 .. _BITS - 1 as a bitmap, or as a list where that is shorter."""
+    for rows in batches:
+        size = rows.column("places").value_lengths().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = rows.column("places").flatten().to_numpy().astype(np.uint16)
+        bits = [flat[a:b].tobytes() if 2 * (b - a) < _BITS // 8 else _bitmap(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(bits, pa.binary()), pa.array(size.astype(np.int64))], names=["user_id", "block", "first", "bits", "n"])
+
+
+def _bitmap(places: np.ndarray) -> bytes:
+    marks = np.zeros(_BITS, bool)
+    marks[places] = True
+    return np.packbits(marks, bitorder="little").tobytes()
 
 
 def _cells(items: ItemBlocks, users: DataFrame, bits: DataFrame | None, targets: DataFrame | None, first: int = 0, blocks: int | None = None) -> DataFrame:
@@ -168,22 +188,34 @@ class _Cell:
             return None
         free = np.ones(len(self.ids), bool)
         for place, bits in known:
+            if len(bits) < _BITS // 8:
+                free[place + np.frombuffer(bits, np.uint16).astype(np.int64)] = False
+                continue
             mask = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)[: len(free) - place]
             free[place : place + len(mask)] = ~mask
         return free
 
     def scored(self, rows: pa.RecordBatch, ready: np.ndarray) -> Iterator[tuple]:
         """(user, candidate ids, their scores) for each user row."""
-        if not len(ready) or not self.parts:
+        if not len(ready) or not self.parts and self.matrix is None:
             return
         if self.matrix is None:  # all items of a cell come before its first user
-            order = np.argsort(np.concatenate([p for p, _, _ in self.parts]))
-            self.ids = np.concatenate([i for _, i, _ in self.parts])[order]
-            self.matrix = np.concatenate([m for _, _, m in self.parts])[order].T
-            self.parts = self.parts[:1]
-        for start in range(0, len(ready), USER_CHUNK):
-            chunk = ready[start : start + USER_CHUNK]
-            scores = np.round(_matrix(rows.column("vector"), chunk) @ self.matrix, SCORE_PLACES)
+            places = np.concatenate([p for p, _, _ in self.parts])
+            where = np.empty(len(places), np.int64)
+            where[np.argsort(places)] = np.arange(len(places))
+            self.ids = np.empty(len(places), np.int64)
+            vectors, done = np.empty((len(places), self.parts[0][2].shape[1])), 0
+            while self.parts:  # each part is given up as it is copied
+                _, ids, part = self.parts.pop()
+                spot = where[len(where) - done - len(ids) : len(where) - done]
+                self.ids[spot], vectors[spot] = ids, part
+                done += len(ids)
+            self.matrix = vectors.T
+        together = max(1, min(USER_CHUNK, SCORE_BYTES // (8 * len(self.ids))))
+        for start in range(0, len(ready), together):
+            chunk = ready[start : start + together]
+            scores = _matrix(rows.column("vector"), chunk) @ self.matrix
+            np.round(scores, SCORE_PLACES, out=scores)
             for user, line in zip(rows.column("user_id").take(pa.array(chunk)).to_pylist(), scores, strict=True):
                 free = self._free(user)
                 yield (user, self.ids, line) if free is None else (user, self.ids[free], line[free])
@@ -318,7 +350,7 @@ def target_rank(
     if bits is None:
         free = totals.withColumn("candidates", F.lit(known.count).cast("long"))
     else:
-        met = bits.groupBy("user_id").agg(F.sum(F.bitmap_count("bits")).alias("_met"))
+        met = bits.groupBy("user_id").agg(F.sum("n").alias("_met"))
         free = totals.join(met, "user_id", "left").withColumn("candidates", F.lit(known.count) - F.coalesce("_met", F.lit(0)))
     better = F.when(F.col("behind"), F.col("candidates")).otherwise(F.col("better"))
     return free.select(
