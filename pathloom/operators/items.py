@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.text import item_prompt_text
 from pathloom.operators.history import SEGMENT_LENGTH
 from pathloom.operators.skew import lookup, positions
+from pathloom.session import slots
 
 
 def item_texts(items: DataFrame, keys: Sequence[str], prompt: str = "") -> DataFrame:
@@ -88,6 +89,9 @@ def group_apply(
     """
     placed = positions(df, keys, [F.col(c) for c in order], "_pos", **skew)
     cut = placed.withColumn("segment", F.floor((F.col("_pos") - 1) / segment_rows).cast("int"))
+    # Python's work per group is large beside its bytes: set numbers keep Spark from merging partitions by bytes.
+    wide = 2 * slots(df.sparkSession)
+    cut = cut.repartition(wide, *keys, "segment")
     names = [f"_key{i}" for i in range(len(keys))]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,4 +108,4 @@ def group_apply(
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         return merge(rows.sort_values("_segment", kind="stable").drop(columns=[*names, "_segment"]).reset_index(drop=True))
 
-    return parts.groupBy(*names).applyInPandas(joined, schema)
+    return parts.repartition(wide, *names).groupBy(*names).applyInPandas(joined, schema)
