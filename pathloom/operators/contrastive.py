@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FloatType
 
 from pathloom.session import slots
 
@@ -24,12 +25,13 @@ SAME_ITEM_COSINE = 0.99
 ACCURACY_RANKS = (1, 5, 10, 50, 100)
 
 TILE = 2048  # examples or negatives of one batch in one task
+TASK_ROWS = 1 << 17  # rows of cells, copies included, that one task sorts
 _NEGATIVE, _EXAMPLE = 0, 1
 _PARTIAL = "batch_id long, example_id long, negatives long, kept long, best double, mass double, pos double, better long"
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
@@ -42,10 +44,12 @@ def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
     """
     sizes = examples.groupBy("batch_id").count().withColumn("_kind", F.lit(_EXAMPLE))
     sizes = sizes.unionByName(pool.groupBy("batch_id").count().withColumn("_kind", F.lit(_NEGATIVE)))
-    large = sizes.filter(F.col("count") > tile)
-    cut = [F.ceil(F.max(F.when(F.col("_kind") == k, F.col("count"))) / tile).cast("int").alias(c) for k, c in ((_EXAMPLE, "_et"), (_NEGATIVE, "_nt"))]
-    some = large.limit(1).count() > 0
-    counts = large.groupBy("batch_id").agg(*cut) if some else None
+    own = {k: F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("count"))), F.lit(0)) for k in (_EXAMPLE, _NEGATIVE)}
+    sizes = sizes.groupBy("batch_id").agg(own[_EXAMPLE].alias("_e"), own[_NEGATIVE].alias("_n"))
+    tiles = {c: F.greatest(F.ceil(F.col(n) / tile), F.lit(1)).cast("int") for c, n in (("_et", "_e"), ("_nt", "_n"))}
+    sizes = sizes.withColumns(tiles)
+    rows, some = sizes.agg(F.sum(F.col("_e") * F.col("_nt") + F.col("_n") * F.col("_et")), F.max((F.col("_et") + F.col("_nt") > 2).cast("int"))).first()
+    counts = sizes.filter("_et + _nt > 2").select("batch_id", "_et", "_nt") if some else None
 
     def placed(rows: DataFrame, kind: int, key) -> DataFrame:
         zero = F.lit(0)
@@ -59,12 +63,13 @@ def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
         et, nt = ("_mine", "_copy") if kind == _EXAMPLE else ("_copy", "_mine")
         return spread.select("batch_id", F.col(et).alias("et"), F.col(nt).alias("nt"), F.lit(kind).alias("kind"), "example_id", "a", "b")
 
-    none = F.lit(None).cast("array<double>")
+    none = F.lit(None).cast(examples.schema["positive"].dataType)
     left = placed(examples.select("batch_id", "example_id", F.col("output").alias("a"), F.col("positive").alias("b")), _EXAMPLE, F.xxhash64("example_id"))
     right = pool.select("batch_id", "example_id", F.col("negative").alias("a"), none.alias("b"), "_no")
     right = placed(right, _NEGATIVE, F.xxhash64("example_id", "_no"))
-    # The number is set so that Spark does not merge small but compute-heavy partitions.
-    cells = left.unionByName(right).repartition(2 * slots(examples.sparkSession), "batch_id", "et", "nt")
+    # The number is set so that Spark does not merge small but compute-heavy partitions; it follows the rows.
+    parts = max(2 * slots(examples.sparkSession), -(-(rows or 0) // TASK_ROWS))
+    cells = left.unionByName(right).repartition(parts, "batch_id", "et", "nt")
     return cells.sortWithinPartitions("batch_id", "et", "nt", "kind")
 
 
@@ -104,6 +109,13 @@ def _products(scale: float, threshold: float):
     return run
 
 
+def _entry_type(examples: DataFrame) -> DataType:
+    """The type of the negatives' entries."""
+    many = "negatives" in examples.columns
+    kind = examples.schema["negatives" if many else "negative"].dataType.elementType
+    return kind.elementType if many else kind
+
+
 def batch_negatives(
     examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None, tile: int = TILE
 ) -> DataFrame:
@@ -116,9 +128,12 @@ def batch_negatives(
         raise ValueError(f"scale must be in (0, 300], got {scale}")  # beyond, exponentials of whole similarities vanish
     ids = [F.col(c).cast("long").alias(c) for c in ("batch_id", "example_id")]
     given = F.col("negatives") if "negatives" in examples.columns else F.array("negative")
-    pool = examples.select(*ids, F.posexplode(given.cast("array<array<double>>")).alias("_no", "negative"))
+    # Vectors of floats travel as they are and become doubles in the task.
+    narrow = all(examples.schema[c].dataType == ArrayType(FloatType()) for c in ("output", "positive"))
+    kind = "float" if narrow and _entry_type(examples) == FloatType() else "double"
+    pool = examples.select(*ids, F.posexplode(given.cast(f"array<array<{kind}>>")).alias("_no", "negative"))
     scored = examples.filter(F.col(mask).cast("boolean")) if mask else examples
-    scored = scored.select(*ids, *[F.col(c).cast("array<double>").alias(c) for c in ("output", "positive")])
+    scored = scored.select(*ids, *[F.col(c).cast(f"array<{kind}>").alias(c) for c in ("output", "positive")])
     parts = _tiles(scored, pool, tile).mapInArrow(_products(scale, threshold), _PARTIAL)
     total = parts.groupBy("batch_id", "example_id").agg(
         *[F.sum(c).alias(c) for c in ("negatives", "kept", "mass", "better")], F.max("best").alias("best_negative"), F.max("pos").alias("pos")
