@@ -31,7 +31,7 @@ from pathloom.llm.text import BASE_INVERSE, BYTE_CODES, PACKED, Slice, batch, co
 
 LENGTH = 200
 K = 64
-SLICE = 1 << 20
+SLICE = 1 << 19  # text bytes whose hashes a task holds at once, some ten arrays of eight times as many
 _PLACE = np.uint64((1 << 28) - 1)  # a place in a stretch, below the hash that orders minimizers
 _STRETCH = 1 << 18  # windows whose minimizers are found at once
 _TIED = 1 << 16  # places that one sort of whole strings takes
