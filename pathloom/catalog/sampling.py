@@ -88,9 +88,10 @@ def contrastive_examples(spark, sf):
     """Each event's item predicts the next one; the negative is drawn by (user, position)."""
     placed = placed_a(spark, sf)
     top = item_top(spark, sf)
-    # The next event is found by shifting the position, not by a window over the history.
+    # The next event is found by shifting the position, not by a window over the history.  Both sides have a row
+    # for each event: merged, as Spark would take a compressed file's size for small and copy one side to every task.
     following = placed.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("item_id").alias("t"))
-    steps = placed.select("user_id", "pos", F.col("item_id").alias("o")).join(following, ["user_id", "pos"])
+    steps = placed.select("user_id", "pos", F.col("item_id").alias("o")).join(following.hint("merge"), ["user_id", "pos"])
     drawn = steps.withColumn("g", any_item(top, 7, F.col("user_id"), F.col("pos"), draw="arithmetic").cast("int"))
     indexed = global_index(drawn, [F.col("user_id"), F.col("pos")], "example_id")
     items = item_vectors(spark, sf)
