@@ -8,8 +8,10 @@ one partial sum per document; no table of words is broadcast or collected.
 
 The network is trained on all training documents by truncated backpropagation on shards of about
 ``SHARD_TOKENS`` tokens (row keys decide which), so their number follows the tokens.  Their weights are
-averaged over a tree after each of ``ROUNDS`` rounds; a shard sends one set of fixed size.  Scoring runs all documents of a task in step, a window at a time, and carries the state
-from window to window, so a score is the log-likelihood of the complete document.
+averaged over a tree after each of ``ROUNDS`` rounds; a shard sends one set of fixed size.  Texts become
+symbols once, in a shared table that all rounds and the scoring read.  Scoring runs up to ``LANES`` documents
+in step, a window at a time, and carries the state from window to window, so a score is the log-likelihood
+of the complete document.
 
 Cases: null or empty text is one end token; rows with equal id and text score alike; a null id is never
 held out; without training text the network keeps its initial weights; an empty table gives an empty table.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pathloom.llm.quality_classifier import held_out
 from pathloom.llm.tables import blocks, text_bytes
@@ -35,7 +38,11 @@ VOCABULARY = 1022
 CLASSES = 32
 HIDDEN = 24
 WINDOW = 24  # steps of one truncated backpropagation, and of one scoring window
-SHARD_TOKENS = 1_000_000  # tokens that one task trains on
+SHARD_TOKENS = 8_000_000  # tokens that one task trains on
+LANES = 512  # streams, or documents, that advance in step
+LEAST_LANES = 64
+OFTEN = 32  # rows of one symbol in a window above which they are added by a product
+UPDATES = 640  # of a shard in a round, where its lanes allow
 REPLICAS = 6  # shards at least
 FAN_IN = 16  # sets of weights that one task, or the driver, averages
 ROUNDS = 2
@@ -66,124 +73,205 @@ class Network:
         self.weights["wb"] = np.log(p).astype(np.float32)
         self.weights["cb"] = np.log(np.add.reduceat(p, self.first[:-1])).astype(np.float32)
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the three gates, biases included, one under another, and their recurrent matrices."""
         w, h = self.weights, HIDDEN
-        x = w["x"][symbol] + w["b"]
-        a = state @ w["u"]
-        gate = 1 / (1 + np.exp(-np.clip(x[:, : 2 * h] + a[:, : 2 * h], -30, 30)))
-        z, r = gate[:, :h], gate[:, h:]
-        new = np.tanh(x[:, 2 * h :] + r * a[:, 2 * h :])
-        return state + z * (new - state), z, r, new, a[:, 2 * h :]
+        return (w["x"] + w["b"]).reshape(-1, h), np.ascontiguousarray(w["u"].reshape(h, 3, h).swapaxes(0, 1))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, tables: tuple | None = None, room: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Next state and what its gradients need; each gate is an array of its own (``room``, ``out``: filled if given)."""
+        x, u = tables or self.tables()
+        room = np.empty((4, *state.shape), state.dtype) if room is None else room
+        gates, (z, r, new, a) = room[:2], room
+        np.take(x, symbol * 3 + np.arange(3)[:, None], axis=0, out=room[:3], mode="clip")
+        gates += state @ u[:2]
+        gates *= 0.5
+        np.tanh(gates, out=gates)  # 1 / (1 + exp(-v)) = tanh(v / 2) / 2 + 1 / 2
+        gates *= 0.5
+        gates += 0.5
+        np.matmul(state, u[2], out=a)
+        new += r * a
+        np.tanh(new, out=new)
+        out = np.subtract(new, state, out=out)
+        out *= z
+        out += state
+        return out, z, r, new, a
 
     def log_probability(self, states: np.ndarray, target: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(target | state) per row; with ``gradients`` also adds those of -sum and returns the states'."""
         w = self.weights
+        order = np.argsort(self.classes[target].astype(np.uint8), kind="stable")
+        states, target = np.take(states, order, axis=0), target[order]
         cls = self.classes[target]
-        rows = np.arange(len(target))
-        logits = states @ w["c"] + w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[rows, cls] - np.log(total)
+        found, e = self._softmax(w["c"], w["cb"], states, cls, gradients is not None)
         back = None
         if gradients is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            gradients["c"] += states.T @ e
-            gradients["cb"] += e.sum(axis=0)
-            back = e @ w["c"].T
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        for s, n in zip(*groups_of(cls[order]), strict=True):
-            some = order[s : s + n]
-            lo, hi = self.first[cls[some[0]]], self.first[cls[some[0]] + 1]
+            gradients["c"] += states.T @ e.T
+            gradients["cb"] += e.sum(axis=1)
+            back = e.T @ w["c"].T
+        for s, n in zip(*groups_of(cls), strict=True):
+            lo, hi = self.first[cls[s]], self.first[cls[s] + 1]
             if hi - lo == 1:
                 continue
-            part = states[some]
-            logits = part @ w["w"][:, lo:hi] + w["wb"][lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            place = target[some] - lo
-            out[some] += logits[np.arange(n), place] - np.log(total)
+            some = slice(s, s + n)
+            own, e = self._softmax(w["w"][:, lo:hi], w["wb"][lo:hi], states[some], target[some] - lo, gradients is not None)
+            found[some] += own
             if gradients is not None:
-                e /= total[:, None]
-                e[np.arange(n), place] -= 1
-                gradients["w"][:, lo:hi] += part.T @ e
-                gradients["wb"][lo:hi] += e.sum(axis=0)
-                back[some] += e @ w["w"][:, lo:hi].T
-        return out, back
-
-    def train(self, stream: np.ndarray, end: int, lanes: int = 64, rate: float = 0.01) -> None:
-        """One pass over a symbol stream, cut into lanes; Adam on each window."""
-        lanes = max(1, min(lanes, len(stream) // (2 * WINDOW)))
+                gradients["w"][:, lo:hi] += states[some].T @ e.T
+                gradients["wb"][lo:hi] += e.sum(axis=1)
+                back[some] += e.T @ w["w"][:, lo:hi].T
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return found[place], back if back is None else np.take(back, place, axis=0)
+
+    @staticmethod
+    def _softmax(matrix: np.ndarray, bias: np.ndarray, states: np.ndarray, place: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ln P of the places, and with ``slope`` the gradient of -sum by logit; a column for each state, so numpy adds whole rows."""
+        e = matrix.T @ states.T
+        e += bias[:, None]
+        e -= e.max(axis=0)
+        at = np.arange(len(place))
+        found = e[place, at]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        found -= np.log(total)
+        if slope:
+            e /= total
+            e[place, at] -= 1
+        return found, e
+
+    def train(self, stream: np.ndarray, end: int, rate: float = 0.01) -> None:
+        """One pass over a symbol stream, cut into lanes that advance in step; Adam on each window.
+
+        A longer stream has more lanes, not more updates: numpy's cost of a window hardly grows below ``LANES``.
+        Less than ``LEAST_LANES`` symbols at the end belong to no lane.
+        """
+        lanes = max(1, min(LEAST_LANES, len(stream) // (2 * WINDOW)))
+        most = min(LANES, len(stream) // (UPDATES * WINDOW))
+        if most > lanes:
+            lanes = next(n for n in range(most, 0, -1) if len(stream) % n < LEAST_LANES)
         length = len(stream) // lanes
         if length < 2:
             return
-        table = stream[: lanes * length].reshape(lanes, length).T
+        table = np.ascontiguousarray(stream[: lanes * length].reshape(lanes, length).T)
         state = np.zeros((lanes, HIDDEN), np.float32)
         before = np.full(lanes, end)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        gates, olds, states, slopes = (np.empty((WINDOW, n, lanes, HIDDEN), np.float32) for n in (4, 1, 1, 3))
+        olds, states = olds[:, 0], states[:, 0]
         for t, at in enumerate(range(0, length, WINDOW), 1):
-            window = table[at : at + WINDOW]
+            window = table[at : at + WINDOW].astype(np.int64)
             gradients = {k: np.zeros_like(v) for k, v in self.weights.items()}
-            trace, states = [], []
-            for row in window:
-                state = np.where((before == end)[:, None], 0, state).astype(np.float32)  # a document starts
-                old = state
-                state, z, r, new, a = self.step(state, before)
-                trace.append((old, before, z, r, new, a))
-                states.append(state)
+            trace, tables = [], self.tables()
+            for i, row in enumerate(window):
+                old = olds[i]
+                old[:] = state
+                old[np.flatnonzero(before == end)] = 0  # a document starts
+                state, *rest = self.step(old, before, tables, gates[i], states[i])
+                trace.append((old, before, *rest))
                 before = row
-            _, back = self.log_probability(np.concatenate(states), window.ravel(), gradients)
-            self._backward(trace, back.reshape(len(window), lanes, HIDDEN), gradients, end)
+            state = state.copy()
+            _, back = self.log_probability(states[: len(window)].reshape(-1, HIDDEN), window.ravel(), gradients)
+            self._backward(trace, back.reshape(len(window), lanes, HIDDEN), gradients, end, slopes)
             for k, g in gradients.items():
-                g /= window.size
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                self.weights[k] -= rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-6)
-
-    def _backward(self, trace: list, back: np.ndarray, gradients: dict, end: int) -> None:
-        w, h = self.weights, HIDDEN
-        carry = np.zeros_like(back[0])
-        for (old, symbol, z, r, new, a), own in zip(reversed(trace), back[::-1], strict=True):
-            d = own + carry
-            d_new = d * z * (1 - new * new)
-            d_z = d * (new - old) * z * (1 - z)
-            d_r = d_new * a * r * (1 - r)
-            d_x = np.concatenate((d_z, d_r, d_new), axis=1)
-            d_a = np.concatenate((d_z, d_r, d_new * r), axis=1)
-            np.add.at(gradients["x"], symbol, d_x)
-            gradients["b"] += d_x.sum(axis=0)
-            gradients["u"] += old.T @ d_a
-            carry = d * (1 - z) + d_a @ w["u"].T
-            carry[symbol == end] = 0  # the state was reset there
+                g *= 0.1 / window.size
+                mean[k] *= 0.9
+                mean[k] += g
+                g *= g
+                square[k] *= 0.99
+                square[k] += g
+                np.divide(square[k], 1 - 0.99**t, out=g)
+                np.sqrt(g, out=g)
+                g += 1e-6
+                np.divide(mean[k], g, out=g)
+                g *= rate / (1 - 0.9**t)
+                self.weights[k] -= g
+
+    def _backward(self, trace: list, back: np.ndarray, gradients: dict, end: int, room: np.ndarray | None = None) -> None:
+        h = HIDDEN
+        n, lanes, _ = back.shape
+        d_x = (np.empty(3 * back.size, back.dtype) if room is None else room.reshape(-1)[: 3 * back.size]).reshape(3, n, lanes, h)
+        d_a = np.empty((lanes, 3, h), back.dtype)
+        d_all = d_a.reshape(lanes, 3 * h)
+        u = self.weights["u"].T
+        d = np.zeros_like(back[0])
+        for i, (old, symbol, z, r, new, a) in zip(range(n)[::-1], reversed(trace), strict=True):
+            d += back[i]
+            d_z, d_r, d_new = d_x[:, i]
+            stay = 1 - z
+            np.multiply(new, new, out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            d_new *= z
+            d_new *= d
+            np.subtract(1, r, out=d_r)
+            d_r *= r
+            d_r *= a
+            d_r *= d_new
+            np.subtract(new, old, out=d_z)
+            d *= stay
+            d_z *= z
+            d_z *= d
+            d_a[:, 0] = d_z
+            d_a[:, 1] = d_r
+            np.multiply(d_new, r, out=d_a[:, 2])
+            gradients["u"] += old.T @ d_all
+            d += d_all @ u
+            d[np.flatnonzero(symbol == end)] = 0  # the state was reset there
+        d_x = d_x.reshape(3, -1, h)
+        gradients["b"] += (np.ones(n * lanes, back.dtype) @ d_x).ravel()
+        _add_rows(gradients["x"].reshape(-1, 3, h), np.concatenate([symbol for _, symbol, *_ in trace]), d_x)
 
     def score(self, symbols: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
-        """ln P of each document; ``symbols`` holds them one after another, end tokens included."""
+        """ln P of each document; ``symbols`` holds them one after another, end tokens included.
+
+        Documents of about equal length go in step, at most ``LANES`` at once, so a window stays in the processor's cache.
+        """
         out = np.zeros(len(size))
         order = np.argsort(-size, kind="stable")
-        at = np.concatenate(([0], np.cumsum(size)))[:-1][order]
-        length = size[order]
-        state = np.zeros((len(size), HIDDEN), np.float32)
-        before = np.full(len(size), end)
-        total = np.zeros(len(size))
-        for t0 in range(0, int(length[0]) if len(length) else 0, WINDOW):
-            states, targets, rows = [], [], []
-            for t in range(t0, min(t0 + WINDOW, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, side="left"))  # documents longer than t
-                state = state[:live]
-                state = self.step(state, before[:live])[0]
-                before = symbols[at[:live] + t]
-                states.append(state)
-                targets.append(before)
-                rows.append(live)
-            found, _ = self.log_probability(np.concatenate(states), np.concatenate(targets))
-            for n, part in zip(rows, np.split(found, np.cumsum(rows)[:-1]), strict=True):
-                total[:n] += part
-        out[order] = total
+        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+        for lane in range(0, len(order), LANES):
+            some = order[lane : lane + LANES]
+            out[some] = self._score(symbols, start[some], size[some], end)
         return out
 
+    def _score(self, symbols: np.ndarray, at: np.ndarray, length: np.ndarray, end: int) -> np.ndarray:
+        """``score`` of documents that start ``at`` places, longest first."""
+        tables = self.tables()
+        room = np.empty(4 * len(at) * HIDDEN, np.float32)
+        state = np.zeros((len(at), HIDDEN), np.float32)
+        before = np.full(len(at), end)
+        total = np.zeros(len(at))
+        lives = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # documents longer than t
+        for t0 in range(0, int(length[0]), WINDOW):
+            rows = lives[t0 : t0 + WINDOW]
+            stops = np.cumsum(rows)
+            states, targets = np.empty((stops[-1], HIDDEN), np.float32), np.empty(stops[-1], np.int64)
+            for t, (live, stop) in enumerate(zip(rows, stops, strict=True), t0):
+                state = self.step(state[:live], before[:live], tables, room[: 4 * live * HIDDEN].reshape(4, live, HIDDEN), states[stop - live : stop])[0]
+                before = targets[stop - live : stop]
+                before[:] = symbols[at[:live] + t]
+            found, _ = self.log_probability(states, targets)
+            for live, part in zip(rows, np.split(found, stops[:-1]), strict=True):
+                total[:live] += part
+        return total
+
+
+def _add_rows(total: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
+    """``total[place] += rows`` where places repeat; ``rows`` has one matrix for each of the second axis of ``total``."""
+    order = np.argsort(place.astype(np.uint16) if len(total) < 65536 else place, kind="stable")
+    at, size = groups_of(place[order])
+    by_size = np.argsort(-size, kind="stable")
+    at, size = at[by_size], size[by_size]
+    long = int(np.searchsorted(-size, -OFTEN, side="left"))
+    sums = np.zeros((len(rows), len(at), rows.shape[-1]), rows.dtype)
+    for k, s, n in zip(range(long), at, size):  # noqa: B905  the others follow
+        sums[:, k] = np.ones(n, rows.dtype) @ np.take(rows, order[s : s + n], axis=1)
+    for i in range(size[long] if long < len(size) else 0):  # the i-th row of every place that has one
+        stop = np.searchsorted(-size, -i, side="left")
+        sums[:, long:stop] += np.take(rows, order[at[long:stop] + i], axis=1)
+    total[place[order[at]]] += sums.swapaxes(0, 1)
+
 
 def _tokens(words: Words, known: np.ndarray, symbol: np.ndarray, end: int, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols with ends, tokens per document, symbol of each word)."""
@@ -195,14 +283,38 @@ def _tokens(words: Words, known: np.ndarray, symbol: np.ndarray, end: int, other
     return out, size, of
 
 
+def _encoded(source: DataFrame, known: np.ndarray, symbol: np.ndarray, end: int, other: int) -> DataFrame:
+    """``source`` with symbols of two bytes in place of its text, and ``learn``: a training document with text."""
+    source = source.withColumn("learn", F.col("train") & (F.octet_length("text") > 0))
+    kept = [c for c in source.columns if c != "text"]
+
+    def encode(batches):
+        for part in slices(batches):
+            symbols, size, _ = _tokens(part.words(lower=True), known, symbol, end, other)
+            ends = np.concatenate(([0], np.cumsum(size * symbols.itemsize))).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), part.n, [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
+            yield batch(**{c: part.rows.column(c) for c in kept}, symbols=column)
+
+    return source.mapInArrow(encode, StructType([*(source.schema[c] for c in kept), StructField("symbols", BinaryType())]))
+
+
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all documents, tokens per document) of a column that ``_encoded`` made."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int16), np.diff(at) // 2
+
+
 def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Counts of the words of training documents, merged inside the task before they are dealt."""
     waiting: list[np.ndarray] = []
     held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def merged():
-        keys = np.concatenate((held[0], *waiting))
-        counts = np.concatenate((held[1], np.ones(len(keys) - len(held[0]), np.int64)))
+        fresh = np.sort(np.concatenate((held[0][:0], *waiting)))
+        at, n = groups_of(fresh)
+        keys, counts = np.concatenate((held[0], fresh[at])), np.concatenate((held[1], n))
         order = np.argsort(keys)
         at, _ = groups_of(keys[order])
         return keys[order][at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
@@ -236,11 +348,13 @@ def _scatter_rare(batches: Iterator[pa.RecordBatch], buckets: int, known: np.nda
     """Each document's distinct words outside the vocabulary, with how often they occur there."""
     for docs in slices(batches):
         words = docs.words(lower=True)
-        rare = ~np.isin(words.hash, known)
+        spot = np.minimum(np.searchsorted(known, words.hash), max(len(known) - 1, 0))
+        rare = known[spot] != words.hash if len(known) else np.ones(len(words), bool)
         row = docs.rows.column("row").to_numpy(zero_copy_only=False)
         train = docs.rows.column("train").to_numpy(zero_copy_only=False)
         doc, key = words.doc[rare], words.hash[rare]
-        order = np.lexsort((key, doc))
+        order = np.argsort(key)
+        order = order[np.argsort(doc[order].astype(np.uint16) if docs.n < 65536 else doc[order], kind="stable")]
         doc, key = doc[order], key[order]
         at, n = groups_of(key ^ mix(doc.astype(np.uint64) + np.uint64(1)))
         doc, key = doc[at], key[at]
@@ -307,7 +421,8 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
     network = Network(classes)
     network.start_from(frequency[by_count])
-    weights = _trained(source, network, tokens, known, symbol, end, other)
+    encoded = save_shared(_encoded(source, known, symbol, end, other), "lm-symbols")
+    weights = _trained(source, network, tokens, known, symbol, end, other, encoded)
 
     rare = source.mapInArrow(partial(_scatter_rare, buckets=buckets, known=known), PACKED)
     priced = rare.groupBy("bucket").applyInArrow(lambda rows: _price(rows, buckets), PACKED)
@@ -318,20 +433,19 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         net.weights = weights
 
         def run(parts):
-            size = np.concatenate([p[1] for p in parts])
-            found = net.score(np.concatenate([p[0] for p in parts]), size, end) / np.log(10)
-            rows = pa.Table.from_batches([p[2] for p in parts]).combine_chunks()
-            extra = {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("common_log", "n_rare"), 3)}
-            return batch(doc_id=rows.column("doc_id").combine_chunks(), train=rows.column("train").combine_chunks(), row=rows.column("row").combine_chunks(), n_tokens=size.astype(np.int64), network_log=found, **extra)
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            doc_id, train, row, text = (rows.column(c).combine_chunks() for c in ("doc_id", "train", "row", "symbols"))
+            symbols, size = _symbols(text)
+            start = np.cumsum(size) - size
+            found = net.score(symbols, size, end) / np.log(10)
+            common, n_rare = np.add.reduceat(logs[symbols], start), np.add.reduceat((symbols == other).astype(np.int64), start)
+            return batch(doc_id=doc_id, train=train, row=row, n_tokens=size, network_log=found, common_log=common, n_rare=n_rare)
 
         parts, total = [], 0
-        for part in slices(batches):
-            held = part.words(lower=True)
-            symbols, size, of = _tokens(held, known, symbol, end, other)
-            common = np.bincount(held.doc, weights=logs[of], minlength=part.n) + logs[end]
-            n_rare = np.bincount(held.doc, weights=of == other, minlength=part.n).astype(np.int64)
-            parts.append((symbols, size, part.rows.select(["doc_id", "train", "row"]), common, n_rare))
-            total += len(symbols)
+        for part in batches:
+            if part.num_rows:
+                parts.append(part)
+                total += part.column("symbols").nbytes // 2
             if total >= TASK_TOKENS:
                 yield run(parts)
                 parts, total = [], 0
@@ -339,7 +453,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
             yield run(parts)
 
     schema = "doc_id long, train boolean, row long, n_tokens long, network_log double, common_log double, n_rare long"
-    scored = source.mapInArrow(score, schema)
+    scored = encoded.select("doc_id", "train", "row", "symbols").mapInArrow(score, schema)
     equal = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "network_log", "common_log", "n_rare")])
     both = equal.join(priced, "row", "left").withColumn("rare_log", F.coalesce("rare_log", F.lit(0.0)) / F.col("copies")).withColumn("rare_known", F.coalesce("rare_known", F.lit(0)) / F.col("copies"))
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -364,11 +478,15 @@ def _mean(rows: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([of], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _trained(source: DataFrame, network: Network, tokens: int, known: np.ndarray, symbol: np.ndarray, end: int, other: int) -> dict:
-    """Weights averaged over shards of all training text; FAN_IN sets at most reach the driver in each round."""
+def _trained(source: DataFrame, network: Network, tokens: int, known: np.ndarray, symbol: np.ndarray, end: int, other: int, encoded: DataFrame | None = None) -> dict:
+    """Weights averaged over shards of all training text; FAN_IN sets at most reach the driver in each round.
+
+    ``encoded`` is ``_encoded`` of the same source, if it is kept.
+    """
+    encoded = _encoded(source, known, symbol, end, other) if encoded is None else encoded
     shards = max(REPLICAS, math.ceil(tokens / SHARD_TOKENS))
     shard = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("long")
-    chosen = source.filter("train").filter("octet_length(text) > 0").select("row", "text", shard.alias("shard"))
+    chosen = encoded.filter("learn").select("row", "symbols", shard.alias("shard"))
     names = list(network.weights)
     schema = "shard long, n long, weights binary"
     for _ in range(ROUNDS):
@@ -378,12 +496,12 @@ def _trained(source: DataFrame, network: Network, tokens: int, known: np.ndarray
             net = Network(network.classes)
             net.weights = {k: v.copy() for k, v in weights.items()}  # noqa: B023  used before the next round
             rows = rows.sort_by("row")
-            stream = [_tokens(part.words(lower=True), known, symbol, end, other)[0] for part in slices(rows.to_batches())]
-            stream = np.concatenate(stream).astype(np.int64)
+            stream = np.concatenate([_symbols(x)[0] for x in rows.column("symbols").chunks])
             net.train(stream, end)
             return pa.table({"shard": rows.column("shard").slice(0, 1), "n": pa.array([len(stream)], pa.int64()), "weights": pa.array([b"".join(net.weights[k].tobytes() for k in names)], pa.binary())})
 
-        found, left = chosen.groupBy("shard").applyInArrow(train, schema), shards
+        # Spark would merge shards into tasks by their bytes, but not with a set number; of 8 tasks a shard few get two.
+        found, left = chosen.repartition(8 * shards, "shard").groupBy("shard").applyInArrow(train, schema), shards
         while left > FAN_IN:
             found, left = found.groupBy(F.expr(f"shard div {FAN_IN}")).applyInArrow(lambda rows: _mean(rows), schema), math.ceil(left / FAN_IN)
         replicas = sorted((r["shard"], r["n"], bytes(r["weights"])) for r in found.collect())

@@ -278,6 +278,44 @@ def test_network_gradient():
         assert gradients[name][spot] == pytest.approx((up - down) / 2e-5, rel=1e-3)
 
 
+def test_training_updates_do_not_follow_the_stream(monkeypatch):
+    seen = []
+
+    def count(self, states, target, gradients=None):
+        seen.append(len(target))
+        return np.zeros(len(target)), np.zeros_like(states)
+
+    monkeypatch.setattr(language_model.Network, "log_probability", count)
+    monkeypatch.setattr(language_model.Network, "_backward", lambda *a: None)
+    net = language_model.Network(np.array([0, 0, 1, 1, 1, 2]))
+    stream = np.random.default_rng(0).integers(0, 6, 1_600_021).astype(np.int16)
+    net.train(stream, 5)
+    assert len(stream) - sum(seen) < 64
+    assert len(seen) < 700  # 1,042 with 64 lanes
+
+
+def test_score_of_documents_in_step(monkeypatch):
+    rng = np.random.default_rng(0)
+    net = language_model.Network(np.array([0, 0, 1, 1, 1, 2]))
+    net.train(rng.integers(0, 6, 5000).astype(np.int16), 5)
+    size = rng.integers(1, 70, 40)
+    symbols = rng.integers(0, 5, size.sum()).astype(np.int16)
+    symbols[np.cumsum(size) - 1] = 5
+    monkeypatch.setattr(language_model, "LANES", 7)
+    want = []
+    for own in np.split(symbols, np.cumsum(size)[:-1]):
+        state, before, total = np.zeros((1, language_model.HIDDEN), np.float32), 5, 0.0
+        for x in own:
+            state = net.step(state, np.array([before]))[0]
+            logits = state[0] @ net.weights["c"] + net.weights["cb"]
+            inside = np.flatnonzero(net.classes == net.classes[x])
+            words = state[0] @ net.weights["w"][:, inside] + net.weights["wb"][inside]
+            total += logits[net.classes[x]] - np.log(np.exp(logits).sum()) + words[x - inside[0]] - np.log(np.exp(words).sum())
+            before = x
+        want.append(total)
+    assert net.score(symbols, size, 5) == pytest.approx(np.array(want), rel=1e-4, abs=1e-4)
+
+
 def test_training_covers_all_documents(spark, monkeypatch):
     monkeypatch.setattr(language_model, "TRAIN_TOKENS", 200, raising=False)
     monkeypatch.setattr(language_model, "SHARD_TOKENS", 200, raising=False)
