@@ -9,7 +9,8 @@ the convex dual.  All multipliers take Newton steps together; one step is one ag
 Rates become copies per (source, size) cell.  Every document gets the whole part; the rest is passed
 from cell to cell in order of size, and inside a cell goes to the documents that come first by a hash of
 their id.  Cells of many documents are split by that hash, so no window sorts a source's documents.  Then single
-documents are added, dropped or swapped until no such move brings a source nearer to its target.
+documents are added, dropped or swapped until no such move brings a source nearer to its target.  All this is
+settled on hashes and sizes; what reaches the texts is where each part's further copies end.
 
 Cases: null text has size 0 and is never taken; null is a source of its own, last in order; equal rows
 may be taken unequally often (ties end by id, then by row content); an empty table gives an empty table.
@@ -27,6 +28,7 @@ from pathloom.session import save_shared
 MOST = 3  # times a document, or a source, is taken at most
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 CELL = 20_000  # documents a window sorts
+BROADCAST_CUTS = 100_000  # rows of some 200 bytes
 TOLERANCE = 1e-9
 ROUNDS = 200
 WIDEST = 1e9  # bounds of a multiplier, far beyond those of any text
@@ -130,13 +132,33 @@ def _settled(parts: DataFrame) -> DataFrame:
         parts = save_shared(moved, "mix-parts")
 
 
+def _cuts(dealt: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` (key, size, _salt, n, copies) with how each deals its copies to ``dealt`` (key, size, _salt, u, row).
+
+    Every document gets ``each``; one more goes to those before (cut_u, cut_row) and to the first ``some`` of
+    the ``of`` documents that equal it.  Without a cut nobody gets more.
+    """
+    on = ["key", "size", "_salt"]
+    parts = parts.withColumn("each", F.floor(F.col("copies") / F.col("n"))).withColumn("further", F.col("copies") % F.col("n"))
+    order = Window.partitionBy(*on).orderBy("u", "row")
+    ranked = dealt.join(parts.filter("further > 0").select(*on, "further"), on).select(
+        *on, "further", "u", "row", F.row_number().over(order).alias("place"), F.rank().over(order).alias("first"), F.count("*").over(order).alias("last")
+    )
+    cut = ranked.filter("place = further").select(
+        *on, F.col("u").alias("cut_u"), F.col("row").alias("cut_row"), (F.col("place") - F.col("first") + 1).alias("some"), (F.col("last") - F.col("first") + 1).alias("of")
+    )
+    return parts.drop("further").join(cut, on, "left")
+
+
 def _mixed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The mix with the documents' columns under names of its own, and these names by the documents'."""
     named, at = own_names(docs)
     named = named.withColumn("_key", source_key(at["source"])).withColumn("_size", word_count(at["text"]))
     # The whole row takes part, so rows that only share the id are still ordered alike in every run.
     named = named.withColumn("_u", F.xxhash64(F.col(at["doc_id"]), F.lit(1))).withColumn("_row", F.xxhash64(*at.values()))
-    cells = save_shared(named.groupBy(F.col("_key").alias("key"), F.col("_size").alias("size")).agg(F.count("*").alias("n")), "mix-cells")
+    # Everything is settled on these four; the texts are read once for them and once for the result.
+    short = save_shared(named.select(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_row").alias("row")), "mix-documents")
+    cells = save_shared(short.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-cells")
     goals = targets(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total")))
     x = balance(cells, goals)
 
@@ -146,8 +168,7 @@ def _mixed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     cells = save_shared(cells.withColumn("salts", F.ceil(F.col("n") / CELL).cast("long")).drop("mean", "x"), "mix-cells")
 
     # Large cells by salt; their counts give each part its share of the cell's remaining copies.
-    on = [named["_key"] == cells["key"], named["_size"] == cells["size"]]
-    dealt = named.join(cells.drop("n"), on).withColumn("_salt", F.pmod(F.shiftright("_u", 7), F.col("salts")))
+    dealt = short.join(cells.drop("n"), ["key", "size"]).withColumn("_salt", F.pmod(F.shiftright("u", 7), F.col("salts")))
     parts = dealt.groupBy("key", "size", "_salt", "whole", "rest", "target").agg(F.count("*").alias("n"))
     order = Window.partitionBy("key").orderBy("size", "_salt").rowsBetween(Window.unboundedPreceding, 0)
     # Words still owed, passed on in order of size: a part gets what is owed up to it, in whole copies.
@@ -157,11 +178,22 @@ def _mixed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     parts = parts.select("key", "size", "_salt", "target", "n", F.least(MOST * F.col("n"), copies).cast("long").alias("copies"))
     parts = _settled(save_shared(parts, "mix-parts"))
     # The copies of a part are dealt evenly, the first documents take what is left over.
-    parts = parts.select("key", "size", "_salt", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("further"))
-    place = F.row_number().over(Window.partitionBy("key", "size", "_salt").orderBy("_u", "_row"))
-    ranked = dealt.withColumn("_place", place).join(parts, ["key", "size", "_salt"])
-    copies = F.when(F.col("size") > 0, F.col("each") + (F.col("_place") <= F.col("further")).cast("long")).otherwise(F.lit(0)).cast("long")
-    made = ranked.select(
+    cuts = _cuts(dealt.select("key", "size", "_salt", "u", "row"), parts.drop("target"))
+    cuts = cuts.join(cells.select("key", "size", "salts", "total", "target", "rate"), ["key", "size"])
+    cuts = save_shared(cuts.drop("n", "copies"), "mix-cuts")
+
+    # Few cuts go to the texts; many meet them by whatever join Spark chooses.
+    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_CUTS else cuts
+    found = named.join(small, (F.col("_key") == F.col("key")) & (F.col("_size") == F.col("size")) & (F.pmod(F.shiftright("_u", 7), F.col("salts")) == F.col("_salt")))
+    same = (F.col("_u") == F.col("cut_u")) & (F.col("_row") == F.col("cut_row"))
+    early = (F.col("_u") < F.col("cut_u")) | ((F.col("_u") == F.col("cut_u")) & (F.col("_row") < F.col("cut_row")))
+    found = found.withColumn("_more", F.coalesce(early | same, F.lit(False))).withColumn("_split", F.coalesce(same & (F.col("some") < F.col("of")), F.lit(False)))
+    if not cuts.filter("some < of").isEmpty():
+        # Equal rows of which only some get one more: they alone are numbered.
+        place = F.row_number().over(Window.partitionBy("key", "size", "_salt").orderBy("_u", "_row"))
+        found = found.filter("NOT _split").unionByName(found.filter("_split").withColumn("_more", place <= F.col("some")))
+    copies = F.when(F.col("size") > 0, F.col("each") + F.col("_more").cast("long")).otherwise(F.lit(0)).cast("long")
+    made = found.select(
         *at.values(), F.col("size").alias("_words"), F.col("total").cast("long").alias("_source_words"),
         F.col("target").alias("_target"), F.col("rate").alias("_rate"), copies.alias("_copies"),
     )

@@ -224,6 +224,35 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_leaves_texts_in_place(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7 + 1), "xyz"[i % 3]) for i in range(200)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    made = mixing.mixed_documents(own)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    near = Counter(r["doc_id"] for r in made.collect())
+    # Many cuts, and cells of many parts: the same mix by another join.
+    monkeypatch.setattr(mixing, "BROADCAST_CUTS", 0)
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(own).collect()) == near
+    monkeypatch.setattr(mixing, "CELL", 3)
+    got = mixing.mix(own).collect()
+    assert len(got) == len(rows) and all(0 <= r["_copies"] <= 3 for r in got)
+    assert_settled(got)
+
+
+def test_mixing_of_equal_rows(spark):
+    rows = [(1, "a b c", "x")] * 5 + [(2, "a b c", "x"), (3, "d", "y")] + [(4, "e f g h", "z")] * 9 + [(None, "i j", None)] * 3
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(own).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(rows)
+    assert_settled(got)
+    for many in ([r["_copies"] for r in got if r["doc_id"] == i] for i in (1, 4, None)):
+        assert max(many) - min(many) <= 1
+    assert any(len({r["_copies"] for r in got if r["doc_id"] == i}) == 2 for i in (1, 4, None))
+    taken = sum((Counter({r["doc_id"]: r["_copies"]}) for r in got), Counter())
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(own).collect()) == taken
+
+
 def test_classifier(docs, spark, empty):
     labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (7, 0), (9, 0), (None, 1), (8, None)], "doc_id long, quality int")
     got = quality_classifier.quality_scores(docs, labels).collect()
