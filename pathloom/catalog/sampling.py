@@ -14,9 +14,10 @@ from pathloom.catalog.tables import (
 from pathloom.functions.draws import any_item
 from pathloom.functions.permutation import FACTOR, PRIME, round_keys
 from pathloom.operators import batches, contrastive, graph, negatives, sequences, splits
-from pathloom.operators.skew import global_index, lookup
+from pathloom.operators.skew import global_index, lookup, row_index
 from pathloom.plans.text_training import text_training_examples
 from pathloom.plans.training import training_examples
+from pathloom.session import save_shared
 
 
 @query("sample_negatives", "user_id:i seq_no:i item_seq:a neg_item:a", f"""
@@ -85,7 +86,10 @@ summary AS (
 
 
 def contrastive_examples(spark, sf):
-    """Each event's item predicts the next one; the negative is drawn by (user, position)."""
+    """Each event's item predicts the next one; the negative is drawn by (user, position).
+
+    Examples, which name vectors by id, and the vectors: they would be shuffled with each example otherwise.
+    """
     placed = placed_a(spark, sf)
     top = item_top(spark, sf)
     # The next event is found by shifting the position, not by a window over the history.  Both sides have a row
@@ -94,25 +98,28 @@ def contrastive_examples(spark, sf):
     steps = placed.select("user_id", "pos", F.col("item_id").alias("o")).join(following.hint("merge"), ["user_id", "pos"])
     drawn = steps.withColumn("g", any_item(top, 7, F.col("user_id"), F.col("pos"), draw="arithmetic").cast("int"))
     indexed = global_index(drawn, [F.col("user_id"), F.col("pos")], "example_id")
-    items = item_vectors(spark, sf)
+    vectors = row_index(item_vectors(spark, sf), "id")
     for key, name in (("o", "output"), ("t", "positive"), ("g", "negative")):
-        vectors = items.select(F.col("item_id").alias(key), F.col("vector").alias(name))
+        named = vectors.select(F.col("item_id").alias(key), F.col("id").alias(name))
         # Negatives are drawn evenly; inputs and targets are as frequent as the log's items.
-        indexed = lookup(indexed, vectors, key, "inner", frequent=[] if key == "g" else hot(spark, sf, "a", "item_id"))
-    return indexed.select(
+        indexed = lookup(indexed, named, key, "inner", frequent=[] if key == "g" else hot(spark, sf, "a", "item_id"))
+    examples = indexed.select(
         F.floor((F.col("example_id") - 1) / BATCH).alias("batch_id"), "example_id", "output", "positive", "negative"
     )
+    return save_shared(examples, "examples"), vectors.select("id", "vector")
 
 
 @query("batch_negatives", "example_id:i batch_id:i negatives:i pos_logit:d",
        f"WITH {EXAMPLES} SELECT * FROM summary")
 def _(spark, sf):
-    return contrastive.batch_negatives(contrastive_examples(spark, sf))
+    examples, vectors = contrastive_examples(spark, sf)
+    return contrastive.batch_negatives(examples, vectors=vectors)
 
 
 @query("drop_false_negatives", "example_id:i kept:i best_negative:d", f"WITH {EXAMPLES} SELECT * FROM summary")
 def _(spark, sf):
-    return contrastive.batch_negatives(contrastive_examples(spark, sf))
+    examples, vectors = contrastive_examples(spark, sf)
+    return contrastive.batch_negatives(examples, vectors=vectors)
 
 
 @query("contrastive_eval", "metric:s value:d", f"""
@@ -126,15 +133,17 @@ UNION ALL SELECT 'nce_top1_acc', t1 FROM a UNION ALL SELECT 'nce_top5_acc', t5 F
 UNION ALL SELECT 'nce_top10_acc', t10 FROM a UNION ALL SELECT 'nce_top50_acc', t50 FROM a""")
 def _(spark, sf):
     """Batches of 64: top-100 accuracy is not defined and left out."""
-    return contrastive.contrastive_eval(contrastive_examples(spark, sf))
+    examples, vectors = contrastive_examples(spark, sf)
+    return contrastive.contrastive_eval(examples, vectors=vectors)
 
 
 @query("contrastive_masked", "example_id:i negatives:i kept:i loss:d pos_rank:i",
        f"WITH {EXAMPLES} SELECT * FROM summary WHERE example_id % 3 <> 0")
 def _(spark, sf):
     """A third of the examples is masked: without a loss, their negatives stay in the pool.  Tiles of 20."""
-    masked = contrastive_examples(spark, sf).withColumn("used", F.col("example_id") % 3 != 0)
-    return contrastive.batch_negatives(masked, mask="used", tile=20)
+    examples, vectors = contrastive_examples(spark, sf)
+    masked = examples.withColumn("used", F.col("example_id") % 3 != 0)
+    return contrastive.batch_negatives(masked, mask="used", tile=20, vectors=vectors)
 
 
 @query("split_rows", "o_orderkey:i split:s", SPLIT_SQL)

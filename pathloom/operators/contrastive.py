@@ -5,6 +5,9 @@ Input: one row per example, ``batch_id, example_id, output, positive`` (vectors)
 batch fall into tiles, a task multiplies one tile of each as a small matrix product, and per example and tile
 only mergeable sums leave it: kept and better negatives, the best similarity, the sum of exponentials.  Rows
 that a mask takes out of the loss keep their negatives in the pool.
+
+Vectors that several examples share may stand in a table of their own, ``id, vector``, and the examples name them by
+id: rows then travel as ids, and a vector goes once to each part of the batches that names it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType
 
+from pathloom.operators.skew import lookup
 from pathloom.session import slots
 
 # Logit scale, similarity above which a negative is dropped, reported ranks.
@@ -24,31 +28,41 @@ LOGIT_SCALE = 20.0
 SAME_ITEM_COSINE = 0.99
 ACCURACY_RANKS = (1, 5, 10, 50, 100)
 
-TILE = 2048  # examples or negatives of one batch in one task
+TILE = 2048  # examples or negatives in one product
 TASK_ROWS = 1 << 17  # rows of cells, copies included, that one task sorts
-_NEGATIVE, _EXAMPLE = 0, 1
+VECTOR_BYTES = 1 << 26  # vectors that the rows of one part name, counted once for each row
+OUT_ROWS = 4096  # examples that leave a task together
+_VECTOR, _NEGATIVE, _EXAMPLE = -1, 0, 1
 _PARTIAL = "batch_id long, example_id long, negatives long, kept long, best double, mass double, pos double, better long"
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    if column.null_count:
+        raise ValueError("a vector is null or not in the table")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype(np.float64, copy=False)
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
-    """Rows of all (batch, example tile, negative tile) cells, negatives before examples.
+def _cells(examples: DataFrame, pool: DataFrame, tile: int) -> tuple[DataFrame, int, int]:
+    """Rows of all (batch, example tile, negative tile) cells, how many there are, and how many vectors they hold.
 
-    A batch of up to ``tile`` rows is one cell; the others are cut by a hash, each example copied once for
-    each tile of negatives and the other way round.
+    A batch of up to ``tile`` rows, or a 64th of a task's, is one cell; the others are cut by a hash, each example
+    copied once for each tile of negatives and the other way round.
     """
     sizes = examples.groupBy("batch_id").count().withColumn("_kind", F.lit(_EXAMPLE))
     sizes = sizes.unionByName(pool.groupBy("batch_id").count().withColumn("_kind", F.lit(_NEGATIVE)))
     own = {k: F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("count"))), F.lit(0)) for k in (_EXAMPLE, _NEGATIVE)}
     sizes = sizes.groupBy("batch_id").agg(own[_EXAMPLE].alias("_e"), own[_NEGATIVE].alias("_n"))
-    tiles = {c: F.greatest(F.ceil(F.col(n) / tile), F.lit(1)).cast("int") for c, n in (("_et", "_e"), ("_nt", "_n"))}
-    sizes = sizes.withColumns(tiles)
-    rows, some = sizes.agg(F.sum(F.col("_e") * F.col("_nt") + F.col("_n") * F.col("_et")), F.max((F.col("_et") + F.col("_nt") > 2).cast("int"))).first()
+    whole = F.greatest("_e", "_n") <= max(tile, TASK_ROWS // 64)
+    cut = {c: F.greatest(F.ceil(F.col(n) / tile), F.lit(1)) for c, n in (("_et", "_e"), ("_nt", "_n"))}
+    sizes = sizes.withColumns({c: F.when(whole, 1).otherwise(n).cast("int") for c, n in cut.items()})
+    left, right = F.col("_e") * F.col("_nt"), F.col("_n") * F.col("_et")
+    rows, held, some = sizes.agg(F.sum(left + right), F.sum(2 * left + right), F.max((F.col("_et") + F.col("_nt") > 2).cast("int"))).first()
     counts = sizes.filter("_et + _nt > 2").select("batch_id", "_et", "_nt") if some else None
 
     def placed(rows: DataFrame, kind: int, key) -> DataFrame:
@@ -67,28 +81,76 @@ def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
     left = placed(examples.select("batch_id", "example_id", F.col("output").alias("a"), F.col("positive").alias("b")), _EXAMPLE, F.xxhash64("example_id"))
     right = pool.select("batch_id", "example_id", F.col("negative").alias("a"), none.alias("b"), "_no")
     right = placed(right, _NEGATIVE, F.xxhash64("example_id", "_no"))
+    return left.unionByName(right), rows or 0, held or 0
+
+
+def _tiles(examples: DataFrame, pool: DataFrame, tile: int) -> DataFrame:
+    """The cells with their vectors, each cell in one task, negatives before examples."""
+    cells, rows, _ = _cells(examples, pool, tile)
     # The number is set so that Spark does not merge small but compute-heavy partitions; it follows the rows.
-    parts = max(2 * slots(examples.sparkSession), -(-(rows or 0) // TASK_ROWS))
-    cells = left.unionByName(right).repartition(parts, "batch_id", "et", "nt")
-    return cells.sortWithinPartitions("batch_id", "et", "nt", "kind")
+    parts = max(2 * slots(examples.sparkSession), -(-rows // TASK_ROWS))
+    return cells.repartition(parts, "batch_id", "et", "nt").sortWithinPartitions("batch_id", "et", "nt", "kind")
+
 
+def _named_tiles(examples: DataFrame, pool: DataFrame, tile: int, vectors: DataFrame) -> DataFrame:
+    """The cells with ids, dealt to parts of one task each; before the cells of a part come the vectors it names.
 
-def _products(scale: float, threshold: float):
-    def summed(rows: pa.RecordBatch, pool: np.ndarray | None) -> pa.RecordBatch:
-        output, positive = _unit(rows.column("a")), _unit(rows.column("b"))
+    Each vector comes once, however many rows of the part name it; so a frequent one has at most one row for each part.
+    """
+    cells, rows, held = _cells(examples, pool, tile)
+    kind = vectors.schema["vector"].dataType
+    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    size = max(width, 1) * (4 if kind == ArrayType(FloatType()) else 8)
+    parts = max(slots(examples.sparkSession), -(-rows // TASK_ROWS), -(-held * size // VECTOR_BYTES))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("batch_id", "et", "nt"), F.lit(parts)).cast("int"))
+    named = cells.select("part", F.explode(F.array("a", "b")).alias("id")).filter(F.col("id").isNotNull()).distinct()
+    named = lookup(named, vectors, "id", frequent=[])  # an id without a vector stays and fails in the task
+    zero, none = F.lit(0), F.lit(None).cast("long")
+    named = named.select(
+        zero.cast("long").alias("batch_id"), zero.alias("et"), zero.alias("nt"), F.lit(_VECTOR).alias("kind"),
+        F.col("id").alias("example_id"), none.alias("a"), none.alias("b"), "part", "vector",
+    )
+    placed = cells.withColumn("vector", F.lit(None).cast(kind)).unionByName(named).repartitionById(parts, "part")
+    return placed.sortWithinPartitions("part", F.col("kind") > _VECTOR, "batch_id", "et", "nt", "kind").drop("part")
+
+
+class _Vectors:
+    """Vectors of one part by id."""
+
+    def __init__(self, chunks: list[tuple[np.ndarray, np.ndarray]]):
+        ids = np.concatenate([c[0] for c in chunks])
+        self.order = np.argsort(ids)
+        self.ids, self.rows = ids[self.order], np.concatenate([c[1] for c in chunks])
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        wanted = column.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        if not np.array_equal(self.ids[at], wanted):
+            raise ValueError("an example names no vector")
+        return self.rows[self.order[at]]
+
+
+def _products(scale: float, threshold: float, tile: int):
+    def summed(rows: pa.RecordBatch, output: np.ndarray, positive: np.ndarray, pool: np.ndarray) -> pa.RecordBatch:
         pos = (output * positive).sum(axis=1)
-        pool = np.zeros((0, output.shape[1])) if pool is None else pool
-        kept = ~(positive @ pool.T > threshold)
-        sims = np.where(kept, output @ pool.T, -np.inf)
-        best = sims.max(axis=1, initial=-np.inf)
+        kept, better = np.zeros((2, len(pos)), dtype=np.int64)
+        best, mass = np.full(len(pos), -np.inf), np.zeros(len(pos))
+        for some in (slice(i, i + tile) for i in range(0, len(pos), tile)):
+            for part in (pool[i : i + tile] for i in range(0, len(pool), tile)):
+                keep = ~(positive[some] @ part.T > threshold)
+                sims = np.where(keep, output[some] @ part.T, -np.inf)
+                kept[some] += keep.sum(axis=1)
+                best[some] = np.maximum(best[some], sims.max(axis=1))
+                mass[some] += np.exp(scale * (sims - 1)).sum(axis=1)
+                better[some] += (sims > pos[some, None]).sum(axis=1)
         return pa.RecordBatch.from_arrays(
-            [rows.column("batch_id"), rows.column("example_id"), pa.array(np.full(len(pos), len(pool))), pa.array(kept.sum(axis=1)),
-             pa.array(best, mask=np.isinf(best)), pa.array(np.exp(scale * (sims - 1)).sum(axis=1)), pa.array(pos), pa.array((sims > pos[:, None]).sum(axis=1))],
+            [rows.column("batch_id"), rows.column("example_id"), pa.array(np.full(len(pos), len(pool))), pa.array(kept),
+             pa.array(best, mask=np.isinf(best)), pa.array(mass), pa.array(pos), pa.array(better)],
             names=["batch_id", "example_id", "negatives", "kept", "best", "mass", "pos", "better"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, pool = None, [], None
+        at, parts, pool, chunks, held, done = None, [], (), [], None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -96,15 +158,27 @@ def _products(scale: float, threshold: float):
             starts = np.flatnonzero(np.any(places[1:] != places[:-1], axis=1)) + 1
             for first, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
                 cell, kind = tuple(places[first, :3]), places[first, 3]
-                if cell != at:
-                    at, parts, pool = cell, [], None
                 rows = batch.slice(first, end - first)
+                if kind == _VECTOR:  # all vectors of a part come before its first cell
+                    at, held = None, None
+                    chunks.append((rows.column("example_id").to_numpy(), _matrix(rows.column("vector"))))
+                    continue
+                if chunks:
+                    held, chunks = _Vectors(chunks), []
+                if cell != at:
+                    at, parts, pool = cell, [], ()
+                read = _matrix if held is None else held.of
                 if kind == _NEGATIVE:
-                    parts.append(_unit(rows.column("a")))
+                    parts.append(_unit(read(rows.column("a"))))
                     continue
                 if parts:  # all negatives of a cell come before its first example
                     pool, parts = np.concatenate(parts), []
-                yield summed(rows, pool)
+                done.append(summed(rows, _unit(read(rows.column("a"))), _unit(read(rows.column("b"))), pool))
+                if sum(d.num_rows for d in done) >= OUT_ROWS:
+                    yield pa.concat_batches(done)
+                    done = []
+        if done:
+            yield pa.concat_batches(done)
 
     return run
 
@@ -117,24 +191,33 @@ def _entry_type(examples: DataFrame) -> DataType:
 
 
 def batch_negatives(
-    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None, tile: int = TILE
-) -> DataFrame:
+    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None, tile: int = TILE,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """Per example: negatives in the batch, negatives kept after dropping those too similar to the
     positive, best kept similarity, scaled positive logit, cross-entropy, rank of the positive.
 
     ``mask`` names a column that is true (or 1) for examples with a loss; the others only give negatives.
+    ``vectors`` is the table of ``id, vector``, unique by id, if the examples hold ids; both are read several times.
     """
     if not 0 < scale <= 300:
         raise ValueError(f"scale must be in (0, 300], got {scale}")  # beyond, exponentials of whole similarities vanish
     ids = [F.col(c).cast("long").alias(c) for c in ("batch_id", "example_id")]
     given = F.col("negatives") if "negatives" in examples.columns else F.array("negative")
     # Vectors of floats travel as they are and become doubles in the task.
-    narrow = all(examples.schema[c].dataType == ArrayType(FloatType()) for c in ("output", "positive"))
-    kind = "float" if narrow and _entry_type(examples) == FloatType() else "double"
-    pool = examples.select(*ids, F.posexplode(given.cast(f"array<array<{kind}>>")).alias("_no", "negative"))
+    if vectors is None:
+        narrow = all(examples.schema[c].dataType == ArrayType(FloatType()) for c in ("output", "positive")) and _entry_type(examples) == FloatType()
+        kind = "array<float>" if narrow else "array<double>"
+    else:
+        kind = "long"
+        if vectors.schema["vector"].dataType != ArrayType(FloatType()):
+            vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
+        vectors = vectors.select(F.col("id").cast("long").alias("id"), "vector")
+    pool = examples.select(*ids, F.posexplode(given.cast(f"array<{kind}>")).alias("_no", "negative"))
     scored = examples.filter(F.col(mask).cast("boolean")) if mask else examples
-    scored = scored.select(*ids, *[F.col(c).cast(f"array<{kind}>").alias(c) for c in ("output", "positive")])
-    parts = _tiles(scored, pool, tile).mapInArrow(_products(scale, threshold), _PARTIAL)
+    scored = scored.select(*ids, *[F.col(c).cast(kind).alias(c) for c in ("output", "positive")])
+    tiles = _tiles(scored, pool, tile) if vectors is None else _named_tiles(scored, pool, tile, vectors)
+    parts = tiles.mapInArrow(_products(scale, threshold, tile), _PARTIAL)
     total = parts.groupBy("batch_id", "example_id").agg(
         *[F.sum(c).alias(c) for c in ("negatives", "kept", "mass", "better")], F.max("best").alias("best_negative"), F.max("pos").alias("pos")
     )
@@ -146,10 +229,11 @@ def batch_negatives(
 
 
 def contrastive_eval(
-    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None
-) -> DataFrame:
+    examples: DataFrame, scale: float = LOGIT_SCALE, threshold: float = SAME_ITEM_COSINE, mask: str | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """``metric, value``: loss, mean candidate count, and top-k accuracy over batches wide enough for k."""
-    summary = batch_negatives(examples, scale, threshold, mask)
+    summary = batch_negatives(examples, scale, threshold, mask, vectors=vectors)
     wide = {k: F.col("negatives") + 1 >= k for k in ACCURACY_RANKS}
     totals = summary.agg(
         F.avg("loss").alias("loss"),
